@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,6 +22,14 @@ MARKUP_TAG = r"<[^>]+>"
 # --- end of fixed values ----------------------------------------------------------
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it.
+
+    Nested definitions would otherwise repeat the whole expression at every use and
+    outgrow what code generation can compile."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(c: Column) -> Column:
     """Drop white space, Unicode kinds included, from both ends."""
     return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
@@ -99,10 +108,14 @@ def clean_title(c: Column) -> Column:
 def context_window(text: Column, quote: Column, size: int = CLAIM_CONTEXT_CHARS) -> Column:
     """The part of ``text`` around ``quote``, or its head when the quote is not in it."""
     half = size // 2
+
+    def cut(at: Column) -> Column:
+        start = F.greatest(at - half, F.lit(0))
+        found = F.substring(text, start + 1, at + half - start)
+        return F.when(at < 0, F.substring(text, 1, size)).otherwise(found)
+
     at = F.when(F.coalesce(quote, F.lit("")) == "", 0).otherwise(F.instr(text, quote)) - 1
-    start = F.greatest(at - half, F.lit(0))
-    found = F.substring(text, start + 1, at + half - start)
-    return F.coalesce(F.when(at < 0, F.substring(text, 1, size)).otherwise(found), F.lit(""))
+    return F.coalesce(let(at, cut), F.lit(""))
 
 
 def words(c: Column) -> Column:

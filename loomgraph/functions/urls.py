@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import strip
+from loomgraph.functions.text import let, strip
 from loomgraph.schemas import TRACKING_PARAMS, TRACKING_PREFIX
 
 # --- fixed values: the parts of a URL (RFC 3986, appendix B, scheme as in WHATWG) -----
@@ -69,23 +69,39 @@ def _sorted_query(query: Column) -> Column:
     )
 
 
+def _parts(url: Column) -> Column:
+    names = ((SCHEME, "scheme"), (HOST, "host"), (PATH, "path"), (QUERY, "query"))
+    return let(_clean(url), lambda u: F.struct(*(F.regexp_extract(u, PARTS, i).alias(n) for i, n in names)))
+
+
 def canonical_url(url: Column) -> Column:
     """One spelling per page: no fragment, no tracking parameters, sorted query, no trailing
     slash, lower-case scheme and host. A malformed URL only matches itself."""
-    scheme, host = F.lower(_part(url, SCHEME)), F.lower(_part(url, HOST))
-    raw_path = _part(url, PATH)
-    path = F.coalesce(F.nullif(F.regexp_replace(raw_path, "/+$", ""), F.lit("")), raw_path)
-    rooted = F.when((host != "") & (path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-    bare = scheme.isin(*HIERARCHICAL_SCHEMES) & ((path == "") | path.startswith("/"))
-    authority = F.when((host != "") | bare | path.startswith("//"), F.concat(F.lit("//"), host)).otherwise("")
-    query = _sorted_query(_part(url, QUERY))
-    whole = F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        authority,
-        rooted,
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-    )
-    return F.when(_malformed(_part(url, HOST)), strip(url)).otherwise(whole)
+
+    def spell(p: Column) -> Column:
+        shorter = F.regexp_replace(p.path, "/+$", "")
+        return let(
+            F.struct(
+                F.lower(p.scheme).alias("scheme"),
+                F.lower(p.host).alias("host"),
+                F.when(shorter == "", p.path).otherwise(shorter).alias("path"),
+                _sorted_query(p["query"]).alias("query"),
+            ),
+            join,
+        )
+
+    def join(p: Column) -> Column:
+        rooted = (p.path == "") | p.path.startswith("/")
+        slashed = (p.host != "") | (p.scheme.isin(*HIERARCHICAL_SCHEMES) & rooted) | p.path.startswith("//")
+        return F.concat(
+            F.when(p.scheme != "", F.concat(p.scheme, F.lit(":"))).otherwise(""),
+            F.when(slashed, F.concat(F.lit("//"), p.host)).otherwise(""),
+            F.when((p.host != "") & ~rooted, F.lit("/")).otherwise(""),
+            p.path,
+            F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(""),
+        )
+
+    return let(_parts(url), lambda p: F.when(_malformed(p.host), strip(url)).otherwise(spell(p)))
 
 
 def is_web_url(value: Column) -> Column:
