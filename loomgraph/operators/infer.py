@@ -88,7 +88,7 @@ def valid_relevance(v: Column) -> Column:
 
 
 def valid_extraction(v: Column) -> Column:
-    named = _all(v.entities, lambda e: e.name.isNotNull() & e.type.isNotNull() & e.description.isNotNull())
+    named = _all(v.entities, lambda e: e["name"].isNotNull() & e.type.isNotNull() & e.description.isNotNull())
     return named & _all(
         v.relationships, lambda r: r.source_name.isNotNull() & r.target_name.isNotNull() & r.type.isNotNull()
     )

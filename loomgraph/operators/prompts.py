@@ -47,7 +47,7 @@ def type_lines(types: Column) -> Column:
 
     def line(t: Column) -> Column:
         described = or_else(F.trim(t.description))
-        return F.concat(F.lit("- "), t.name, F.coalesce(F.concat(F.lit(": "), described), F.lit("")))
+        return F.concat(F.lit("- "), t["name"], F.coalesce(F.concat(F.lit(": "), described), F.lit("")))
 
     return F.array_join(F.transform(types, line), "\n")
 
@@ -81,7 +81,7 @@ def consolidation(kind: str, candidates: DataFrame, jobs: DataFrame, types_colum
 
     def known(t: Column) -> Column:
         pinned = F.when(F.coalesce(t.pinned, F.lit(False)), " (pinned/authoritative)").otherwise("")
-        return F.concat(F.lit("- "), t.name, pinned, F.lit(": "), F.coalesce(t.description, F.lit("")))
+        return F.concat(F.lit("- "), t["name"], pinned, F.lit(": "), F.coalesce(t.description, F.lit("")))
 
     vocabulary = F.coalesce(or_else(F.array_join(F.transform(types_column, known), "\n")), F.lit("(none yet)"))
     system = F.concat(

@@ -84,7 +84,7 @@ def search(
     sets = known.select(*scope, frequent.alias("common"), "average").where(F.size("common") > 0).distinct()
     salted = postings.withColumn("salt", F.pmod(F.xxhash64("tokens"), F.lit(SALTS)))
     scored = (
-        sets.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint").alias("salt"))
+        sets.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
         .withColumn("term", F.explode("common"))
         .withColumn("token", F.col("term.token"))
         .join(salted, [*scope, "token", "salt"])

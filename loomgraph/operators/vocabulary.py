@@ -15,13 +15,13 @@ def clean_types(types: Column) -> Column:
     cleaned = F.transform(
         types,
         lambda t: F.struct(
-            strip(sanitize(t.name)).alias("name"),
+            strip(sanitize(t["name"])).alias("name"),
             strip(sanitize(F.coalesce(t.description, F.lit("")))).alias("description"),
             F.coalesce(t.pinned, F.lit(False)).alias("pinned"),
             F.coalesce(t.banned, F.lit(False)).alias("banned"),
         ),
     )
-    return F.filter(cleaned, lambda t: t.name != "")
+    return F.filter(cleaned, lambda t: t["name"] != "")
 
 
 def active_types(types: Column) -> Column:
@@ -46,7 +46,7 @@ def to_type_defs(names: Column) -> Column:
 
 
 def to_type_names(types: Column) -> Column:
-    return F.coalesce(F.transform(types, lambda t: t.name), F.array().cast("array<string>"))
+    return F.coalesce(F.transform(types, lambda t: t["name"]), F.array().cast("array<string>"))
 
 
 def type_rows(configs: DataFrame, column: str) -> DataFrame:
@@ -142,7 +142,7 @@ def minted_types(mentions: DataFrame, types: DataFrame, decided: DataFrame) -> D
     def walk(done: Column, offer: Column) -> Column:
         known = F.exists(done, lambda d: (d.key == offer.key) | (d.key == offer.new_key))
         new = F.struct(
-            offer.pos.cast("int").alias("pos"), offer.new_key.alias("key"), offer.name.alias("name"), offer.description.alias("description")
+            offer.pos.cast("int").alias("pos"), offer.new_key.alias("key"), offer["name"].alias("name"), offer.description.alias("description")
         )
         return F.when(known, done).otherwise(F.concat(done, F.array(new)))
 
