@@ -142,15 +142,11 @@ def ground(evidence: DataFrame, calls: DataFrame) -> DataFrame:
     ``calls`` has ``claim_id, call, citation_urls, had_annotations``; a call without annotations
     gives nothing to check against and keeps all its evidence."""
     key = ["claim_id", "call"]
-    items = evidence.withColumn("canonical_url", canonical_url(F.col("url")))
-    cited = (
-        calls.where("had_annotations")
-        .select(*key, F.explode("citation_urls").alias("u"))
-        .select(*key, canonical_url(F.col("u")).alias("canonical_url"), F.lit(True).alias("_hit"))
-        .distinct()
+    asked = calls.select(*key, "had_annotations", F.transform("citation_urls", canonical_url).alias("_cited"))
+    checked = evidence.withColumn("canonical_url", canonical_url(F.col("url"))).join(asked, key)
+    return checked.where(~F.col("had_annotations") | F.array_contains("_cited", F.col("canonical_url"))).drop(
+        "had_annotations", "_cited"
     )
-    checked = items.join(calls.select(*key, "had_annotations"), key).join(cited, [*key, "canonical_url"], "left")
-    return checked.where(~F.col("had_annotations") | F.col("_hit")).drop("had_annotations", "_hit")
 
 
 def dedupe_evidence(pooled: DataFrame) -> DataFrame:

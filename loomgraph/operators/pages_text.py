@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph import durable
 from loomgraph.functions import markdown as md
 from loomgraph.functions.text import or_else
 from loomgraph.operators.claims import tally
@@ -18,13 +19,18 @@ from loomgraph.operators.skew import MAX_LIST, bounded_list
 LINE_ORDER = ["section", "major", "minor", "sub", "step"]
 
 
-def _line(keys: list[str], section: int, major: Column, minor: Column, sub: Column, texts: list[Column]) -> list[Column]:
-    """Several consecutive lines from one row."""
-    lines = F.array(*(F.struct(F.lit(i).alias("step"), t.alias("line")) for i, t in enumerate(texts)))
-    return [
-        *(F.col(k) for k in keys), F.lit(section).alias("section"), major.cast("string").alias("major"),
-        minor.cast("string").alias("minor"), sub.cast("string").alias("sub"), F.inline(lines),
-    ]
+def _line(section: int, major: Column, minor: Column, sub: Column, texts: list[Column]) -> list[Column]:
+    """Consecutive lines as structs."""
+    place = (F.lit(section).alias("section"), major.alias("major"), minor.alias("minor"), sub.alias("sub"))
+    return [F.struct(*place, F.lit(i).alias("step"), t.alias("line")) for i, t in enumerate(texts)]
+
+
+def _lines(rows: DataFrame, key: str, *options: tuple[Column, list[Column]]) -> DataFrame:
+    """The lines of the first option whose condition holds, in one pass over ``rows``."""
+    chosen = F.when(options[0][0], F.array(*options[0][1]))
+    for condition, lines in options[1:]:
+        chosen = chosen.when(condition, F.array(*lines))
+    return rows.select(key, F.inline(chosen))
 
 
 def _descending(score: Column) -> Column:
@@ -36,9 +42,7 @@ def report_lines(documents: DataFrame, claims: DataFrame, evidence: DataFrame, g
     """``document_id, section, major, minor, sub, step, line`` of each document's report.
 
     Claims go by checkworthiness, then id; evidence by creation, then id."""
-    key = ["document_id"]
     none = F.lit("")
-    summed = documents.join(tally(claims), "document_id", "left")
     n, checked = F.coalesce("claim_count", F.lit(0)), F.coalesce("verified_count", F.lit(0))
     counts = F.concat(
         F.lit("*"), n.cast("string"), F.lit(" claims extracted · "), checked.cast("string"),
@@ -46,33 +50,27 @@ def report_lines(documents: DataFrame, claims: DataFrame, evidence: DataFrame, g
     )
     name = F.coalesce(or_else(F.col("title")), F.col("canonical_url"))
     by = md.byline(F.col("canonical_url"), F.col("author"), F.col("published_at"), generated_at)
-    head = summed.select(
-        *_line(key, 0, none, none, none, [F.concat(F.lit("# Claim check — "), name), none, by, none, counts, none])
+    head = _line(0, none, none, none, [F.concat(F.lit("# Claim check — "), name), none, by, none, counts, none])
+    around = _line(2, none, none, none, [F.lit("## Not checked"), none]) + _line(4, none, none, none, [none])
+    framed = _lines(
+        documents.join(tally(claims), "document_id", "left"), "document_id", (n > checked, head + around), (F.lit(True), head)
     )
     inside = claims.join(documents.select("document_id"), "document_id", "left_semi")
-    rank, order = _descending(F.col("checkworthiness")), F.col("claim_id")
-    judged = inside.where("verdict IS NOT NULL")
+    rank, order = _descending(F.col("checkworthiness")), F.col("claim_id").cast("string")
     said = md.attribution(*(F.col(c) for c in ("attributed_to", "attribution_type", "cited_source", "cited_source_url")))
+    quoted = F.concat(F.lit('"'), F.col("text"), F.lit('"'))
     verdict = md.verdict_line(F.col("verdict"), F.col("confidence"))
-    quoted = F.concat(F.lit('## "'), F.col("text"), F.lit('"'))
-    told = [quoted, none, said, none, verdict, none, F.coalesce("rationale", none), none]
-    body = judged.select(*_line(key, 1, rank, order, F.lit("0"), told))
-    after = judged.select(*_line(key, 1, rank, order, F.lit("2"), [none]))
-    shown = md.evidence_line(F.col("stance"), F.col("e_title"), F.col("url"), F.col("snippet"))
+    told = [F.concat(F.lit("## "), quoted), none, said, none, verdict, none, F.coalesce("rationale", none), none]
+    judged = _line(1, rank, order, F.lit("0"), told) + _line(1, rank, order, F.lit("2"), [none])
+    reason = md.unchecked_reason(F.col("selected"), F.col("claim_type"), F.col("checkworthiness"), F.col("error"))
+    waiting = _line(3, rank, order, none, [F.concat(F.lit("- "), quoted, F.lit(" — "), reason)])
+    body = _lines(inside, "document_id", (F.col("verdict").isNotNull(), judged), (F.lit(True), waiting))
     found = evidence.select("claim_id", "evidence_order", "stance", F.col("title").alias("e_title"), "url", "snippet")
-    cited = judged.select("document_id", "claim_id", "checkworthiness").join(found, "claim_id")
+    backed = inside.where("verdict IS NOT NULL").select("document_id", "claim_id", "checkworthiness").join(found, "claim_id")
+    shown = md.evidence_line(F.col("stance"), F.col("e_title"), F.col("url"), F.col("snippet"))
     sub = F.concat(F.lit("1"), F.col("evidence_order"))
-    backed = cited.select(*_line(key, 1, rank, order, sub, [shown]))
-    open_ = inside.where("verdict IS NULL")
-    reason = md.unchecked_reason(F.col("selected"), F.col("claim_type"), F.col("checkworthiness"), F.col("error"))
-    listed = open_.select(*_line(key, 3, rank, order, none, [F.concat(F.lit('- "'), F.col("text"), F.lit('" — '), reason)]))
-    some = open_.select("document_id").distinct()
-    heading = some.select(*_line(key, 2, none, none, none, [F.lit("## Not checked"), none]))
-    closing = some.select(*_line(key, 4, none, none, none, [none]))
-    parts = [body, after, backed, heading, listed, closing]
-    for part in parts:
-        head = head.unionByName(part)
-    return head
+    cited = _lines(backed, "document_id", (F.lit(True), _line(1, rank, order, sub, [shown])))
+    return framed.unionByName(body).unionByName(cited)
 
 
 def issue_lines(issues: DataFrame, stories: DataFrame, cited: DataFrame) -> DataFrame:
@@ -80,36 +78,40 @@ def issue_lines(issues: DataFrame, stories: DataFrame, cited: DataFrame) -> Data
 
     ``issues`` has ``issue_id, generated_at, covers_since``; ``stories`` ``issue_id, story_order, cluster_id,
     headline, body`` with a sortable ``story_order``; ``cited`` the ranked sources of each cluster."""
-    key, none = ["issue_id"], F.lit("")
+    none = F.lit("")
     since, until = md.day(F.col("covers_since")), md.day(F.col("generated_at"))
     covering = F.concat(F.lit("*Covering "), since, F.lit(" to "), until, F.lit(".*"))
-    head = issues.select(
-        *_line(key, 0, none, none, none, [F.concat(F.lit("# Issue — "), until), none, covering, none])
-    )
-    empty = issues.join(stories.select("issue_id").distinct(), "issue_id", "left_anti").select(
-        *_line(key, 1, none, none, none, [F.lit(md.NO_STORIES)])
+    head = _line(0, none, none, none, [F.concat(F.lit("# Issue — "), until), none, covering, none])
+    empty = _line(1, none, none, none, [F.lit(md.NO_STORIES)])
+    told = stories.groupBy("issue_id").agg(F.count(F.lit(1)).alias("stories"))
+    framed = _lines(
+        issues.join(told, "issue_id", "left"), "issue_id", (F.col("stories").isNull(), head + empty), (F.lit(True), head)
     )
     order = F.col("story_order")
-    told = [F.concat(F.lit("## "), F.col("headline")), none, F.col("body"), none, F.lit("**Sources:**")]
-    text = stories.select(*_line(key, 2, order, none, F.lit("0"), told))
-    after = stories.select(*_line(key, 2, order, none, F.lit("2"), [none]))
+    text = [F.concat(F.lit("## "), F.col("headline")), none, F.col("body"), none, F.lit("**Sources:**")]
+    written = _line(2, order, none, F.lit("0"), text) + _line(2, order, none, F.lit("2"), [none])
     item = md.source_item(F.col("label"), md.source_day(F.col("published_at"), F.col("ingested_at")), " — %s")
     sources = stories.select("issue_id", "story_order", "kb_id", "cluster_id").join(cited, ["kb_id", "cluster_id"])
-    listed = sources.select(*_line(key, 2, order, none, F.concat(F.lit("1"), F.lpad(F.col("rank").cast("string"), 6, "0")), [item]))
-    return head.unionByName(empty).unionByName(text).unionByName(listed).unionByName(after)
+    sub = F.concat(F.lit("1"), F.lpad(F.col("rank").cast("string"), 6, "0"))
+    return (
+        framed.unionByName(_lines(stories, "issue_id", (F.lit(True), written)))
+        .unionByName(_lines(sources, "issue_id", (F.lit(True), _line(2, order, none, sub, [item]))))
+    )
 
 
 def bodies(lines: DataFrame, key: str, limit: int = MAX_LIST) -> DataFrame:
     """``key, part, body``: one body per document of up to ``limit`` lines (``part`` ''), and for a longer
     document one part per line, in the order of ``part``. Reading the parts in order gives
     the whole text either way."""
+    lines = durable.cut(lines)
     order = [F.col(c) for c in LINE_ORDER]
     listed = bounded_list(lines, [key], order, F.col("line"), limit)
     whole = listed.where(F.col("n") <= limit).select(
         key, F.lit("").alias("part"), F.concat(F.array_join("items", "\n"), F.lit("\n")).alias("body")
     )
-    place = F.concat_ws("|", F.col("section"), F.col("major"), F.col("minor"), F.col("sub"), F.lpad("step", 4, "0"))
-    long = lines.join(listed.where(F.col("n") > limit).select(key), key, "left_semi")
+    place = F.concat_ws("|", *(F.col(c).cast("string") for c in LINE_ORDER[:-1]), F.lpad(F.col("step").cast("string"), 4, "0"))
+    sizes = lines.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    long = lines.join(sizes.where(F.col("n") > limit).select(key), key, "left_semi")
     return whole.unionByName(long.select(key, place.alias("part"), F.concat("line", F.lit("\n")).alias("body")))
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph import durable
 from loomgraph.functions.text import words
 from loomgraph.operators.skew import top_per_key
 from loomgraph.schemas import BM25_B, BM25_K1
@@ -49,7 +50,8 @@ def search(
 
     ``queries`` has the ``scope`` columns and ``text``; ``entities`` the ``scope`` columns,
     ``id``, ``name`` and ``aliases``. Any shared token matches; ties go to the smaller id."""
-    profiles = _profiles(entities, scope, k)
+    # The index: written once, read by every branch below.
+    profiles = durable.cut(_profiles(entities, scope, k))
     totals = profiles.groupBy(*scope).agg(
         F.sum("n").alias("docs"), (F.sum(F.col("n") * F.size("tokens")) / F.sum("n")).alias("average")
     )
@@ -58,7 +60,9 @@ def search(
     idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = frequency.join(totals, scope).select(*scope, "token", idf.alias("idf"), "profiles", "average")
 
-    asked = queries.select(*scope, "text", F.array_sort(F.array_distinct(words(F.col("text")))).alias("asked")).distinct()
+    asked = durable.cut(
+        queries.select(*scope, "text").distinct().withColumn("asked", F.array_sort(F.array_distinct(words(F.col("text")))))
+    )
     distinct = asked.select(*scope, "asked").distinct()
     key = [*scope, "asked"]
     # A query's terms are its own words, so this list is as long as the query text at most.

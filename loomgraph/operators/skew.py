@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 MAX_HOT_KEYS = 10_000
 MIN_HOT_ROWS = 100_000
 
-# Longest list gathered into one row. It stays within
-# spark.sql.optimizer.windowGroupLimitThreshold, so rows past it are pruned before the shuffle.
-MAX_LIST = 1000
+# Longest list gathered into one row. One more stays within
+# spark.sql.optimizer.windowGroupLimitThreshold (1000), so rows past it are pruned before the shuffle.
+MAX_LIST = 999
 
 
 def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
@@ -41,14 +41,13 @@ def bounded_list(
 ) -> DataFrame:
     """``keys, items, n``: the ordered list of each key, for keys of at most ``limit`` rows.
 
-    Larger keys keep their exact ``n`` and a null list; they are never gathered, and
-    callers give them their own treatment (a failed prompt, or one row per item)."""
-    kept = top_per_key(df.withColumn("_item", item), keys, order, limit, "_rn")
-    lists = kept.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_rn", "_item"))).alias("_list"))
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.join(lists, keys).select(
-        *keys, F.when(F.col("n") <= limit, F.col("_list._item")).alias("items"), "n"
+    A larger key gets a null list and ``n = limit + 1``; its rows are never gathered, and
+    callers give it its own treatment (a failed prompt, or one row per item)."""
+    kept = top_per_key(df.withColumn("_item", item), keys, order, limit + 1, "_rn")
+    listed = kept.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("_rn", "_item"))).alias("_list"), F.count(F.lit(1)).alias("n")
     )
+    return listed.select(*keys, F.when(F.col("n") <= limit, F.col("_list._item")).alias("items"), "n")
 
 
 def running_last(

@@ -399,14 +399,14 @@ def _issue_parts(t: Tables):
     return issues, stories, kept, mentions
 
 
-@query(f"WITH {_ISSUE_TEXT} SELECT issue_id, '' AS part, concat(string_agg(line, chr(10) ORDER BY a, b, c, d, e), chr(10)) AS body FROM text GROUP BY 1")
+@query(f"{_ISSUE_TEXT} SELECT issue_id, '' AS part, concat(string_agg(line, chr(10) ORDER BY a, b, c, d, e), chr(10)) AS body FROM text GROUP BY 1")
 def issue_markdown(t: Tables) -> DataFrame:
     issues, stories, kept, _ = _issue_parts(t)
-    return pages_text.bodies(pages_text.issue_lines(issues, stories, kept), "issue_id", limit=1000)
+    return pages_text.bodies(pages_text.issue_lines(issues, stories, kept), "issue_id")
 
 
 @query(
-    f"""WITH {_WINDOW}, {_STORY_COLUMNS}, {ENTITIES},
+    f"""{_WINDOW}, {_STORY_COLUMNS}, {ENTITIES},
 named AS (
   SELECT k.kb_id, cluster_id, entity_id, min(rank) AS r, any_value(concat('### ', name, ' (', type, ')', chr(10), coalesce(article, summary, ''))) AS block
   FROM kept k JOIN mentions m ON m.kb_id = k.kb_id AND m.job_id = k.job_id JOIN entities e ON e.kb_id = k.kb_id AND e.id = entity_id GROUP BY 1, 2, 3),
