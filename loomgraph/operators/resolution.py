@@ -71,21 +71,22 @@ def resolve(mentions: DataFrame, offered: DataFrame, answers: DataFrame) -> Data
     return mentions.join(accepted(offered, answers), ["job_id", "pos"], "left")
 
 
-def new_entity_id(*keys: str) -> Column:
-    """A key that a retry derives again."""
-    return F.sha2(F.concat_ws("\u0001", *(F.col(k).cast("string") for k in keys)), 256)
+def new_entity_id(*keys: Column) -> Column:
+    """An id that a retry derives again."""
+    return F.sha2(F.concat_ws("\u0001", *(k.cast("string") for k in keys)), 256)
 
 
-def batch_identity(mentions: DataFrame, per_job: bool = True) -> DataFrame:
+def batch_identity(mentions: DataFrame, batch: str | None = None) -> DataFrame:
     """Mentions with ``name_normalized`` and ``entity_id``.
 
-    Equal names of one type share an identity: the latest one resolved so far, else one new
-    id. ``per_job`` keeps this within a job; otherwise mentions of the whole batch share
-    identities, in the order of ``batch_pos``."""
-    keys = ["kb_id", "type", "name_normalized"] + (["job_id"] if per_job else [])
+    Within a job, equal names of one type share an identity: the latest one resolved so far,
+    else one new id. With a ``batch`` name, the new id is the same in all jobs of the batch, so
+    jobs that run side by side do not mint one entity each."""
+    keys = ["kb_id", "type", "name_normalized"]
     named = mentions.withColumn("name_normalized", normalize_name(F.col("name")))
-    known = running_last(named, keys, "pos" if per_job else "batch_pos", "existing_id", "known_id")
-    return known.withColumn("entity_id", F.coalesce("known_id", new_entity_id(*keys))).drop("known_id")
+    known = running_last(named, [*keys, "job_id"], "pos", "existing_id", "known_id")
+    minted = new_entity_id(*(F.col(k) for k in keys), F.col("job_id") if batch is None else F.lit(batch))
+    return known.withColumn("entity_id", F.coalesce("known_id", minted)).drop("known_id")
 
 
 def merge_counts(identified: DataFrame) -> DataFrame:

@@ -1,0 +1,88 @@
+"""Whole batches: all documents as jobs, with rules in place of models."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomgraph.operators.vocabulary import to_type_defs
+from loomgraph.plans import knowledge, rules
+from loomgraph.plans.registry import query
+from loomgraph.schemas import MENTION, RELATED, SOURCE
+from loomgraph.sources.tables import Tables
+
+RUN = "2024-06-01"
+
+
+def _state(t: Tables) -> knowledge.State:
+    """Documents with even numbers were merged before; now all documents wait in the queue."""
+    queue = t.jobs().select(
+        F.col("job_id").cast("string").alias("job_id"), "kb_id", "content", "metadata", F.lit("pending").alias("status"),
+        F.lit(None).cast("string").alias("relevance_reason"), F.lit(None).cast("string").alias("error"), F.lit(2).alias("attempts"),
+        F.timestamp_seconds("created_s").alias("created_at"), F.lit(None).cast("timestamp").alias("processed_at"),
+    )
+    configs = queue.select("kb_id").distinct().select(
+        "kb_id", F.lit("words").alias("interests"), F.lit(False).alias("discover_types"), to_type_defs(F.array(F.lit("Person"))).alias("entity_types"),
+        to_type_defs(F.array(F.lit("Near"))).alias("relationship_types"),
+    )
+    words = t.text_mentions().where("doc_id % 2 = 0").select(F.concat(F.lit("kb"), F.col("doc_id") % 4).alias("kb_id"), F.lower("name").alias("n")).distinct()
+    past = F.lit("2020-01-01").cast("timestamp")
+    entities = words.select(
+        "kb_id", F.concat(F.lit("stored/"), "kb_id", F.lit("/"), "n").alias("id"), F.lit("Person").alias("type"), F.initcap("n").alias("name"), F.col("n").alias("name_normalized"),
+        F.lit("old").alias("summary"), F.lit("old article").alias("article"), F.array().cast("array<string>").alias("aliases"), past.alias("created_at"), past.alias("updated_at"),
+    )
+    spark = t.spark
+    empty = [spark.createDataFrame([], s) for s in (RELATED, SOURCE, MENTION)]
+    return knowledge.State(queue, configs, entities, *empty)
+
+
+def _merged(t: Tables) -> knowledge.Merged:
+    models = knowledge.Models(rules.relevant_by_length, rules.capitalised_words, rules.same_name)
+    state = _state(t)
+    return knowledge.merge(state.jobs, state, models, F.lit(RUN).cast("timestamp"), "batch-1")
+
+
+_WORDS = """
+words AS (
+  SELECT doc_id, concat('kb', doc_id % 4) AS kb_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{4,}')) AS name,
+    generate_subscripts(regexp_extract_all(text, '[A-Z][a-z]{4,}'), 1) AS i, length(text) % 5 <> 0 AS relevant FROM documents),
+stored AS (SELECT DISTINCT kb_id, lower(name) AS n FROM words WHERE doc_id % 2 = 0),
+mentioned AS (SELECT kb_id, lower(name) AS n, count(DISTINCT doc_id) AS sources FROM words WHERE relevant GROUP BY 1, 2)"""
+
+
+@query(
+    f"""WITH {_WORDS}
+SELECT coalesce(s.kb_id, m.kb_id) AS kb_id, coalesce(s.n, m.n) AS name_normalized, CASE WHEN s.n IS NULL THEN 'new' ELSE 'stored' END AS origin,
+  CASE WHEN s.n IS NULL THEN concat(upper(m.n[1]), m.n[2:], '. A word.') ELSE 'old article' END AS article,
+  CASE WHEN m.n IS NULL THEN '2020-01-01' ELSE '{RUN}' END AS updated_at, coalesce(m.sources, 0)::BIGINT AS sources
+FROM stored s FULL JOIN mentioned m ON s.kb_id = m.kb_id AND s.n = m.n"""
+)
+def merge_entities(t: Tables) -> DataFrame:
+    after = _merged(t).state
+    named = after.mentions.groupBy("kb_id", F.col("entity_id").alias("id")).agg(F.count(F.lit(1)).alias("sources"))
+    return after.entities.join(named, ["kb_id", "id"], "left").select(
+        "kb_id", "name_normalized", F.when(F.col("id").startswith("stored/"), "stored").otherwise("new").alias("origin"), "article",
+        F.date_format("updated_at", "yyyy-MM-dd").alias("updated_at"), F.coalesce("sources", F.lit(0)).alias("sources"),
+    )
+
+
+@query(
+    f"""WITH {_WORDS}
+SELECT a.kb_id, lower(a.name) AS source, lower(b.name) AS target, min(a.doc_id)::VARCHAR AS first_job
+FROM words a JOIN words b ON a.doc_id = b.doc_id AND b.i = a.i + 1 WHERE a.relevant GROUP BY 1, 2, 3"""
+)
+def merge_relationships(t: Tables) -> DataFrame:
+    after = _merged(t).state
+    ends = after.entities.select("kb_id", "id", "name_normalized")
+    source = ends.select("kb_id", F.col("id").alias("source_id"), F.col("name_normalized").alias("source"))
+    target = ends.select("kb_id", F.col("id").alias("target_id"), F.col("name_normalized").alias("target"))
+    named = after.related.join(source, ["kb_id", "source_id"]).join(target, ["kb_id", "target_id"])
+    return named.select("kb_id", "source", "target", F.col("source_job_id").alias("first_job"))
+
+
+@query(
+    f"""WITH {_WORDS}
+SELECT doc_id::VARCHAR AS job_id, CASE WHEN length(text) % 5 <> 0 THEN 'done' ELSE 'skipped' END AS status, 'by length' AS reason FROM documents"""
+)
+def merge_jobs(t: Tables) -> DataFrame:
+    return _merged(t).state.jobs.select("job_id", "status", F.col("relevance_reason").alias("reason"))
