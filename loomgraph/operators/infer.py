@@ -19,9 +19,7 @@ from loomgraph.schemas import CLAIM_TYPES, TYPE_DECISIONS
 Request = dict
 Provider = Callable[[list[Request]], list]
 
-RESPONSE = T.StructType.fromDDL(
-    "choices ARRAY<STRUCT<finish_reason: STRING, message: STRUCT<content: STRING, annotations: STRING>>>"
-)
+RESPONSE = "choices ARRAY<STRUCT<finish_reason: STRING, message: STRUCT<content: STRING, annotations: STRING>>>"
 
 
 def infer(
