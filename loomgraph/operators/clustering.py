@@ -17,11 +17,19 @@ def source_links(mentions: DataFrame) -> DataFrame:
     comes from a map-side aggregate, and attaching it back treats hub entities apart."""
     keys = ["kb_id", "entity_id"]
     mentions, counted = durable.cut_counted(mentions.select(*keys, "job_id"))
-    least = mentions.groupBy(*keys).agg(F.min("job_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    linked = attach(mentions, least, keys, "n", counted["n"])
+    least = mentions.groupBy(*keys).agg(F.min("job_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    linked = attach(mentions, least, keys, counted["n"])
     return linked.where("job_id > b").select("kb_id", F.col("job_id").alias("a"), "b").distinct()
 
 
+def _distinct(edges: DataFrame, previous: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """Write the distinct edges, count them and those that moved, and drop the table they came from."""
+    unique = edges.groupBy("kb_id", "a", "b").agg(F.bool_or("moved").alias("moved"))
+    table, counted = durable.cut_counted(unique, moved=F.col("moved"))
+    durable.drop(previous)
+    return table.drop("moved"), counted
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``kb_id, job_id, cluster_id`` for every source that has a link; the cluster is
     named by its smallest source.
@@ -34,41 +42,21 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges, counted = durable.cut_counted(links)
     forest = False
     while counted["n"]:
-        total = counted["n"]
         parent = edges.groupBy("kb_id", F.col("a").alias("b")).agg(F.min("b").alias("m"))
-        fan_in = edges.groupBy("kb_id", "b").agg(F.count(F.lit(1)).alias("n"))
-        lifted = attach(edges, fan_in.join(parent, ["kb_id", "b"]), ["kb_id", "b"], "n", total)
-        # Only edges whose lower end has a parent itself are lifted; the rest stay.
-        rest = edges.join(parent.select("kb_id", "b"), ["kb_id", "b"], "left_anti")
-        moved = lifted.select("kb_id", "a", F.col("m").alias("b"), F.lit(True).alias("moved"))
-        wide = moved.unionByName(rest.select("kb_id", "a", "b", F.lit(False).alias("moved")))
-        previous = edges
-        edges, counted = durable.cut_counted(
-            wide.groupBy("kb_id", "a", "b").agg(F.bool_or("moved").alias("moved")), moved=F.col("moved")
+        lifted = attach(edges, parent, ["kb_id", "b"], counted["n"], "left").select(
+            "kb_id", "a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved")
         )
-        durable.drop(previous)
+        edges, counted = _distinct(lifted, edges)
         lifted_any = counted["moved"]
         if forest and not lifted_any:
             break
-        total = counted["n"]
-        edges = edges.drop("moved")
-        least = edges.groupBy("kb_id", "a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
-        # A node with one parent keeps its edge as it is; only the others regroup.
-        single = least.where("n = 1").select("kb_id", "a", F.col("m").alias("b"), F.lit(False).alias("moved"))
-        several = least.where("n > 1")
-        moved = (
-            attach(edges, several, ["kb_id", "a"], "n", total)
-            .where("b <> m")
-            .select("kb_id", F.col("b").alias("a"), F.col("m").alias("b"), F.lit(True).alias("moved"))
-        )
-        kept = several.select("kb_id", "a", F.col("m").alias("b"), F.lit(True).alias("moved"))
-        narrow = single.unionByName(moved).unionByName(kept)
-        previous = edges
-        edges, counted = durable.cut_counted(
-            narrow.groupBy("kb_id", "a", "b").agg(F.bool_or("moved").alias("moved")), moved=F.col("moved")
+        least = edges.groupBy("kb_id", "a").agg(F.min("b").alias("m"))
+        pair = F.struct(F.col("a"), F.col("m").alias("b"), F.lit(False).alias("moved"))
+        other = F.struct(F.col("b").alias("a"), F.col("m").alias("b"), F.lit(True).alias("moved"))
+        pulled = attach(edges, least, ["kb_id", "a"], counted["n"]).select(
+            "kb_id", F.inline(F.when(F.col("b") == F.col("m"), F.array(pair)).otherwise(F.array(pair, other)))
         )
-        edges = edges.drop("moved")
-        durable.drop(previous)
+        edges, counted = _distinct(pulled, edges)
         forest = not counted["moved"]
         if forest and not lifted_any:
             break

@@ -25,12 +25,19 @@ def entity_tokens() -> Column:
 
 
 def _profiles(entities: DataFrame, scope: list[str], k: int) -> DataFrame:
-    """``scope, tokens, n, ids``: entities sharing a bag of tokens, with their ``k`` smallest ids."""
+    """``scope, tokens, n, ids, first_id``: entities sharing a bag of tokens, with their ``k`` smallest ids.
+
+    ``first_id`` names the profile within its scope."""
     bags = entities.select(*scope, "id", F.array_sort(entity_tokens()).alias("tokens")).where(F.size("tokens") > 0)
     first = top_per_key(bags, [*scope, "tokens"], [F.col("id")], k)
     ids = first.groupBy(*scope, "tokens").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     sizes = bags.groupBy(*scope, "tokens").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.join(ids, [*scope, "tokens"])
+    return sizes.join(ids, [*scope, "tokens"]).withColumn("first_id", F.col("ids")[0])
+
+
+def _at_first_match(terms: Column) -> Column:
+    """Keeps one row per query and profile: the one at the first of ``terms`` in the profile."""
+    return F.col("token") == F.filter(terms, lambda t: F.array_contains(F.col("tokens"), t.token))[0].token
 
 
 def _score(terms: Column, tokens: Column, average: Column) -> Column:
@@ -55,7 +62,7 @@ def search(
     totals = profiles.groupBy(*scope).agg(
         F.sum("n").alias("docs"), (F.sum(F.col("n") * F.size("tokens")) / F.sum("n")).alias("average")
     )
-    postings = profiles.select(*scope, F.explode(F.array_distinct("tokens")).alias("token"), "tokens", "n", "ids")
+    postings = profiles.select(*scope, F.explode(F.array_distinct("tokens")).alias("token"), "tokens", "n", "first_id")
     frequency = postings.groupBy(*scope, "token").agg(F.sum("n").alias("df"), F.count(F.lit(1)).alias("profiles"))
     idf = F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = frequency.join(totals, scope).select(*scope, "token", idf.alias("idf"), "profiles", "average")
@@ -75,40 +82,40 @@ def search(
             F.first("average").alias("average"),
         )
     )
-    frequent = F.filter("terms", lambda t: ~t.rare)
-    pair = [*key, "tokens"]
+    known = known.withColumns(
+        {"scarce": F.filter("terms", lambda t: t.rare), "common": F.filter("terms", lambda t: ~t.rare)}
+    )
+    pair = [*key, "first_id", "score"]
     by_rare = (
-        known.select(*key, "terms", "average", F.explode(F.filter("terms", lambda t: t.rare)).alias("term"))
-        .withColumn("token", F.col("term.token"))
+        known.select(*key, "terms", "scarce", "average", F.explode("scarce.token").alias("token"))
         .join(postings, [*scope, "token"])
+        .where(_at_first_match(F.col("scarce")))
         .withColumn("score", _score(F.col("terms"), F.col("tokens"), F.col("average")))
-        .select(*pair, "ids", "score")
+        .select(*pair)
     )
     # Distinct sets of frequent tokens, spread over the salts of the long posting lists.
-    sets = known.select(*scope, frequent.alias("common"), "average").where(F.size("common") > 0).distinct()
-    salted = postings.withColumn("salt", F.pmod(F.xxhash64("tokens"), F.lit(SALTS)))
+    sets = known.select(*scope, "common", "average").where(F.size("common") > 0).distinct()
+    salts = F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))
     scored = (
-        sets.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
-        .withColumn("term", F.explode("common"))
-        .withColumn("token", F.col("term.token"))
-        .join(salted, [*scope, "token", "salt"])
-        # One row per profile: keep it at its first frequent token that occurs.
-        .where(F.col("token") == F.filter("common", lambda t: F.array_contains(F.col("tokens"), t.token))[0].token)
+        sets.select("*", F.explode(salts).alias("salt"))
+        .withColumn("token", F.explode("common.token"))
+        .join(postings.withColumn("salt", F.pmod(F.xxhash64("tokens"), F.lit(SALTS))), [*scope, "token", "salt"])
+        .where(_at_first_match(F.col("common")))
         .withColumn("score", _score(F.col("common"), F.col("tokens"), F.col("average")))
-        .withColumn("first_id", F.col("ids")[0])
     )
-    best = top_per_key(scored, [*scope, "common"], [F.col("score").desc(), F.col("first_id")], k, "_r")
+    order = [F.col("score").desc(), F.col("first_id")]
+    best = top_per_key(scored, [*scope, "common"], order, k, "_r")
+    # A profile that also has a rare token of the query was scored in full above.
     by_frequent = (
-        known.select(*key, frequent.alias("common"))
-        .join(best.select(*scope, "common", "tokens", "ids", "score"), [*scope, "common"])
-        .select(*pair, "ids", "score")
-    )
-    found = (
-        by_rare.unionByName(by_frequent)
-        .select(*key, F.explode("ids").alias("id"), "score")
-        .groupBy(*key, "id")
-        .agg(F.max("score").alias("score"))
+        known.select(*key, "common", "scarce")
+        .join(best.select(*scope, "common", "tokens", "first_id", "score"), [*scope, "common"])
+        .where(~F.arrays_overlap(F.col("scarce.token"), F.col("tokens")))
+        .select(*pair)
     )
+    # The k best profiles, by their smallest ids among equals, hold the k best entities.
+    leading = top_per_key(by_rare.unionByName(by_frequent), key, order, k, "_r").select(*pair)
+    named = leading.join(profiles.select(*scope, "first_id", "ids"), [*scope, "first_id"])
+    found = named.select(*key, F.explode("ids").alias("id"), "score")
     ranked = top_per_key(found, key, [F.col("score").desc(), F.col("id")], k)
     return asked.join(ranked, key).select(*scope, "text", "rank", "id", "score")
 

@@ -6,27 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # At most this many keys can each hold more than 1/MAX_HOT_KEYS of the rows, so a
-# table of hot keys never exceeds this size and may always be broadcast.
+# table of hot keys never exceeds this size and may always be broadcast. Keys below
+# MIN_HOT_ROWS rows are an ordinary load for one task.
 MAX_HOT_KEYS = 10_000
-MIN_HOT_ROWS = 100_000
+MIN_HOT_ROWS = 5_000_000
 
 # Longest list gathered into one row. One more stays within
 # spark.sql.optimizer.windowGroupLimitThreshold (1000), so rows past it are pruned before the shuffle.
 MAX_LIST = 999
 
 
-def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
-    """Inner many-to-one join of ``rows`` with ``per_key`` (unique on ``keys``).
+def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """Many-to-one join (inner or left) of ``rows`` with ``per_key`` (unique on ``keys``).
 
-    ``weight`` counts the rows of each key and adds up to ``total``. Keys above
-    ``total / MAX_HOT_KEYS`` rows are joined by broadcast and are never shuffled;
-    all others take an ordinary shuffled join. The result is the plain join."""
+    ``total`` is the number of ``rows``. Keys with more than ``total / MAX_HOT_KEYS`` of them are
+    joined by broadcast and are never shuffled; all others take an ordinary shuffled join.
+    The result is the plain join."""
     limit = max(MIN_HOT_ROWS, total // MAX_HOT_KEYS)
     if total <= limit:
-        return rows.join(per_key.drop(weight), keys)
-    hot = F.broadcast(per_key.where(F.col(weight) > limit).drop(weight))
-    cold = per_key.where(F.col(weight) <= limit).drop(weight)
-    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+        return rows.join(per_key, keys, how)
+    hot_keys = F.broadcast(rows.groupBy(*keys).count().where(F.col("count") > limit).select(*keys))
+    hot = F.broadcast(per_key.join(hot_keys, keys, "left_semi"))
+    joined_hot = rows.join(hot_keys, keys, "left_semi").join(hot, keys, how)
+    return joined_hot.unionByName(rows.join(hot_keys, keys, "left_anti").join(per_key, keys, how))
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
