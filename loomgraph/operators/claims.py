@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph import durable
 from loomgraph.functions.dates import parse_iso
 from loomgraph.functions.text import context_window, fit, is_blank, or_else
 from loomgraph.functions.urls import canonical_url
 from loomgraph.operators.jobs import oldest
-from loomgraph.operators.skew import top_per_key
+from loomgraph.operators.skew import lookup, top_per_key
 from loomgraph.schemas import (
     ANNOTATIONS,
     CHECKABLE_CLAIM_TYPE,
@@ -115,7 +116,7 @@ def claims_to_verify(claims: DataFrame, n: int = VERIFY_BATCH) -> DataFrame:
 def with_context(claims: DataFrame, documents: DataFrame) -> DataFrame:
     """Claims with the stretch of document text around their quote."""
     texts = documents.select("document_id", "full_text")
-    return claims.join(texts, "document_id", "left").withColumn(
+    return lookup(claims, texts, ["document_id"]).withColumn(
         "context", context_window(F.col("full_text"), F.col("quote"))
     ).drop("full_text")
 
@@ -192,8 +193,11 @@ def reportable(documents: DataFrame, claims: DataFrame, n: int = REPORT_BATCH) -
 
     The batch is cut before the check, so blocked documents use up their places."""
     due = documents.where(F.col("extracted_at").isNotNull() & F.col("reported_at").isNull())
-    batch = oldest(due, ["extracted_at", "document_id"], n)
-    return batch.join(claims.where(pending()).select("document_id").distinct(), "document_id", "left_anti")
+    batch = durable.cut(oldest(due, ["extracted_at", "document_id"], n))
+    # The batch has at most n rows: broadcast, so that the claims are scanned but not shuffled.
+    asked = F.broadcast(batch.select("document_id"))
+    waiting = claims.where(pending()).join(asked, "document_id", "left_semi").select("document_id").distinct()
+    return batch.join(waiting, "document_id", "left_anti")
 
 
 def tally(claims: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.dates import parse_iso
 from loomgraph.functions.text import or_else
 from loomgraph.operators.search import search, search_newest
-from loomgraph.operators.skew import bounded_list, top_per_key
+from loomgraph.operators.skew import bounded_list, lookup, top_per_key
 from loomgraph.schemas import GRAPH_VIEW_LIMIT, READ_LIMIT_DEFAULT, READ_LIMIT_MAX
 
 NODE = ["id", "type", "name", "summary", "article", "created_at", "updated_at"]
@@ -69,9 +69,8 @@ def nodes_search(
 
 def node_lookup(requests: DataFrame, entities: DataFrame) -> DataFrame:
     """The requested node, or nulls for an unknown id or another tenant's node."""
-    return requests.join(entities.withColumn("found", F.lit(True)), ["kb_id", "id"], "left").withColumn(
-        "found", F.coalesce("found", F.lit(False))
-    )
+    found = lookup(requests, entities.withColumn("found", F.lit(True)), ["kb_id", "id"])
+    return found.withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def edges(related: DataFrame, entities: DataFrame, requests: DataFrame | None = None, type_: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import or_else, sanitize, sanitize_json
-from loomgraph.operators.skew import top_per_key
+from loomgraph.operators.skew import lookup, top_per_key
 from loomgraph.schemas import JOB_BATCH, JOB_MAX_ATTEMPTS
 
 
@@ -28,7 +28,7 @@ def new_jobs(submissions: DataFrame) -> DataFrame:
 
 def job_status(requests: DataFrame, jobs: DataFrame) -> DataFrame:
     """Status of requested jobs; null for an unknown job or another tenant's."""
-    return requests.join(jobs.select("kb_id", "job_id", "status", "relevance_reason", "error"), ["kb_id", "job_id"], "left")
+    return lookup(requests, jobs.select("kb_id", "job_id", "status", "relevance_reason", "error"), ["kb_id", "job_id"])
 
 
 def oldest(rows: DataFrame, order: list[str], n: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import is_blank, or_else
 from loomgraph.operators.jobs import oldest
-from loomgraph.operators.skew import top_per_key
+from loomgraph.operators.skew import lookup, top_per_key
 from loomgraph.schemas import (
     DEFAULT_LOOKBACK_HOURS,
     POLL_ITEM_LIMIT,
@@ -144,10 +144,13 @@ def outstanding_items(items: DataFrame, n: int = STATUS_BATCH) -> DataFrame:
 def record_statuses(items: DataFrame, statuses: DataFrame) -> DataFrame:
     """Outstanding items with the status their job reports (``job_id, status``); an empty or missing
     report changes nothing. ``resolved`` marks the ones that reached an end."""
+    return with_statuses(lookup(items, statuses, ["job_id"]))
+
+
+def with_statuses(joined: DataFrame) -> DataFrame:
     reported = or_else(F.col("status"))
     return (
-        items.join(statuses, "job_id", "left")
-        .withColumn("resolved", F.coalesce(reported.isin(*TERMINAL_JOB_STATUSES), F.lit(False)))
+        joined.withColumn("resolved", F.coalesce(reported.isin(*TERMINAL_JOB_STATUSES), F.lit(False)))
         .withColumn("job_status", F.coalesce(reported, "job_status"))
         .drop("status")
     )

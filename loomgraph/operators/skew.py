@@ -31,6 +31,16 @@ def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], total: int, how
     return joined_hot.unionByName(rows.join(hot_keys, keys, "left_anti").join(per_key, keys, how))
 
 
+def lookup(requests: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of ``requests`` with ``table``, moving only the table rows that are asked for.
+
+    A left join cannot broadcast its left side, so few requests would still shuffle the whole
+    table. The semi-join goes first: broadcast by its size for few requests, and for many
+    it leaves the table partitioned as the join needs it."""
+    asked = requests.select(*keys).distinct()
+    return requests.join(table.join(asked, keys, "left_semi"), keys, "left")
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each key. Spark prunes each key to ``k`` rows per task
     before the shuffle, so a hot key costs ``k`` rows per map task."""

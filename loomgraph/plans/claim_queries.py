@@ -343,3 +343,18 @@ def claim_report(t: Tables) -> DataFrame:
 def claim_extraction_prompts(t: Tables) -> DataFrame:
     built = prompts.claim_extraction(F.col("title"), F.col("text"))
     return _documents(t).select("document_id", F.md5(built["user"]).alias("user"))
+
+
+@query(
+    f"""WITH {CLAIMS},
+placed AS (SELECT document_id, pos, c.text AS claim, d.text, strpos(d.text, c.text) AS place FROM claims c JOIN documents d ON d.doc_id = document_id)
+SELECT document_id, pos, md5(concat('CLAIM: ', claim, chr(10), 'ATTRIBUTED TO: ', CASE WHEN pos % 3 = 0 THEN 'Ann' ELSE 'the article' END, chr(10), chr(10), 'SURROUNDING CONTEXT (not evidence):', chr(10),
+  substring(text, greatest(place - 1001, 0)::INTEGER + 1, (place + 999 - greatest(place - 1001, 0))::INTEGER))) AS user FROM placed"""
+)
+def research_prompts(t: Tables) -> DataFrame:
+    """What the research calls read about each claim."""
+    speaker = F.when(F.col("pos") % 3 == 0, "Ann")
+    asked = _claims(t).select("document_id", "pos", "text", F.col("text").alias("quote"), speaker.alias("attributed_to"))
+    documents = t.documents().select(F.col("doc_id").alias("document_id"), F.col("text").alias("full_text"))
+    built = prompts.research(F.col("text"), F.col("attributed_to"), F.col("context"), opposing=False)
+    return claims.with_context(asked, documents).select("document_id", "pos", F.md5(built["user"]).alias("user"))

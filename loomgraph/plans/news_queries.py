@@ -430,3 +430,18 @@ def relevance_prompts(t: Tables) -> DataFrame:
     asked = prompts.relevance(F.concat(F.lit("interest "), "kb_id"), F.col("content"))
     built = t.jobs().select("job_id", asked["system"].alias("system"), asked["user"].alias("user"))
     return built.select("job_id", F.md5("user").alias("user"), F.substring_index("system", "\n\n", 1).alias("opening"))
+
+
+@query(
+    f"""WITH {_POLLED},
+fresh AS (SELECT DISTINCT source_id, dedup_key FROM polled p WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.source_id = p.source_id AND s.dedup_key = p.dedup_key))
+SELECT (SELECT count(DISTINCT l_partkey % 97) FROM one_line) AS sources, (SELECT count(*) FROM fresh) AS inserted"""
+)
+def poll_counters(t: Tables) -> DataFrame:
+    """Sources polled and items inserted by the sweep."""
+    items = _polled(t)
+    lines = _one_per_position(t).where("l_linenumber = 1 AND l_returnflag = 'R'")
+    stored = lines.select((F.col("l_partkey") % 97).alias("source_id"), (F.col("l_partkey") % 1000).alias("dedup_key")).distinct()
+    seen = items.select("source_id").distinct().select(F.lit(True).alias("polled"))
+    fresh = news.absent_items(stored, news.polled_items(items)).select(F.lit(False).alias("polled"))
+    return news.counters(seen.unionByName(fresh), sources=F.col("polled"), inserted=~F.col("polled"))

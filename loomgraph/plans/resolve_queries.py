@@ -441,3 +441,37 @@ def job_config(t: Tables) -> DataFrame:
     return vocabulary.with_config(t.jobs(), configs).select(
         "job_id", "kb_id", "interests", F.col("discover_types").alias("discover"), F.size("entity_types").cast("bigint").alias("n_types")
     )
+
+
+@query(
+    f"""SELECT doc_id AS job_id, concat(CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('The user cares about: topic ', doc_id, chr(10), chr(10)) END, '{prompts.EXTRACT_GUIDE.replace("'", "''")}', chr(10),
+  CASE WHEN doc_id % 2 = 0 THEN '{prompts.DISCOVER_RULE}' ELSE '{prompts.GUIDED_RULE}' END, chr(10), chr(10), 'Entity types:', chr(10), '- Person: of ', lang, chr(10), '- Place', chr(10), 'Relationship types:', chr(10), '- Knows') AS system,
+  md5(text) AS user FROM documents"""
+)
+def extraction_prompts(t: Tables) -> DataFrame:
+    """Per document, with and without interests, discovering or not."""
+    doc = F.col("doc_id")
+    kinds = F.array(
+        F.struct(F.lit("Person").alias("name"), F.concat(F.lit("of "), "lang").alias("description")),
+        F.struct(F.lit("Place").alias("name"), F.lit(" ").alias("description")),
+    )
+    relations = F.array(F.struct(F.lit("Knows").alias("name"), F.lit(None).cast("string").alias("description")))
+    interests = F.when(doc % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit("topic "), doc))
+    built = prompts.extraction(kinds, relations, F.col("text"), interests, doc % 2 == 0)
+    return t.documents().select(doc.alias("job_id"), built["system"].alias("system"), F.md5(built["user"]).alias("user"))
+
+
+@query(
+    f"""WITH {_TYPED},
+shown AS (
+  SELECT t.kb_id, t.job_id, t.type, arg_min(t.name, t.pos) AS example FROM typed t JOIN novel n ON n.kb_id = t.kb_id AND n.job_id = t.job_id AND n.key = t.key GROUP BY 1, 2, 3)
+SELECT kb_id, job_id, concat('Candidates:', chr(10), string_agg(concat('- ', type, ' (e.g. "', example, '")'), chr(10) ORDER BY type)) AS user FROM shown GROUP BY 1, 2"""
+)
+def consolidation_prompts(t: Tables) -> DataFrame:
+    """Per document, its novel types with their examples."""
+    mentions = _typed_mentions(t)
+    novel = vocabulary.unmatched(mentions, _word_types(t))
+    listed = novel.join(vocabulary.type_examples(mentions, F.col("name")), ["kb_id", "job_id", "type"])
+    known = vocabulary.to_type_defs(F.array(F.lit("Person")))
+    batch = t.jobs().select("kb_id", "job_id", F.lit("words").alias("interests"), known.alias("entity_types"))
+    return prompts.consolidation("entity", listed, batch, "entity_types").select("kb_id", "job_id", "user")

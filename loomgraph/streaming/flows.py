@@ -100,7 +100,7 @@ def daily_sources(sources: DataFrame, late: str = "1 day") -> DataFrame:
 
 def live_status(items: DataFrame, jobs: DataFrame) -> DataFrame:
     """Arriving items with the status of their job, from the current job table."""
-    return news.record_statuses(items, jobs.select("job_id", "status"))
+    return news.with_statuses(items.join(jobs.select("job_id", "status"), "job_id", "left"))
 
 
 def sources_of_window(sources: DataFrame, since, until=None, half_open: bool = False) -> DataFrame:
