@@ -37,6 +37,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def cut_counted(df: DataFrame, **flags: Column) -> tuple[DataFrame, dict[str, int]]:
     """``cut`` that also counts the rows (``n``) and the rows matching each flag, in the
     same pass as the write."""

@@ -2,15 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from loomgraph import durable
 from loomgraph.session import prepare
 
 
+_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def stored(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """Derive a view once per application: write it to the shared folder, then read it from there.
+
+    Graph tables are tables, not expressions; every query that joins them several times would
+    otherwise derive them several times from the raw data."""
+
+    def view(self: Tables) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder, build.__name__)
+        known = _STORED.get(key)
+        if known is None or not durable.exists(self.spark, known[0]):
+            written = durable.cut(build(self))
+            _STORED[key] = known = (written.inputFiles()[0].rsplit("/", 1)[0], written.schema)
+        return self.spark.read.schema(known[1]).parquet(known[0])
+
+    return view
+
+
 class Tables:
-    """Lazy views over one folder of parquet tables. Nothing is read until used, and
-    Catalyst prunes each view to the columns its query needs."""
+    """Views over one folder of parquet tables. Catalyst prunes each to the columns a query needs."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = prepare(spark)
@@ -59,6 +82,7 @@ class Tables:
     def supplier_id(self) -> F.Column:
         return F.concat("kb_id", F.lit("/S/"), "l_suppkey")
 
+    @stored
     def mentions(self) -> DataFrame:
         return (
             self._lines()
@@ -66,6 +90,7 @@ class Tables:
             .distinct()
         )
 
+    @stored
     def entities(self) -> DataFrame:
         # Aggregated on the keys alone; the descriptive columns join afterwards.
         lines = self._lines()
@@ -94,6 +119,7 @@ class Tables:
         )
         return parts.unionByName(suppliers)
 
+    @stored
     def related(self) -> DataFrame:
         kind = F.when(F.col("l_returnflag") == "R", "Took back").otherwise("Supplies")
         return (
