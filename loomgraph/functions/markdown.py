@@ -56,6 +56,11 @@ def report_slug(title: Column, url: Column) -> Column:
     return F.coalesce(F.nullif(cut, F.lit("")), F.lit("document"))
 
 
+def report_name(title: Column, url: Column, generated_at: Column) -> Column:
+    """File stem of a report."""
+    return F.concat_ws("-", report_slug(title, url), F.date_format(generated_at, REPORT_STAMP))
+
+
 def unchecked_reason(selected: Column, claim_type: Column, score: Column, error: Column) -> Column:
     """Why a claim carries no verdict."""
     failed = F.concat(F.lit("could not be checked: "), F.coalesce(or_else(error), F.lit("unknown error")))

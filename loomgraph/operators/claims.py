@@ -144,7 +144,7 @@ def ground(evidence: DataFrame, calls: DataFrame) -> DataFrame:
     gives nothing to check against and keeps all its evidence."""
     key = ["claim_id", "call"]
     asked = calls.select(*key, "had_annotations", F.transform("citation_urls", canonical_url).alias("_cited"))
-    checked = evidence.withColumn("canonical_url", canonical_url(F.col("url"))).join(asked, key)
+    checked = evidence.join(asked, key).withColumn("canonical_url", canonical_url(F.col("url")))
     return checked.where(~F.col("had_annotations") | F.array_contains("_cited", F.col("canonical_url"))).drop(
         "had_annotations", "_cited"
     )

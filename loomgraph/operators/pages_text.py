@@ -41,7 +41,8 @@ def _descending(score: Column) -> Column:
 def report_lines(documents: DataFrame, claims: DataFrame, evidence: DataFrame, generated_at: Column) -> DataFrame:
     """``document_id, section, major, minor, sub, step, line`` of each document's report.
 
-    Claims go by checkworthiness, then id; evidence by creation, then id."""
+    Claims go by checkworthiness, then id; the evidence of a claim by its ``evidence_order``, a text
+    that sorts like creation time and id."""
     none = F.lit("")
     n, checked = F.coalesce("claim_count", F.lit(0)), F.coalesce("verified_count", F.lit(0))
     counts = F.concat(

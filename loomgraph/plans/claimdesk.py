@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import durable
-from loomgraph.operators import claims, infer, prompts
+from loomgraph.functions import markdown as md
+from loomgraph.operators import claims, infer, pages_text, prompts
 from loomgraph.operators.infer import Provider
-from loomgraph.schemas import CLAIM_EXTRACTION, ERROR_MAX_CHARS, JUDGMENT, RESEARCH, VERDICTS
+from loomgraph.schemas import CLAIM_EXTRACTION, ERROR_MAX_CHARS, JUDGMENT, REPORT_BATCH, RESEARCH, VERDICTS
+from loomgraph.sources import sinks
 
 
 def extract(
@@ -100,3 +102,32 @@ def verify(
     outcomes = judged.unionByName(broken, allowMissingColumns=True)
     accepted = judged.where(F.col("message").isNull() & F.col("new_verdict").isin(*VERDICTS)).select("claim_id")
     return pooled.join(accepted, "claim_id", "left_semi"), outcomes
+
+
+def report(
+    documents: DataFrame, checked: DataFrame, evidence: DataFrame, generated_at: Column, path: str, n: int = REPORT_BATCH
+) -> tuple[DataFrame, DataFrame]:
+    """(reports, documents after the sweep): writes the Markdown of up to ``n`` finished documents below ``path``.
+
+    The files are written here; store the reports and then the stamped documents, so that a
+    crash in between repeats the report instead of losing it."""
+    due = durable.cut(claims.reportable(documents, checked, n))
+    # The batch has at most n documents, so its ids may be broadcast.
+    ids = F.broadcast(due.select("document_id"))
+    inside = durable.cut(checked.join(ids, "document_id", "left_semi"))
+    place = F.concat(F.lpad(F.col("call").cast("string"), 3, "0"), F.lpad(F.col("pos").cast("string"), 9, "0"))
+    backed = evidence.join(inside.select("claim_id"), "claim_id", "left_semi").withColumn("evidence_order", place)
+    lines = durable.cut(pages_text.report_lines(due, inside, backed, generated_at))
+    named = due.select("document_id", md.report_name(F.col("title"), F.col("canonical_url"), generated_at).alias("slug"))
+    sinks.write_markdown(lines, named, "document_id", path)
+    sums = claims.tally(inside).select("document_id", "claim_count", "verified_count")
+    reports = (
+        named.join(sums, "document_id", "left")
+        .na.fill(0, ["claim_count", "verified_count"])
+        .join(pages_text.bodies(lines, "document_id"), "document_id")
+        .withColumn("generated_at", generated_at)
+    )
+    stamped = documents.join(ids.withColumn("_due", F.lit(True)), "document_id", "left").withColumn(
+        "reported_at", F.when(F.col("_due"), generated_at).otherwise(F.col("reported_at"))
+    )
+    return reports, stamped.drop("_due")

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import durable
+from loomgraph.functions import markdown as md
 from loomgraph.operators import clustering, graph_read, infer, news, pages_text, prompts
 from loomgraph.operators.infer import Provider
 from loomgraph.schemas import CLUSTER_MAX_SOURCES, READ_LIMIT_MAX, STORY
+from loomgraph.sources import sinks
 
 WATERMARK = "draft_issue"
 
@@ -85,3 +87,11 @@ def draft_issue(
     full = limit is not None and window.count() >= graph_read.clamp(limit)
     report = {"clusters": tally["clusters"], "stories": tally["stories"], "since": since, "truncated": full}
     return Draft(issues, lines, news.advance_watermark(watermarks, WATERMARK, run_start), report)
+
+
+def publish(draft: Draft, path: str) -> DataFrame:
+    """Write the issue's Markdown below ``path`` and return its row with body; store that, then the
+    draft's watermarks."""
+    names = draft.issue.select("issue_id", md.issue_slug(F.col("generated_at")).alias("slug"))
+    sinks.write_markdown(draft.lines, names, "issue_id", path)
+    return draft.issue.join(pages_text.bodies(draft.lines, "issue_id"), "issue_id")

@@ -180,6 +180,14 @@ def test_newsroom_run(spark):
     assert draft.watermarks.first()["ran_at"] == datetime(2024, 1, 5)
 
 
+def test_issue_is_published_as_markdown(spark, tmp_path):
+    s, m, e = graph(spark, 1)
+    draft = newsroom.draft_issue("kb", s, m, e, marks(spark, at(1)), datetime(2024, 1, 5, 7, 30), writer(), beat="For {{ issue.date }}")
+    row = newsroom.publish(draft, str(tmp_path / "out")).first()
+    written = "".join(p.read_text() for p in sorted((tmp_path / "out" / "slug=2024-01-05-0730").glob("part-*")))
+    assert row["story_count"] == 1 and written == row["body"]
+
+
 def test_failed_stories_are_dropped_and_total_failure_stops(spark):
     s, m, e = graph(spark)
     draft = newsroom.draft_issue("kb", s, m, e, marks(spark, at(1)), datetime(2024, 1, 5), writer(lambda p: "N2" in p))
