@@ -359,7 +359,7 @@ def type_echo_match(t: Tables) -> DataFrame:
 last AS (SELECT kb_id, 0 AS last FROM types GROUP BY 1),
 added AS (SELECT kb_id, key, min(job_id * 1000 + mint_pos) AS add_pos, arg_min(name, job_id * 1000 + mint_pos) AS name FROM minted GROUP BY 1, 2)
 SELECT kb_id, 0::BIGINT AS ord, name, banned FROM types
-UNION ALL SELECT kb_id, 1 + add_pos, name, false FROM added"""
+UNION ALL SELECT a.kb_id, coalesce(last, -1) + 1 + add_pos, name, false FROM added a LEFT JOIN last l ON l.kb_id = a.kb_id"""
 )
 def vocab_append(t: Tables) -> DataFrame:
     _, types, _, minted = _scripted(t)
