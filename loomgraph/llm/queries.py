@@ -6,25 +6,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.llm import secret_scan
+from loomgraph.llm.decontaminate import contamination
 from loomgraph.llm.frames import table
 from loomgraph.llm.near_dedup import near_duplicates
+from loomgraph.llm.packing import pack
 from loomgraph.llm.substring_dedup import strip_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def public_vocabulary() -> dict[str, str]:
+    """Places of the byte-level vocabulary, as tokenizer file and as ranks."""
+    from public_tokenizers import path
+
+    return {"vocabulary": path("byte_bpe_50k.json"), "ranks": path("byte_bpe_50k.tiktoken")}
+
+
 def _registered(build):
     QUERIES[build.__name__] = build
     return build
 
 
+@_registered
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of each document."""
+    return secret_scan.report(table(spark, folder, "documents"))
+
+
+@_registered
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as token sequences of at most 2048 ids."""
+    return pack(table(spark, folder, "documents"), **public_vocabulary())
+
+
 @_registered
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words left of each document when every repeated window of 35 words is taken out."""
     return strip_repeats(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@_registered
+def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Test items that a document holds, with the edits it takes."""
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @_registered
 def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate group of each document, and whether it is the one to keep."""
