@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from loomgraph.llm import secret_scan
 from loomgraph.llm.decontaminate import contamination
 from loomgraph.llm.frames import table
+from loomgraph.llm.language_id import held_out_languages
 from loomgraph.llm.near_dedup import near_duplicates
 from loomgraph.llm.packing import pack
+from loomgraph.llm.quality_pu import held_out_scores
 from loomgraph.llm.substring_dedup import strip_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +37,12 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.report(table(spark, folder, "documents"))
 
 
+@_registered
+def op2_language_ecoc(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of each document, learned from three of four folds."""
+    return held_out_languages(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score", "runner_up", "ambiguous")
+
+
 @_registered
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as token sequences of at most 2048 ids."""
@@ -47,6 +55,13 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return strip_repeats(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@_registered
+def op7_quality_pu(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of each document, learned from two of three folds."""
+    found = held_out_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 @_registered
 def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Test items that a document holds, with the edits it takes."""
