@@ -22,24 +22,57 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
         raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder all executors share")
     path = tempfile.mkdtemp(prefix="loomgraph-")
     spark.conf.set(_CHECKPOINT_KEY, path)
     return path
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's folder of intermediates; the driver deletes it when it ends."""
+    folder = f"{shared_dir(spark)}/loomgraph-{spark.sparkContext.applicationId}"
+    path, system = _located(spark, folder)
+    if not system.exists(path):
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return a reader of the written table."""
+    """Write ``df`` to the run's folder and return a reader of the written table."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def _located(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, folder: str) -> tuple[tuple[str, int, int], ...]:
+    """Path, length and modification time of every file below ``folder``: what changes when its tables do."""
+    path, system = _located(spark, folder)
+    files, found = system.listFiles(path, True), []
+    while files.hasNext():
+        status = files.next()
+        found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, if it is there."""
+    path, system = _located(spark, folder)
+    system.delete(path, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    target, system = _located(spark, path)
+    return system.exists(target)
 
 
 def cut_counted(df: DataFrame, **flags: Column) -> tuple[DataFrame, dict[str, int]]:
@@ -52,13 +85,10 @@ def cut_counted(df: DataFrame, **flags: Column) -> tuple[DataFrame, dict[str, in
 
 
 def drop(df: DataFrame) -> None:
-    """Delete a table made by ``cut`` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/cut-" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete a table made by ``cut`` once nothing reads it any more; other tables are left alone."""
+    path = df.__dict__.get("_stored_at")
+    if path:
+        delete(df.sparkSession, path)
 
 
 def publish(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> str:

@@ -6,28 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from loomgraph import durable
 from loomgraph.session import prepare
 
 
-_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+_STORED: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
 
 
 def stored(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-    """Derive a view once per application: write it to the shared folder, then read it from there.
+    """Derive a view once per application and state of its folder: write it to the run's folder, then read it from there.
 
-    Graph tables are tables, not expressions; every query that joins them several times would
-    otherwise derive them several times from the raw data."""
+    Graph tables are tables, not expressions; every query that joins them several times would otherwise derive them
+    several times from the raw data. A file added to or replaced in the folder makes the stored view stale."""
 
     def view(self: Tables) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.folder, build.__name__)
+        state = durable.versions(self.spark, self.folder)
         known = _STORED.get(key)
-        if known is None or not durable.exists(self.spark, known[0]):
-            written = durable.cut(build(self))
-            _STORED[key] = known = (written.inputFiles()[0].rsplit("/", 1)[0], written.schema)
-        return self.spark.read.schema(known[1]).parquet(known[0])
+        if known is None or known[0] != state or not durable.exists(self.spark, known[1]._stored_at):
+            _STORED[key] = known = (state, durable.cut(build(self)))
+        return self.spark.read.schema(known[1].schema).parquet(known[1]._stored_at)
 
     return view
 
