@@ -8,15 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import secret_scan
 from loomgraph.llm.decontaminate import contamination
+from loomgraph.llm.divergence import judge
 from loomgraph.llm.frames import table
 from loomgraph.llm.language_id import held_out_languages
 from loomgraph.llm.near_dedup import near_duplicates
 from loomgraph.llm.packing import pack
 from loomgraph.llm.quality_pu import held_out_scores
+from loomgraph.llm.sql import WARC, divergence_sql
 from loomgraph.llm.substring_dedup import strip_repeats
+from loomgraph.llm.warc import round_trip
+
+# Shards of 16 MB of pages, files of 8 MB: the given tables are small.
+ARCHIVES = {"shard_bytes": 16 << 20, "roll_bytes": 8 << 20}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_divergence_rules": divergence_sql(), "op10_warc_round_trip": WARC}
 
 
 def public_vocabulary() -> dict[str, str]:
@@ -43,6 +49,13 @@ def op2_language_ecoc(spark: SparkSession, folder: str) -> DataFrame:
     return held_out_languages(table(spark, folder, "documents")).select("doc_id", "held_out", "lang_pred", "score", "runner_up", "ambiguous")
 
 
+@_registered
+def op3_divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality counts of each document and whether the rules keep it."""
+    found = judge(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @_registered
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as token sequences of at most 2048 ids."""
@@ -74,6 +87,13 @@ def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+@_registered
+def op10_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The record of each page, written to archives and read back."""
+    records = round_trip(table(spark, folder, "pages").select("page_id", "url", "html"), **ARCHIVES)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
