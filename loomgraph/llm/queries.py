@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import secret_scan
+from loomgraph.llm import licenses, secret_scan
 from loomgraph.llm.decontaminate import contamination
 from loomgraph.llm.divergence import judge
 from loomgraph.llm.frames import table
@@ -62,6 +62,12 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), **public_vocabulary())
 
 
+@_registered
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License of each document as a file of a tree, its own or its directory's."""
+    return licenses.scan(licenses.as_files(table(spark, folder, "documents")))
+
+
 @_registered
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words left of each document when every repeated window of 35 words is taken out."""

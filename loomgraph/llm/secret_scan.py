@@ -185,5 +185,9 @@ def report(docs: DataFrame) -> DataFrame:
 
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"].isin("assign", "access", "hex"))
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+
+    def count(kind):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
     return scan(docs).select("doc_id", *counts, F.sha2(text_of(base), 256).alias("base_sha256"), text_of(spans).alias("spans"))
