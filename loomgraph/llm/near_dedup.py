@@ -5,11 +5,14 @@ NIPS 2012); empty bins copy a bin chosen by a random walk of their own, which ke
 collision probability at the Jaccard similarity (Shrivastava, "Optimal Densification", ICML 2017).
 128 bins make 32 bands of 4: two sets at similarity 0.75 share no band with probability 5e-6.
 
-Documents with equal shingle sets are one node from the start. Candidate edges are stars:
-in each round a node is compared with one centre of its buckets only, so a bucket of ``n`` nodes gives
-at most ``n - 1`` edges. Nodes that are connected by confirmed links need no further comparison, so
-what is left after the star rounds are the pairs of one bucket in different components; these
-are all compared unless their signatures differ so far that a similarity of 0.75 is out of question.
+Documents with equal shingle sets are one node from the start. Candidate edges are stars: a node is compared
+with one centre of its buckets only, so a bucket of ``n`` nodes gives at most ``n - 1`` edges. Nodes connected
+by confirmed links need no further comparison, so what is left are pairs of one bucket in different components.
+Two exact bounds settle nearly all of them. In the order of their frequency among the nodes left, two similar
+sets share one of their first ``n - ceil(0.75 n) + 1`` shingles (prefix filter, Chaudhuri et al., ICDE 2006).
+If the first shared one is rare, its short posting list gives the pair. If not, they share frequent
+shingles only, and with ``c`` of those a pair reaches at most ``min(c, c') / (n + n' - min(c, c'))``; this is
+asked per bucket and set size first, so nodes that can reach nobody meet nobody. What passes is compared in full.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph import durable
@@ -28,10 +31,10 @@ from loomgraph.operators.clustering import connected_components
 SHINGLE = 5
 BINS = 128
 BAND = 4
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
 PERCENT = 75
-# Signatures keep one byte of each bin. At similarity 0.75, fewer than 64 of 128 agree with probability 1e-10.
-LEAST_AGREEING = 64
+# A shingle of at most so many open nodes is rare: its nodes may be paired with each other.
+RARE = 64
 
 _WALKS = np.stack([np.random.Generator(np.random.PCG64(i)).permutation(BINS) for i in range(BINS)])
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
@@ -78,16 +81,15 @@ def _sketch(rows: Iterator[tuple], k: int) -> Iterator[tuple]:
     for doc_id, text in rows:
         found = shingle_set(text, k)
         if len(found):
-            sig = signature(found)
-            yield doc_id, len(found), *_identity(found), W.signed(bands(sig)), (W.mix(sig) >> np.uint64(56)).astype(np.uint8).tobytes()
+            yield doc_id, len(found), *_identity(found), W.signed(bands(signature(found)))
         else:
-            yield doc_id, 0, None, None, None, None
+            yield doc_id, 0, None, None, None
 
 
 def sketches(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """``doc_id, n_shingles, s1, s2, buckets, sig`` of each row; (s1, s2) names the shingle set."""
+    """``doc_id, n_shingles, s1, s2, buckets`` of each row; (s1, s2) names the shingle set."""
     return map_rows(
-        docs.select("doc_id", "text"), lambda rows: _sketch(rows, k), "doc_id long, n_shingles long, s1 long, s2 long, buckets array<long>, sig binary"
+        docs.select("doc_id", "text"), lambda rows: _sketch(rows, k), "doc_id long, n_shingles long, s1 long, s2 long, buckets array<long>"
     )
 
 
@@ -136,8 +138,10 @@ def _open_members(members: DataFrame, comps: DataFrame | None) -> DataFrame:
 
 
 def _star(members: DataFrame, tested: DataFrame | None, turn: int) -> DataFrame:
-    """For each node the one centre it shares most buckets with; the centre differs by bucket and by round."""
-    draw = F.struct(F.xxhash64("bucket", "node", F.lit(turn)), "node", "comp")
+    """For each node the one centre it shares most buckets with. At first a bucket's centre is the node that shares
+    buckets with the most others, later one drawn at random by bucket and turn."""
+    rank = -F.col("weight") if turn == 0 else F.xxhash64("bucket", "node", F.lit(turn))
+    draw = F.struct(rank, "node", "comp")
     centre = members.groupBy("bucket").agg(F.min(draw).alias("c")).select("bucket", F.col("c.node").alias("b"), F.col("c.comp").alias("centre_comp"))
     edges = members.join(centre, "bucket").where("comp <> centre_comp").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
     if tested is not None:
@@ -145,22 +149,46 @@ def _star(members: DataFrame, tested: DataFrame | None, turn: int) -> DataFrame:
     return edges.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
 
 
-def _agreeing(rows: Iterator[tuple], least: int) -> Iterator[tuple]:
-    for a, b, one, other in rows:
-        if int((np.frombuffer(one, np.uint8) == np.frombuffer(other, np.uint8)).sum()) >= least:
-            yield a, b
-
+def _shingle_rows(rows: Iterator[tuple], k: int) -> Iterator[list]:
+    for node, text in rows:
+        found = shingle_set(text, k)
+        yield [np.full(len(found), node), W.signed(found)]
+
+
+def _rest(members: DataFrame, texts: DataFrame, tested: DataFrame, k: int, percent: int, rare: int = RARE) -> DataFrame:
+    """The pairs in different components that no star has compared and that the bounds let through."""
+    sizes = durable.cut(members.select("node", "comp", "n").distinct())
+    asked = texts.join(sizes.select("node"), "node", "left_semi").select("node", "text")
+    shingles = durable.cut(map_arrays(asked, lambda rows: _shingle_rows(rows, k), "node long, shingle long"))
+    few = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") <= rare)
+    # Rare shingles come first in the order, so their rank among themselves is their rank among all.
+    order = Window.partitionBy("node").orderBy("times", "shingle")
+    ranked = durable.cut(shingles.join(few, "shingle").withColumn("rank", F.row_number().over(order)))
+
+    counts = ranked.groupBy("node").agg(F.count(F.lit(1)).alias("few"))
+    common = sizes.join(counts, "node", "left").withColumn("c", F.col("n") - F.coalesce("few", F.lit(0)))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    early = ranked.where("times > 1").join(sizes, "node").where(F.col("rank") <= prefix).select("shingle", "node", "comp", "n")
+    one, other = (early.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "comp", "n"))) for x in "ab")
+    near = (F.col("comp_a") != F.col("comp_b")) & (F.col("node_a") < F.col("node_b"))
+    near &= 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    by_rare = one.join(other, "shingle").where(near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+    def within(c, other_c, n, other_n):
+        return (100 + percent) * F.least(F.col(c), F.col(other_c)) >= percent * (F.col(n) + F.col(other_n))
+
+    able = common.where(F.col("c") * 100 >= F.col("n") * percent).select("node", "c")
+    nodes = durable.cut(members.join(able, "node").select("bucket", "node", "comp", "n", "c"))
+    groups = nodes.groupBy("bucket", F.col("n").alias("n_b")).agg(F.max("c").alias("c_b"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    elsewhere = (F.col("low") != F.col("comp")) | (F.col("high") != F.col("comp"))
+    reach = nodes.join(groups, "bucket").where(within("c", "c_b", "n", "n_b") & elsewhere)
+    reach = reach.select("bucket", "n_b", F.col("node").alias("a"), F.col("comp").alias("comp_a"), "n", "c")
+    partner = nodes.select("bucket", F.col("n").alias("n_b"), F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("c").alias("c_b"))
+    apart = (F.col("comp_a") != F.col("comp_b")) & (F.col("a") < F.col("b"))
+    by_frequent = reach.join(partner, ["bucket", "n_b"]).where(apart & within("c", "c_b", "n", "n_b")).select("a", "b")
 
-def _rest(members: DataFrame, nodes: DataFrame, tested: DataFrame, least: int) -> DataFrame:
-    """All pairs of one bucket in different components that no star has compared, if their signatures agree enough."""
-    one = members.select("bucket", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-    other = members.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    pairs = one.join(other, "bucket").where("comp_a <> comp_b and a < b").select("a", "b").distinct()
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = pairs.join(known, ["a", "b"], "left_anti")
-    sigs = nodes.select("node", "sig")
-    pairs = pairs.join(sigs.withColumnsRenamed({"node": "a", "sig": "one"}), "a").join(sigs.withColumnsRenamed({"node": "b", "sig": "other"}), "b")
-    return map_rows(pairs.select("a", "b", "one", "other"), lambda rows: _agreeing(rows, least), "a long, b long")
+    return by_rare.unionByName(by_frequent).distinct().join(known, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, rounds: int = STAR_ROUNDS) -> DataFrame:
@@ -177,9 +205,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
     # All rows of one set have the same buckets: those of the named row are enough.
     named = drawn.join(sets.withColumnRenamed("node", "doc_id"), ["s1", "s2", "doc_id"], "left_semi").dropDuplicates(["s1", "s2"])
     nodes = durable.cut(named.withColumnRenamed("doc_id", "node"))
-    buckets = nodes.select("node", F.explode("buckets").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = durable.cut(buckets.join(shared, "bucket", "left_semi"))
+    buckets = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    members = durable.cut(buckets.join(shared, "bucket"))
+    weights = members.groupBy("node").agg(F.sum("held").alias("weight"))
+    members = durable.cut(members.join(weights, "node").select("bucket", "node", "n", "weight"))
     asked = nodes.select("node", "s1", "s2").join(members.select("node").distinct(), "node", "left_semi")
     found = docs.select("doc_id", "text").join(asked, F.col("doc_id") == F.col("node")).select("node", "s1", "s2", "text")
     texts = durable.cut(map_rows(found, lambda rows: _own_text(rows, k), "node long, text string").dropDuplicates(["node"]))
@@ -194,9 +224,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
         links = new if links is None else links.unionByName(new)
         comps = _components(links)
     else:
-        # Fewer agreeing bytes are allowed for a lower threshold in proportion.
-        least = LEAST_AGREEING * percent // PERCENT
-        edges, counted = durable.cut_counted(_rest(_open_members(members, comps), nodes, tested, least))
+        edges, counted = durable.cut_counted(_rest(durable.cut(_open_members(members, comps)), texts, tested, k, percent))
         if counted["n"]:
             comps = _components(links.unionByName(confirm(edges, texts, k, percent)))
 
