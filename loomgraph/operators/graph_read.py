@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.dates import parse_iso
 from loomgraph.functions.text import or_else
 from loomgraph.operators.search import search, search_newest
-from loomgraph.operators.skew import bounded_list, lookup, top_per_key
+from loomgraph.operators.skew import gathered, lookup, top_per_key
 from loomgraph.schemas import GRAPH_VIEW_LIMIT, READ_LIMIT_DEFAULT, READ_LIMIT_MAX
 
 NODE = ["id", "type", "name", "summary", "article", "created_at", "updated_at"]
@@ -147,10 +147,10 @@ def sources_with_entities(recent: DataFrame, mentions: DataFrame, entities: Data
     return recent.join(named, ["kb_id", "job_id"], "left")
 
 
-def nest(rows: DataFrame, keys: list[str], order: list[Column], fields: list[str]) -> DataFrame:
-    """The API's nested shape: ``keys``, an ordered array of structs, and its length. An
-    array is null where it would pass the list bound; read the flat rows for those."""
-    return bounded_list(rows, keys, order, F.struct(*fields))
+def nest(rows: DataFrame, keys: list[str], order: list[str], fields: list[str]) -> DataFrame:
+    """The API's nested shape: ``keys``, an ordered array of structs, and its length. A source's
+    entities come out of one text, which bounds them; the flat rows are there for all else."""
+    return gathered(rows, keys, order, F.struct(*fields))
 
 
 def entity_page(

@@ -1,21 +1,20 @@
 """Issues and reports as ordered lines.
 
 A document is a set of rows ``keys, section, ..., line`` with ordering columns, so even
-one with very many claims is spread over tasks; ``bodies`` joins the lines of documents
-within the list bound into single strings, and leaves longer ones in numbered-by-order
-parts of one line each."""
+one with very many claims is spread over tasks; ``bodies`` joins them into numbered parts of
+a fixed number of lines, whatever the document's length."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph import durable
 from loomgraph.functions import markdown as md
 from loomgraph.functions.text import or_else
 from loomgraph.operators.claims import tally
-from loomgraph.operators.skew import MAX_LIST, bounded_list
+from loomgraph.operators.skew import gathered
 
+PART_LINES = 1000
 LINE_ORDER = ["section", "major", "minor", "sub", "step"]
 
 
@@ -100,36 +99,28 @@ def issue_lines(issues: DataFrame, stories: DataFrame, cited: DataFrame) -> Data
     )
 
 
-def bodies(lines: DataFrame, key: str, limit: int = MAX_LIST) -> DataFrame:
-    """``key, part, body``: one body per document of up to ``limit`` lines (``part`` ''), and for a longer
-    document one part per line, in the order of ``part``. Reading the parts in order gives
-    the whole text either way."""
-    lines = durable.cut(lines)
-    order = [F.col(c) for c in LINE_ORDER]
-    listed = bounded_list(lines, [key], order, F.col("line"), limit)
-    whole = listed.where(F.col("n") <= limit).select(
-        key, F.lit("").alias("part"), F.concat(F.array_join("items", "\n"), F.lit("\n")).alias("body")
-    )
-    place = F.concat_ws("|", *(F.col(c).cast("string") for c in LINE_ORDER[:-1]), F.lpad(F.col("step").cast("string"), 4, "0"))
-    sizes = lines.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    long = lines.join(sizes.where(F.col("n") > limit).select(key), key, "left_semi")
-    return whole.unionByName(long.select(key, place.alias("part"), F.concat("line", F.lit("\n")).alias("body")))
+def bodies(lines: DataFrame, key: str, part_lines: int = PART_LINES) -> DataFrame:
+    """``key, part, body``: each document's text in parts of ``part_lines`` lines, numbered from 0. Reading the
+    parts in order gives the whole text."""
+    order = Window.partitionBy(key).orderBy(*LINE_ORDER)
+    numbered = lines.withColumn("_n", F.row_number().over(order) - 1).withColumn("part", F.floor(F.col("_n") / part_lines).cast("int"))
+    parts = gathered(numbered, [key, "part"], ["_n"], F.col("line"))
+    return parts.select(key, "part", F.concat(F.array_join("items", "\n"), F.lit("\n")).alias("body"))
 
 
 def cluster_brief(stories: DataFrame, entities: DataFrame, cited: DataFrame) -> DataFrame:
     """``kb_id, cluster_id, brief``: the material for writing one story.
 
     ``entities`` has the cluster's entities with ``first_rank``; ``cited`` its kept sources, which
-    the cluster cap bounds. A cluster with more entities than a prompt can hold gets a
-    null brief, which the model step reports as a failed story."""
+    the cluster cap bounds, and with them the entities."""
     key = ["kb_id", "cluster_id"]
     block = F.concat(
         F.lit("### "), F.col("name"), F.lit(" ("), F.col("type"), F.lit(")\n"),
         F.coalesce(or_else(F.col("article"), F.col("summary")), F.lit("")),
     )
-    about = bounded_list(entities, key, [F.col("first_rank"), F.col("entity_id")], block).withColumnRenamed("n", "entity_count")
+    about = gathered(entities, key, ["first_rank", "entity_id"], block).withColumnRenamed("n", "entity_count")
     item = md.source_item(F.col("label"), md.source_day(F.col("published_at"), F.col("ingested_at")), " (%s)")
-    from_ = bounded_list(cited, key, [F.col("rank")], item).withColumnRenamed("items", "citations").drop("n")
+    from_ = gathered(cited, key, ["rank"], item).withColumnRenamed("items", "citations").drop("n")
     joined = stories.select(*key).distinct().join(about, key, "left").join(from_, key)
     blocks = F.when(F.col("entity_count").isNull(), F.lit("")).otherwise(F.array_join("items", "\n\n"))
     tail = F.concat(F.lit("\n\n### Sources\n"), F.array_join("citations", "\n"), F.lit("\n"))

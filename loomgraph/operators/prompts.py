@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import markdown as md
 from loomgraph.functions.text import is_blank, or_else
-from loomgraph.operators.skew import bounded_list
+from loomgraph.operators.skew import gathered
 
 EXTRACT_GUIDE = (
     "Extract concrete, named things and what holds between them. Describe each so that a stranger to the text "
@@ -77,7 +77,7 @@ def consolidation(kind: str, candidates: DataFrame, jobs: DataFrame, types_colum
     shown = F.concat(
         F.lit("- "), F.col("type"), F.coalesce(F.concat(F.lit(' (e.g. "'), F.col("example"), F.lit('")')), F.lit(""))
     )
-    listed = bounded_list(candidates, ["kb_id", "job_id"], [F.col("type")], shown)
+    listed = gathered(candidates, ["kb_id", "job_id"], ["type"], shown)
 
     def known(t: Column) -> Column:
         pinned = F.when(F.coalesce(t.pinned, F.lit(False)), " (pinned/authoritative)").otherwise("")
@@ -100,14 +100,14 @@ def resolution(offered: DataFrame) -> DataFrame:
         F.lit("    - id="), F.col("id"), F.lit(": "), F.col("candidate_name"), F.lit(" — "), F.coalesce("candidate_summary", F.lit(""))
     )
     mention = ["kb_id", "job_id", "pos", "name", "type", "description"]
-    blocks = bounded_list(offered, mention, [F.col("rank")], option).withColumn(
+    blocks = gathered(offered, mention, ["rank"], option).withColumn(
         "block",
         F.concat(
             F.lit("["), F.col("pos").cast("string"), F.lit("] "), F.col("name"), F.lit(" ("), F.col("type"), F.lit(") — "),
             F.coalesce("description", F.lit("")), F.lit("\n"), F.array_join("items", "\n"),
         ),
     )
-    jobs = bounded_list(blocks.drop("items", "n"), ["kb_id", "job_id"], [F.col("pos")], F.col("block"))
+    jobs = gathered(blocks.drop("items", "n"), ["kb_id", "job_id"], ["pos"], F.col("block"))
     return jobs.select("kb_id", "job_id", F.lit(RESOLVE_RULE).alias("system"), F.array_join("items", "\n\n").alias("user"))
 
 
@@ -143,6 +143,6 @@ def judgment(text: Column, speaker: Column, evidence: Column) -> dict[str, Colum
 def evidence_text(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """``claim_id, evidence_text``: the pooled evidence of each claim as the judge reads it."""
     block = md.evidence_block(*(F.col(c) for c in ("stance", "title", "url", "published_at", "snippet")))
-    listed = bounded_list(evidence, ["claim_id"], [F.col("call"), F.col("pos")], block)
+    listed = gathered(evidence, ["claim_id"], ["call", "pos"], block)
     shown = F.when(F.col("n").isNull(), md.NO_EVIDENCE).otherwise(F.array_join("items", "\n\n"))
     return claims.select("claim_id").join(listed, "claim_id", "left").select("claim_id", shown.alias("evidence_text"))

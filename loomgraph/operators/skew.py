@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 MAX_HOT_KEYS = 10_000
 MIN_HOT_ROWS = 5_000_000
 
-# Longest list gathered into one row. One more stays within
-# spark.sql.optimizer.windowGroupLimitThreshold (1000), so rows past it are pruned before the shuffle.
-MAX_LIST = 999
-
 
 def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
     """Many-to-one join (inner or left) of ``rows`` with ``per_key`` (unique on ``keys``).
@@ -48,18 +44,12 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, ran
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
-def bounded_list(
-    df: DataFrame, keys: list[str], order: list[Column], item: Column, limit: int = MAX_LIST
-) -> DataFrame:
-    """``keys, items, n``: the ordered list of each key, for keys of at most ``limit`` rows.
+def gathered(df: DataFrame, keys: list[str], order: list[str], item: Column) -> DataFrame:
+    """``keys, items, n``: the whole list of each key, in the order of the given columns.
 
-    A larger key gets a null list and ``n = limit + 1``; its rows are never gathered, and
-    callers give it its own treatment (a failed prompt, or one row per item)."""
-    kept = top_per_key(df.withColumn("_item", item), keys, order, limit + 1, "_rn")
-    listed = kept.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("_rn", "_item"))).alias("_list"), F.count(F.lit(1)).alias("n")
-    )
-    return listed.select(*keys, F.when(F.col("n") <= limit, F.col("_list._item")).alias("items"), "n")
+    For keys whose rows come out of one stored value (a model's answer, a prompt's parts), which bounds them."""
+    listed = F.sort_array(F.collect_list(F.struct(*order, item.alias("_item"))))
+    return df.groupBy(*keys).agg(listed.alias("_list"), F.count(F.lit(1)).alias("n")).select(*keys, F.col("_list._item").alias("items"), "n")
 
 
 def running_last(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import sanitize, strip, type_key
-from loomgraph.operators.skew import bounded_list
 from loomgraph.schemas import TYPE_DEF
 
 
@@ -121,6 +123,20 @@ def decisions(candidates: DataFrame, echoes: DataFrame) -> DataFrame:
     return matched.groupBy("job_id", "key").agg(F.max_by(fields, "answer_pos").alias("v")).select("job_id", "key", "v.*")
 
 
+def _mint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk each job's offers in order; only the names minted so far are kept."""
+    job, done = None, set()
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            if (row.kb_id, row.job_id) != job:
+                job, done = (row.kb_id, row.job_id), set()
+            if row.key not in done and row.new_key not in done:
+                done.add(row.new_key)
+                out.append((row.kb_id, row.job_id, row.new_key, row.pos, row.name, row.description))
+        yield pd.DataFrame(out, columns=["kb_id", "job_id", "key", "mint_pos", "name", "description"])
+
+
 def minted_types(mentions: DataFrame, types: DataFrame, decided: DataFrame) -> DataFrame:
     """``kb_id, job_id, key, mint_pos, name, description``: types a job adds to the vocabulary.
 
@@ -135,20 +151,10 @@ def minted_types(mentions: DataFrame, types: DataFrame, decided: DataFrame) -> D
         .withColumn("new_key", type_key(F.col("name")))
         .join(listed.withColumnRenamed("key", "new_key"), ["kb_id", "new_key"], "left_anti")
     )
-    item = F.struct("pos", "key", "new_key", "name", F.coalesce("description", F.lit("")).alias("description"))
-    per_job = bounded_list(offers, ["kb_id", "job_id"], [F.col("pos")], item)
-    empty = F.array().cast("array<struct<pos:int,key:string,name:string,description:string>>")
-
-    def walk(done: Column, offer: Column) -> Column:
-        known = F.exists(done, lambda d: (d.key == offer.key) | (d.key == offer.new_key))
-        new = F.struct(
-            offer.pos.cast("int").alias("pos"), offer.new_key.alias("key"), offer["name"].alias("name"), offer.description.alias("description")
-        )
-        return F.when(known, done).otherwise(F.concat(done, F.array(new)))
-
-    return per_job.select("kb_id", "job_id", F.explode(F.aggregate("items", empty, walk)).alias("m")).select(
-        "kb_id", "job_id", "m.key", F.col("m.pos").alias("mint_pos"), "m.name", "m.description"
-    )
+    ordered = offers.select("kb_id", "job_id", "pos", "key", "new_key", "name", F.coalesce("description", F.lit("")).alias("description"))
+    ordered = ordered.repartition("kb_id", "job_id").sortWithinPartitions("kb_id", "job_id", "pos")
+    job = offers.schema["job_id"].dataType.simpleString()
+    return ordered.mapInPandas(_mint, f"kb_id string, job_id {job}, key string, mint_pos int, name string, description string")
 
 
 def resolve_types(mentions: DataFrame, types: DataFrame, decided: DataFrame, minted: DataFrame) -> DataFrame:

@@ -331,7 +331,9 @@ def claim_report_lines(t: Tables) -> DataFrame:
     return _report(t).groupBy("document_id", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_REPORT} SELECT document_id, '' AS part, md5(concat(string_agg(line, chr(10) ORDER BY a, b, c, d, e, f), chr(10))) AS body FROM lines_out GROUP BY 1")
+@query(f"""WITH {_REPORT} SELECT document_id, part, md5(concat(string_agg(line, chr(10) ORDER BY n), chr(10))) AS body FROM (
+  SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY a, b, c, d, e, f) AS n,
+    ((row_number() OVER (PARTITION BY document_id ORDER BY a, b, c, d, e, f) - 1) // {pages_text.PART_LINES})::INTEGER AS part FROM lines_out) GROUP BY 1, 2""")
 def claim_report(t: Tables) -> DataFrame:
     """Every document's report as one text."""
     return pages_text.bodies(_report(t), "document_id").select("document_id", "part", F.md5("body").alias("body"))

@@ -14,6 +14,10 @@ from loomgraph.plans.registry import query
 from loomgraph.sources.tables import Tables
 
 
+# Lines from this length on make documents tell the same story.
+LEAST_LINE = 1
+
+
 def _date(name: str, fmt: str = "yyyy-MM-dd") -> F.Column:
     return F.coalesce(F.date_format(name, fmt), F.lit("")).alias(name)
 
@@ -89,15 +93,15 @@ def cluster_entities(t: Tables) -> DataFrame:
 @query(
     f"""WITH lines AS (
   SELECT doc_id, md5(line) AS entity FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-  WHERE length(line) >= 20),
+  WHERE length(line) >= {LEAST_LINE}),
 members AS (SELECT DISTINCT 'all' AS kb_id, doc_id AS node, entity FROM lines),
 {label_rounds("members", 14)}
 SELECT d.doc_id, coalesce(label, d.doc_id) AS cluster_id FROM documents d LEFT JOIN labels_14 ON d.doc_id = node"""
 )
 def shared_line_clusters(t: Tables) -> DataFrame:
-    """Documents telling the same story, by the long lines they share."""
+    """Documents telling the same story, by the lines they share."""
     documents = t.documents().select(F.lit("all").alias("kb_id"), F.col("doc_id").alias("job_id"))
-    lines = t.lines().where(F.length("line") >= 20)
+    lines = t.lines().where(F.length("line") >= LEAST_LINE)
     mentions = lines.select(F.lit("all").alias("kb_id"), F.md5("line").alias("entity_id"), F.col("doc_id").alias("job_id")).distinct()
     return clustering.assign_clusters(documents, mentions).select(F.col("job_id").alias("doc_id"), "cluster_id")
 
@@ -216,7 +220,7 @@ SELECT kb_id, job_id, entities, n FROM named WHERE n > 0"""
 def nested_sources(t: Tables) -> DataFrame:
     """The nested form: each source with the ordered list of its entities."""
     named = t.sources().join(t.mentions(), ["kb_id", "job_id"])
-    nested = graph_read.nest(named, ["kb_id", "job_id"], [F.col("entity_id")], ["entity_id"])
+    nested = graph_read.nest(named, ["kb_id", "job_id"], ["entity_id"], ["entity_id"])
     return nested.select("kb_id", "job_id", F.array_join("items.entity_id", ",").alias("entities"), "n")
 
 

@@ -42,10 +42,10 @@ def _merged(t: Tables) -> knowledge.Merged:
     return knowledge.merge(state.jobs, state, models, F.lit(RUN).cast("timestamp"), "batch-1")
 
 
-_WORDS = """
+_WORDS = f"""
 words AS (
-  SELECT doc_id, concat('kb', doc_id % 4) AS kb_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{4,}')) AS name,
-    generate_subscripts(regexp_extract_all(text, '[A-Z][a-z]{4,}'), 1) AS i, length(text) % 5 <> 0 AS relevant FROM documents),
+  SELECT doc_id, concat('kb', doc_id % 4) AS kb_id, unnest(regexp_extract_all(text, '\\p{{Lu}}\\p{{Ll}}+')) AS name,
+    generate_subscripts(regexp_extract_all(text, '\\p{{Lu}}\\p{{Ll}}+'), 1) AS i, length(text) % 5 <> 0 AS relevant FROM documents),
 stored AS (SELECT DISTINCT kb_id, lower(name) AS n FROM words WHERE doc_id % 2 = 0),
 mentioned AS (SELECT kb_id, lower(name) AS n, count(DISTINCT doc_id) AS sources FROM words WHERE relevant GROUP BY 1, 2)"""
 

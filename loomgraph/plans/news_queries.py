@@ -10,7 +10,7 @@ from loomgraph.operators.graph_read import recent_sources
 from loomgraph.plans.graph_queries import _WINDOW, _STORY_COLUMNS, _window_start, _window_stories
 from loomgraph.plans.oracle_views import ENTITIES, JOBS, SOURCES
 from loomgraph.plans.registry import query
-from loomgraph.plans.resolve_queries import _one_per_position
+from loomgraph.plans.resolve_queries import order_lines
 from loomgraph.plans.text_queries import CANONICAL
 from loomgraph.sources import feeds
 from loomgraph.sources.tables import Tables
@@ -204,20 +204,21 @@ def poll_result(t: Tables) -> DataFrame:
 
 def _polled(t: Tables) -> DataFrame:
     """Order lines are feed items of 97 sources, keyed by part; returned ones are blank."""
-    return _one_per_position(t).select(
+    return order_lines(t).select(
         (F.col("l_partkey") % 97).alias("source_id"),
-        (F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
+        (F.col("o_orderkey") * 1000 + F.col("pos")).alias("pos"),
         (F.col("l_partkey") % 1000).alias("dedup_key"),
         F.when(F.col("l_returnflag") == "R", F.lit("   ")).otherwise(F.concat(F.lit("text "), F.col("o_orderkey"))).alias("text"),
     )
 
 
 _POLLED = """
-one_line AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_returnflag) = 1),
+order_lines AS (
+  SELECT *, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS pos FROM lineitem),
 polled AS (
-  SELECT l_partkey % 97 AS source_id, l_orderkey * 10 + l_linenumber AS pos, l_partkey % 1000 AS dedup_key, concat('text ', l_orderkey) AS text
-  FROM one_line WHERE l_returnflag <> 'R' QUALIFY row_number() OVER (PARTITION BY l_partkey % 97 ORDER BY l_orderkey * 10 + l_linenumber) <= 50),
-stored AS (SELECT DISTINCT l_partkey % 97 AS source_id, l_partkey % 1000 AS dedup_key FROM one_line WHERE l_linenumber = 1 AND l_returnflag = 'R')"""
+  SELECT l_partkey % 97 AS source_id, pos, l_partkey % 1000 AS dedup_key, concat('text ', l_orderkey) AS text
+  FROM order_lines WHERE l_returnflag <> 'R' QUALIFY row_number() OVER (PARTITION BY l_partkey % 97 ORDER BY pos) <= 50),
+stored AS (SELECT DISTINCT l_partkey % 97 AS source_id, l_partkey % 1000 AS dedup_key FROM order_lines WHERE pos % 1000 = 1 AND l_returnflag = 'R')"""
 
 
 @query(
@@ -227,7 +228,7 @@ WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.source_id = p.source_id AND s.d
 )
 def item_insert(t: Tables) -> DataFrame:
     items = _polled(t)
-    lines = _one_per_position(t).where("l_linenumber = 1 AND l_returnflag = 'R'")
+    lines = order_lines(t).where("pos = 1 AND l_returnflag = 'R'")
     stored = lines.select((F.col("l_partkey") % 97).alias("source_id"), (F.col("l_partkey") % 1000).alias("dedup_key")).distinct()
     return news.absent_items(stored, news.polled_items(items)).select("source_id", "dedup_key", "text")
 
@@ -399,7 +400,8 @@ def _issue_parts(t: Tables):
     return issues, stories, kept, mentions
 
 
-@query(f"{_ISSUE_TEXT} SELECT issue_id, '' AS part, concat(string_agg(line, chr(10) ORDER BY a, b, c, d, e), chr(10)) AS body FROM text GROUP BY 1")
+@query(f"""{_ISSUE_TEXT} SELECT issue_id, part, concat(string_agg(line, chr(10) ORDER BY n), chr(10)) AS body FROM (
+  SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY a, b, c, d, e) AS n, ((row_number() OVER (PARTITION BY issue_id ORDER BY a, b, c, d, e) - 1) // {pages_text.PART_LINES})::INTEGER AS part FROM text) GROUP BY 1, 2""")
 def issue_markdown(t: Tables) -> DataFrame:
     issues, stories, kept, _ = _issue_parts(t)
     return pages_text.bodies(pages_text.issue_lines(issues, stories, kept), "issue_id")
@@ -435,12 +437,12 @@ def relevance_prompts(t: Tables) -> DataFrame:
 @query(
     f"""WITH {_POLLED},
 fresh AS (SELECT DISTINCT source_id, dedup_key FROM polled p WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.source_id = p.source_id AND s.dedup_key = p.dedup_key))
-SELECT (SELECT count(DISTINCT l_partkey % 97) FROM one_line) AS sources, (SELECT count(*) FROM fresh) AS inserted"""
+SELECT (SELECT count(DISTINCT l_partkey % 97) FROM order_lines) AS sources, (SELECT count(*) FROM fresh) AS inserted"""
 )
 def poll_counters(t: Tables) -> DataFrame:
     """Sources polled and items inserted by the sweep."""
     items = _polled(t)
-    lines = _one_per_position(t).where("l_linenumber = 1 AND l_returnflag = 'R'")
+    lines = order_lines(t).where("pos = 1 AND l_returnflag = 'R'")
     stored = lines.select((F.col("l_partkey") % 97).alias("source_id"), (F.col("l_partkey") % 1000).alias("dedup_key")).distinct()
     seen = items.select("source_id").distinct().select(F.lit(True).alias("polled"))
     fresh = news.absent_items(stored, news.polled_items(items)).select(F.lit(False).alias("polled"))

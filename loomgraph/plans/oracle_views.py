@@ -64,8 +64,8 @@ claims AS (
 TEXT_MENTIONS = """
 words AS (
   SELECT doc_id, (i - 1)::INTEGER AS pos, name FROM (
-    SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{4,}')) AS name,
-      generate_subscripts(regexp_extract_all(text, '[A-Z][a-z]{4,}'), 1) AS i
+    SELECT doc_id, unnest(regexp_extract_all(text, '\\p{Lu}\\p{Ll}+')) AS name,
+      generate_subscripts(regexp_extract_all(text, '\\p{Lu}\\p{Ll}+'), 1) AS i
     FROM documents)),
 text_mentions AS (
   SELECT doc_id AS job_id, concat('kb', doc_id % 4) AS kb_id, pos, name,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import type_key
@@ -10,7 +10,7 @@ from loomgraph.operators import graph_read, prompts, resolution, vocabulary
 from loomgraph.operators.search import search_newest
 from loomgraph.plans.oracle_views import ENTITIES, LINES, ORDERS, TEXT_MENTIONS
 from loomgraph.plans.registry import query
-from loomgraph.sources.tables import Tables
+from loomgraph.sources.tables import CAPITALISED, Tables
 
 
 def _big(name: str) -> F.Column:
@@ -25,30 +25,30 @@ def _named_entities(t: Tables) -> DataFrame:
     return t.entities().withColumn("aliases", F.when(F.col("summary").isNotNull(), F.array(F.lower("summary"))).otherwise(F.array().cast("array<string>")))
 
 
-def _one_per_position(t: Tables) -> DataFrame:
-    """Order lines, one per line number of an order."""
-    line = F.min(F.struct("l_partkey", "l_returnflag")).alias("v")
-    return t._lines().groupBy("kb_id", "o_orderkey", "l_linenumber").agg(line).select("kb_id", "o_orderkey", "l_linenumber", "v.*")
+def order_lines(t: Tables) -> DataFrame:
+    """All lines of each order with their place in it, ``pos``; line numbers repeat within an order."""
+    place = Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    return t._lines().withColumn("pos", F.row_number().over(place))
 
 
 def _order_mentions(t: Tables) -> DataFrame:
     """Every order line mentions its part by name, or by its description in capitals."""
     parts = t.raw("part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
-    lines = _one_per_position(t).join(parts, "l_partkey")
+    lines = order_lines(t).join(parts, "l_partkey")
     name = F.when(F.col("l_returnflag") == "R", F.concat(F.upper("p_type"), F.lit(" "), "p_name")).otherwise(F.col("p_name"))
     return lines.select(
-        "kb_id", F.col("o_orderkey").alias("job_id"), F.col("l_linenumber").alias("pos"), F.lit("Part").alias("type"), name.alias("name"),
-        F.concat(F.lit("line "), "l_linenumber").alias("description"),
+        "kb_id", F.col("o_orderkey").alias("job_id"), "pos", F.lit("Part").alias("type"), name.alias("name"),
+        F.concat(F.lit("line "), "pos").alias("description"),
     )
 
 
 _NAMED = f"""{ORDERS}, {ENTITIES},
-one_line AS (
-  SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_returnflag) = 1),
+order_lines AS (
+  SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag))::INTEGER AS pos FROM lineitem),
 order_mentions AS (
-  SELECT kb_id, o_orderkey AS job_id, l_linenumber AS pos, 'Part' AS type,
+  SELECT kb_id, o_orderkey AS job_id, pos, 'Part' AS type,
     CASE l_returnflag WHEN 'R' THEN concat(upper(p_type), ' ', p_name) ELSE p_name END AS name
-  FROM one_line JOIN orders_kb ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
+  FROM order_lines JOIN orders_kb ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 
 _EXACT = """
 names AS (SELECT DISTINCT kb_id, type, name FROM order_mentions),
@@ -128,20 +128,20 @@ def candidate_set(t: Tables) -> DataFrame:
 
 def _answers(t: Tables) -> DataFrame:
     """Answers per mention: NEW, then the mention's own part, then the next part (often no candidate)."""
-    lines = _one_per_position(t)
+    lines = order_lines(t)
     own = t.part_id()
     following = F.concat("kb_id", F.lit("/P/"), F.col("l_partkey") + 1)
     given = F.array(F.lit("NEW"), own, following)
     return lines.select(
-        F.col("o_orderkey").alias("job_id"), F.col("l_linenumber").alias("index"), F.posexplode(given).alias("answer_pos", "id")
+        F.col("o_orderkey").alias("job_id"), F.col("pos").alias("index"), F.posexplode(given).alias("answer_pos", "id")
     )
 
 
 @query(
     f"""WITH {_NAMED}, {_CANDIDATES},
 answers AS (
-  SELECT kb_id, o_orderkey AS job_id, l_linenumber AS pos, concat(kb_id, '/P/', l_partkey + d) AS id, d
-  FROM one_line JOIN orders_kb ON l_orderkey = o_orderkey CROSS JOIN (VALUES (0), (1)) v(d)),
+  SELECT kb_id, o_orderkey AS job_id, pos, concat(kb_id, '/P/', l_partkey + d) AS id, d
+  FROM order_lines JOIN orders_kb ON l_orderkey = o_orderkey CROSS JOIN (VALUES (0), (1)) v(d)),
 valid AS (
   SELECT m.job_id, m.pos, arg_max(a.id, d) AS existing_id
   FROM order_mentions m JOIN candidates c USING (kb_id, type, name) JOIN answers a ON a.job_id = m.job_id AND a.pos = m.pos AND a.id = c.id GROUP BY 1, 2)
@@ -207,11 +207,12 @@ def merge_counters(t: Tables) -> DataFrame:
 
 
 def _word_relationships(t: Tables) -> DataFrame:
-    """Each line relates its first capitalised word to its last one, in whatever spelling."""
-    found = t.lines().withColumn("w", F.expr("regexp_extract_all(line, '[A-Z][a-z]{3,}', 0)")).where(F.size("w") > 0)
-    return found.select(
+    """Each line relates every capitalised word to the next one, in whatever spelling."""
+    words = t.lines().withColumn("w", F.regexp_extract_all("line", F.lit(CAPITALISED), 0)).where(F.size("w") > 1)
+    pairs = F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))
+    return words.select("doc_id", "pos", F.inline(pairs).alias("a", "b")).select(
         F.concat(F.lit("kb"), F.col("doc_id") % 4).alias("kb_id"), F.col("doc_id").alias("job_id"), "pos",
-        F.concat(F.lit(" "), F.upper(F.col("w")[0])).alias("source_name"), F.element_at("w", -1).alias("target_name"), F.lit("Near").alias("type"),
+        F.concat(F.lit(" "), F.lower("a"), F.lit(" ")).alias("source_name"), F.col("b").alias("target_name"), F.lit("Near").alias("type"),
     )
 
 
@@ -219,8 +220,8 @@ def _word_relationships(t: Tables) -> DataFrame:
     f"""WITH {_IDENTITY}, {LINES},
 ids AS (SELECT kb_id, job_id, name_normalized, arg_max(entity_id, pos) AS entity_id FROM identified GROUP BY 1, 2, 3),
 relationships AS (
-  SELECT concat('kb', doc_id % 4) AS kb_id, doc_id AS job_id, pos, lower(w[1]) AS s, lower(w[-1]) AS d
-  FROM (SELECT *, regexp_extract_all(line, '[A-Z][a-z]{{3,}}') AS w FROM lines) WHERE len(w) > 0)
+  SELECT concat('kb', doc_id % 4) AS kb_id, doc_id AS job_id, pos, lower(w[i]) AS s, lower(w[i + 1]) AS d
+  FROM (SELECT *, unnest(range(1, len(w))) AS i FROM (SELECT *, regexp_extract_all(line, '{CAPITALISED}') AS w FROM lines)))
 SELECT r.kb_id, r.job_id, r.pos, a.entity_id AS source_id, b.entity_id AS target_id
 FROM relationships r JOIN ids a ON a.kb_id = r.kb_id AND a.job_id = r.job_id AND a.name_normalized = s
 JOIN ids b ON b.kb_id = r.kb_id AND b.job_id = r.job_id AND b.name_normalized = d"""
@@ -231,24 +232,27 @@ def relationship_endpoints(t: Tables) -> DataFrame:
     return found.select("kb_id", "job_id", "pos", "source_id", "target_id")
 
 
-# --- vocabulary: types are the first words of the document's lines ------------------------------
+# --- vocabulary: types are words of the document's lines ------------------------------------------
+
+# A type is known when it is seen this often, and by a rule that leaves about a third of all types novel.
+LEAST_SEEN = 1
 
 
 def _typed_mentions(t: Tables) -> DataFrame:
-    """Each line mentions a thing whose type is its first word, in one of two spellings."""
-    word = F.regexp_extract("line", "([A-Za-z]+)", 1)
+    """Each line is the name of a thing whose type is its first word, in one of two spellings."""
+    word = F.regexp_extract("line", r"(\p{L}+)", 1)
     spelled = F.when(F.col("pos") % 2 == 0, F.upper(word)).otherwise(word)
     return t.lines().select(
         F.concat(F.lit("kb"), F.col("doc_id") % 4).alias("kb_id"), F.col("doc_id").alias("job_id"), "pos",
-        F.substring("line", 1, 12).alias("name"), spelled.alias("type"),
+        F.col("line").alias("name"), spelled.alias("type"),
     ).where("type <> ''")
 
 
 def _word_types(t: Tables) -> DataFrame:
-    """Vocabulary per tenant: the language codes and sources of the documents, plus frequent first
-    words; short words are banned."""
+    """Vocabulary per tenant: first words of lines, by a rule on their letters; short words are banned."""
     words = _typed_mentions(t).groupBy("kb_id", type_key(F.col("type")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    return words.where("n >= 20").select(
+    known = (F.col("n") >= LEAST_SEEN) & (F.length(F.replace("key", F.lit("E"), F.lit(""))) % 3 != 1)
+    return words.where(known).select(
         "kb_id", F.lit(0).alias("ord"), F.initcap("key").alias("name"), F.lit("").alias("description"), F.lit(False).alias("pinned"),
         (F.length("key") <= 3).alias("banned"), "key",
     )
@@ -268,9 +272,10 @@ def _word_decisions(t: Tables, mentions: DataFrame, types: DataFrame) -> DataFra
 
 _TYPED = f"""{LINES},
 typed AS (
-  SELECT concat('kb', doc_id % 4) AS kb_id, doc_id AS job_id, pos, CASE WHEN pos % 2 = 0 THEN upper(w) ELSE w END AS type, upper(w) AS key, substring(line, 1, 12) AS name
-  FROM (SELECT *, regexp_extract(line, '([A-Za-z]+)', 1) AS w FROM lines) WHERE w <> ''),
-types AS (SELECT kb_id, key, concat(upper(key[1]), lower(key[2:])) AS name, length(key) <= 3 AS banned FROM typed GROUP BY kb_id, key HAVING count(*) >= 20),
+  SELECT concat('kb', doc_id % 4) AS kb_id, doc_id AS job_id, pos, CASE WHEN pos % 2 = 0 THEN u ELSE w END AS type, u AS key, line AS name
+  FROM (SELECT *, replace(replace(upper(w), 'ß', 'SS'), 'ẞ', 'SS') AS u FROM (SELECT *, regexp_extract(line, '(\\p{{L}}+)', 1) AS w FROM lines)) WHERE w <> ''),
+types AS (SELECT kb_id, key, concat(upper(key[1]), lower(key[2:])) AS name, length(key) <= 3 AS banned FROM typed
+  GROUP BY kb_id, key HAVING count(*) >= {LEAST_SEEN} AND length(replace(key, 'E', '')) % 3 <> 1),
 novel AS (SELECT DISTINCT kb_id, job_id, key FROM typed WHERE (kb_id, key) NOT IN (SELECT kb_id, key FROM types)),
 decided AS (
   SELECT *, CASE length(key) % 3 WHEN 0 THEN 'drop' WHEN 1 THEN 'new' ELSE 'existing' END AS decision, upper(substring(key, 1, 4)) AS goal,
@@ -345,7 +350,7 @@ def _echoes(t: Tables) -> tuple[DataFrame, DataFrame]:
 shown AS (SELECT DISTINCT t.job_id, t.type, t.key FROM typed t JOIN novel n ON n.kb_id = t.kb_id AND n.job_id = t.job_id AND n.key = t.key),
 echoes AS (
   SELECT DISTINCT job_id, CASE WHEN length(type) % 4 = 0 THEN substring(type, 1, length(type) - 1) ELSE concat(type, ' (e.g. "', type, '")') END AS candidate FROM shown),
-keyed AS (SELECT *, regexp_replace(upper(candidate), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS echo FROM echoes),
+keyed AS (SELECT *, regexp_replace(replace(replace(upper(candidate), 'ß', 'SS'), 'ẞ', 'SS'), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS echo FROM echoes),
 keys AS (SELECT DISTINCT job_id, key FROM shown)
 SELECT e.job_id, candidate, coalesce(arg_max(key, length(key)), echo) AS key
 FROM keyed e LEFT JOIN keys k ON k.job_id = e.job_id AND starts_with(echo, key) GROUP BY e.job_id, candidate, echo"""
@@ -374,8 +379,8 @@ def _submitted_types(t: Tables) -> DataFrame:
         F.transform(
             F.split("text", "\n"),
             lambda x: F.struct(
-                F.concat(F.lit("  "), F.substring(x, 1, 10), F.lit("\x07 ")).alias("name"),
-                F.concat(F.lit(" "), F.substring(x, 11, 10)).alias("description"),
+                F.concat(F.lit("  "), F.substring_index(x, " ", 1), F.lit("\x07 ")).alias("name"),
+                F.concat(F.lit(" "), F.substr(x, F.length(F.substring_index(x, " ", 1)) + 2)).alias("description"),
                 (F.length(x) % 2 == 0).alias("pinned"),
                 (F.length(x) % 5 == 0).alias("banned"),
             ),
@@ -386,7 +391,7 @@ def _submitted_types(t: Tables) -> DataFrame:
 @query(
     """WITH x AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-cleaned AS (SELECT doc_id, i, trim(substring(x, 1, 10)) AS name, trim(substring(x, 11, 10)) AS description, length(x) % 5 = 0 AS banned FROM x)
+cleaned AS (SELECT doc_id, i, split_part(x, ' ', 1) AS name, trim(substring(x, length(split_part(x, ' ', 1)) + 2)) AS description, length(x) % 5 = 0 AS banned FROM x)
 SELECT doc_id, coalesce(string_agg(name, '|' ORDER BY i) FILTER (NOT banned), '') AS active, coalesce(string_agg(name, '|' ORDER BY i) FILTER (banned), '') AS banned,
   coalesce(string_agg(CASE WHEN description = '' THEN concat('- ', name) ELSE concat('- ', name, ': ', description) END, chr(10) ORDER BY i), '') AS shown
 FROM (SELECT doc_id FROM documents) LEFT JOIN (SELECT * FROM cleaned WHERE name <> '') c USING (doc_id) GROUP BY doc_id"""

@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import re
 
-WORD = re.compile(r"[A-Z][a-z]{4,}")
+import regex
+
+WORD = regex.compile(r"\p{Lu}\p{Ll}+")
 KINDS = ("Person", "PERSON", "per-son")
 
 

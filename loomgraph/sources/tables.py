@@ -11,6 +11,9 @@ from loomgraph import durable
 from loomgraph.session import prepare
 
 
+# Words with a capital first letter, in any script.
+CAPITALISED = r"\p{Lu}\p{Ll}+"
+
 _STORED: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
 
 
@@ -173,7 +176,7 @@ class Tables:
         """Capitalised words as extracted mentions, with types in varying spelling."""
         kinds = F.array(*(F.lit(k) for k in ("Person", "PERSON", "per-son")))
         return self.documents().select(
-            "doc_id", F.posexplode(F.expr("regexp_extract_all(text, '[A-Z][a-z]{4,}', 0)")).alias("pos", "name")
+            "doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(CAPITALISED), 0)).alias("pos", "name")
         ).withColumn("type", F.element_at(kinds, F.length("name") % 3 + 1))
 
     def pages(self) -> DataFrame:

@@ -209,7 +209,7 @@ def test_report_sweep(spark, tmp_path):
     found = spark.createDataFrame([("c1", 0, 1, "u2", None, None, "context"), ("c1", 0, 0, "u1", None, None, "context")], "claim_id string, call int, pos int, url string, title string, snippet string, stance string")
     reports, stamped = claimdesk.report(docs, spark.createDataFrame(rows, CLAIM), found, F.lit(NOW), str(tmp_path / "out"))
     row = reports.collect()
-    assert [(r["document_id"], r["slug"], r["claim_count"], r["verified_count"], r["part"]) for r in row] == [("a", "my-doc-2024-06-01-000000", 1, 1, "")]
+    assert [(r["document_id"], r["slug"], r["claim_count"], r["verified_count"], r["part"]) for r in row] == [("a", "my-doc-2024-06-01-000000", 1, 1, 0)]
     assert row[0]["body"].index("(u1)") < row[0]["body"].index("(u2)")
     assert {r["document_id"]: r["reported_at"] for r in stamped.collect()} == {"a": NOW, "b": None}
     assert [p.name for p in (tmp_path / "out").iterdir() if p.is_dir()] == ["slug=my-doc-2024-06-01-000000"]

@@ -4,12 +4,14 @@ import math
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import type_key
-from loomgraph.operators import resolution, vocabulary
+from loomgraph.operators import prompts, resolution, vocabulary
 from loomgraph.operators.search import search
-from loomgraph.operators.skew import bounded_list, running_last
+from loomgraph.operators.skew import gathered, running_last
+from loomgraph.schemas import TYPE_DEF
 
 
 def brute_force(entities, queries, k):
@@ -96,10 +98,33 @@ def test_running_last_over_chunk_borders(spark):
     assert got == want
 
 
-def test_bounded_list_never_gathers_a_large_key(spark):
-    df = spark.range(30).select((F.col("id") >= 10).alias("k"), "id")
-    got = {r["k"]: (r["items"], r["n"]) for r in bounded_list(df, ["k"], [F.col("id").desc()], F.col("id"), limit=10).collect()}
-    assert got == {False: (list(range(9, -1, -1)), 10), True: (None, 11)}
+@pytest.mark.parametrize("n", [3, 1000, 5000])
+def test_lists_are_whole_and_in_order(spark, n):
+    df = spark.range(2 * n).select((F.col("id") % 2).alias("k"), (-F.col("id")).alias("o"), "id")
+    got = {r["k"]: (r["items"], r["n"]) for r in gathered(df, ["k"], ["o"], F.col("id")).collect()}
+    assert got == {k: (list(range(2 * n - 2 + k, -1, -2)), n) for k in (0, 1)}
+
+
+@pytest.mark.parametrize("n", [1000, 5000])
+def test_jobs_of_any_size_mint_their_types_and_are_asked_about(spark, n):
+    def name(i):
+        return "".join("ABCDEFGHIJ"[int(d)] for d in str(10_000 + i))
+
+    mentions = spark.createDataFrame([("a", "j", i, f"m{i}", name(i)) for i in range(n)], "kb_id string, job_id string, pos int, name string, type string")
+    known = spark.createDataFrame([("a", 0, "Known", "", False, False)], "kb_id string, ord int, name string, description string, pinned boolean, banned boolean")
+    types = known.withColumn("key", type_key(F.col("name")))
+    novel = vocabulary.unmatched(mentions, types)
+    decided = novel.select("job_id", "key", F.lit("new").alias("decision"), F.lit("").alias("canonical"), F.lower("type").alias("name"), F.lit("d").alias("description"))
+    minted = vocabulary.minted_types(mentions, types, decided)
+    assert minted.count() == n and vocabulary.resolve_types(mentions, types, decided, minted).count() == n
+    listed = novel.join(vocabulary.type_examples(mentions, F.col("name")), ["kb_id", "job_id", "type"])
+    batch = spark.createDataFrame([("a", "j", "words", [])], f"kb_id string, job_id string, interests string, entity_types array<{TYPE_DEF.simpleString()}>")
+    assert prompts.consolidation("entity", listed, batch, "entity_types").first()["user"].count("\n") == n
+    offered = mentions.select("*", F.lit("").alias("description"), F.lit(1).alias("rank"), F.lit("x").alias("id"), F.lit("c").alias("candidate_name"), F.lit("s").alias("candidate_summary"))
+    assert prompts.resolution(offered).first()["user"].count("id=x") == n
+    claims = spark.createDataFrame([("c",)], "claim_id string")
+    evidence = spark.range(n).select(F.lit("c").alias("claim_id"), F.lit(0).alias("call"), F.col("id").alias("pos"), *(F.lit("v").alias(c) for c in ("stance", "title", "url", "snippet")), F.lit(None).cast("string").alias("published_at"))
+    assert prompts.evidence_text(claims, evidence).first()["evidence_text"].count("\n\n") == n - 1
 
 
 def test_relationship_ends(spark):

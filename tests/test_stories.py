@@ -147,8 +147,9 @@ def test_long_documents_come_in_parts(spark):
     cited = spark.createDataFrame([], "kb_id string, cluster_id string, rank int, label string, published_at timestamp, ingested_at timestamp")
     lines = pages_text.issue_lines(issues, df, cited)
     whole = pages_text.bodies(lines, "issue_id").collect()
-    parts = pages_text.bodies(lines, "issue_id", limit=10).orderBy("part").collect()
-    assert len(whole) == 1 and len(parts) > 10
+    parts = pages_text.bodies(lines, "issue_id", part_lines=3).orderBy("part").collect()
+    assert len(whole) == 1 and [p["part"] for p in parts] == list(range(len(parts))) and len(parts) > 10
+    assert all(p["body"].count("\n") == 3 for p in parts[:-1])
     assert "".join(p["body"] for p in parts) == whole[0]["body"]
 
 
