@@ -75,13 +75,17 @@ def _sanitize_json(documents: pd.Series) -> pd.Series:
             return {k: clean(v) for k, v in value.items()}
         return value
 
-    return documents.map(
-        lambda d: json.dumps(clean(json.loads(d)), ensure_ascii=False, separators=(",", ":")), na_action="ignore"
-    )
+    def one(document):
+        try:
+            return json.dumps(clean(json.loads(document)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return None
+
+    return documents.map(one, na_action="ignore")
 
 
 def sanitize_json(c: Column) -> Column:
-    """``sanitize`` on every string value (never a key) of a JSON document."""
+    """``sanitize`` on every string value (never a key) of a JSON document; null for a text that is not JSON."""
     return _sanitize_json(c)
 
 
@@ -123,6 +127,8 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def fit(c: Column, limit: int) -> tuple[Column, Column]:
-    """(text of at most ``limit`` characters, whether something was cut off)."""
+def fit(c: Column, limit: int | None) -> tuple[Column, Column]:
+    """(text of at most ``limit`` characters, whether something was cut off); without a limit the whole text."""
+    if limit is None:
+        return c, F.lit(False)
     return F.substring(c, 1, limit), F.coalesce(F.length(c) > limit, F.lit(False))

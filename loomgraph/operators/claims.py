@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import durable
 from loomgraph.functions.dates import parse_iso
-from loomgraph.functions.text import context_window, fit, is_blank, or_else
+from loomgraph.functions.text import context_window, fit, is_blank, or_else, strip
 from loomgraph.functions.urls import canonical_url
 from loomgraph.operators.jobs import oldest
 from loomgraph.operators.skew import lookup, top_per_key
@@ -18,7 +18,6 @@ from loomgraph.schemas import (
     ERROR_MAX_CHARS,
     EXTRACT_BATCH,
     EXTRACT_MAX_ATTEMPTS,
-    FULL_TEXT_MAX_CHARS,
     REPORT_BATCH,
     STANCES,
     VERDICTS,
@@ -49,13 +48,13 @@ def documents_to_extract(documents: DataFrame, n: int = EXTRACT_BATCH) -> DataFr
     return oldest(documents.where(due), ["created_at", "document_id"], n)
 
 
-def apply_fetches(documents: DataFrame, fetched: DataFrame, run_ts: Column) -> DataFrame:
+def apply_fetches(documents: DataFrame, fetched: DataFrame, run_ts: Column, max_chars: int | None = None) -> DataFrame:
     """Documents after fetching. ``fetched`` has ``document_id, page_title, page_author, page_date, page_text,
     error_class, message``.
 
     Documents that have their text are left alone. A page without readable text, and a URL
     that is not public, will never succeed: their attempts are used up at once. Any other
-    error costs one attempt."""
+    error costs one attempt. The whole text is kept unless ``max_chars`` says otherwise."""
     f = fetched.withColumn("_fetched", F.lit(True))
     due = F.col("_fetched") & F.col("full_text").isNull()
     error = F.when(
@@ -63,7 +62,7 @@ def apply_fetches(documents: DataFrame, fetched: DataFrame, run_ts: Column) -> D
     ).when(is_blank(F.col("page_text")), "NoReadableTextError")
     ok, failed = due & error.isNull(), due & error.isNotNull()
     final = failed & error.isin("NoReadableTextError", "BlockedURLError")
-    text, _ = fit(F.trim("page_text"), FULL_TEXT_MAX_CHARS)
+    text, _ = fit(strip(F.col("page_text")), max_chars)
     note = F.when(final, F.concat(error, F.lit(": "), F.coalesce("message", F.lit("")))).otherwise(F.col("message"))
 
     def put(column: str, value: Column) -> Column:
@@ -169,7 +168,7 @@ def apply_verdicts(claims: DataFrame, outcomes: DataFrame, run_ts: Column) -> Da
     open; running out of attempts is not the same as "unverifiable"."""
     judged = F.col("new_verdict").isin(*VERDICTS) & F.col("message").isNull()
     failed = F.col("_tried").isNotNull() & ~F.coalesce(judged, F.lit(False))
-    unknown = F.concat(F.lit("model returned an unknown verdict: '"), F.coalesce("new_verdict", F.lit("")), F.lit("'"))
+    unknown = F.concat(F.lit("not a verdict: '"), F.coalesce("new_verdict", F.lit("")), F.lit("'"))
     return (
         claims.join(outcomes.withColumn("_tried", F.lit(True)), "claim_id", "left")
         .withColumns(

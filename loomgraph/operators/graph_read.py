@@ -16,11 +16,17 @@ from loomgraph.operators.search import search, search_newest
 from loomgraph.operators.skew import gathered, lookup, top_per_key
 from loomgraph.schemas import GRAPH_VIEW_LIMIT, READ_LIMIT_DEFAULT, READ_LIMIT_MAX
 
+UNLIMITED = 2**31 - 1
 NODE = ["id", "type", "name", "summary", "article", "created_at", "updated_at"]
 
 
-def clamp(limit: int) -> int:
-    return min(max(limit, 1), READ_LIMIT_MAX)
+def page_size(limit: int | None) -> int:
+    """Rows of one page. ``None`` asks for everything; more than the API's maximum is an error, never a silent cut."""
+    if limit is None:
+        return UNLIMITED
+    if limit > READ_LIMIT_MAX:
+        raise ValueError(f"limit {limit} is above {READ_LIMIT_MAX}; None reads everything")
+    return max(limit, 1)
 
 
 def at_least(df: DataFrame, column: str, since: datetime) -> Column:
@@ -42,7 +48,7 @@ def nodes(
     kb_id: str | None = None,
     type_: str | None = None,
     since: datetime | None = None,
-    limit: int = READ_LIMIT_DEFAULT,
+    limit: int | None = READ_LIMIT_DEFAULT,
 ) -> DataFrame:
     """Entities of one tenant, or of each tenant; with ``since`` the newest first, otherwise by id."""
     found = entities if kb_id is None else entities.where(F.col("kb_id") == kb_id)
@@ -53,18 +59,19 @@ def nodes(
         found = found.where(at_least(found, "updated_at", since))
         order = [F.col("updated_at").desc(), F.col("id")]
     if kb_id is not None:
-        return found.orderBy(*order).limit(clamp(limit))
-    return top_per_key(found, ["kb_id"], order, clamp(limit))
+        ordered = found.orderBy(*order)
+        return ordered if limit is None else ordered.limit(page_size(limit))
+    return top_per_key(found, ["kb_id"], order, page_size(limit))
 
 
 def nodes_search(
-    entities: DataFrame, searches: DataFrame, since: datetime | None = None, limit: int = READ_LIMIT_DEFAULT
+    entities: DataFrame, searches: DataFrame, since: datetime | None = None, limit: int | None = READ_LIMIT_DEFAULT
 ) -> DataFrame:
     """Entities matching each search (``kb_id, text``): best score first, or with ``since`` newest first."""
     if since is None:
-        return search(searches, entities, ["kb_id"], clamp(limit))
+        return search(searches, entities, ["kb_id"], page_size(limit))
     recent = entities.where(at_least(entities, "updated_at", since))
-    return search_newest(searches, recent, ["kb_id"], clamp(limit))
+    return search_newest(searches, recent, ["kb_id"], page_size(limit))
 
 
 def node_lookup(requests: DataFrame, entities: DataFrame) -> DataFrame:
@@ -130,12 +137,12 @@ def related_nodes(requests: DataFrame, related: DataFrame, entities: DataFrame)
     return two_hops.join(direct, ["id", "related_id"], "left_anti").join(target, ["kb_id", "related_id"])
 
 
-def recent_sources(sources: DataFrame, since: datetime | None = None, limit: int = READ_LIMIT_MAX) -> DataFrame:
+def recent_sources(sources: DataFrame, since: datetime | None = None, limit: int | None = READ_LIMIT_MAX) -> DataFrame:
     """Each tenant's newest sources with their ``rank``; a source without ingest date comes
     first, unless ``since`` rules it out."""
     if since is not None:
         sources = sources.where(at_least(sources, "ingested_at", since))
-    return top_per_key(sources, ["kb_id"], [F.col("ingested_at").desc_nulls_first(), F.col("job_id")], clamp(limit))
+    return top_per_key(sources, ["kb_id"], [F.col("ingested_at").desc_nulls_first(), F.col("job_id")], page_size(limit))
 
 
 def sources_with_entities(recent: DataFrame, mentions: DataFrame, entities: DataFrame) -> DataFrame:

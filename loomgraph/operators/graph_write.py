@@ -1,13 +1,16 @@
 """Upserts of the graph tables, as joins that yield the next snapshot.
 
 Parquet tables take no MERGE, so each operator returns the whole new state and the
-caller publishes it. Batches are reduced to one row per key before they meet the state."""
+caller publishes it. Batches are reduced to one row per key and written down before they meet
+the state: Spark then knows their size, and a small batch is broadcast instead of
+shuffling the state. Only the rows of touched keys take part in a full join."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph import durable
 from loomgraph.functions.dates import parse_iso
 from loomgraph.functions.text import first_sentence, normalize_name
 
@@ -28,6 +31,19 @@ def last_per_entity(batch: DataFrame) -> DataFrame:
     )
 
 
+def _split(state: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``state`` whose keys ``new`` has, all others)."""
+    touched = new.select(*keys)
+    return state.join(touched, keys, "left_semi"), state.join(touched, keys, "left_anti")
+
+
+def _present(rows: DataFrame, entities: DataFrame, end: str) -> DataFrame:
+    """The rows whose ``end`` is an entity of the tenant; the entities are cut down to those asked for first."""
+    asked = rows.select("kb_id", F.col(end).alias("id")).distinct()
+    known = entities.select("kb_id", "id").join(asked, ["kb_id", "id"], "left_semi").withColumnRenamed("id", end)
+    return rows.join(known, ["kb_id", end], "left_semi")
+
+
 def upsert_entities(entities: DataFrame, batch: DataFrame, run_ts: Column) -> DataFrame:
     """Entities after a batch: tenant, type and creation time are set once; name, summary, article
     and aliases (overwritten, not united) follow the latest mention."""
@@ -43,7 +59,9 @@ def upsert_entities(entities: DataFrame, batch: DataFrame, run_ts: Column) -> Da
             F.transform(F.coalesce("aliases", F.array()), normalize_name).alias("aliases"),
         ).alias("new"),
     )
-    joined = entities.withColumn("_stored", F.lit(True)).join(new, "id", "full_outer")
+    new = durable.cut(new)
+    touched, others = _split(entities.select(*ENTITY_COLUMNS), new, ["id"])
+    joined = touched.withColumn("_stored", F.lit(True)).join(new, "id", "full_outer")
     is_new, changed = F.col("_stored").isNull(), F.col("new").isNotNull()
 
     def once(name: str) -> Column:
@@ -52,7 +70,7 @@ def upsert_entities(entities: DataFrame, batch: DataFrame, run_ts: Column) -> Da
     def always(name: str) -> Column:
         return F.when(changed, F.col(f"new.{name}")).otherwise(F.col(name)).alias(name)
 
-    return joined.select(
+    upserted = joined.select(
         once("kb_id"),
         "id",
         once("type"),
@@ -60,6 +78,7 @@ def upsert_entities(entities: DataFrame, batch: DataFrame, run_ts: Column) -> Da
         F.when(is_new, run_ts).otherwise(F.col("created_at")).alias("created_at"),
         F.when(changed, run_ts).otherwise(F.col("updated_at")).alias("updated_at"),
     )
+    return others.unionByName(upserted)
 
 
 def upsert_relationships(related: DataFrame, batch: DataFrame, entities: DataFrame, run_ts: Column) -> DataFrame:
@@ -67,10 +86,11 @@ def upsert_relationships(related: DataFrame, batch: DataFrame, entities: DataFra
     (tenant, source, target, type), which keeps the first job naming it. Both ends must
     exist in the tenant."""
     key = ["kb_id", "source_id", "target_id", "type"]
-    first = batch.groupBy(*key).agg(F.min_by("job_id", "batch_pos").alias("source_job_id"))
+    first = durable.cut(batch.groupBy(*key).agg(F.min_by("job_id", "batch_pos").alias("source_job_id")))
+    stored, _ = _split(related.select(*key), first, key)
     for end in ("source_id", "target_id"):
-        first = first.join(entities.select("kb_id", F.col("id").alias(end)), ["kb_id", end], "left_semi")
-    fresh = first.join(related, key, "left_anti").withColumn("created_at", run_ts)
+        first = _present(first, entities, end)
+    fresh = first.join(stored, key, "left_anti").withColumn("created_at", run_ts)
     return related.select(*key, "source_job_id", "created_at").unionByName(
         fresh.select(*key, F.col("source_job_id"), "created_at")
     )
@@ -80,21 +100,19 @@ def upsert_sources(sources: DataFrame, batch: DataFrame) -> DataFrame:
     """Sources after a batch (``kb_id, job_id, batch_pos, label, published_at, ingested_at`` as text): label and
     dates are overwritten, an empty or unreadable date becomes null."""
     value = F.struct("label", parse_iso(F.col("published_at")).alias("published_at"), parse_iso(F.col("ingested_at")).alias("ingested_at"))
-    new = batch.groupBy("kb_id", "job_id").agg(F.max_by(value, "batch_pos").alias("new"))
-    merged = sources.join(new, ["kb_id", "job_id"], "full_outer")
-    changed = F.col("new").isNotNull()
-    return merged.select(
-        "kb_id",
-        "job_id",
-        *(F.when(changed, F.col(f"new.{n}")).otherwise(F.col(n)).alias(n) for n in ("label", "published_at", "ingested_at")),
-    )
+    key = ["kb_id", "job_id"]
+    new = durable.cut(batch.groupBy(*key).agg(F.max_by(value, "batch_pos").alias("new")))
+    columns = [*key, "label", "published_at", "ingested_at"]
+    _, others = _split(sources.select(*columns), new, key)
+    return others.unionByName(new.select(*key, "new.label", "new.published_at", "new.ingested_at"))
 
 
 def upsert_mentions(mentions: DataFrame, batch: DataFrame, entities: DataFrame) -> DataFrame:
     """The set of (entity, source) links after a batch; the entity must exist in the tenant."""
     key = ["kb_id", "entity_id", "job_id"]
-    valid = batch.select(*key).distinct().join(entities.select("kb_id", F.col("id").alias("entity_id")), ["kb_id", "entity_id"], "left_semi")
-    return mentions.select(*key).unionByName(valid.join(mentions, key, "left_anti"))
+    named = durable.cut(batch.select(*key).distinct())
+    stored, _ = _split(mentions.select(*key), named, key)
+    return mentions.select(*key).unionByName(_present(named, entities, "entity_id").join(stored, key, "left_anti"))
 
 
 def purge_tenants(table: DataFrame, tenants: DataFrame) -> DataFrame:

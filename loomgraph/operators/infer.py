@@ -61,9 +61,9 @@ def response_content(raw: Column) -> tuple[Column, Column, Column]:
     parsed = F.from_json(raw, RESPONSE)
     choice = F.get(parsed.choices, 0)
     error = (
-        F.when(F.coalesce(F.size(parsed.choices), F.lit(0)) < 1, "provider returned no choices")
-        .when(choice.finish_reason == "length", "response truncated at the token limit (finish_reason=length)")
-        .when(is_blank(choice.message.content), "provider returned no content")
+        F.when(F.coalesce(F.size(parsed.choices), F.lit(0)) < 1, "the answer holds no choice")
+        .when(choice.finish_reason == "length", "the answer was cut off at its length limit")
+        .when(is_blank(choice.message.content), "the answer is blank")
     )
     return F.when(error.isNull(), choice.message.content), choice.message.annotations, error
 

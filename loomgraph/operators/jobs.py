@@ -43,7 +43,8 @@ def claim_batch(jobs: DataFrame, n: int = JOB_BATCH) -> DataFrame:
 
 def job_metadata(jobs: DataFrame) -> DataFrame:
     """Jobs with ``source_label``, ``source_published_at`` and ``source_ingested_at``."""
-    ingested = F.coalesce(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(""))
+    whole = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    ingested = F.coalesce(F.regexp_replace(whole, r"\.000000$", ""), F.lit(""))
     return jobs.withColumns(
         {
             "source_label": F.coalesce(F.get_json_object("metadata", "$.source"), F.lit("")),

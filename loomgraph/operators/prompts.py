@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import markdown as md
-from loomgraph.functions.text import is_blank, or_else
+from loomgraph.functions.text import is_blank, or_else, strip
 from loomgraph.operators.skew import gathered
 
 EXTRACT_GUIDE = (
@@ -46,7 +46,7 @@ def type_lines(types: Column) -> Column:
     """``- name: description`` per type."""
 
     def line(t: Column) -> Column:
-        described = or_else(F.trim(t.description))
+        described = or_else(strip(t.description))
         return F.concat(F.lit("- "), t["name"], F.coalesce(F.concat(F.lit(": "), described), F.lit("")))
 
     return F.array_join(F.transform(types, line), "\n")
@@ -57,7 +57,7 @@ def relevance(interests: Column, content: Column) -> dict[str, Column]:
 
 
 def _lens(interests: Column) -> Column:
-    return F.when(is_blank(interests), "").otherwise(F.concat(F.lit("The user cares about: "), interests, F.lit("\n\n")))
+    return F.when(is_blank(interests), "").otherwise(F.concat(F.lit("Reader's interest: "), interests, F.lit("\n\n")))
 
 
 def extraction(
@@ -80,15 +80,15 @@ def consolidation(kind: str, candidates: DataFrame, jobs: DataFrame, types_colum
     listed = gathered(candidates, ["kb_id", "job_id"], ["type"], shown)
 
     def known(t: Column) -> Column:
-        pinned = F.when(F.coalesce(t.pinned, F.lit(False)), " (pinned/authoritative)").otherwise("")
+        pinned = F.when(F.coalesce(t.pinned, F.lit(False)), " (fixed name)").otherwise("")
         return F.concat(F.lit("- "), t["name"], pinned, F.lit(": "), F.coalesce(t.description, F.lit("")))
 
-    vocabulary = F.coalesce(or_else(F.array_join(F.transform(types_column, known), "\n")), F.lit("(none yet)"))
+    vocabulary = F.coalesce(or_else(F.array_join(F.transform(types_column, known), "\n")), F.lit("(no types so far)"))
     system = F.concat(
-        F.lit(f"{CONSOLIDATE_RULE} {CONSOLIDATE_CRITERION[kind]}\nThe user cares about: "), F.col("interests"),
+        F.lit(f"{CONSOLIDATE_RULE} {CONSOLIDATE_CRITERION[kind]}\nReader's interest: "), F.col("interests"),
         F.lit(f"\n\nKnown {kind} types:\n"), vocabulary,
     )
-    user = F.concat(F.lit("Candidates:\n"), F.array_join("items", "\n"))
+    user = F.concat(F.lit("Types to place:\n"), F.array_join("items", "\n"))
     return listed.join(jobs.select("kb_id", "job_id", "interests", types_column), ["kb_id", "job_id"]).select(
         "kb_id", "job_id", system.alias("system"), user.alias("user")
     )
@@ -128,16 +128,16 @@ def claim_extraction(title: Column, text: Column) -> dict[str, Column]:
 
 def _claim(text: Column, speaker: Column) -> Column:
     who = F.coalesce(or_else(speaker), F.lit(md.DEFAULT_SPEAKER))
-    return F.concat(F.lit("CLAIM: "), text, F.lit("\nATTRIBUTED TO: "), who)
+    return F.concat(F.lit("Statement: "), text, F.lit("\nSaid by: "), who)
 
 
 def research(text: Column, speaker: Column, context: Column, opposing: bool) -> dict[str, Column]:
-    user = F.concat(_claim(text, speaker), F.lit("\n\nSURROUNDING CONTEXT (not evidence):\n"), context)
+    user = F.concat(_claim(text, speaker), F.lit("\n\nWhere it stands (no proof by itself):\n"), context)
     return {"system": F.lit(OPPOSE_RULE if opposing else SUPPORT_RULE), "user": user}
 
 
 def judgment(text: Column, speaker: Column, evidence: Column) -> dict[str, Column]:
-    return {"system": F.lit(JUDGE_RULE), "user": F.concat(_claim(text, speaker), F.lit("\n\nEVIDENCE:\n"), evidence)}
+    return {"system": F.lit(JUDGE_RULE), "user": F.concat(_claim(text, speaker), F.lit("\n\nWhat was found:\n"), evidence)}
 
 
 def evidence_text(claims: DataFrame, evidence: DataFrame) -> DataFrame:

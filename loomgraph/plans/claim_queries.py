@@ -255,7 +255,7 @@ def evidence_dedupe(t: Tables) -> DataFrame:
 shown AS (
   SELECT claim_id, string_agg(concat('[', stance, '] ', coalesce(title, 'untitled'), ' — ', url, CASE WHEN published_at IS NULL THEN '' ELSE concat(' (', published_at, ')') END, chr(10), coalesce(snippet, '')),
     chr(10) || chr(10) ORDER BY call, pos) AS block FROM pooled GROUP BY 1)
-SELECT claim_id, concat('CLAIM: ', text, chr(10), 'ATTRIBUTED TO: the article', chr(10), chr(10), 'EVIDENCE:', chr(10), coalesce(block, '(no evidence was found)')) AS user FROM gated LEFT JOIN shown USING (claim_id)"""
+SELECT claim_id, concat('Statement: ', text, chr(10), 'Said by: the article', chr(10), chr(10), 'What was found:', chr(10), coalesce(block, '(no evidence was found)')) AS user FROM gated LEFT JOIN shown USING (claim_id)"""
 )
 def judge_prompts(t: Tables) -> DataFrame:
     """What the judge reads about each claim: the claim and its pooled evidence."""
@@ -273,7 +273,7 @@ outcome AS (
   FROM checked WHERE selected AND verdict IS NULL AND attempts < 3)
 SELECT c.claim_id, coalesce(CASE WHEN v = 'refuted' AND m IS NULL THEN v ELSE verdict END, '') AS verdict,
   (attempts + CASE WHEN o.claim_id IS NOT NULL AND NOT coalesce(v = 'refuted' AND m IS NULL, false) THEN 1 ELSE 0 END)::BIGINT AS attempts,
-  coalesce(CASE WHEN o.claim_id IS NULL THEN error WHEN v = 'refuted' AND m IS NULL THEN NULL WHEN m IS NOT NULL THEN substring(m, 1, 1000) ELSE concat('model returned an unknown verdict: ''', v, '''') END, '') AS error
+  coalesce(CASE WHEN o.claim_id IS NULL THEN error WHEN v = 'refuted' AND m IS NULL THEN NULL WHEN m IS NOT NULL THEN substring(m, 1, 1000) ELSE concat('not a verdict: ''', v, '''') END, '') AS error
 FROM checked c LEFT JOIN outcome o USING (claim_id)"""
 )
 def verdict_write(t: Tables) -> DataFrame:
@@ -350,7 +350,7 @@ def claim_extraction_prompts(t: Tables) -> DataFrame:
 @query(
     f"""WITH {CLAIMS},
 placed AS (SELECT document_id, pos, c.text AS claim, d.text, strpos(d.text, c.text) AS place FROM claims c JOIN documents d ON d.doc_id = document_id)
-SELECT document_id, pos, md5(concat('CLAIM: ', claim, chr(10), 'ATTRIBUTED TO: ', CASE WHEN pos % 3 = 0 THEN 'Ann' ELSE 'the article' END, chr(10), chr(10), 'SURROUNDING CONTEXT (not evidence):', chr(10),
+SELECT document_id, pos, md5(concat('Statement: ', claim, chr(10), 'Said by: ', CASE WHEN pos % 3 = 0 THEN 'Ann' ELSE 'the article' END, chr(10), chr(10), 'Where it stands (no proof by itself):', chr(10),
   substring(text, greatest(place - 1001, 0)::INTEGER + 1, (place + 999 - greatest(place - 1001, 0))::INTEGER))) AS user FROM placed"""
 )
 def research_prompts(t: Tables) -> DataFrame:

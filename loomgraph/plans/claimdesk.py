@@ -112,13 +112,14 @@ def report(
     The files are written here; store the reports and then the stamped documents, so that a
     crash in between repeats the report instead of losing it."""
     due = durable.cut(claims.reportable(documents, checked, n))
-    # The batch has at most n documents, so its ids may be broadcast.
-    ids = F.broadcast(due.select("document_id"))
+    ids = due.select("document_id")
     inside = durable.cut(checked.join(ids, "document_id", "left_semi"))
     place = F.concat(F.lpad(F.col("call").cast("string"), 3, "0"), F.lpad(F.col("pos").cast("string"), 9, "0"))
     backed = evidence.join(inside.select("claim_id"), "claim_id", "left_semi").withColumn("evidence_order", place)
     lines = durable.cut(pages_text.report_lines(due, inside, backed, generated_at))
-    named = due.select("document_id", md.report_name(F.col("title"), F.col("canonical_url"), generated_at).alias("slug"))
+    # Documents of one title stay apart by a digest of their ids.
+    name = F.concat_ws("-", md.report_name(F.col("title"), F.col("canonical_url"), generated_at), F.substring(F.sha2(F.col("document_id"), 256), 1, 10))
+    named = due.select("document_id", name.alias("slug"))
     sinks.write_markdown(lines, named, "document_id", path)
     sums = claims.tally(inside).select("document_id", "claim_count", "verified_count")
     reports = (

@@ -128,7 +128,7 @@ SELECT kb_id, id, name, row_number() OVER (PARTITION BY kb_id ORDER BY id) AS ra
 FROM entities WHERE type = 'Supplier' QUALIFY rank <= 500"""
 )
 def nodes_of_type(t: Tables) -> DataFrame:
-    found = graph_read.nodes(t.entities(), type_="Supplier", limit=100_000)
+    found = graph_read.nodes(t.entities(), type_="Supplier", limit=500)
     return found.select("kb_id", "id", "name", F.col("rank").cast("bigint").alias("rank"))
 
 

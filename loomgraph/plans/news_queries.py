@@ -170,7 +170,7 @@ valid AS (SELECT * FROM specs WHERE kind IN ('rss', 'files') AND locator IS NOT
 
 @query(
     f"""WITH {_SPECS}
-SELECT kind, coalesce(locator, '') AS locator, CASE WHEN kind NOT IN ('rss', 'files') THEN concat('unknown source kind: ', kind) WHEN locator IS NULL THEN concat('source of kind ', kind, ' has neither url nor path') ELSE '' END AS reason FROM specs"""
+SELECT kind, coalesce(locator, '') AS locator, CASE WHEN kind NOT IN ('rss', 'files') THEN concat('no reader for kind ', kind) WHEN locator IS NULL THEN concat(kind, ' without a place: give url or path') ELSE '' END AS reason FROM specs"""
 )
 def source_specs(t: Tables) -> DataFrame:
     good, bad = feeds.check_specs(_specs(t))

@@ -13,7 +13,7 @@ from loomgraph import durable
 from loomgraph.functions import markdown as md
 from loomgraph.operators import clustering, graph_read, infer, news, pages_text, prompts
 from loomgraph.operators.infer import Provider
-from loomgraph.schemas import CLUSTER_MAX_SOURCES, READ_LIMIT_MAX, STORY
+from loomgraph.schemas import CLUSTER_MAX_SOURCES, STORY
 from loomgraph.sources import sinks
 
 WATERMARK = "draft_issue"
@@ -43,19 +43,19 @@ def draft_issue(
     run_start: datetime,
     writer: Callable[[], Provider],
     beat: str = "",
-    limit: int | None = READ_LIMIT_MAX,
+    limit: int | None = None,
     max_sources: int = CLUSTER_MAX_SOURCES,
 ) -> Draft:
     """Cluster the tenant's sources since the watermark, write a story per cluster, assemble.
 
     A story that fails drops its cluster; when all fail, the run fails and the watermark
-    stays. ``limit`` is the page a reader gets; a full page is reported as truncated, and
-    ``None`` covers the whole window. Publish the lines before the watermark table."""
+    stays. The whole window is covered; with a ``limit`` it is one page of the newest, and a full
+    page is reported as truncated. Publish the lines before the watermark table."""
     since = news.watermark(watermarks, WATERMARK, run_start)
     mine = sources.where(F.col("kb_id") == kb_id)
     window = mine.where(graph_read.at_least(mine, "ingested_at", since))
     if limit is not None:
-        window = window.orderBy(F.col("ingested_at").desc_nulls_first(), "job_id").limit(graph_read.clamp(limit))
+        window = window.orderBy(F.col("ingested_at").desc_nulls_first(), "job_id").limit(graph_read.page_size(limit))
     window = durable.cut(window)
     kept = durable.cut(clustering.newest_sources(clustering.assign_clusters(window, mentions), max_sources))
     sized = durable.cut(clustering.cluster_sizes(kept))
@@ -69,7 +69,7 @@ def draft_issue(
     written = answers.select("kb_id", "cluster_id", value.alias("v"), F.coalesce("error", wrong).alias("error"))
     tally = written.agg(F.count(F.lit(1)).alias("clusters"), F.count_if(F.col("error").isNull()).alias("stories")).first()
     if tally["clusters"] and not tally["stories"]:
-        raise RuntimeError(f"all {tally['clusters']} clusters failed; the window is not covered, the watermark stays")
+        raise RuntimeError(f"no story was written for any of {tally['clusters']} clusters; the watermark is left where it was")
     order = F.concat_ws(
         "/", F.lpad((F.lit(10**9) - F.col("size")).cast("string"), 10, "0"),
         F.lpad((F.lit(10**11) - F.unix_seconds(F.col("newest").cast("timestamp"))).cast("string"), 12, "0"),
@@ -84,7 +84,7 @@ def draft_issue(
         F.lit(since).cast("timestamp").alias("covers_since"), F.lit(tally["stories"]).alias("story_count"),
     )
     lines = pages_text.issue_lines(issues, stories, kept)
-    full = limit is not None and window.count() >= graph_read.clamp(limit)
+    full = limit is not None and window.count() >= graph_read.page_size(limit)
     report = {"clusters": tally["clusters"], "stories": tally["stories"], "since": since, "truncated": full}
     return Draft(issues, lines, news.advance_watermark(watermarks, WATERMARK, run_start), report)
 

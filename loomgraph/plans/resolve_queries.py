@@ -449,7 +449,7 @@ def job_config(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""SELECT doc_id AS job_id, concat(CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('The user cares about: topic ', doc_id, chr(10), chr(10)) END, '{prompts.EXTRACT_GUIDE.replace("'", "''")}', chr(10),
+    f"""SELECT doc_id AS job_id, concat(CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('Reader''s interest: topic ', doc_id, chr(10), chr(10)) END, '{prompts.EXTRACT_GUIDE.replace("'", "''")}', chr(10),
   CASE WHEN doc_id % 2 = 0 THEN '{prompts.DISCOVER_RULE}' ELSE '{prompts.GUIDED_RULE}' END, chr(10), chr(10), 'Entity types:', chr(10), '- Person: of ', lang, chr(10), '- Place', chr(10), 'Relationship types:', chr(10), '- Knows') AS system,
   md5(text) AS user FROM documents"""
 )
@@ -470,7 +470,7 @@ def extraction_prompts(t: Tables) -> DataFrame:
     f"""WITH {_TYPED},
 shown AS (
   SELECT t.kb_id, t.job_id, t.type, arg_min(t.name, t.pos) AS example FROM typed t JOIN novel n ON n.kb_id = t.kb_id AND n.job_id = t.job_id AND n.key = t.key GROUP BY 1, 2, 3)
-SELECT kb_id, job_id, concat('Candidates:', chr(10), string_agg(concat('- ', type, ' (e.g. "', example, '")'), chr(10) ORDER BY type)) AS user FROM shown GROUP BY 1, 2"""
+SELECT kb_id, job_id, concat('Types to place:', chr(10), string_agg(concat('- ', type, ' (e.g. "', example, '")'), chr(10) ORDER BY type)) AS user FROM shown GROUP BY 1, 2"""
 )
 def consolidation_prompts(t: Tables) -> DataFrame:
     """Per document, its novel types with their examples."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,13 +26,14 @@ _ATOM = T.StructType(
 
 def _xml(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
     reader = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "true").schema(schema)
-    return reader.load(path).select("*", F.col("_metadata.file_path").alias("locator"))
+    return reader.load(path).select("*", F.col("_metadata.file_path").alias("locator"), F.col("_metadata.file_block_start").alias("block"))
 
 
 def read_feeds(spark: SparkSession, path: str) -> DataFrame:
     """Raw entries of the feed files below ``path``: ``locator, pos, guid, link, title, content, summary, published``."""
     rss = _xml(spark, path, "item", _RSS).select(
         "locator",
+        "block",
         F.col("guid._VALUE").alias("guid"),
         "link",
         "title",
@@ -43,6 +44,7 @@ def read_feeds(spark: SparkSession, path: str) -> DataFrame:
     own = F.filter("link", lambda a: a["_rel"].isNull() | (a["_rel"] == "alternate"))
     atom = _xml(spark, path, "entry", _ATOM).select(
         "locator",
+        "block",
         F.col("id").alias("guid"),
         F.coalesce(F.get(own, 0)["_href"], F.get("link", 0)["_href"]).alias("link"),
         "title",
@@ -50,8 +52,11 @@ def read_feeds(spark: SparkSession, path: str) -> DataFrame:
         "summary",
         F.coalesce("published", "updated").alias("published"),
     )
-    # File order within a task; entries of one feed keep the order of the file.
-    return rss.unionByName(atom).withColumn("pos", F.monotonically_increasing_id())
+    # Splits of a file may be read in any order. A split has fewer entries than bytes, so its start plus the place in
+    # it follows the order of the file.
+    inside = Window.partitionBy("locator", "block").orderBy("_n")
+    entries = rss.unionByName(atom).withColumn("_n", F.monotonically_increasing_id())
+    return entries.withColumn("pos", F.col("block") + F.row_number().over(inside)).drop("_n", "block")
 
 
 def feed_titles(spark: SparkSession, path: str) -> DataFrame:
@@ -108,9 +113,9 @@ def check_specs(specs: DataFrame) -> tuple[DataFrame, DataFrame]:
     located = specs.withColumn("locator", or_else(F.col("url"), F.col("path")))
     reason = F.when(
         ~F.coalesce(F.col("kind").isin(*SOURCE_KINDS), F.lit(False)),
-        F.concat(F.lit("unknown source kind: "), F.coalesce("kind", F.lit(""))),
+        F.concat(F.lit("no reader for kind "), F.coalesce("kind", F.lit(""))),
     ).when(
-        F.col("locator").isNull(), F.concat(F.lit("source of kind "), F.col("kind"), F.lit(" has neither url nor path"))
+        F.col("locator").isNull(), F.concat(F.col("kind"), F.lit(" without a place: give url or path"))
     )
     judged = located.withColumn("reason", reason)
     return judged.where("reason IS NULL").drop("reason", "url", "path"), judged.where("reason IS NOT NULL")
@@ -124,9 +129,11 @@ def fetch_items(spark: SparkSession, sources: list[tuple[str, str]]) -> DataFram
     frames = []
     for kind, path in sources:
         if kind not in readers:
-            raise ValueError(f"unknown source kind: {kind}")
+            raise ValueError(f"no reader for kind {kind}")
         columns = ["dedup_key", "url", "title", "text", "published_at", "pos"]
         frames.append(readers[kind](path).select(F.lit(kind).alias("kind"), F.lit(path).alias("locator"), *columns))
+    if not frames:
+        return spark.createDataFrame([], "kind string, locator string, dedup_key string, url string, title string, text string, published_at timestamp, pos long")
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import fit, or_else, unescape
+from loomgraph.functions.text import fit, or_else, strip, unescape
 from loomgraph.functions.urls import host_of, is_public_ip, scheme_of
-from loomgraph.schemas import FULL_TEXT_MAX_CHARS
 
 # --- fixed values: HTML elements ---------------------------------------------------
 HIDDEN = r"(?is)<(script|style|noscript|template|svg|head|nav|footer|aside|form|iframe)\b[^>]*>.*?</\1\s*>"
@@ -31,7 +30,7 @@ def _meta(html: Column, name: str) -> Column:
     return F.regexp_extract(tag, r'(?is)\bcontent=["\']([^"\']*)["\']', 1)
 
 
-def page_text(pages: DataFrame, max_chars: int = FULL_TEXT_MAX_CHARS) -> DataFrame:
+def page_text(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Pages (``url, html``) with ``page_title, page_author, page_date, page_text, truncated``; an unreadable page has a
     null text."""
     html = F.col("html")
@@ -40,7 +39,7 @@ def page_text(pages: DataFrame, max_chars: int = FULL_TEXT_MAX_CHARS) -> DataFra
         pages.withColumn("_text", or_else(readable(html)))
         .withColumns(
             {
-                "page_title": or_else(F.trim(unescape(F.regexp_extract(html, TITLE, 1)))),
+                "page_title": or_else(strip(unescape(F.regexp_extract(html, TITLE, 1)))),
                 "page_author": or_else(unescape(_meta(html, "author|article:author"))),
                 "page_date": or_else(_meta(html, "date|article:published_time|pubdate")),
                 "page_text": text,

@@ -10,7 +10,7 @@ from loomgraph.operators.pages_text import LINE_ORDER
 
 
 def write_markdown(lines: DataFrame, names: DataFrame, key: str, path: str) -> None:
-    """Write each document's lines below ``path/slug=<slug>/``.
+    """Write each document's lines below ``path/slug=<slug>/``; writing a document again replaces its folder.
 
     ``names`` maps ``key`` to ``slug``. Range partitioning on the document and the line order
     keeps lines in order over the files of a folder, and spreads a very long document
@@ -22,7 +22,8 @@ def write_markdown(lines: DataFrame, names: DataFrame, key: str, path: str) -> N
         .sortWithinPartitions("slug", *order)
         .select("slug", F.col("line").alias("value"))
         .write.partitionBy("slug")
-        .mode("append")
+        .mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .text(path)
     )
 

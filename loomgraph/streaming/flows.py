@@ -6,6 +6,7 @@ interval as a continuous one; the checkpoint remembers what was covered."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,26 +32,33 @@ def as_jobs(arrived: DataFrame) -> DataFrame:
     )
 
 
+def stream_id(batch: DataFrame) -> str:
+    """The id a stream keeps in its checkpoint: a new checkpoint makes a new stream."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
+
+
 def drain_stream(
     arrived: DataFrame, store: TableStore, models: knowledge.Models, checkpoint: str, interval: str | None = None
 ) -> StreamingQuery:
     """Merge arriving jobs, and the ones that wait for another attempt, into the stored graph.
 
-    Each micro-batch writes the next version of all tables and then commits it; a repeated
-    micro-batch finds its version committed and does nothing."""
+    Each micro-batch writes the next version of all tables and then commits it; a repeated micro-batch of the same
+    stream finds itself committed and does nothing."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        if store.version() >= batch_id:
+        stream = stream_id(batch)
+        if store.holds(stream, batch_id):
             return
         spark = batch.sparkSession
+        run_ts = F.lit(datetime.now(UTC))
         state = knowledge.State(**{name: store.read(spark, name) for name in store.tables})
         known = state.jobs.select("job_id")
         queue = state.jobs.unionByName(as_jobs(batch).join(known, "job_id", "left_anti").select(*state.jobs.columns))
         waiting = queue.where("status = 'pending'")
         merged = knowledge.merge(
-            waiting, knowledge.State(queue, *(getattr(state, n) for n in store.tables[1:])), models, F.current_timestamp(), f"stream/{batch_id}"
+            waiting, knowledge.State(queue, *(getattr(state, n) for n in store.tables[1:])), models, run_ts, f"stream/{stream}/{batch_id}"
         )
-        store.write({name: getattr(merged.state, name) for name in store.tables}, batch_id)
+        store.write({name: getattr(merged.state, name) for name in store.tables}, stream, batch_id)
 
     writer = arrived.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
@@ -65,18 +73,20 @@ def first_sightings(items: DataFrame) -> DataFrame:
 def insert_new_items(items: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append items the table does not hold; the table itself is the memory.
 
-    A micro-batch owns one folder of the table and rewrites it when it is repeated."""
+    A micro-batch of a stream owns one folder of the table and rewrites it when it is repeated; all other
+    folders count as stored, whichever stream wrote them."""
     spark = items.sparkSession
     schema = items.schema
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        stored = _earlier(spark, path, schema, batch_id)
-        news.absent_items(stored, batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        stream = stream_id(batch)
+        stored = _others(spark, path, schema, stream, batch_id)
+        news.absent_items(stored, batch).write.mode("overwrite").parquet(f"{path}/stream={stream}/batch={batch_id}")
 
     return items.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step).trigger(availableNow=True).start()
 
 
-def _earlier(spark: SparkSession, path: str, schema, batch_id: int) -> DataFrame:
+def _others(spark: SparkSession, path: str, schema, stream: str, batch_id: int) -> DataFrame:
     from pyspark.errors import AnalysisException
 
     try:
@@ -85,7 +95,8 @@ def _earlier(spark: SparkSession, path: str, schema, batch_id: int) -> DataFrame
         if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
             raise
         return spark.createDataFrame([], schema)
-    return table.where(F.col("batch") < batch_id).drop("batch")
+    own = (F.col("stream") == stream) & (F.col("batch") == batch_id)
+    return table.where(~own).drop("stream", "batch")
 
 
 def daily_sources(sources: DataFrame, late: str = "1 day") -> DataFrame:

@@ -11,28 +11,40 @@ from pyspark.sql import functions as F
 
 @dataclass
 class TableStore:
-    """``path/v=<n>/<table>`` holds version n; a row below ``path/commits`` makes it current."""
+    """``path/v=<n>/<table>`` holds version n; a row below ``path/commits`` makes it current.
+
+    Versions count on their own. A commit names the stream and its micro-batch, so a repeated batch is
+    known, and a stream that starts anew (batch 0 again) is not taken for one that was stored."""
 
     spark: SparkSession
     path: str
     tables: tuple[str, ...] = field(default=("jobs", "configs", "entities", "related", "sources", "mentions"))
 
     def version(self) -> int:
-        """The current version, -2 when there is none."""
+        """The current version, -1 when there is none."""
+        found = self._commits().agg(F.max("version")).first()[0]
+        return -1 if found is None else found
+
+    def _commits(self) -> DataFrame:
+        schema = "version long, stream string, batch long"
         try:
-            found = self.spark.read.schema("version long").option("recursiveFileLookup", "true").parquet(f"{self.path}/commits").agg(F.max("version")).first()[0]
+            return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/commits")
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-            return -2
-        return -2 if found is None else found
+            return self.spark.createDataFrame([], schema)
+
+    def holds(self, stream: str, batch: int) -> bool:
+        """Whether this micro-batch of this stream is stored."""
+        return not self._commits().where((F.col("stream") == stream) & (F.col("batch") >= batch)).isEmpty()
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
         return spark.read.parquet(f"{self.path}/v={self.version()}/{table}")
 
-    def write(self, frames: dict[str, DataFrame], version: int) -> None:
-        """Write all tables of a version, then commit it. An unfinished version is overwritten."""
+    def write(self, frames: dict[str, DataFrame], stream: str = "", batch: int = 0) -> None:
+        """Write all tables as the next version, then commit it. An unfinished version is overwritten."""
+        version = self.version() + 1
         for name, frame in frames.items():
             frame.write.mode("overwrite").parquet(f"{self.path}/v={version}/{name}")
-        commit = self.spark.range(1).select(F.lit(version).cast("long").alias("version"))
+        commit = self.spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(stream).alias("stream"), F.lit(batch).cast("long").alias("batch"))
         commit.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/commits/v{version}")

@@ -124,7 +124,7 @@ def test_verdict_writes(spark):
     out = spark.createDataFrame(rows, "claim_id string, new_verdict string, new_confidence double, new_rationale string, message string")
     got = {r["claim_id"]: r for r in claims.apply_verdicts(table, out, F.lit(NOW)).collect()}
     assert (got["c1"]["verdict"], got["c1"]["error"], got["c1"]["verified_at"]) == ("supported", None, NOW)
-    assert (got["c2"]["verdict"], got["c2"]["attempts"]) == (None, 1) and "unknown verdict: 'maybe'" in got["c2"]["error"]
+    assert (got["c2"]["verdict"], got["c2"]["attempts"]) == (None, 1) and "not a verdict: 'maybe'" in got["c2"]["error"]
     assert (got["c3"]["verdict"], got["c3"]["attempts"], len(got["c3"]["error"])) == (None, 3, 1000)
     assert got["c4"]["attempts"] == 0
 
@@ -146,7 +146,7 @@ def test_response_checks(spark):
     df = spark.createDataFrame(list(enumerate(raws)), "i int, r string").orderBy("i")
     got = [tuple(r) for r in df.select(content, notes, error).collect()]
     assert [g[0] for g in got] == [None, None, None, "hi", None]
-    assert "no choices" in got[0][2] and "token limit" in got[1][2] and "no content" in got[2][2] and got[3][2] is None and got[4][2]
+    assert "no choice" in got[0][2] and "length limit" in got[1][2] and "blank" in got[2][2] and got[3][2] is None and got[4][2]
     assert "url_citation" in got[3][1]
 
 
@@ -209,9 +209,9 @@ def test_report_sweep(spark, tmp_path):
     found = spark.createDataFrame([("c1", 0, 1, "u2", None, None, "context"), ("c1", 0, 0, "u1", None, None, "context")], "claim_id string, call int, pos int, url string, title string, snippet string, stance string")
     reports, stamped = claimdesk.report(docs, spark.createDataFrame(rows, CLAIM), found, F.lit(NOW), str(tmp_path / "out"))
     row = reports.collect()
-    assert [(r["document_id"], r["slug"], r["claim_count"], r["verified_count"], r["part"]) for r in row] == [("a", "my-doc-2024-06-01-000000", 1, 1, 0)]
+    assert [(r["document_id"], r["slug"], r["claim_count"], r["verified_count"], r["part"]) for r in row] == [("a", "my-doc-2024-06-01-000000-ca978112ca", 1, 1, 0)]
     assert row[0]["body"].index("(u1)") < row[0]["body"].index("(u2)")
     assert {r["document_id"]: r["reported_at"] for r in stamped.collect()} == {"a": NOW, "b": None}
-    assert [p.name for p in (tmp_path / "out").iterdir() if p.is_dir()] == ["slug=my-doc-2024-06-01-000000"]
-    written = "".join(p.read_text() for p in sorted((tmp_path / "out" / "slug=my-doc-2024-06-01-000000").glob("part-*")))
+    assert [p.name for p in (tmp_path / "out").iterdir() if p.is_dir()] == ["slug=my-doc-2024-06-01-000000-ca978112ca"]
+    written = "".join(p.read_text() for p in sorted((tmp_path / "out" / "slug=my-doc-2024-06-01-000000-ca978112ca").glob("part-*")))
     assert written == row[0]["body"]

@@ -171,3 +171,28 @@ def test_iso_dates_follow_python(spark):
 )
 def test_feed_dates(spark, raw, want):
     assert column(spark, [raw], lambda c: dates.iso_text(dates.parse_feed_date(c))) == [want]
+
+
+def test_ipv6_addresses_are_public_as_the_registries_say(spark):
+    import ipaddress
+    import random
+
+    draw = random.Random(6)
+    named = ["::", "::1", "::ffff:8.8.8.8", "64:ff9b::1", "4000::1", "1000::1", "8000::5", "f000::1", "fe00::1", "fe80::1", "fc00::1", "ff02::1", "2001:4:112::1"]
+    named += ["2001:20::1", "2001::1", "2001:db8::1", "2002::1", "2606:4700::1111", "2a00:1450:4001:81b::200e", "3fff::1", "2001:1::1", "2001:1::3", "2400::1.2.3.4"]
+    heads = [0x2001, 0x2002, 0x2000, 0x3FFF, 0x2606, 0xFC00, 0x64, 0, 0xFE80, 0xFF00, 0x5000]
+    for _ in range(300):
+        groups = [draw.choice(heads), draw.choice([0, 1, 3, 4, 0x20, 0x30, 0xDB8, 0x112, draw.randrange(65536)]), *(draw.choice([0, draw.randrange(65536)]) for _ in range(6))]
+        address = ipaddress.IPv6Address(sum(g << 16 * (7 - i) for i, g in enumerate(groups)))
+        named.append(draw.choice([address.compressed, address.exploded, address.compressed.upper()]))
+
+    def public(text):
+        a = ipaddress.ip_address(text)
+        return not (a.is_private or a.is_loopback or a.is_link_local or a.is_multicast or a.is_reserved or a.is_unspecified)
+
+    want = {ip: public(ip) for ip in named} | dict.fromkeys(["1:2:3", "2606:4700::1::2", "2606:47000::1", "2606:4700:1:2:3:4:5:6:7", ":2606::", "x", "2606:4700:1:2:3:4:5::6:7"], False)
+    assert dict(zip(want, column(spark, list(want), urls.is_public_ip), strict=True)) == want
+
+
+def test_texts_that_are_not_json_become_null(spark):
+    assert column(spark, ['{"a":"x\\u0001"}', "{broken", None], text.sanitize_json) == ['{"a":"x"}', None, None]

@@ -45,7 +45,9 @@ def test_nodes(graph):
     assert [r["id"] for r in graph_read.nodes(entities, "a", since=at(2)).collect()] == ["cam", "eng"]
     assert [r["id"] for r in graph_read.nodes(entities, "a", type_="Machine").collect()] == ["eng"]
     assert graph_read.nodes(entities, "a", limit=0).count() == 1
-    assert (graph_read.clamp(10**6), graph_read.clamp(-3)) == (500, 1)
+    assert (graph_read.page_size(500), graph_read.page_size(-3), graph_read.page_size(None)) == (500, 1, graph_read.UNLIMITED)
+    with pytest.raises(ValueError, match="limit 501"):
+        graph_read.page_size(501)
 
 
 def test_lookup_of_a_foreign_node_finds_nothing(spark, graph):

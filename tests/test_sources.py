@@ -69,7 +69,7 @@ def test_dispatch(spark, tmp_path, feed_dir):
     (tmp_path / "d" / "x.txt").write_text("x")
     got = feeds.fetch_items(spark, [("rss", feed_dir), ("files", str(tmp_path / "d"))])
     assert {r["kind"]: r["count"] for r in got.groupBy("kind").count().collect()} == {"rss": 4, "files": 1}
-    with pytest.raises(ValueError, match="unknown source kind: pigeon"):
+    with pytest.raises(ValueError, match="no reader for kind pigeon"):
         feeds.fetch_items(spark, [("pigeon", "x")])
 
 
@@ -77,7 +77,7 @@ def test_specs(spark):
     rows = [("rss", "https://a", None, "A"), ("files", None, "/d", None), ("pigeon", "x", None, None), ("rss", "", None, None)]
     good, bad = feeds.check_specs(spark.createDataFrame(rows, "kind string, url string, path string, title string"))
     assert {(r["kind"], r["locator"]) for r in good.collect()} == {("rss", "https://a"), ("files", "/d")}
-    assert sorted(r["reason"] for r in bad.collect()) == ["source of kind rss has neither url nor path", "unknown source kind: pigeon"]
+    assert sorted(r["reason"] for r in bad.collect()) == ["no reader for kind pigeon", "rss without a place: give url or path"]
 
 
 def test_page_text(spark):
