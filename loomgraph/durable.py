@@ -39,10 +39,15 @@ def run_dir(spark: SparkSession) -> str:
     return folder
 
 
+def fresh_folder(spark: SparkSession, kind: str) -> str:
+    """A name nobody has used, in the run's folder."""
+    return f"{run_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the run's folder and return a reader of the written table."""
     spark = df.sparkSession
-    path = f"{run_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, "cut")
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._stored_at = path

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.dates import parse_iso
 from loomgraph.functions.text import or_else
 from loomgraph.operators.search import search, search_newest
-from loomgraph.operators.skew import gathered, lookup, top_per_key
+from loomgraph.operators.skew import gathered, lookup, top_per_large_key
 from loomgraph.schemas import GRAPH_VIEW_LIMIT, READ_LIMIT_DEFAULT, READ_LIMIT_MAX
 
 UNLIMITED = 2**31 - 1
@@ -61,7 +61,7 @@ def nodes(
     if kb_id is not None:
         ordered = found.orderBy(*order)
         return ordered if limit is None else ordered.limit(page_size(limit))
-    return top_per_key(found, ["kb_id"], order, page_size(limit))
+    return top_per_large_key(found, ["kb_id"], order, page_size(limit))
 
 
 def nodes_search(
@@ -119,14 +119,18 @@ def neighbours(related: DataFrame) -> DataFrame:
 def related_nodes(requests: DataFrame, related: DataFrame, entities: DataFrame) -> DataFrame:
     """For each requested id, the entities exactly two undirected hops away.
 
-    Only paths that start at a requested id are walked. Direct neighbours are left out
-    even where the direct edge carries another tenant's id."""
+    Only paths that start at a requested id are walked, so the output grows with the requests. Direct
+    neighbours are left out even where the direct edge carries another tenant's id."""
     asked = requests.select("kb_id", "id").distinct().join(entities, ["kb_id", "id"], "left_semi")
     pairs = neighbours(related)
     first = pairs.join(asked, ["kb_id", "id"], "left_semi").withColumnRenamed("other", "middle")
     second = pairs.select("kb_id", F.col("id").alias("middle"), F.col("other").alias("related_id"))
     two_hops = first.join(second, ["kb_id", "middle"]).where("id <> related_id").select("kb_id", "id", "related_id").distinct()
-    direct = neighbours(related.withColumn("kb_id", F.lit(""))).select("id", F.col("other").alias("related_id"))
+    ids = asked.select("id").distinct()
+    near = related.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").unionByName(
+        related.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+    )
+    direct = neighbours(near.withColumn("kb_id", F.lit(""))).select("id", F.col("other").alias("related_id"))
     target = entities.select(
         "kb_id",
         F.col("id").alias("related_id"),
@@ -142,7 +146,7 @@ def recent_sources(sources: DataFrame, since: datetime | None = None, limit: int
     first, unless ``since`` rules it out."""
     if since is not None:
         sources = sources.where(at_least(sources, "ingested_at", since))
-    return top_per_key(sources, ["kb_id"], [F.col("ingested_at").desc_nulls_first(), F.col("job_id")], page_size(limit))
+    return top_per_large_key(sources, ["kb_id"], [F.col("ingested_at").desc_nulls_first(), F.col("job_id")], page_size(limit))
 
 
 def sources_with_entities(recent: DataFrame, mentions: DataFrame, entities: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import is_blank, or_else
 from loomgraph.operators.jobs import oldest
-from loomgraph.operators.skew import lookup, top_per_key
+from loomgraph.operators.skew import lookup, top_per_key, top_per_large_key
 from loomgraph.schemas import (
     DEFAULT_LOOKBACK_HOURS,
     POLL_ITEM_LIMIT,
@@ -49,7 +49,7 @@ def reconcile_sources(stored: DataFrame, specs: DataFrame) -> DataFrame:
 
 def polled_items(items: DataFrame, limit: int = POLL_ITEM_LIMIT) -> DataFrame:
     """Items with a body, the first ``limit`` per source in feed order (``pos``)."""
-    return top_per_key(items.where(~is_blank(F.col("text"))), ["source_id"], [F.col("pos")], limit).drop("rank")
+    return top_per_large_key(items.where(~is_blank(F.col("text"))), ["source_id"], [F.col("pos")], limit).drop("rank")
 
 
 def absent_items(stored: DataFrame, polled: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # MIN_HOT_ROWS rows are an ordinary load for one task.
 MAX_HOT_KEYS = 10_000
 MIN_HOT_ROWS = 5_000_000
+# Tasks that share a key with very many rows before its rows meet in one.
+SALTS = 32
 
 
 def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
@@ -44,6 +46,13 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, ran
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
+def top_per_large_key(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank", salts: int = SALTS) -> DataFrame:
+    """``top_per_key`` for a few keys that hold very many rows, such as tenants: each map task's first ``k`` go to one of
+    ``salts`` tasks per key, and only the first ``k`` of each of these meet in one."""
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    return top_per_key(top_per_key(salted, [*keys, "_salt"], order, k, rank).drop("_salt", rank), keys, order, k, rank)
+
+
 def gathered(df: DataFrame, keys: list[str], order: list[str], item: Column) -> DataFrame:
     """``keys, items, n``: the whole list of each key, in the order of the given columns.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import markdown as md
-from loomgraph.operators import claims, pages_text, prompts
+from loomgraph.operators import claims, infer, pages_text, prompts
 from loomgraph.operators.news import counters
 from loomgraph.plans.oracle_views import CLAIMS
 from loomgraph.plans.registry import query
@@ -360,3 +360,20 @@ def research_prompts(t: Tables) -> DataFrame:
     documents = t.documents().select(F.col("doc_id").alias("document_id"), F.col("text").alias("full_text"))
     built = prompts.research(F.col("text"), F.col("attributed_to"), F.col("context"), opposing=False)
     return claims.with_context(asked, documents).select("document_id", "pos", F.md5(built["user"]).alias("user"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN error = '' THEN md5(text) ELSE '' END AS content, error FROM (
+  SELECT doc_id, text, CASE WHEN doc_id % 7 = 0 THEN 'the answer holds no choice' WHEN doc_id % 5 = 0 THEN 'the answer was cut off at its length limit'
+    WHEN doc_id % 3 = 0 THEN 'the answer is blank' ELSE '' END AS error FROM documents)"""
+)
+def response_checks(t: Tables) -> DataFrame:
+    """Documents as model responses in JSON: some without a choice, some cut off, some blank."""
+    doc = F.col("doc_id")
+    message = F.struct(F.when(doc % 3 == 0, F.lit(" ")).otherwise(F.col("text")).alias("content"))
+    choice = F.struct(F.when(doc % 5 == 0, F.lit("length")).otherwise(F.lit("stop")).alias("finish_reason"), message.alias("message"))
+    choices = F.when(doc % 7 != 0, F.array(choice)).otherwise(F.slice(F.array(choice), 1, 0))
+    raw = t.documents().select("doc_id", F.to_json(F.struct(choices.alias("choices"))).alias("raw"))
+    content, _, error = infer.response_content(F.col("raw"))
+    blank = F.lit("")
+    return raw.select("doc_id", F.coalesce(F.md5(content), blank).alias("content"), F.coalesce(error, blank).alias("error"))

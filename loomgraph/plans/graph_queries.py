@@ -173,16 +173,21 @@ def references(t: Tables) -> DataFrame:
     return found.select("kb_id", "entity_id", "job_id", "label", _date("published_at"))
 
 
-def _suppliers(t: Tables) -> DataFrame:
-    return t.entities().where("type = 'Supplier'").select("kb_id", "id")
+def _requests(t: Tables) -> DataFrame:
+    """Pages are asked for one at a time; the query set is every supplier whose number divides by 20."""
+    number = F.element_at(F.split("id", "/"), -1).cast("bigint")
+    return t.entities().where((F.col("type") == "Supplier") & (number % 20 == 0)).select("kb_id", "id")
 
 
-_TWO_HOPS = """
+_ASKED = "type = 'Supplier' AND split_part(id, '/', 3)::BIGINT % 20 = 0"
+
+
+_TWO_HOPS = f"""
 pairs AS (SELECT kb_id, source_id AS id, target_id AS other FROM related UNION SELECT kb_id, target_id, source_id FROM related),
 two_hops AS (
   SELECT DISTINCT a.kb_id, a.id, b.other AS related_id
   FROM pairs a JOIN pairs b ON a.kb_id = b.kb_id AND a.other = b.id AND a.id <> b.other
-  JOIN entities e ON e.kb_id = a.kb_id AND e.id = a.id AND e.type = 'Supplier'),
+  JOIN (SELECT kb_id, id FROM entities WHERE {_ASKED}) e ON e.kb_id = a.kb_id AND e.id = a.id),
 near AS (
   SELECT h.kb_id, h.id, related_id, e.name AS related_name, e.type AS related_type
   FROM two_hops h JOIN entities e ON e.kb_id = h.kb_id AND e.id = related_id
@@ -191,8 +196,8 @@ near AS (
 
 @query(f"WITH {_GRAPH}, {_TWO_HOPS} SELECT kb_id, id, related_id, related_name FROM near")
 def related_two_hop(t: Tables) -> DataFrame:
-    """Suppliers two hops from each supplier: those sharing a part with it."""
-    return graph_read.related_nodes(_suppliers(t), t.related(), t.entities()).select("kb_id", "id", "related_id", "related_name")
+    """Suppliers two hops from each requested one: those sharing a part with it."""
+    return graph_read.related_nodes(_requests(t), t.related(), t.entities()).select("kb_id", "id", "related_id", "related_name")
 
 
 @query(
@@ -226,7 +231,7 @@ def nested_sources(t: Tables) -> DataFrame:
 
 @query(
     f"""WITH {_GRAPH}, {_TWO_HOPS},
-asked AS (SELECT * FROM entities WHERE type = 'Supplier')
+asked AS (SELECT * FROM entities WHERE {_ASKED})
 SELECT kb_id, id, 'body' AS section, type AS grouping, name AS item_id, coalesce(nullif(article, ''), nullif(summary, ''), '') AS text FROM asked
 UNION ALL
 SELECT r.kb_id, source_id, 'edge', r.type, target_id, b.name
@@ -237,7 +242,7 @@ SELECT m.kb_id, entity_id, 'reference', '', m.job_id::VARCHAR, concat(coalesce(s
 FROM mentions m JOIN asked a ON m.kb_id = a.kb_id AND entity_id = a.id JOIN sources s ON s.kb_id = m.kb_id AND s.job_id = m.job_id"""
 )
 def entity_page(t: Tables) -> DataFrame:
-    return graph_read.entity_page(_suppliers(t), t.entities(), t.related(), t.mentions(), t.sources())
+    return graph_read.entity_page(_requests(t), t.entities(), t.related(), t.mentions(), t.sources())
 
 
 @query(
@@ -258,6 +263,16 @@ def graph_view(t: Tables) -> DataFrame:
     return graph_read.graph_view(t.entities(), supplied)
 
 
+@query(
+    """SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS since FROM events"""
+)
+def since_arguments(t: Tables) -> DataFrame:
+    """Every event's time as a ``since`` argument; an empty one is no filter."""
+    given = F.when(F.col("event_id") % 10 == 0, F.lit("")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    parsed = graph_read.since_or_error(given)
+    return t.raw("events").select("event_id", F.coalesce(F.date_format(parsed, "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("since"))
+
+
 # --- writes -----------------------------------------------------------------------
 
 RUN = "2024-06-01"

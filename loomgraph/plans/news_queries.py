@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph import durable
 from loomgraph.operators import clustering, jobs, news, pages_text, prompts
 from loomgraph.operators.graph_read import recent_sources
 from loomgraph.plans.graph_queries import _WINDOW, _STORY_COLUMNS, _window_start, _window_stories
@@ -12,7 +15,7 @@ from loomgraph.plans.oracle_views import ENTITIES, JOBS, SOURCES
 from loomgraph.plans.registry import query
 from loomgraph.plans.resolve_queries import order_lines
 from loomgraph.plans.text_queries import CANONICAL
-from loomgraph.sources import feeds
+from loomgraph.sources import feeds, sinks
 from loomgraph.sources.tables import Tables
 
 RUN = "2024-06-01"
@@ -447,3 +450,32 @@ def poll_counters(t: Tables) -> DataFrame:
     seen = items.select("source_id").distinct().select(F.lit(True).alias("polled"))
     fresh = news.absent_items(stored, news.polled_items(items)).select(F.lit(False).alias("polled"))
     return news.counters(seen.unionByName(fresh), sources=F.col("polled"), inserted=~F.col("polled"))
+
+
+@query(
+    f"""{_ISSUE_TEXT} SELECT concat('issue-', lower(issue_id)) AS slug, count(*) AS lines, sum(length(line))::BIGINT AS chars FROM (
+  SELECT issue_id, unnest(string_split(line, chr(10))) AS line FROM text) GROUP BY 1"""
+)
+def issue_files(t: Tables) -> DataFrame:
+    """Issues written twice as Markdown files to the shared folder, and read back once."""
+    issues, stories, kept, _ = _issue_parts(t)
+    lines = durable.cut(pages_text.issue_lines(issues, stories, kept))
+    names = issues.select("issue_id", F.concat(F.lit("issue-"), F.lower("issue_id")).alias("slug"))
+    folder = durable.fresh_folder(t.spark, "issues")
+    for _ in range(2):
+        sinks.write_markdown(lines, names, "issue_id", folder)
+    return t.spark.read.text(folder).groupBy("slug").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("value")).alias("chars"))
+
+
+@query(
+    """SELECT event_type AS key, strftime(CASE WHEN event_type = 'click' THEN TIMESTAMP '2030-01-01' ELSE max(ts) END, '%Y-%m-%d %H:%M:%S') AS ran_at,
+  (SELECT count(*) FROM events e WHERE e.ts >= (SELECT max(ts) FROM events WHERE event_type = 'click')) AS since_last FROM events GROUP BY event_type"""
+)
+def covered_windows(t: Tables) -> DataFrame:
+    """Events as runs of flows by kind: what the next run of one covers, and the watermarks after it."""
+    runs = t.raw("events").select(F.col("event_type").alias("key"), F.col("ts").alias("ran_at"))
+    since = news.watermark(runs, "click", datetime(2030, 1, 1))
+    waiting = runs.where(F.col("ran_at") >= F.lit(since)).agg(F.count(F.lit(1)).alias("since_last"))
+    after = news.advance_watermark(runs, "click", datetime(2030, 1, 1)).groupBy("key").agg(F.max("ran_at").alias("ran_at"))
+    # ``waiting`` is one row.
+    return after.join(F.broadcast(waiting), F.lit(True)).select("key", F.date_format("ran_at", "yyyy-MM-dd HH:mm:ss").alias("ran_at"), "since_last")

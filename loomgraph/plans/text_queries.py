@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph import durable
 from loomgraph.functions import dates, text
 from loomgraph.functions.markdown import report_slug
 from loomgraph.functions.urls import canonical_url, host_of
@@ -186,3 +187,21 @@ def submission_metadata(t: Tables) -> DataFrame:
     items = feeds.to_items(feed_entries(t)).withColumn("m", metadata(F.col("title"), F.col("url"), F.col("published_at")))
     read = [F.coalesce(F.get_json_object("m", f"$.{k}"), F.lit("")).alias(k) for k in ("source", "url", "published_at")]
     return items.select("pos", *read)
+
+
+@query(
+    """SELECT concat('page/', page_id) AS dedup_key, url, concat('Page ', page_id) AS title, md5(trim(html, chr(10) || chr(13) || chr(9) || ' ')) AS text,
+  strftime(TIMESTAMP '2024-01-01 08:00:00' + to_days((page_id % 28)::INTEGER), '%Y-%m-%d %H:%M') AS published_at FROM pages"""
+)
+def feed_files(t: Tables) -> DataFrame:
+    """Pages written as RSS files to the shared folder and read back as items."""
+    page = F.col("page_id")
+    at = F.lit("2024-01-01 08:00:00").cast("timestamp") + F.make_dt_interval((page % 28).cast("int"))
+    entries = t.pages().select(
+        F.struct(F.concat(F.lit("page/"), page).alias("_VALUE"), F.lit("false").alias("_isPermaLink")).alias("guid"), F.col("url").alias("link"),
+        F.concat(F.lit("Page "), page).alias("title"), F.col("html").alias("description"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("pubDate"),
+    )
+    folder = durable.fresh_folder(t.spark, "feeds")
+    entries.write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(folder)
+    items = feeds.to_items(feeds.read_feeds(t.spark, folder))
+    return items.select("dedup_key", "url", "title", F.md5("text").alias("text"), F.date_format("published_at", "yyyy-MM-dd HH:mm").alias("published_at"))
