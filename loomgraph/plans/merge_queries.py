@@ -86,3 +86,50 @@ SELECT doc_id::VARCHAR AS job_id, CASE WHEN length(text) % 5 <> 0 THEN 'done' EL
 )
 def merge_jobs(t: Tables) -> DataFrame:
     return _merged(t).state.jobs.select("job_id", "status", F.col("relevance_reason").alias("reason"))
+
+
+def _discovering(t: Tables) -> knowledge.Merged:
+    """All documents into an empty graph, with types found on the way and articles written by rule."""
+    state = _state(t)
+    configs = state.configs.withColumn("discover_types", F.lit(True))
+    empty = state.entities.limit(0)
+    models = knowledge.Models(rules.relevant_by_length, rules.words_by_initial, rules.same_name, rules.kinds_by_letter, rules.counting_article)
+    state = knowledge.State(state.jobs, configs, empty, state.related, state.sources, state.mentions)
+    return knowledge.merge(state.jobs, state, models, F.lit(RUN).cast("timestamp"), "batch-1")
+
+
+_KINDS = f"""{_WORDS},
+kinds AS (
+  SELECT *, CASE unicode(name) % 3 WHEN 1 THEN concat('Kind ', name[1]) ELSE 'Person' END AS type, unicode(name) % 3 > 0 AS kept FROM words WHERE relevant)"""
+
+
+@query(
+    f"""WITH {_KINDS}
+SELECT kb_id, lower(name) AS name_normalized, type, count(*)::VARCHAR AS article, count(DISTINCT doc_id) AS sources FROM kinds WHERE kept GROUP BY 1, 2, 3"""
+)
+def merge_discovered(t: Tables) -> DataFrame:
+    """Entities under the types that the merge itself accepted, and articles folded over all their mentions."""
+    after = _discovering(t).state
+    named = after.mentions.groupBy("kb_id", F.col("entity_id").alias("id")).agg(F.count(F.lit(1)).alias("sources"))
+    return after.entities.join(named, ["kb_id", "id"]).select("kb_id", "name_normalized", "type", "article", "sources")
+
+
+@query(
+    f"""WITH {_KINDS}
+SELECT kb_id, 'Person' AS name, 0::BIGINT AS added FROM words GROUP BY kb_id
+UNION ALL SELECT kb_id, type, 1 FROM kinds WHERE kept AND type <> 'Person' GROUP BY kb_id, type"""
+)
+def discovered_types(t: Tables) -> DataFrame:
+    """Each tenant's entity types after the merge."""
+    types = _discovering(t).state.configs.select("kb_id", F.explode("entity_types").alias("t"))
+    return types.select("kb_id", "t.name", (F.col("t.description") != "").cast("bigint").alias("added"))
+
+
+@query(
+    f"""WITH {_KINDS}
+SELECT a.kb_id, a.doc_id::VARCHAR AS job_id, count(*) AS relationships_created
+FROM kinds a JOIN kinds b ON a.doc_id = b.doc_id AND b.i = a.i + 1 AND a.kept AND b.kept GROUP BY 1, 2"""
+)
+def relationships_created(t: Tables) -> DataFrame:
+    """Relationships each job's merge wrote, where both ends were accepted."""
+    return _discovering(t).counts.where("relationships_created > 0").select("kb_id", "job_id", "relationships_created")

@@ -58,3 +58,39 @@ def append_article():
         return json.dumps({"abstract": new, "article": f"{old}|{new}" if old else new})
 
     return lambda asked: [answer(r["user"]) for r in asked]
+
+
+def words_by_initial():
+    """Every capitalised word is an entity of a kind named after its first letter, next to the one before it."""
+
+    def answer(text: str) -> str:
+        words = WORD.findall(text)
+        entities = [{"name": w, "type": f"Kind {w[0]}", "description": f"{w}. A word.", "aliases": []} for w in words]
+        pairs = zip(words, words[1:], strict=False)
+        return json.dumps({"entities": entities, "relationships": [{"source_name": a, "target_name": b, "type": "NEAR"} for a, b in pairs]})
+
+    return lambda asked: [answer(r["user"]) for r in asked]
+
+
+def kinds_by_letter():
+    """Of three kinds, one is new, one means persons, and one is dropped, by the code of its letter."""
+
+    def answer(prompt: str) -> str:
+        decided = []
+        for line in prompt.split("\n")[1:]:
+            kind = line.removeprefix("- ").partition(" (e.g.")[0]
+            choice = ("drop", "new", "existing")[ord(kind[-1]) % 3]
+            decided.append({"candidate": kind, "decision": choice, "canonical": "Person", "name": kind, "description": f"like {kind}"})
+        return json.dumps({"decisions": decided})
+
+    return lambda asked: [answer(r["user"]) for r in asked]
+
+
+def counting_article():
+    """The article counts its sources."""
+
+    def answer(prompt: str) -> str:
+        old, new = prompt.split("\n\nExisting article:\n")[1].split("\n\nNew source:\n")
+        return json.dumps({"abstract": new, "article": str(int(old or 0) + 1)})
+
+    return lambda asked: [answer(r["user"]) for r in asked]
