@@ -71,7 +71,7 @@ def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @_registered
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words left of each document when every repeated window of 35 words is taken out."""
-    return strip_repeats(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return strip_repeats(table(spark, folder, "documents"), with_text=False)
 
 
 @_registered

@@ -77,16 +77,24 @@ def hashes(data: bytes) -> np.ndarray:
 
 
 def grams(words: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
-    """Hashes of all runs of ``k`` words; ``seed`` chooses the function."""
+    """Hashes of all runs of ``k`` words; ``seed`` chooses the function.
+
+    Runs are put together from runs of 1, 2, 4, ... words: ``h(a + b) = h(a) * f**b + h(b)``."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    factor = np.uint64((0xD1B54A32D192ED03 * (2 * seed + 1)) & (2**64 - 1) | 1)
-    h = np.full(n, np.uint64(k * 0x632BE59BD9B4E019 & (2**64 - 1)))
-    for i in range(k):
-        h *= factor
-        h += words[i : i + n]
-    return mix(h)
+    f = (0xD1B54A32D192ED03 * (2 * seed + 1)) & (2**64 - 1) | 1
+    done, out, size, double = 0, None, 1, words
+    while True:
+        if k & size:
+            part = double[done : done + n]
+            out = part.copy() if out is None else out * np.uint64(pow(f, size, 2**64)) + part
+            done += size
+        if size * 2 > k:
+            break
+        double = double[: len(double) - size] * np.uint64(pow(f, size, 2**64)) + double[size:]
+        size *= 2
+    return mix(out + np.uint64(k * 0x632BE59BD9B4E019 & (2**64 - 1)))
 
 
 def signed(h: np.ndarray) -> np.ndarray:
