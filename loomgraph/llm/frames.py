@@ -26,6 +26,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def hash_below(column: str, share: float | Column) -> Column:
+    """True for about a ``share`` of the values, always the same ones: those with the smallest hashes."""
+    place = (F.xxhash64(column).cast("double") + 2.0**63) / 2.0**64
+    return place < share
+
+
 def text_key(text: str | Column = "text") -> Column:
     """With ``doc_id`` it names a row by its content, so that repeated or missing ids do no harm."""
     return F.hash(text)

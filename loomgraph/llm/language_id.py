@@ -15,8 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.frames import map_rows
-from loomgraph.llm.words import utf8
+from loomgraph.llm.frames import hash_below, map_rows
+from loomgraph.llm.words import STRETCH, utf8
 
 FEATURE_BITS = 12
 ORDERS = (2, 3)
@@ -37,13 +37,15 @@ _CHUNK = 256
 
 def features(text: str | None) -> np.ndarray:
     """Square roots of the shares of hashed byte n-grams: a vector of length 1."""
-    data = np.frombuffer(utf8(text).translate(_FOLD), np.uint8).astype(np.uint32)
+    data = np.frombuffer(utf8(text).translate(_FOLD), np.uint8)
     counts = np.zeros(1 << FEATURE_BITS)
     for n in ORDERS:
-        if len(data) >= n:
-            codes = np.zeros(len(data) - n + 1, np.uint32)
+        places = len(data) - n + 1
+        for at in range(0, places, STRETCH):
+            end = min(at + STRETCH, places)
+            codes = np.zeros(end - at, np.uint32)
             for i in range(n):
-                codes = codes << np.uint32(8) | data[i : len(data) - n + 1 + i]
+                codes = codes << np.uint32(8) | data[at + i : end + i]
             codes = (codes + np.uint32(n)) * np.uint32(0x9E3779B1) >> np.uint32(32 - FEATURE_BITS)
             counts += np.bincount(codes, minlength=len(counts))
     total = counts.sum()
@@ -114,9 +116,12 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, per_language: int = SAMP
     total = counts.agg(F.sum("count")).first()[0] or 0
     names = [r.lang for r in counts.where(F.col("count") >= least_share * total).collect()]
     each = max(4, min(per_language, rows // max(1, len(names))))
+    # Four times as many ids by their hashes, so that ranking them takes no more rows than that; at most
+    # 1 / least_share languages are broadcast.
+    shares = counts.where(F.col("lang").isin(names)).select("lang", (F.lit(4.0 * each) / F.col("count")).alias("share"))
+    drawn = labelled.select("doc_id", "lang").join(F.broadcast(shares), "lang").where(hash_below("doc_id", F.col("share")))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = labelled.where(F.col("lang").isin(names)).select("doc_id", "lang").withColumn("n", F.row_number().over(first))
-    chosen = ranked.where(F.col("n") <= each).select("doc_id").distinct()
+    chosen = drawn.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).select("doc_id").distinct()
     # At most ``rows`` ids, so the broadcast is bounded.
     sample = labelled.where(F.col("lang").isin(names)).join(F.broadcast(chosen), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     found = map_rows(sample.select("doc_id", "lang", "text"), _feature_rows, "doc_id long, lang string, x binary").collect()

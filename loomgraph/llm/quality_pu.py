@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import words as W
-from loomgraph.llm.frames import map_rows
+from loomgraph.llm.frames import hash_below, map_rows
 from loomgraph.llm.language_id import fold
 
 # The network is fit on at most so many rows of each kind, those whose ids have the smallest hashes.
@@ -80,9 +80,11 @@ def _style(data: bytes) -> list[float]:
 
 def features(text: str | None) -> np.ndarray:
     data = W.utf8(text)
-    kinds = _CLASS[np.frombuffer(data, np.uint8)]
-    single = np.bincount(kinds, minlength=N_CLASSES).astype(np.float64)
-    pairs = np.bincount(kinds[:-1].astype(np.int64) * N_CLASSES + kinds[1:], minlength=N_CLASSES * N_CLASSES)
+    single, pairs = np.zeros(N_CLASSES), np.zeros(N_CLASSES * N_CLASSES)
+    for at in range(0, len(data), W.STRETCH):
+        kinds = _CLASS[np.frombuffer(data, np.uint8)[at : at + W.STRETCH + 1]]
+        single += np.bincount(kinds[: W.STRETCH], minlength=N_CLASSES)
+        pairs += np.bincount(kinds[:-1].astype(np.int64) * N_CLASSES + kinds[1:], minlength=N_CLASSES * N_CLASSES)
     n = max(1, len(data))
     return np.concatenate([np.sqrt(pairs / n), np.sqrt(single / n), _style(data)]).astype(np.float32)
 
@@ -149,8 +151,10 @@ def prior_from_scores(positives: np.ndarray, unlabelled: np.ndarray, slack: floa
     return float(np.clip(min(ratios), 0.05, 0.99))
 
 
-def _first(rows: DataFrame, n: int) -> DataFrame:
-    return rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+def _first(rows: DataFrame, n: int, total: int) -> DataFrame:
+    """The ``n`` ids with the smallest hashes; only about four times as many are looked at."""
+    few = rows.where(hash_below("doc_id", 4.0 * n / max(1, total))).select("doc_id").distinct()
+    return few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
 
 def _feature_rows(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -168,8 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, n_positive: int = SAMPLE_POSITIVES
     known = docs.select("doc_id").distinct().join(known, "doc_id").select("doc_id", "q")
     counts = {r.q: r["count"] for r in known.where("q in (0, 1)").groupBy("q").count().collect()}
     # Bounded by the two sample sizes, so the broadcast is bounded too.
-    chosen = _first(known.where("q = 1"), n_positive).withColumn("positive", F.lit(True)).unionByName(
-        _first(docs, n_unlabelled).withColumn("positive", F.lit(False))
+    chosen = _first(known.where("q = 1"), n_positive, counts.get(1, 0)).withColumn("positive", F.lit(True)).unionByName(
+        _first(docs, n_unlabelled, docs.count()).withColumn("positive", F.lit(False))
     )
     found = map_rows(
         docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text"), _feature_rows, "doc_id long, positive boolean, x binary"

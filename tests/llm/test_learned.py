@@ -138,3 +138,11 @@ def test_distance_is_jensen_shannons(spark):
     rows = spark.createDataFrame([(float(a), float(b)) for a, b in zip(p, q, strict=True)], "p double, q double")
     got = rows.select(div._entropy_term(rows["p"], rows["q"]).alias("x")).groupBy().sum("x").first()[0]
     assert abs(got - want) < 1e-12
+
+
+def test_features_of_long_texts_are_those_of_the_whole(monkeypatch):
+    text = " ".join(random.Random(2).choice(["Das", "ist", "ein", "TEST!", "§4", "é\n"]) for _ in range(3000))
+    language, quality = lid.features(text), pu.features(text)
+    monkeypatch.setattr(lid, "STRETCH", 97)
+    monkeypatch.setattr(pu.W, "STRETCH", 97)
+    assert np.allclose(lid.features(text), language) and np.allclose(pu.features(text), quality)
