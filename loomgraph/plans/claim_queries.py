@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph import durable
 from loomgraph.functions import markdown as md
 from loomgraph.operators import claims, infer, pages_text, prompts
 from loomgraph.operators.news import counters
+from loomgraph.plans import claimdesk, rules
 from loomgraph.plans.oracle_views import CLAIMS
 from loomgraph.plans.registry import query
 from loomgraph.plans.text_queries import CANONICAL
@@ -377,3 +379,32 @@ def response_checks(t: Tables) -> DataFrame:
     content, _, error = infer.response_content(F.col("raw"))
     blank = F.lit("")
     return raw.select("doc_id", F.coalesce(F.md5(content), blank).alias("content"), F.coalesce(error, blank).alias("error"))
+
+
+@query(
+    """WITH said AS (
+  SELECT doc_id AS document_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE length(line) > 0),
+chosen AS (
+  SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY length(line) % 101 DESC, n) AS r FROM said
+  WHERE n % 4 = 0 AND (length(line) % 101) / 100.0 >= 0.4 QUALIFY r <= 8)
+SELECT s.document_id, count(*) AS claims, count(r) AS checked, count(*) FILTER (r IS NOT NULL AND length(s.line) % 3 = 0) AS supported,
+  count(*) FILTER (r IS NOT NULL AND length(s.line) % 3 = 1) AS refuted, 3 * count(r) AS evidence
+FROM said s LEFT JOIN chosen c ON c.document_id = s.document_id AND c.n = s.n GROUP BY 1"""
+)
+def claim_desk(t: Tables) -> DataFrame:
+    """All documents through the desk: extracted, gated, researched both ways, grounded, judged."""
+    none = F.lit(None).cast("string")
+    documents = t.documents().select(
+        F.col("doc_id").alias("document_id"), none.alias("title"), F.col("text").alias("full_text"), F.lit(0).alias("attempts"), none.alias("error"),
+        F.lit(None).cast("timestamp").alias("extracted_at"),
+    )
+    made, stamped = claimdesk.extract(documents, rules.lines_as_claims, _stamp())
+    made = durable.cut(made)
+    found, outcomes = claimdesk.verify(made.where("selected"), stamped, rules.supports, rules.opposes, rules.judges_by_length)
+    after = claims.apply_verdicts(made, outcomes, _stamp())
+    backed = found.groupBy("claim_id").agg(F.count(F.lit(1)).alias("evidence"))
+    return after.join(backed, "claim_id", "left").groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("claims"), F.count("verdict").alias("checked"), F.count_if(F.col("verdict") == "supported").alias("supported"),
+        F.count_if(F.col("verdict") == "refuted").alias("refuted"), F.coalesce(F.sum("evidence"), F.lit(0)).alias("evidence"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph import durable
 from loomgraph.operators import clustering, jobs, news, pages_text, prompts
 from loomgraph.operators.graph_read import recent_sources
+from loomgraph.plans import newsroom, rules
 from loomgraph.plans.graph_queries import _WINDOW, _STORY_COLUMNS, _window_start, _window_stories
 from loomgraph.plans.oracle_views import ENTITIES, JOBS, SOURCES
 from loomgraph.plans.registry import query
@@ -479,3 +480,25 @@ def covered_windows(t: Tables) -> DataFrame:
     after = news.advance_watermark(runs, "click", datetime(2030, 1, 1)).groupBy("key").agg(F.max("ran_at").alias("ran_at"))
     # ``waiting`` is one row.
     return after.join(F.broadcast(waiting), F.lit(True)).select("key", F.date_format("ran_at", "yyyy-MM-dd HH:mm:ss").alias("ran_at"), "since_last")
+
+
+@query(
+    f"""{_WINDOW}, {_STORY_COLUMNS}
+SELECT 'issue' AS run, count(*) AS clusters, count(*) AS stories, 4 + (6 * count(*) + sum(size))::BIGINT AS lines, sum(size)::BIGINT AS told FROM sized WHERE kb_id = 'BUILDING'
+UNION ALL SELECT 'empty', 0, 0, 5, 0"""
+)
+def newsroom_run(t: Tables) -> DataFrame:
+    """One tenant's issue since its watermark, and the next one, for which nothing has arrived."""
+    start = _window_start(t, 30)
+    until = start + timedelta(days=30)
+    marks = t.spark.createDataFrame([(newsroom.WATERMARK, start)], "key string, ran_at timestamp_ntz").withColumn("ran_at", F.col("ran_at").cast("timestamp"))
+    described = t.entities().withColumn("aliases", F.array().cast("array<string>"))
+    rows = None
+    for run, at in (("issue", until), ("empty", until + timedelta(days=2))):
+        draft = newsroom.draft_issue("BUILDING", t.story_sources(), t.mentions(), described, marks, at, rules.story_of_sources)
+        marks = news.advance_watermark(draft.watermarks, newsroom.WATERMARK, until + timedelta(days=1))
+        told = F.regexp_extract("line", "^([0-9]+) sources$", 1)
+        counted = draft.lines.agg(F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum(F.when(told != "", told.cast("bigint"))), F.lit(0)).alias("told"))
+        row = counted.select(F.lit(run).alias("run"), F.lit(draft.report["clusters"]).cast("bigint").alias("clusters"), F.lit(draft.report["stories"]).cast("bigint").alias("stories"), "lines", "told")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows

@@ -11,7 +11,7 @@ from loomgraph.sources.tables import Tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("graph_queries", "resolve_queries", "news_queries", "claim_queries", "text_queries", "merge_queries")
+_MODULES = ("graph_queries", "resolve_queries", "news_queries", "claim_queries", "text_queries", "merge_queries", "stream_queries")
 
 
 def query(sql: str | None = None):

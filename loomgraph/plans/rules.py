@@ -94,3 +94,56 @@ def counting_article():
         return json.dumps({"abstract": new, "article": str(int(old or 0) + 1)})
 
     return lambda asked: [answer(r["user"]) for r in asked]
+
+
+def lines_as_claims():
+    """Every line of a document is a claim; its place gives its kind and its length its weight."""
+    kinds = ("empirical", "predictive", "normative", "opinion")
+
+    def answer(text: str) -> str:
+        lines = [line for line in text.split("\n") if line]
+        claims = [{"text": x, "quote": x, "claim_type": kinds[i % 4], "checkworthiness": len(x) % 101 / 100} for i, x in enumerate(lines)]
+        return json.dumps({"claims": claims})
+
+    return lambda asked: [answer(r["user"]) for r in asked]
+
+
+def _response(evidence: list[dict], cited: list[str]) -> str:
+    notes = [{"type": "url_citation", "url_citation": {"url": u, "title": "t"}} for u in cited]
+    message = {"content": json.dumps({"evidence": evidence}), "annotations": notes}
+    return json.dumps({"choices": [{"finish_reason": "stop", "message": message}]})
+
+
+def _found(stance: str, *paths: str) -> list[dict]:
+    return [{"url": f"https://e.org/{p}", "title": p, "snippet": "s", "stance": stance, "published_at": ""} for p in paths]
+
+
+def supports():
+    """Two pages for every statement, one of them twice and one not really visited."""
+    return lambda asked: [_response(_found("supports", "a", "a?utm_source=x", "b", "c"), ["https://e.org/a", "https://e.org/b"]) for _ in asked]
+
+
+def opposes():
+    """One page against every statement, and one that was not visited."""
+    return lambda asked: [_response(_found("opposes", "a", "d"), ["https://e.org/a"]) for _ in asked]
+
+
+def judges_by_length():
+    """The verdict follows the length of the statement."""
+    verdicts = ("supported", "refuted", "unverifiable")
+
+    def answer(prompt: str) -> str:
+        statement = prompt.partition("\n")[0].removeprefix("Statement: ")
+        return json.dumps({"verdict": verdicts[len(statement) % 3], "confidence": 0.5, "rationale": "by length"})
+
+    return lambda asked: [answer(r["user"]) for r in asked]
+
+
+def story_of_sources():
+    """A story tells how many sources it has."""
+
+    def answer(prompt: str) -> str:
+        n = prompt.partition("### Sources\n")[2].count("\n- ") + 1
+        return json.dumps({"headline": "A story", "body": f"{n} sources"})
+
+    return lambda asked: [answer(r["user"]) for r in asked]
