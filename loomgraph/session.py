@@ -58,6 +58,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     )
     for key, value in RUNTIME.items():
         builder = builder.config(key, value)
+    if "spark.checkpoint.dir" not in builder._options:
+        # One machine: its own temporary folder is the shared one.
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="loomgraph-"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return prepare(spark)
