@@ -193,8 +193,8 @@ def reportable(documents: DataFrame, claims: DataFrame, n: int = REPORT_BATCH) -
     The batch is cut before the check, so blocked documents use up their places."""
     due = documents.where(F.col("extracted_at").isNotNull() & F.col("reported_at").isNull())
     batch = durable.cut(oldest(due, ["extracted_at", "document_id"], n))
-    # The batch has at most n rows: broadcast, so that the claims are scanned but not shuffled.
-    asked = F.broadcast(batch.select("document_id"))
+    # The batch is a written table, so Spark broadcasts it by its size and scans the claims without a shuffle.
+    asked = batch.select("document_id")
     waiting = claims.where(pending()).join(asked, "document_id", "left_semi").select("document_id").distinct()
     return batch.join(waiting, "document_id", "left_anti")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import durable
-from loomgraph.operators.skew import attach, top_per_key
+from loomgraph.operators.skew import top_per_key
 from loomgraph.schemas import CLUSTER_MAX_SOURCES
 
 
@@ -14,11 +14,11 @@ def source_links(mentions: DataFrame) -> DataFrame:
     """Edges ``kb_id, a, b`` from every source of an entity to the entity's smallest source.
 
     An entity named by ``n`` sources gives ``n - 1`` edges, never ``n * n``; its minimum
-    comes from a map-side aggregate, and attaching it back treats hub entities apart."""
+    comes from a map-side aggregate, and AQE splits the partition of a hub when it is joined back."""
     keys = ["kb_id", "entity_id"]
-    mentions, counted = durable.cut_counted(mentions.select(*keys, "job_id"))
+    mentions = mentions.select(*keys, "job_id")
     least = mentions.groupBy(*keys).agg(F.min("job_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    linked = attach(mentions, least, keys, counted["n"])
+    linked = mentions.join(least, keys)
     return linked.where("job_id > b").select("kb_id", F.col("job_id").alias("a"), "b").distinct()
 
 
@@ -43,7 +43,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     forest = False
     while counted["n"]:
         parent = edges.groupBy("kb_id", F.col("a").alias("b")).agg(F.min("b").alias("m"))
-        lifted = attach(edges, parent, ["kb_id", "b"], counted["n"], "left").select(
+        lifted = edges.join(parent, ["kb_id", "b"], "left").select(
             "kb_id", "a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved")
         )
         edges, counted = _distinct(lifted, edges)
@@ -53,7 +53,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = edges.groupBy("kb_id", "a").agg(F.min("b").alias("m"))
         pair = F.struct(F.col("a"), F.col("m").alias("b"), F.lit(False).alias("moved"))
         other = F.struct(F.col("b").alias("a"), F.col("m").alias("b"), F.lit(True).alias("moved"))
-        pulled = attach(edges, least, ["kb_id", "a"], counted["n"]).select(
+        pulled = edges.join(least, ["kb_id", "a"]).select(
             "kb_id", F.inline(F.when(F.col("b") == F.col("m"), F.array(pair)).otherwise(F.array(pair, other)))
         )
         edges, counted = _distinct(pulled, edges)

@@ -5,30 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# At most this many keys can each hold more than 1/MAX_HOT_KEYS of the rows, so a
-# table of hot keys never exceeds this size and may always be broadcast. Keys below
-# MIN_HOT_ROWS rows are an ordinary load for one task.
-MAX_HOT_KEYS = 10_000
-MIN_HOT_ROWS = 5_000_000
 # Tasks that share a key with very many rows before its rows meet in one.
 SALTS = 32
 
 
-def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
-    """Many-to-one join (inner or left) of ``rows`` with ``per_key`` (unique on ``keys``).
-
-    ``total`` is the number of ``rows``. Keys with more than ``total / MAX_HOT_KEYS`` of them are
-    joined by broadcast and are never shuffled; all others take an ordinary shuffled join.
-    The result is the plain join."""
-    limit = max(MIN_HOT_ROWS, total // MAX_HOT_KEYS)
-    if total <= limit:
-        return rows.join(per_key, keys, how)
-    hot_keys = F.broadcast(rows.groupBy(*keys).count().where(F.col("count") > limit).select(*keys))
-    hot = F.broadcast(per_key.join(hot_keys, keys, "left_semi"))
-    joined_hot = rows.join(hot_keys, keys, "left_semi").join(hot, keys, how)
-    return joined_hot.unionByName(rows.join(hot_keys, keys, "left_anti").join(per_key, keys, how))
-
-
 def lookup(requests: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Left join of ``requests`` with ``table``, moving only the table rows that are asked for.
 
