@@ -42,3 +42,17 @@ def test_query_matches_its_sql(spark, duck, name):
     want = rows(columns, cursor.fetchall())
     assert sorted(df.columns) == sorted(columns)
     assert rows(df.columns, df.collect()) == want and want
+
+
+def test_stored_views_follow_their_files(spark, tmp_path):
+    """A file added to the folder between two runs is seen by the second one."""
+    from loomgraph.sources.tables import Tables
+
+    lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+    for name in ("orders", "customer"):
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    lines.where("l_orderkey % 2 = 0").write.parquet(f"{tmp_path}/lineitem.parquet")
+    half = Tables(spark, str(tmp_path)).mentions().count()
+    assert Tables(spark, str(tmp_path)).mentions().count() == half
+    lines.where("l_orderkey % 2 = 1").write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    assert Tables(spark, str(tmp_path)).mentions().count() == Tables(spark, FOLDER).mentions().count() > half
