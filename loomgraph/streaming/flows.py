@@ -10,8 +10,10 @@ from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from loomgraph import durable
 from loomgraph.operators import graph_read, news
 from loomgraph.plans import knowledge
 from loomgraph.streaming.store import TableStore
@@ -87,16 +89,12 @@ def insert_new_items(items: DataFrame, path: str, checkpoint: str) -> StreamingQ
 
 
 def _others(spark: SparkSession, path: str, schema, stream: str, batch_id: int) -> DataFrame:
-    from pyspark.errors import AnalysisException
-
-    try:
-        table = spark.read.parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
+    if not durable.exists(spark, path):
         return spark.createDataFrame([], schema)
+    stored = schema.fieldNames()
+    table = spark.read.schema(T.StructType([*schema, T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType())])).parquet(path)
     own = (F.col("stream") == stream) & (F.col("batch") == batch_id)
-    return table.where(~own).drop("stream", "batch")
+    return table.where(~own).select(*stored)
 
 
 def daily_sources(sources: DataFrame, late: str = "1 day") -> DataFrame:
