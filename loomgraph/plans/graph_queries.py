@@ -23,7 +23,7 @@ def _date(name: str, fmt: str = "yyyy-MM-dd") -> F.Column:
 
 
 def _window_start(t: Tables, days: int):
-    """Watermark: so many days before the newest order; one value read from file statistics."""
+    """Watermark: so many days before the newest order; one maximum over a date column."""
     return t.raw("orders").agg(F.max("o_orderdate")).first()[0] - timedelta(days=days)
 
 

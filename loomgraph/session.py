@@ -8,14 +8,15 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
-# Runtime settings: UTC clocks, run-time re-planning, and skewed sort-merge joins
-# split by AQE even where that costs one more exchange.
+# Runtime settings: UTC clocks, run-time re-planning, skewed sort-merge joins split by AQE
+# even where that costs one more exchange, and Arrow batches bounded by bytes, as rows hold whole texts.
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
 }
 
 
