@@ -20,11 +20,10 @@ from loomgraph.llm.words import STRETCH, utf8
 
 FEATURE_BITS = 12
 ORDERS = (2, 3)
-# The classifiers are fit on at most this many labelled rows, and at most so many of one language.
+# The classifiers are fit on about this many labelled rows, at most so many and at least so many (if there are) of one language.
 SAMPLE_ROWS = 4000
 SAMPLE_PER_LANGUAGE = 500
-# A language needs this share of the labelled rows, so there are never more than its inverse.
-LEAST_SHARE = 0.001
+LEAST_PER_LANGUAGE = 4
 STEPS = 150
 PENALTY = 1e-4
 AMBIGUOUS_LEAD = 0.2
@@ -80,8 +79,9 @@ class Model:
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities of the languages for rows of features; the order of the languages, best first."""
         margins = x @ self.weights + self.bias
-        losses = np.logaddexp(0, -self.code[None] * margins[:, None, :])
-        distance = (losses * self.trust[None]).sum(axis=2) * self.code.shape[1]
+        # A bit's loss depends on its sign alone, so no array has rows by languages by bits.
+        distance = np.logaddexp(0, -margins) @ (self.trust * (self.code > 0)).T + np.logaddexp(0, margins) @ (self.trust * (self.code < 0)).T
+        distance = distance * self.code.shape[1]
         p = np.exp(distance.min(axis=1, keepdims=True) - distance)
         p /= p.sum(axis=1, keepdims=True)
         return p, np.argsort(-p, axis=1, kind="stable")
@@ -91,7 +91,8 @@ def fit(x: np.ndarray, languages: list[str]) -> Model:
     """Logistic regression per bit by accelerated gradient steps; every language weighs the same."""
     names = sorted(set(languages))
     code = codewords(len(names))
-    of = np.array([names.index(v) for v in languages], int)
+    place = {v: i for i, v in enumerate(names)}
+    of = np.array([place[v] for v in languages], int)
     y = code[of]
     share = 1 / np.bincount(of, minlength=len(names))[of] / max(1, len(names)) if len(of) else np.zeros(0)
     w, bias = np.zeros((x.shape[1], code.shape[1])), np.zeros(code.shape[1])
@@ -109,23 +110,24 @@ def fit(x: np.ndarray, languages: list[str]) -> Model:
     return Model(names, code, w.astype(np.float32), bias, trust / np.maximum(trust.sum(axis=1, keepdims=True), 1e-9))
 
 
-def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, per_language: int = SAMPLE_PER_LANGUAGE, least_share: float = LEAST_SHARE) -> Model:
-    """Fit on a sample of ``labelled`` (``doc_id, text, lang``): of each language the rows whose ids have the smallest hashes."""
+def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
+    """Fit on a sample of ``labelled`` (``doc_id, text, lang``): of each language the rows whose ids have the smallest hashes.
+
+    Every language with a labelled row is learned, however rare; with more than ``rows / 4`` of them the sample is four rows of each."""
     labelled = labelled.where("lang is not null and doc_id is not null")
-    counts = labelled.groupBy("lang").count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    names = [r.lang for r in counts.where(F.col("count") >= least_share * total).collect()]
-    each = max(4, min(per_language, rows // max(1, len(names))))
-    # Four times as many ids by their hashes, so that ranking them takes no more rows than that; at most
-    # 1 / least_share languages are broadcast.
-    shares = counts.where(F.col("lang").isin(names)).select("lang", (F.lit(4.0 * each) / F.col("count")).alias("share"))
+    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    each = max(LEAST_PER_LANGUAGE, min(per_language, rows // max(1, len(counts))))
+    # Four times as many ids by their hashes, so that ranking them takes no more rows than that. The model on the driver
+    # has a codeword for each language, so one row for each can be broadcast.
+    shares = labelled.sparkSession.createDataFrame([(v, 4.0 * each / n) for v, n in counts.items()], "lang string, share double")
     drawn = labelled.select("doc_id", "lang").join(F.broadcast(shares), "lang").where(hash_below("doc_id", F.col("share")))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = drawn.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).select("doc_id").distinct()
-    # At most ``rows`` ids, so the broadcast is bounded.
-    sample = labelled.where(F.col("lang").isin(names)).join(F.broadcast(chosen), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    ids = drawn.select("doc_id", "lang").distinct()
+    chosen = ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).select("doc_id", "lang")
+    # At most ``each`` ids a language, so the broadcast is as small as the sample. An id may have rows in several languages.
+    sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").dropDuplicates(["doc_id", "lang"])
     found = map_rows(sample.select("doc_id", "lang", "text"), _feature_rows, "doc_id long, lang string, x binary").collect()
-    found.sort(key=lambda r: r.doc_id)
+    found.sort(key=lambda r: (r.doc_id, r.lang))
     x = np.array([np.frombuffer(r.x, np.float32) for r in found]).reshape(len(found), 1 << FEATURE_BITS)
     return fit(x, [r.lang for r in found])
 

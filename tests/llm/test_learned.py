@@ -146,3 +146,31 @@ def test_features_of_long_texts_are_those_of_the_whole(monkeypatch):
     monkeypatch.setattr(lid, "STRETCH", 97)
     monkeypatch.setattr(pu.W, "STRETCH", 97)
     assert np.allclose(lid.features(text), language) and np.allclose(pu.features(text), quality)
+
+def test_rare_languages_are_learned(spark):
+    # "yy" holds 6 of 9 006 labelled rows, under a thousandth.
+    draw = random.Random(4)
+    rows = [(i, *r[1:]) for i, r in enumerate(r for r in _languages(draw, 30_000) if r[1] == "en")]
+    common = [rows[i % len(rows)] for i in range(9_000)]
+    rare = [(10_000 + i, *r[1:]) for i, r in enumerate(r for r in _languages(draw, 600) if r[1] == "yy")]
+    labelled = [(i, *r[1:]) for i, r in enumerate(common)] + rare[:6]
+    model = lid.train(spark.createDataFrame(labelled, "doc_id long, lang string, text string"))
+    assert model.languages == ["en", "yy"]
+    got = lid.identify(spark.createDataFrame(rare[6:], "doc_id long, lang string, text string"), model).collect()
+    assert np.mean([r.lang_pred == "yy" for r in got]) > 0.97
+
+
+def test_an_id_in_two_languages_hides_neither(spark):
+    rows = [(i % 3, lang, f"{lang} {i}") for i, lang in enumerate(["aa"] * 9 + ["bb"] * 3)]
+    assert lid.train(spark.createDataFrame(rows, "doc_id long, lang string, text string")).languages == ["aa", "bb"]
+
+
+def test_decoding_sums_losses_over_bits():
+    draw = np.random.default_rng(1)
+    code = lid.codewords(9)
+    model = lid.Model([str(i) for i in range(9)], code, draw.normal(size=(20, code.shape[1])), draw.normal(size=code.shape[1]), draw.random(code.shape))
+    x = draw.random((5, 20))
+    margins = x @ model.weights + model.bias
+    distance = (np.logaddexp(0, -code[None] * margins[:, None, :]) * model.trust[None]).sum(axis=2) * code.shape[1]
+    want = np.exp(distance.min(axis=1, keepdims=True) - distance)
+    assert np.allclose(model.decode(x)[0], want / want.sum(axis=1, keepdims=True))
