@@ -14,11 +14,13 @@ from loomgraph import durable
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
-# Tests and their guards. A language needs this share of the rows for a reference of its own, so references are few.
+# Tests and their guards.
 MAX_CLASS_DISTANCE = 0.3
 MAX_WORD_DISTANCE = 0.55
 MIN_CHARS = 200
 MIN_LETTER_WORDS = 100
+# Read by the SQL of ``loomgraph.llm.sql`` alone, which still compares rarer languages with all rows; here every
+# language has a reference, so the two agree where no language is below this share of the rows.
 LEAST_SHARE = 0.001
 
 # Frequent function words of four languages.
@@ -106,20 +108,17 @@ def _entropy_term(p: Column, q: Column) -> Column:
     return (side(p) + side(q)) / 2
 
 
-def references(counted: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
-    """Per language with at least ``least_share`` of the rows, and for ``''`` over all rows: shares of the character
-    classes (array) and of the common words (map). Never more than ``1 / least_share + 1`` rows."""
+def references(counted: DataFrame) -> DataFrame:
+    """Per language, however rare, and for ``''`` over all rows: shares of the character classes (array) and of the
+    common words (map)."""
     keyed = counted.where("lang is not null and lang <> ''").select(F.col("lang").alias("ref"), "classes", "counts", "n_letters").unionByName(
         counted.select(F.lit("").alias("ref"), "classes", "counts", "n_letters")
     )
     sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))]
-    totals = keyed.groupBy("ref").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_letters").alias("letters"), *sums)
-    everything = totals.where("ref = ''").select(F.col("rows").alias("all_rows"))
-    # ``everything`` is one row: the bound of the languages kept.
-    totals = totals.join(F.broadcast(everything), F.col("rows") >= least_share * F.col("all_rows")).drop("all_rows")
+    totals = keyed.groupBy("ref").agg(F.sum("n_letters").alias("letters"), *sums)
     each = keyed.select("ref", F.inline("counts")).groupBy("ref", "w").agg(F.sum("n").alias("n"))
     shares = (
-        each.join(F.broadcast(totals.select("ref", "letters")), "ref")
+        each.join(totals.select("ref", "letters"), "ref")
         .groupBy("ref")
         .agg(F.map_from_entries(F.collect_list(F.struct("w", F.col("n") / F.col("letters")))).alias("word_shares"))
     )
@@ -130,7 +129,8 @@ def references(counted: DataFrame, least_share: float = LEAST_SHARE) -> DataFram
 
 def distances(counted: DataFrame, refs: DataFrame) -> DataFrame:
     """``counted`` with ``class_distance`` and ``word_distance`` to its language, or to all rows if that has no reference."""
-    own = F.broadcast(refs.where("ref <> ''"))
+    # As many rows as there are languages: Spark broadcasts them if they are small, or else joins by key.
+    own = refs.where("ref <> ''")
     rest = F.broadcast(refs.where("ref = ''").withColumnsRenamed({"ref": "all_ref", "class_shares": "all_classes", "word_shares": "all_words"}))
     rows = counted.join(own, F.col("lang") == F.col("ref"), "left")
     rows = rows.withColumn("fallback", F.when(F.col("ref").isNull(), F.lit(""))).join(rest, F.col("fallback") == F.col("all_ref"), "left")
@@ -171,8 +171,8 @@ def judge(
 
     ``base_failed``: fewer than 50 words, or over half of them in three-word runs found twice. Else a row is dropped if
     its characters are too far from its language's and it has ``min_chars``, or its common words are and it has
-    ``min_letter_words`` words of letters. Null texts count as empty; rows of null or rare languages are compared with all
-    rows; repeated rows and null ids are rows like others; an empty table gives no rows; other columns are ignored."""
+    ``min_letter_words`` words of letters. Null texts count as empty; rows of null or empty ``lang``, and of a language
+    none of whose rows passes the plain rules, are compared with all rows; repeated rows and null ids are rows like others; an empty table gives no rows; other columns are ignored."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     counted = durable.cut(features(docs))
     rows = distances(counted, durable.cut(references(counted.where(~failed))))

@@ -174,3 +174,19 @@ def test_decoding_sums_losses_over_bits():
     distance = (np.logaddexp(0, -code[None] * margins[:, None, :]) * model.trust[None]).sum(axis=2) * code.shape[1]
     want = np.exp(distance.min(axis=1, keepdims=True) - distance)
     assert np.allclose(model.decode(x)[0], want / want.sum(axis=1, keepdims=True))
+
+
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_rare_languages_have_their_own_reference(spark, threshold):
+    # Two of 2 102 rows are Greek, under a thousandth.
+    draw = random.Random(3)
+    made = lambda letters: " ".join("".join(draw.choice(letters) for _ in range(draw.randint(3, 7))) for _ in range(60))
+    rows = [(i, made("abcdefghij"), "en") for i in range(2_100)] + [(5_000 + i, made("αβγδεζηθικ"), "el") for i in range(2)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = {r.doc_id: r for r in div.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == len(rows) and all(r.kept for r in got.values())
+    assert all(got[5_000 + i].class_distance < div.MAX_CLASS_DISTANCE for i in range(2))
