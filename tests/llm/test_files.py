@@ -169,6 +169,16 @@ def test_pipeline_on_odd_rows(spark):
     assert _run_stages(spark, docs.limit(0), FOLDER).count() == 0
 
 
+def test_near_duplicates_go_by_id_and_text(spark):
+    draw = random.Random(5)
+    a, b, c, d = (" ".join(f"{draw.randrange(10**6)}" for _ in range(40)) for _ in range(4))
+    rows = [(7, a), (7, b), (7, b), (3, b + " end"), (7, c), (9, c), (None, d), (None, d), (None, a), (8, None), (8, ""), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 4):
+        got = sorted((tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(parts), "").collect()), key=str)
+        assert got == sorted([(7, a), (3, b + " end"), (7, c), (None, d), (8, None), (8, ""), (5, "")], key=str)
+
+
 def test_all_queries_are_registered():
     names = {n.split("_")[0] for n in entry.queries() if n.startswith("op")}
     assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in entry.queries()
