@@ -32,9 +32,11 @@ def hash_below(column: str, share: float | Column) -> Column:
     return place < share
 
 
-def text_key(text: str | Column = "text") -> Column:
-    """With ``doc_id`` it names a row by its content, so that repeated or missing ids do no harm."""
-    return F.hash(text)
+def text_key(text: str | Column = "text") -> list[Column]:
+    """``key`` and ``chars``: with ``doc_id`` they name a row by its content, so that repeated or missing ids do no harm.
+
+    Very many rows may share an id, so both a 64-bit hash and the length have to agree."""
+    return [F.xxhash64(text).alias("key"), F.coalesce(F.length(text), F.lit(-1)).alias("chars")]
 
 
 def _values(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import plain
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import near_dedup as near
 from loomgraph.llm import words as W
@@ -61,6 +62,17 @@ def test_strip_repeats(spark, window, seed):
     assert any(r[2] for r in got) and strip_repeats(docs.limit(0)).count() == 0
 
 
+def test_texts_of_one_id_with_equal_short_hashes_stay_apart(spark):
+    shared, lone = " ".join(f"s{i}" for i in range(40)), " ".join(f"q{i}" for i in range(37))
+    ends = spark.range(200_000).select(F.concat(F.lit(" e"), "id").alias("end"))
+    left = ends.select(F.concat(F.lit(shared), "end").alias("a")).withColumn("h", F.hash("a"))
+    right = ends.select(F.concat(F.lit(lone), "end").alias("b")).withColumn("h", F.hash("b"))
+    a, b = left.join(right, "h").select("a", "b").orderBy("a", "b").first()
+    rows = [(None, a), (None, b), (1, f"{shared} another end")]
+    got = sorted((tuple(r) for r in strip_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == plain.stripped(rows, 35)
+
+
 def _edited(draw, n):
     rows = []
     for i in range(n):
