@@ -7,8 +7,9 @@ import zlib
 import plain
 import pytest
 
+import corpus_pipeline
 from loomgraph.llm import decontaminate as dec
-from loomgraph.llm import licenses
+from loomgraph.llm import licenses, queries
 from loomgraph.llm import secret_scan as sec
 
 
@@ -132,6 +133,29 @@ def test_contamination(spark, block_chars):
     assert dec.contamination(docs, bench.limit(0)).count() == 0 and dec.contamination(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("block_chars", [2_000_000, 10])
+def test_short_items_and_items_without_id(spark, block_chars):
+    items = [(1, "Why  not?"), (2, "日本の首都は東京です"), (None, "a question that has no id"), (4, " "), (5, "cat"), (6, "क")]
+    texts = ["so WHY NOT? he said", "why nothing", "何、日本の首都は東京ですか", "x a question that has no id y", "concatenate", "(cat)", "कि", "", None, "cats cat cat"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dec.contamination(docs, bench, block_chars=block_chars, short=True).collect()
+    assert {tuple(r) for r in got} == {(0, 1, 0, 3, 11), (2, 2, 0, 2, 12), (3, None, 0, 2, 27), (5, 5, 0, 1, 4), (9, 5, 0, 5, 8)}
+    assert {r.doc_id for r in dec.decontaminated(docs, bench, block_chars=block_chars, short=True).collect()} == {1, 4, 6, 7, 8}
+    assert {r.doc_id for r in dec.decontaminated(docs, bench, block_chars=block_chars).collect()} == {*range(10)} - {3}
+
+
+def test_the_registered_run_looks_for_short_items(spark, monkeypatch):
+    tables = {
+        "documents": spark.createDataFrame([(1, "so why not? he said"), (2, "other")], "doc_id long, text string"),
+        "benchmark": spark.createDataFrame([(9, "Why not?")], "item_id long, text string"),
+    }
+    monkeypatch.setattr(queries, "table", lambda s, folder, name: tables[name])
+    monkeypatch.setattr(corpus_pipeline, "table", lambda s, folder, name: tables[name])
+    assert [(r.doc_id, r.item_id) for r in queries.QUERIES["op8_benchmark_decontamination"](spark, "").collect()] == [(1, 9)]
+    assert [r.doc_id for r in corpus_pipeline.decontamination(spark, tables["documents"], "").collect()] == [2]
+
+
 def test_licenses_are_own_or_inherited(spark):
     mit, apache = "Released under the MIT License.", "x\nLicensed under the Apache License, Version 2.0.\ny"
     full = next(t for name, t in licenses.TEMPLATES if name == "GPL-3.0" and len(t) > 200)
