@@ -16,6 +16,7 @@ from loomgraph.llm.packing import pack
 from loomgraph.llm.quality_pu import held_out_scores
 from loomgraph.llm.sql import WARC, divergence_sql
 from loomgraph.llm.substring_dedup import strip_repeats
+from loomgraph.llm.suffix_dedup import strip_repeated_bytes
 from loomgraph.llm.warc import round_trip
 
 # Shards of 16 MB of pages, files of 8 MB: the given tables are small.
@@ -100,6 +101,12 @@ def op10_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@_registered
+def op11_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes left of each document when every repeated string of 400 bytes is taken out."""
+    return strip_repeated_bytes(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
