@@ -44,11 +44,12 @@ def fresh_folder(spark: SparkSession, kind: str) -> str:
     return f"{run_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the run's folder and return a reader of the written table."""
+def cut(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` to the run's folder and return a reader of the written table; the columns it is partitioned by, if any,
+    are its last ones."""
     spark = df.sparkSession
     path = fresh_folder(spark, "cut")
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._stored_at = path
     return table
