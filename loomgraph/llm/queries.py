@@ -10,20 +10,27 @@ from loomgraph.llm import licenses, secret_scan
 from loomgraph.llm.decontaminate import contamination
 from loomgraph.llm.divergence import judge
 from loomgraph.llm.frames import table
+from loomgraph.llm.hard_negatives import mined, relabelled
 from loomgraph.llm.language_id import held_out_languages
 from loomgraph.llm.near_dedup import near_duplicates
 from loomgraph.llm.packing import pack
 from loomgraph.llm.quality_pu import held_out_scores
-from loomgraph.llm.sql import WARC, divergence_sql
+from loomgraph.llm.sql import WARC, divergence_sql, hard_negatives_sql, vector_codes_sql
 from loomgraph.llm.substring_dedup import strip_repeats
 from loomgraph.llm.suffix_dedup import strip_repeated_bytes
+from loomgraph.llm.vector_codes import compressed
 from loomgraph.llm.warc import round_trip
 
 # Shards of 16 MB of pages, files of 8 MB: the given tables are small.
 ARCHIVES = {"shard_bytes": 16 << 20, "roll_bytes": 8 << 20}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {"op3_divergence_rules": divergence_sql(), "op10_warc_round_trip": WARC}
+SQL: dict[str, str] = {
+    "op3_divergence_rules": divergence_sql(),
+    "op10_warc_round_trip": WARC,
+    "op12_vector_codes": vector_codes_sql(),
+    "op13_hard_negatives": hard_negatives_sql(),
+}
 
 
 def public_vocabulary() -> dict[str, str]:
@@ -107,6 +114,18 @@ def op11_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return strip_repeated_bytes(table(spark, folder, "documents"))
 
 
+@_registered
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Code of each vector, four bytes long, with its error and that of its label."""
+    return compressed(table(spark, folder, "embeddings"))
+
+
+@_registered
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, for each of its nearest neighbours of the same label."""
+    return mined(relabelled(table(spark, folder, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from loomgraph.llm import divergence as D
+from loomgraph.llm import hard_negatives as H
+from loomgraph.llm import vector_codes as V
 
 WARC = """
 WITH payloads AS (
@@ -21,6 +23,80 @@ FROM grouped
 """
 
 
+def _whole_vectors(scale: int) -> str:
+    """Integer vectors of the rows that count, of the most frequent length."""
+    return f"""
+finite AS (
+  SELECT vec_id, label, embedding AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), usual AS (
+  SELECT len(v) AS d FROM finite GROUP BY d ORDER BY count(*) DESC, d DESC LIMIT 1
+), whole AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(v, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS x
+  FROM finite WHERE len(v) = (SELECT d FROM usual)
+)"""
+
+
+def vector_codes_sql() -> str:
+    steps = []
+    for k in range(V.ROUNDS + 1):
+        steps.append(f"""placed{k} AS MATERIALIZED (
+  SELECT r, position, min(CAST(list_dot_product(p.x, p.x) - 2 * list_dot_product(p.x, b.x) + list_dot_product(b.x, b.x) AS BIGINT) * {V.ENTRIES} + entry) AS best
+  FROM parts p JOIN book{k} b USING (position) GROUP BY r, position
+)""")
+        if k < V.ROUNDS:
+            steps.append(f"""mean{k} AS (
+  SELECT position, entry, list(CAST(floor(s / n) AS DOUBLE) ORDER BY i) AS x FROM (
+    SELECT position, best % {V.ENTRIES} AS entry, i, sum(x[i]) AS s, count(*) AS n
+    FROM placed{k} JOIN parts USING (r, position), range(1, (SELECT d // {V.PARTS} FROM usual) + 1) AS o(i) GROUP BY ALL)
+  GROUP BY position, entry
+), book{k + 1} AS MATERIALIZED (
+  SELECT position, entry, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN mean{k} m USING (position, entry)
+)""")
+    last = V.ROUNDS
+    return f"""
+WITH {_whole_vectors(V.SCALE)}, parts AS MATERIALIZED (
+  SELECT r, p AS position, x[p * d // {V.PARTS} + 1 : (p + 1) * d // {V.PARTS}] AS x FROM whole, usual, range(0, {V.PARTS}) AS o(p)
+), first AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS entry, x
+  FROM (SELECT vec_id, min(x) AS x FROM whole WHERE vec_id IS NOT NULL GROUP BY vec_id ORDER BY vec_id LIMIT {V.ENTRIES})
+), book0 AS (
+  SELECT p AS position, entry, x[p * d // {V.PARTS} + 1 : (p + 1) * d // {V.PARTS}] AS x FROM first, usual, range(0, {V.PARTS}) AS o(p)
+), {", ".join(steps)}, coded AS (
+  SELECT r, string_agg(printf('%02x', best % {V.ENTRIES}), '' ORDER BY position) AS code, CAST(sum(best // {V.ENTRIES}) AS BIGINT) AS error
+  FROM placed{last} GROUP BY r
+), print AS (
+  SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY position, entry, i)) AS codebooks_sha256
+  FROM (SELECT position, entry, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM book{last})
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM whole JOIN coded USING (r), print
+"""
+
+
+def hard_negatives_sql(every: int = 100) -> str:
+    return f"""
+WITH {_whole_vectors(H.SCALE)}, rows AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, x FROM whole WHERE vec_id IS NOT NULL AND label IS NOT NULL
+), anchors AS (
+  SELECT row_number() OVER () AS a, vec_id AS anchor_id, label, x FROM rows WHERE vec_id % {every} = 0
+), scored AS MATERIALIZED (
+  SELECT a, anchor_id, b.vec_id, b.label = q.label AS alike, CAST(list_dot_product(q.x, b.x) AS BIGINT) AS score FROM anchors q, rows b
+), alike AS (
+  SELECT a, anchor_id, vec_id AS positive_id, max(score) AS positive_score,
+         row_number() OVER (PARTITION BY a ORDER BY max(score) DESC, vec_id) AS nth
+  FROM scored WHERE alike AND vec_id <> anchor_id GROUP BY a, anchor_id, vec_id
+), fitting AS (
+  SELECT p.a, p.anchor_id, positive_id, positive_score, vec_id AS negative_id, max(score) AS negative_score
+  FROM alike p JOIN scored s USING (a)
+  WHERE nth <= {H.POSITIVES} AND NOT s.alike AND {H.LOW} * positive_score <= 100 * score AND 100 * score <= {H.HIGH} * positive_score
+  GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY a, positive_id ORDER BY negative_score DESC, negative_id) AS nth FROM fitting
+)
+SELECT anchor_id, positive_id, CAST(nth AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE nth <= {H.NEGATIVES}
+"""
+
+
 def _quoted(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 

@@ -34,6 +34,7 @@ SCALE = 1024
 # Scaled components are held to this size, so that sums of them fit a long; and rows one owner may hold.
 MOST = 1 << 30
 OWNER_ROWS = 100_000
+OWNER = ("position", "entry", "salt")
 _LONG = (1 << 63) - 1
 _CHUNK = 4096
 
@@ -62,6 +63,8 @@ def common_size(rows: DataFrame, vector: str) -> tuple[int, int]:
 def arrays(batch: pa.RecordBatch, column: str) -> np.ndarray:
     """A column of lists of one length as a matrix."""
     lists = batch.column(column)
+    if not len(lists):
+        return np.zeros((0, 0), np.int64)
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(lists), -1)
 
@@ -94,10 +97,6 @@ def _mapped(df: DataFrame, make, schema: str) -> DataFrame:
     return df.mapInArrow(run, parsed)
 
 
-def _lists(matrix: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(np.arange(0, matrix.size + 1, max(1, matrix.shape[1]), dtype=np.int32)[: len(matrix) + 1], matrix.ravel())
-
-
 def _least_ids(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list]:
     """The ``n`` smallest ids of a partition with their smallest vectors."""
     kept: dict[int, tuple[int, ...]] = {}
@@ -126,7 +125,7 @@ def _placed(batches: Iterator[pa.RecordBatch], shared) -> Iterator[list]:
         for p in np.unique(position):
             mine = position == p
             entry[mine] = nearest(x[mine], codebooks[p])[0]
-        yield [position, entry, batch.column("salt"), batch.column("part"), entry != before]
+        yield [position, entry.astype(np.int32), batch.column("salt"), batch.column("part"), entry != before]
 
 
 def _settle(residents: DataFrame, codebooks: list[np.ndarray]) -> DataFrame:
@@ -138,8 +137,7 @@ def _settle(residents: DataFrame, codebooks: list[np.ndarray]) -> DataFrame:
 
 def _housed(movers: DataFrame) -> DataFrame:
     """Rows at their owners: each owner's rows come to one task and lie together there."""
-    owner = ["position", "entry", "salt"]
-    return movers.repartition(*owner).sortWithinPartitions(*owner).select(*owner, "part")
+    return movers.repartition(*OWNER).sortWithinPartitions(*OWNER).select(*OWNER, "part")
 
 
 def _updated(residents: DataFrame, codebooks: list[np.ndarray]) -> list[np.ndarray]:
@@ -167,21 +165,21 @@ def train(rows: DataFrame, size: int, n: int, parts: int = PARTS, entries: int =
     # Copies of one vector go to different salts, whatever their ids.
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int").alias("salt")
     members = rows.select(salt, padded(F.col("x"), parts * width).alias("x")).select("salt", F.posexplode(cuts).alias("position", "part"))
-    residents = None
-    for _ in range(rounds):
-        if residents is None:
-            settled = _settle(members.withColumn("entry", F.lit(-1)), codebooks)
-            held = durable.cut(_housed(settled))
-        else:
-            settled = durable.cut(_settle(residents, codebooks))
-            durable.drop(residents)
-            # Those who stay were written by the task that read them; a folder of few movers joins theirs.
-            arrived = durable.cut(_housed(settled.where("moved")))
-            held = settled.where("not moved").select("position", "entry", "salt", "part").unionByName(arrived)
-        codebooks = _updated(held, codebooks)
-        if residents is not None:
-            durable.drop(residents)
-        residents = held
+    # All parts find their first owner; from then on tables are owned, and only movers are shuffled.
+    owned = [durable.cut(_housed(_settle(members.withColumn("entry", F.lit(-1)), codebooks)))]
+    residents = owned[0]
+    codebooks = _updated(residents, codebooks)
+    for _ in range(rounds - 1):
+        settled = durable.cut(_settle(residents, codebooks), partition_by=("moved",))
+        arrived = durable.cut(_housed(settled.where("moved")))
+        for table in owned:
+            durable.drop(table)
+        owned = [settled, arrived]
+        # Those who stay were written by the task that had read them.
+        residents = settled.where("not moved").select(*OWNER, "part").unionByName(arrived)
+        codebooks = _updated(residents, codebooks)
+    for table in owned:
+        durable.drop(table)
     return codebooks
 
 
