@@ -9,7 +9,8 @@ import zipfile
 from pyspark.sql import SparkSession
 
 # Runtime settings: UTC clocks, run-time re-planning, skewed sort-merge joins split by AQE
-# even where that costs one more exchange, and Arrow batches bounded by bytes, as rows hold whole texts.
+# even where that costs one more exchange, Arrow batches bounded by bytes, as rows hold whole texts, and
+# shuffle files deleted when the job that wrote them ends: what is read again is a written table.
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -17,6 +18,7 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
 
