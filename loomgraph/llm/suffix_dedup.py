@@ -37,7 +37,7 @@ from loomgraph.llm.frames import map_arrays, map_rows
 from loomgraph.llm.words import STRETCH, mix, signed, utf8
 
 # Bytes of text in one block, unless a single text has more, and texts in one; sample suffixes sorted at a time.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 BLOCK_TEXTS = 20_000
 BUCKET_SUFFIXES = 4_000_000
 
@@ -114,7 +114,7 @@ def _blocks(rows: Iterator[tuple], block_bytes: int) -> Iterator[tuple]:
 
 
 def _packed(data: bytes) -> bytes:
-    return pa.compress(data, codec="zstd", asbytes=True) if data else b""
+    return pa.Codec("zstd", compression_level=5).compress(data, asbytes=True) if data else b""
 
 
 def _unpacked(data: bytes, sizes: list[int]) -> np.ndarray:
@@ -344,7 +344,8 @@ def strip_repeated_bytes(docs: DataFrame, cover: Cover = COVER, block_bytes: int
     asked = kinds.join(ends, "rank", "left_semi").select(F.col("specimen").alias("block"), "around")
     marks = whole.select("block", "around", F.lit(True).alias("whole")).unionByName(asked.withColumn("whole", F.lit(False)))
     lists = [F.collect_list(F.when(c, F.col("around"))).alias(name) for c, name in ((F.col("whole"), "repeats"), (~F.col("whole"), "asked"))]
-    answers = marks.groupBy("block").agg(*lists)
+    answers = durable.cut(marks.groupBy("block").agg(*lists))
+    durable.drop(kinds)
     suffixes = durable.cut(
         map_rows(
             extended.join(answers, "block").select("block", "sizes", "data", "places", "around", "repeats", "asked"),
@@ -352,7 +353,7 @@ def strip_repeated_bytes(docs: DataFrame, cover: Cover = COVER, block_bytes: int
             "block long, known binary, many boolean, start binary, sure binary, one binary, other binary",
         )
     )
-    durable.drop(kinds)
+    durable.drop(answers)
 
     windows = map_arrays(suffixes.select("block", "start", "sure", "one", "other"), _suffix_rows, "block long, start long, one long, other long, sure boolean")
     same = ["one", "other"]
