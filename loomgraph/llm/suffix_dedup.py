@@ -16,8 +16,8 @@ suffix sorting", TCS 2007).
    those of one specimen of each repeated extension among them.
 
 The order of the suffixes is that of hashes of their first bytes, not the alphabet's: repeats are neighbours in any
-order, and hashes deal evenly into buckets whatever the text. Ranks are 64 bits and always confirmed by independent
-hashes of the whole extension or window.
+order, and hashes deal evenly into buckets whatever the text. Ranks are 64 bits and always confirmed by an independent
+64-bit hash of the whole extension; whole windows are told apart by 96 bits.
 """
 
 from __future__ import annotations
@@ -39,7 +39,9 @@ from loomgraph.llm.words import STRETCH, mix, signed, utf8
 # Bytes of text in one block, unless a single text has more, and texts in one; sample suffixes sorted at a time.
 BLOCK_BYTES = 1 << 20
 BLOCK_TEXTS = 20_000
-BUCKET_SUFFIXES = 4_000_000
+BUCKET_SUFFIXES = 1_000_000
+# Rows handed back to Spark at a time.
+OUT_ROWS = 32_768
 
 
 @dataclass(frozen=True)
@@ -61,8 +63,8 @@ class Cover:
         return self.window - self.period + 1
 
 
-# A perfect difference set, in which each difference modulo 91 occurs once.
-COVER = Cover(400, 91, (0, 1, 3, 9, 27, 49, 56, 61, 77, 81))
+# A perfect difference set, in which each difference modulo 57 occurs once.
+COVER = Cover(400, 57, (0, 1, 3, 13, 32, 36, 43, 52))
 
 _KEYS = np.random.Generator(np.random.PCG64(20260303)).integers(0, 2**64, (2, 256), dtype=np.uint64)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -238,7 +240,12 @@ def _extension_rows(rows: Iterator[tuple]) -> Iterator[list]:
         pair = pair[order]
         new = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]).any(axis=1)])) if len(pair) else np.zeros(0, np.int64)
         times = np.diff(np.append(new, len(pair)))
-        yield [np.full(len(new), block), signed(pair[new, 0].copy()), signed(pair[new, 1].copy()), times]
+        yield from _sliced([np.full(len(new), block), signed(pair[new, 0].copy()), signed(pair[new, 1].copy()), times])
+
+
+def _sliced(columns: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    for at in range(0, len(columns[0]), OUT_ROWS):
+        yield [c[at : at + OUT_ROWS] for c in columns]
 
 
 def _covered(n: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -260,36 +267,33 @@ def _suffixes(rows: Iterator[tuple], cover: Cover) -> Iterator[tuple]:
         first, end = places - before, places + ahead
         known = _covered(len(data), first[repeats], end[repeats] - cover.window + 1)
         start = np.flatnonzero(_covered(len(data), first[tried], end[tried] - cover.window + 1))
-        spans = np.flatnonzero(known)
-        yield (
-            block,
-            spans.astype(np.uint32).tobytes() if len(spans) < 8 else _packed(np.packbits(known).tobytes()),
-            len(spans) >= 8,
-            start.astype(np.uint32).tobytes(),
-            known[start].tobytes(),
-            span_hashes(data, start, cover.window).tobytes(),
-            span_hashes(data, start, cover.window, seed=1).tobytes(),
-        )
+        other = (span_hashes(data, start, cover.window, seed=1) >> np.uint64(32)).astype(np.uint32)
+        yield block, _runs(np.flatnonzero(known)), _runs(start), np.packbits(known[start]).tobytes(), span_hashes(data, start, cover.window).tobytes(), other.tobytes()
+
+
+def _runs(places: np.ndarray) -> bytes:
+    """Ascending places as the first of each run of neighbours and its length."""
+    new = np.flatnonzero(np.concatenate([[True], np.diff(places) != 1])) if len(places) else places
+    return np.stack([places[new], np.diff(np.append(new, len(places)))]).astype(np.uint32).tobytes()
+
+
+def _places(runs: bytes | None) -> np.ndarray:
+    first, count = np.frombuffer(runs or b"", np.uint32).astype(np.int64).reshape(2, -1)
+    return np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
 
 
 def _suffix_rows(rows: Iterator[tuple]) -> Iterator[list]:
-    for block, start, known, one, other in rows:
-        start = np.frombuffer(start, np.uint32).astype(np.int64)
-        hashes = (signed(np.frombuffer(x, np.uint64)) for x in (one, other))
-        yield [np.full(len(start), block), start, *hashes, np.frombuffer(known, bool)]
+    for block, runs, known, one, other in rows:
+        start = _places(runs)
+        sure = np.unpackbits(np.frombuffer(known, np.uint8))[: len(start)].astype(bool)
+        yield from _sliced([np.full(len(start), block), start.astype(np.int32), np.frombuffer(one, np.int64), np.frombuffer(other, np.int32), sure])
 
 
 def _strip(rows: Iterator[tuple], cover: Cover, with_bytes: bool) -> Iterator[tuple]:
-    for ids, sizes, data, known, many, starts in rows:
+    for ids, sizes, data, known, starts in rows:
         data = _unpacked(data, sizes)
-        n = len(data)
-        if many:
-            n_bytes = (n + 7) // 8
-            first = np.flatnonzero(np.unpackbits(np.frombuffer(pa.decompress(known, n_bytes, codec="zstd", asbytes=True), np.uint8))[:n])
-        else:
-            first = np.frombuffer(known or b"", np.uint32).astype(np.int64)
-        first = np.concatenate([first, np.array(starts or [], np.int64)])
-        gone = _covered(n, first, first + cover.window)
+        first = np.concatenate([_places(known), np.array(starts or [], np.int64)])
+        gone = _covered(len(data), first, first + cover.window)
         at = 0
         for doc_id, size in zip(ids, sizes, strict=True):
             part = gone[at : at + size]
@@ -350,18 +354,18 @@ def strip_repeated_bytes(docs: DataFrame, cover: Cover = COVER, block_bytes: int
         map_rows(
             extended.join(answers, "block").select("block", "sizes", "data", "places", "around", "repeats", "asked"),
             lambda rows: _suffixes(rows, cover),
-            "block long, known binary, many boolean, start binary, sure binary, one binary, other binary",
+            "block long, known binary, start binary, sure binary, one binary, other binary",
         )
     )
     durable.drop(answers)
 
-    windows = map_arrays(suffixes.select("block", "start", "sure", "one", "other"), _suffix_rows, "block long, start long, one long, other long, sure boolean")
+    windows = map_arrays(suffixes.select("block", "start", "sure", "one", "other"), _suffix_rows, "block long, start int, one long, other int, sure boolean")
     same = ["one", "other"]
     seen = windows.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.bool_or("sure").alias("sure")).where("n > 1 or sure").select(*same)
     hits = windows.where("not sure").join(seen, same, "left_semi").groupBy("block").agg(F.collect_list("start").alias("starts"))
     texts = extended.select("block", "ids", "sizes", "data").where(F.size("ids") > 0)
-    found = texts.join(suffixes.select("block", "known", "many"), "block", "left").join(hits, "block", "left")
-    stripped = map_rows(found.select("ids", "sizes", "data", "known", "many", "starts"), lambda rows: _strip(rows, cover, with_bytes), result)
+    found = texts.join(suffixes.select("block", "known"), "block", "left").join(hits, "block", "left")
+    stripped = map_rows(found.select("ids", "sizes", "data", "known", "starts"), lambda rows: _strip(rows, cover, with_bytes), result)
 
     if with_bytes:
         return stripped
