@@ -39,6 +39,12 @@ def text_key(text: str | Column = "text") -> list[Column]:
     return [F.xxhash64(text).alias("key"), F.coalesce(F.length(text), F.lit(-1)).alias("chars")]
 
 
+def one_text_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, text``: of each key's rows the text with the smallest hash, however many rows a key has."""
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("_first")
+    return rows.groupBy(*keys).agg(first).select(*keys, F.col("_first.text").alias("text"))
+
+
 def _values(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         if batch.num_columns == 1:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.frames import hash_below, map_rows
+from loomgraph.llm.frames import hash_below, map_rows, one_text_each
 from loomgraph.llm.words import STRETCH, utf8
 
 FEATURE_BITS = 12
@@ -24,6 +24,8 @@ ORDERS = (2, 3)
 SAMPLE_ROWS = 4000
 SAMPLE_PER_LANGUAGE = 500
 LEAST_PER_LANGUAGE = 4
+# The driver holds the model and its sample: a codeword, and at least four rows of 32 KB, for each language.
+MOST_LANGUAGES = 2000
 STEPS = 150
 PENALTY = 1e-4
 AMBIGUOUS_LEAD = 0.2
@@ -52,17 +54,19 @@ def features(text: str | None) -> np.ndarray:
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
-    """``n`` rows of -1 and +1: all splits of up to five languages, else the best spread of 100 random codes."""
+    """``n`` rows of -1 and +1: all splits of up to five languages, else the random code with the best spread of many."""
     if n <= 5:
         splits = [[1 if i == 0 or bits >> (i - 1) & 1 else -1 for i in range(n)] for bits in range(2 ** max(0, n - 1) - 1)]
         return np.array(splits, np.float64).reshape(len(splits), n).T
     draw = np.random.Generator(np.random.PCG64(seed))
     best, most = None, -1
-    for _ in range(100):
+    # All pairs of few languages, a sample of the pairs of many.
+    one, other = np.triu_indices(n, 1) if n <= 300 else draw.integers(0, n, (2, 50_000))
+    one, other = one[one != other], other[one != other]
+    for _ in range(100 if n <= 300 else 20):
         code = draw.choice([-1.0, 1.0], (n, int(np.ceil(10 * np.log2(n)))))
         code = code[:, np.abs(code.sum(axis=0)) < n]
-        agreement = code @ code.T - 2 * code.shape[1] * np.eye(n)
-        spread = int((code.shape[1] - agreement.max()) / 2)
+        spread = int((code[one] != code[other]).sum(axis=1).min())
         if spread > most:
             best, most = code, spread
     return best
@@ -110,12 +114,16 @@ def fit(x: np.ndarray, languages: list[str]) -> Model:
     return Model(names, code, w.astype(np.float32), bias, trust / np.maximum(trust.sum(axis=1, keepdims=True), 1e-9))
 
 
-def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
+def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, per_language: int = SAMPLE_PER_LANGUAGE, most: int = MOST_LANGUAGES) -> Model:
     """Fit on a sample of ``labelled`` (``doc_id, text, lang``): of each language the rows whose ids have the smallest hashes.
 
-    Every language with a labelled row is learned, however rare; with more than ``rows / 4`` of them the sample is four rows of each."""
+    Every language with a labelled row is learned, however rare; with more than ``rows / 4`` of them the sample is four rows of
+    each. Beyond ``most`` values of ``lang``, those with the most ids are learned. Rows without id or language teach nothing;
+    null texts count as empty; of an id's rows in one language one text is taken, that with the smallest hash."""
     labelled = labelled.where("lang is not null and doc_id is not null")
-    counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    # Ids are counted, not rows: very many rows may share one. The estimate is within a few per cent.
+    ids = F.greatest(F.approx_count_distinct("doc_id"), F.lit(1)).alias("n")
+    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(ids).orderBy(F.desc("n"), "lang").limit(most).collect()}
     each = max(LEAST_PER_LANGUAGE, min(per_language, rows // max(1, len(counts))))
     # Four times as many ids by their hashes, so that ranking them takes no more rows than that. The model on the driver
     # has a codeword for each language, so one row for each can be broadcast.
@@ -125,7 +133,8 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS, per_language: int = SAMP
     ids = drawn.select("doc_id", "lang").distinct()
     chosen = ids.withColumn("n", F.row_number().over(first)).where(F.col("n") <= each).select("doc_id", "lang")
     # At most ``each`` ids a language, so the broadcast is as small as the sample. An id may have rows in several languages.
-    sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").dropDuplicates(["doc_id", "lang"])
+    rows_of = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    sample = one_text_each(rows_of, ["doc_id", "lang"])
     found = map_rows(sample.select("doc_id", "lang", "text"), _feature_rows, "doc_id long, lang string, x binary").collect()
     found.sort(key=lambda r: (r.doc_id, r.lang))
     x = np.array([np.frombuffer(r.x, np.float32) for r in found]).reshape(len(found), 1 << FEATURE_BITS)

@@ -155,8 +155,8 @@ def _shingle_rows(rows: Iterator[tuple], k: int) -> Iterator[list]:
         yield [np.full(len(found), node), W.signed(found)]
 
 
-def _rest(members: DataFrame, texts: DataFrame, tested: DataFrame, k: int, percent: int, rare: int = RARE) -> DataFrame:
-    """The pairs in different components that no star has compared and that the bounds let through."""
+def _rest(members: DataFrame, texts: DataFrame, tested: DataFrame, k: int, percent: int, rare: int = RARE) -> tuple[DataFrame, dict[str, int]]:
+    """The pairs in different components that no star has compared and that the bounds let through; and their number."""
     sizes = durable.cut(members.select("node", "comp", "n").distinct())
     asked = texts.join(sizes.select("node"), "node", "left_semi").select("node", "text")
     shingles = durable.cut(map_arrays(asked, lambda rows: _shingle_rows(rows, k), "node long, shingle long"))
@@ -164,6 +164,7 @@ def _rest(members: DataFrame, texts: DataFrame, tested: DataFrame, k: int, perce
     # Rare shingles come first in the order, so their rank among themselves is their rank among all.
     order = Window.partitionBy("node").orderBy("times", "shingle")
     ranked = durable.cut(shingles.join(few, "shingle").withColumn("rank", F.row_number().over(order)))
+    durable.drop(shingles)
 
     counts = ranked.groupBy("node").agg(F.count(F.lit(1)).alias("few"))
     common = sizes.join(counts, "node", "left").withColumn("c", F.col("n") - F.coalesce("few", F.lit(0)))
@@ -188,7 +189,10 @@ def _rest(members: DataFrame, texts: DataFrame, tested: DataFrame, k: int, perce
     by_frequent = reach.join(partner, ["bucket", "n_b"]).where(apart & within("c", "c_b", "n", "n_b")).select("a", "b")
 
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return by_rare.unionByName(by_frequent).distinct().join(known, ["a", "b"], "left_anti")
+    pairs, counted = durable.cut_counted(by_rare.unionByName(by_frequent).distinct().join(known, ["a", "b"], "left_anti"))
+    for table in (sizes, ranked, nodes):
+        durable.drop(table)
+    return pairs, counted
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, rounds: int = STAR_ROUNDS) -> DataFrame:
@@ -200,19 +204,23 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
     and blank texts have none, are linked with nothing and are kept. Equal sets form one node, named by
     their smallest id. Repeated rows share all results; a null id never names a component, and
     where nothing else does, ``component_id`` is null and ``kept`` true; other columns are ignored."""
-    drawn = durable.cut(sketches(docs, k))
-    sets = drawn.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
+    found = durable.cut(sketches(docs, k))
+    sets = found.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
     # All rows of one set have the same buckets: those of the named row are enough.
-    named = drawn.join(sets.withColumnRenamed("node", "doc_id"), ["s1", "s2", "doc_id"], "left_semi").dropDuplicates(["s1", "s2"])
+    named = found.join(sets.withColumnRenamed("node", "doc_id"), ["s1", "s2", "doc_id"], "left_semi").dropDuplicates(["s1", "s2"])
     nodes = durable.cut(named.withColumnRenamed("doc_id", "node"))
+    drawn = durable.cut(found.drop("buckets"))
+    durable.drop(found)
+    sets = nodes.select("s1", "s2", "node")
     buckets = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    members = durable.cut(buckets.join(shared, "bucket"))
-    weights = members.groupBy("node").agg(F.sum("held").alias("weight"))
-    members = durable.cut(members.join(weights, "node").select("bucket", "node", "n", "weight"))
+    held = durable.cut(buckets.join(shared, "bucket"))
+    weights = held.groupBy("node").agg(F.sum("held").alias("weight"))
+    members = durable.cut(held.join(weights, "node").select("bucket", "node", "n", "weight"))
+    durable.drop(held)
     asked = nodes.select("node", "s1", "s2").join(members.select("node").distinct(), "node", "left_semi")
-    found = docs.select("doc_id", "text").join(asked, F.col("doc_id") == F.col("node")).select("node", "s1", "s2", "text")
-    texts = durable.cut(map_rows(found, lambda rows: _own_text(rows, k), "node long, text string").dropDuplicates(["node"]))
+    rows = docs.select("doc_id", "text").join(asked, F.col("doc_id") == F.col("node")).select("node", "s1", "s2", "text")
+    texts = durable.cut(map_rows(rows, lambda r: _own_text(r, k), "node long, text string").dropDuplicates(["node"]))
 
     tested = links = comps = None
     for turn in range(rounds):
@@ -224,9 +232,13 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
         links = new if links is None else links.unionByName(new)
         comps = _components(links)
     else:
-        edges, counted = durable.cut_counted(_rest(durable.cut(_open_members(members, comps)), texts, tested, k, percent))
+        still = durable.cut(_open_members(members, comps))
+        durable.drop(members)
+        edges, counted = _rest(still, texts, tested, k, percent)
+        durable.drop(still)
         if counted["n"]:
             comps = _components(links.unionByName(confirm(edges, texts, k, percent)))
+    durable.drop(texts)
 
     named = sets if comps is None else sets.join(comps, "node", "left").select("s1", "s2", F.coalesce("comp", "node").alias("node"))
     out = drawn.join(named, ["s1", "s2"], "left")
@@ -234,3 +246,29 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, r
     return out.select(
         "doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept")
     )
+
+
+def one_of_each_group(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, without near duplicates: of each group the row with the smallest id stays, and of
+    repeated rows (same id and text) one.
+
+    Rows are told apart by id and text, so an id shared by different texts costs none of them; a row without id counts
+    as one with an id above all others. Rows that go are few beside those that stay, so they alone are looked up."""
+    key, name = F.xxhash64("doc_id", "text"), "_key"
+    while name in docs.columns:
+        name = f"_{name}"
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text"), k, percent)
+    none = F.lit(None).cast("long")
+    groups = found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("group"), none.alias("id"), F.lit(1).alias("n"))
+    ids = docs.select(key.alias("key"), none.alias("group"), F.col("doc_id").alias("id"), F.lit(0).alias("n"))
+    texts = groups.unionByName(ids).groupBy("key").agg(F.max("group").alias("group"), F.max("id").alias("id"), F.sum("n").alias("n"))
+    texts = durable.cut(texts)
+    first = texts.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "key")).alias("first")).select("first.key", F.lit(True).alias("stays"))
+    marks = texts.join(first, "key", "left").where("stays is null or n > 1").select(F.col("key").alias(name), F.col("stays").isNotNull().alias("stays"))
+    marks, counted = durable.cut_counted(marks, several=F.col("stays"))
+    durable.drop(texts)
+    left = docs.join(marks.select(name), key == marks[name], "left_anti")
+    if not counted["several"]:
+        return left
+    repeated = docs.join(marks.where("stays").select(name), key == F.col(name), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.unionByName(repeated)

@@ -20,14 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import words as W
-from loomgraph.llm.frames import hash_below, map_rows
+from loomgraph.llm.frames import hash_below, map_rows, one_text_each
 from loomgraph.llm.language_id import fold
 
 # The network is fit on at most so many rows of each kind, those whose ids have the smallest hashes.
 SAMPLE_POSITIVES = 4000
 SAMPLE_UNLABELLED = 10_000
-# With fewer labelled rows of either class the prior comes from the scores instead.
-LEAST_LABELLED = 30
 HIDDEN = 24
 EPOCHS = 60
 BATCH = 500
@@ -95,6 +93,7 @@ class Model:
     scale: np.ndarray
     layers: list[np.ndarray]
     prior: float
+    labelled_share: float | None = None
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
@@ -152,7 +151,7 @@ def prior_from_scores(positives: np.ndarray, unlabelled: np.ndarray, slack: floa
 
 
 def _first(rows: DataFrame, n: int, total: int) -> DataFrame:
-    """The ``n`` ids with the smallest hashes; only about four times as many are looked at."""
+    """The ``n`` ids with the smallest hashes, of about ``total``; only about four times as many are looked at."""
     few = rows.where(hash_below("doc_id", 4.0 * n / max(1, total))).select("doc_id").distinct()
     return few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
@@ -165,28 +164,31 @@ def _feature_rows(rows: Iterator[tuple]) -> Iterator[tuple]:
 def train(docs: DataFrame, labels: DataFrame, n_positive: int = SAMPLE_POSITIVES, n_unlabelled: int = SAMPLE_UNLABELLED) -> Model | None:
     """Fit on samples of ``docs`` (``doc_id, text``): those ``labels`` (``doc_id, quality``) calls good, and any.
 
-    Ids with two different labels have none. The prior is the share of good ones among the labelled, or, with
-    too few of either kind, comes from a first classifier's scores. None if there is nothing to learn from."""
-    docs = docs.where("doc_id is not null")
+    Ids with two different labels have none; rows without id teach nothing; null texts count as empty, and of an id's rows one
+    text is taken, that with the smallest hash; other columns are ignored. The prior is estimated from a first
+    classifier's scores; the share of good ones among the labelled stands beside it in the model. None if there is nothing to
+    learn from."""
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
     known = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("high")).where("q = high")
     known = docs.select("doc_id").distinct().join(known, "doc_id").select("doc_id", "q")
     counts = {r.q: r["count"] for r in known.where("q in (0, 1)").groupBy("q").count().collect()}
+    # Ids are counted, not rows: very many rows may share one.
+    ids = docs.agg(F.approx_count_distinct("doc_id")).first()[0]
     # Bounded by the two sample sizes, so the broadcast is bounded too.
     chosen = _first(known.where("q = 1"), n_positive, counts.get(1, 0)).withColumn("positive", F.lit(True)).unionByName(
-        _first(docs, n_unlabelled, docs.count()).withColumn("positive", F.lit(False))
+        _first(docs, n_unlabelled, ids).withColumn("positive", F.lit(False))
     )
-    found = map_rows(
-        docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text"), _feature_rows, "doc_id long, positive boolean, x binary"
-    ).collect()
-    found.sort(key=lambda r: (r.doc_id, r.positive, r.x))
+    sample = one_text_each(docs.join(F.broadcast(chosen), "doc_id"), ["doc_id", "positive"])
+    found = map_rows(sample, _feature_rows, "doc_id long, positive boolean, x binary").collect()
+    found.sort(key=lambda r: (r.doc_id, r.positive))
     x = np.array([np.frombuffer(r.x, np.float32) for r in found]).reshape(len(found), N_FEATURES).astype(np.float64)
     is_p = np.array([r.positive for r in found], bool)
     if not is_p.any():
         return None
-    if min(counts.get(0, 0), counts.get(1, 0)) >= LEAST_LABELLED:
-        return fit(x[is_p], x[~is_p], counts[1] / (counts[0] + counts[1]))
     first = fit(x[is_p], x[~is_p], 0.5)
-    return fit(x[is_p], x[~is_p], prior_from_scores(first.score(x[is_p]), first.score(x[~is_p])))
+    model = fit(x[is_p], x[~is_p], prior_from_scores(first.score(x[is_p]), first.score(x[~is_p])))
+    model.labelled_share = counts[1] / (counts[1] + counts.get(0, 0))
+    return model
 
 
 def _score(rows: Iterator[tuple], shared) -> Iterator[tuple]:

@@ -152,12 +152,12 @@ def _move(rows: Iterator[tuple], folder: str) -> Iterator[tuple]:
 
 def _bounds(pages: DataFrame, shard_bytes: int) -> np.ndarray:
     """Inner bounds of the shards: quantiles of the ids whose hashes are smallest, about 50 for each shard."""
-    n, total = pages.agg(F.count("page_id"), F.sum(F.octet_length("html") + 1024)).first()
+    n, total = pages.agg(F.approx_count_distinct("page_id"), F.sum(F.octet_length("html") + 1024)).first()
     shards = min(MAX_SHARDS, -(-(total or 0) // shard_bytes))
     if shards < 2 or not n:
         return np.zeros(0, np.int64)
     share = min(1.0, SAMPLE_PER_SHARD * shards / n)
-    chosen = pages.where(F.xxhash64("page_id") <= min(2**63 - 1, int(-(2**63) + share * 2**64))).select("page_id").where("page_id is not null")
+    chosen = pages.where(F.xxhash64("page_id") <= min(2**63 - 1, int(-(2**63) + share * 2**64))).select("page_id").where("page_id is not null").distinct()
     ids = np.sort(np.array([r.page_id for r in chosen.collect()], np.int64))
     return np.unique(ids[np.arange(1, shards) * len(ids) // shards]) if len(ids) else np.zeros(0, np.int64)
 
@@ -260,8 +260,8 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> D
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
-    """Write ``pages`` to archives in ``folder`` (a new one in the shared folder by default) and read the records back."""
+    """Write ``pages`` to archives in ``folder`` (by default a new one in the run's folder) and read the records back."""
     spark = pages.sparkSession
-    folder = folder or f"{durable.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = folder or durable.fresh_folder(spark, "warc")
     write_archives(pages, folder, **options)
     return read_archives(spark, folder)

@@ -73,6 +73,15 @@ def test_texts_of_one_id_with_equal_short_hashes_stay_apart(spark):
     assert got == plain.stripped(rows, 35)
 
 
+def test_many_rows_of_one_id_and_text(spark):
+    """A third of all rows is one row repeated, a third shares its id: the work stays in proportion."""
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(7, shared)] * 2000 + [(7, f"{shared if i % 3 else ''} own {i} " + " ".join(f"t{(i * 31 + j) % 997}" for j in range(50))) for i in range(2000)]
+    rows += [(i, f"{i} " * 40) for i in range(2000)]
+    got = sorted((tuple(r) for r in strip_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()), key=str)
+    assert got == plain.stripped(rows, 35)
+
+
 def _edited(draw, n):
     rows = []
     for i in range(n):

@@ -181,5 +181,5 @@ def test_near_duplicates_go_by_id_and_text(spark):
 
 def test_all_queries_are_registered():
     names = {n.split("_")[0] for n in entry.queries() if n.startswith("op")}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in entry.queries()
     assert [n for n, _ in corpus_pipeline.STAGES] and set(entry.oracle_sql()) <= set(entry.queries())

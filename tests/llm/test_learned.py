@@ -62,6 +62,46 @@ def test_nothing_to_learn_from(spark):
     assert pu.good(docs, None).count() == 2
 
 
+def test_languages_of_one_shared_id(spark):
+    """A third of the labelled rows shares an id, and so does a whole language; both count as one row."""
+    rows = [r for r in _languages(random.Random(3), 900) if r[1] in ("en", "fr", "xx")]
+    rows = [(1, "en", "the same row")] * 10_000 + [(-5 if lang == "xx" else i, lang, t) for i, lang, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = lid.train(docs)
+    assert model.languages == ["en", "fr", "xx"]
+    fresh = spark.createDataFrame([(i, t) for i, (_, lang, t) in enumerate(_languages(random.Random(4), 200)) if lang == "fr"], "doc_id long, text string")
+    assert np.mean([r.lang_pred == "fr" for r in lid.identify(fresh, model).collect()]) > 0.9
+
+
+def test_training_and_decoding_as_defined(spark):
+    """The model and its decisions against a plain reading of the definitions, on a table small enough to take whole."""
+    rows = [r for r in _languages(random.Random(6), 80) if r[1] in ("de", "en", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = lid.train(docs)
+    want = lid.fit(np.array([lid.features(t) for _, _, t in sorted(rows)]), [lang for _, lang, _ in sorted(rows)])
+    assert np.allclose(model.weights, want.weights, atol=1e-5) and np.allclose(model.trust, want.trust)
+    for r in lid.identify(docs, model).collect():
+        x = lid.features(next(t for i, _, t in rows if i == r.doc_id)).astype(float)
+        losses = []
+        for bits, trust in zip(model.code, model.trust, strict=True):
+            margins = [x @ w + b for w, b in zip(model.weights.T, model.bias, strict=True)]
+            losses.append(len(bits) * sum(t * np.log1p(np.exp(-c * m)) for c, t, m in zip(bits, trust, margins, strict=True)))
+        p = np.exp(min(losses) - np.array(losses))
+        assert r.lang_pred == model.languages[int(np.argmin(losses))] and abs(r.score - p.max() / p.sum()) < 1e-4
+
+
+def test_one_id_holds_a_third_of_all_rows(spark):
+    draw = random.Random(2)
+    rows = [(7, f"junk | {i} | # $ %", "x") for i in range(3000)] + [(7, "one row | #", "y")] * 3000
+    rows += [(100 + i, " ".join(draw.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(40)) if i % 2 else "# $ | % " * 20, "z") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, positive string")
+    labels = spark.createDataFrame([(100 + i, i % 2) for i in range(300)], "doc_id long, quality int")
+    model = pu.train(docs, labels)
+    assert 0.05 <= model.prior <= 0.99 and model.labelled_share == 0.5
+    got = pu.scores(docs.where("doc_id >= 400"), model).collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.95
+
+
 @needs_tables
 def test_held_out_languages(spark):
     docs = table(spark, FOLDER, "documents")
