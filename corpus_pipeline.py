@@ -7,7 +7,6 @@ predecessor kept.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomgraph import durable
 from loomgraph.llm import decontaminate, near_dedup, quality_pu, secret_scan
@@ -26,24 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id; of repeated rows, one.
-
-    Rows are told apart by id and text, so an id shared by different texts costs none of them. A row without id
-    counts as one with an id above all others."""
-    key = F.xxhash64("doc_id", "text")
-    found = near_dedup.near_duplicates(docs.select(key.alias("doc_id"), "text"))
-    none = F.lit(None).cast("long")
-    groups = found.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group"), none.alias("_id"), F.lit(1).alias("n"))
-    ids = docs.select(key.alias("_key"), none.alias("_group"), F.col("doc_id").alias("_id"), F.lit(0).alias("n"))
-    texts = groups.unionByName(ids).groupBy("_key").agg(F.max("_group").alias("_group"), F.max("_id").alias("_id"), F.sum("n").alias("n"))
-    first = F.min(F.struct(F.col("_id").isNull().alias("nameless"), "_id", "_key", "n")).alias("first")
-    kept = texts.groupBy("_group").agg(first).select("first._key", "first.n")
-    kept, counted = durable.cut_counted(kept, several=F.col("n") > 1)
-    if not counted["several"]:
-        return docs.join(kept, key == F.col("_key"), "left_semi")
-    one = docs.join(kept.where("n = 1"), key == F.col("_key"), "left_semi")
-    repeated = docs.join(kept.where("n > 1"), key == F.col("_key"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return one.unionByName(repeated)
+    """One document of each group of near duplicates, that with the smallest id; of repeated rows, one."""
+    return near_dedup.one_of_each_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
