@@ -10,6 +10,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph import durable
 from loomgraph.functions.dates import parse_iso
 from loomgraph.functions.text import or_else
 from loomgraph.operators.search import search, search_newest
@@ -105,27 +106,35 @@ def references(mentions: DataFrame, sources: DataFrame, entities: DataFrame) ->
     )
 
 
-def neighbours(related: DataFrame) -> DataFrame:
-    """Distinct undirected neighbour pairs ``kb_id, id, other``."""
+def both_ways(related: DataFrame) -> DataFrame:
+    """Edges as undirected pairs ``kb_id, id, other``, each from both of its ends."""
     pairs = F.explode(
         F.array(
             F.struct(F.col("source_id").alias("id"), F.col("target_id").alias("other")),
             F.struct(F.col("target_id").alias("id"), F.col("source_id").alias("other")),
         )
     )
-    return related.select("kb_id", pairs.alias("p")).select("kb_id", "p.id", "p.other").distinct()
+    return related.select("kb_id", pairs.alias("p")).select("kb_id", "p.id", "p.other")
+
+
+def neighbours(related: DataFrame) -> DataFrame:
+    """Distinct undirected neighbour pairs ``kb_id, id, other``."""
+    return both_ways(related).distinct()
 
 
 def related_nodes(requests: DataFrame, related: DataFrame, entities: DataFrame) -> DataFrame:
     """For each requested id, the entities exactly two undirected hops away.
 
-    Only paths that start at a requested id are walked, so the output grows with the requests. Direct
+    Only paths that start at a requested id are walked, so the output grows with the requests. The first hop is written
+    down: Spark then knows its size, and the hop from few middles is a broadcast join that shuffles none of ``related``;
+    many middles are joined by sort and merge, where AQE splits a hub. Direct
     neighbours are left out even where the direct edge carries another tenant's id."""
-    asked = requests.select("kb_id", "id").distinct().join(entities, ["kb_id", "id"], "left_semi")
-    pairs = neighbours(related)
-    first = pairs.join(asked, ["kb_id", "id"], "left_semi").withColumnRenamed("other", "middle")
+    asked = requests.select("kb_id", "id").distinct().join(entities.select("kb_id", "id"), ["kb_id", "id"], "left_semi")
+    asked = durable.cut(asked)
+    pairs = both_ways(related)
+    first = durable.cut(pairs.join(asked, ["kb_id", "id"]).select("kb_id", "id", F.col("other").alias("middle")).distinct())
     second = pairs.select("kb_id", F.col("id").alias("middle"), F.col("other").alias("related_id"))
-    two_hops = first.join(second, ["kb_id", "middle"]).where("id <> related_id").select("kb_id", "id", "related_id").distinct()
+    two_hops = second.join(first, ["kb_id", "middle"]).where("id <> related_id").select("kb_id", "id", "related_id").distinct()
     ids = asked.select("id").distinct()
     near = related.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").unionByName(
         related.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_semi")

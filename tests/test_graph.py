@@ -75,6 +75,26 @@ def test_related_nodes(spark, graph):
     assert graph_read.related_nodes(asked, direct, entities).count() == 0
 
 
+def test_related_nodes_around_a_hub(spark):
+    """A hub on a third of all edges, edges repeated under several types, and a plan that shuffles none of them for few requests."""
+    edges = [("a", "hub", f"n{i}", t) for i in range(300) for t in ("x", "y")] + [("a", f"n{i}", f"n{i + 1}", "x") for i in range(0, 600, 2)]
+    edges += [("b", "hub", "n5", "x"), ("a", "n7", "n7", "x"), ("a", "n8", "gone", "x")]
+    related = spark.createDataFrame([(*e, "j", at(1)) for e in edges], RELATED)
+    entities = spark.createDataFrame([("a", n) for n in ["hub", *(f"n{i}" for i in range(601))]], "kb_id string, id string")
+    entities = entities.selectExpr("*", "'T' AS type", "id AS name", "'' AS summary")
+    asked = ["hub", "n3", "n7", "n400"]
+    found = graph_read.related_nodes(spark.createDataFrame([("a", n) for n in asked], "kb_id string, id string"), related, entities)
+    pairs = {p for kb, s, t, _ in edges if kb == "a" for p in ((s, t), (t, s))}
+    known = {"hub", *(f"n{i}" for i in range(601))}
+    direct = pairs | {p for _, s, t, _ in edges for p in ((s, t), (t, s))}
+    want = {(i, r) for i in asked for a, m in pairs if a == i for b, r in pairs if b == m and r != i and r in known and (i, r) not in direct}
+    assert {(r["id"], r["related_id"]) for r in found.collect()} == want and len(want) > 500
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning(kb_id#" in plan and "middle" not in "".join(
+        line for line in plan.splitlines() if "Exchange hashpartitioning" in line
+    )
+
+
 def test_recent_sources(graph):
     _, _, sources, _ = graph
     mine = sources.where("kb_id = 'a'")

@@ -42,13 +42,26 @@ def test_search_is_exact_with_hot_tokens(spark):
     e = spark.createDataFrame(entities, "kb_id string, id string, name string").withColumn("aliases", F.array().cast("array<string>"))
     q = spark.createDataFrame(queries, "kb_id string, text string")
     want = {k: v for k, v in brute_force(entities, queries, 5).items() if v}
-    for rare in (0, 3, 1000):
+    for rare, block in ((0, 20_000), (0, 7), (3, 20), (1000, 20_000)):
         got = {}
-        for r in search(q, e, ["kb_id"], 5, rare).orderBy("rank").collect():
+        for r in search(q, e, ["kb_id"], 5, rare, block).orderBy("rank").collect():
             got.setdefault((r["kb_id"], r["text"]), []).append(r["id"])
         assert got == want, rare
 
 
+def test_blocks_out_of_reach_are_not_opened(spark):
+    """Long names with frequent tokens cannot reach the threshold that short ones set."""
+    rng = random.Random(5)
+    entities = [("a", f"{i:04d}", " ".join(rng.sample(["red", "green", "blue"], 2) + ["x"] * (0 if i < 40 else 30 + i % 3))) for i in range(600)]
+    e = spark.createDataFrame(entities, "kb_id string, id string, name string").withColumn("aliases", F.array().cast("array<string>"))
+    q = spark.createDataFrame([("a", "red green"), ("a", "blue"), ("a", "red green blue")], "kb_id string, text string")
+    found = search(q, e, ["kb_id"], 5, 0)
+    got = {}
+    for r in found.orderBy("rank").collect():
+        got.setdefault((r["kb_id"], r["text"]), []).append(r["id"])
+    assert got == brute_force(entities, [("a", "red green"), ("a", "blue"), ("a", "red green blue")], 5)
+
+
 def test_exact_candidates_are_capped_per_name(spark):
     rows = [("a", "T", f"{i:02d}", "Same  Name" if i % 2 else "x", ["same name"] if i % 2 == 0 else []) for i in range(20)] + [("a", "U", "zz", "same name", []), ("b", "T", "yy", "same name", [])]
     entities = spark.createDataFrame(rows, "kb_id string, type string, id string, name string, aliases array<string>")
