@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph import durable
@@ -88,10 +88,11 @@ def _resolve_kind(kind: str, mentions: DataFrame, example: Column, batch: DataFr
 
 
 def merge(batch: DataFrame, state: State, models: Models, run_ts: Column, batch_id: str) -> Merged:
-    """Merge a batch of claimed jobs into the graph.
+    """Merge a batch of claimed jobs into the graph, all at once.
 
     The batch resolves against the graph as it stood before, and shares new identities; a
-    job that fails at any step leaves no trace in the graph and is reported as an error."""
+    job that fails at any step leaves no trace in the graph and is reported as an error. ``merge_in_turn``
+    lets the jobs of a tenant see each other."""
     batch = durable.cut(jobs.job_metadata(vocabulary.with_config(batch, state.configs)))
     interests = F.col("interests")
     asked = batch.select(*JOB, *(c.alias(n) for n, c in prompts.relevance(interests, F.col("content")).items()))
@@ -208,10 +209,37 @@ def _with_new_types(configs: DataFrame, column: str, minted: DataFrame) -> DataF
     return configs.join(added, "kb_id", "left").withColumn(column, extended).drop("added")
 
 
-def drain(state: State, models: Models, run_ts: Column, batch_id: str, n: int = JOB_BATCH) -> Merged:
-    """One pass over the queue: claim the oldest pending jobs and merge them."""
+def merge_in_turn(batch: DataFrame, state: State, models: Models, run_ts: Column, batch_id: str) -> Merged:
+    """Merge a batch so that each job sees what the tenant's earlier jobs wrote: entities, their latest names, types, articles.
+
+    Tenants share nothing, so turn ``k`` merges the ``k``-th job of every tenant together: there are as many turns as one
+    tenant has jobs in the batch, however many tenants there are. Each turn's tables are written down and those of the
+    turn before deleted."""
+    place = F.row_number().over(Window.partitionBy("kb_id").orderBy("created_at", "job_id"))
+    batch = durable.cut(batch.withColumn("_turn", place))
+    turns = batch.agg(F.max("_turn")).first()[0] or 0
+    if turns < 2:
+        return merge(batch.drop("_turn"), state, models, run_ts, batch_id)
+    outcomes = counts = None
+    minted: dict[str, DataFrame] = {}
+    for turn in range(1, turns + 1):
+        merged = merge(batch.where(F.col("_turn") == turn).drop("_turn"), state, models, run_ts, f"{batch_id}/{turn}")
+        before, state = state, State(*(durable.cut(getattr(merged.state, f.name)) for f in fields(State)))
+        parts = [durable.cut(x) for x in (merged.outcomes, merged.counts)]
+        outcomes, counts = parts if outcomes is None else (x.unionByName(y) for x, y in zip((outcomes, counts), parts, strict=True))
+        for kind, rows in merged.new_types.items():
+            rows = durable.cut(rows)
+            minted[kind] = minted[kind].unionByName(rows) if kind in minted else rows
+        for f in fields(State):
+            durable.drop(getattr(before, f.name))
+    return Merged(state, outcomes, counts, minted)
+
+
+def drain(state: State, models: Models, run_ts: Column, batch_id: str, n: int = JOB_BATCH, in_turn: bool = True) -> Merged:
+    """One pass over the queue: claim the oldest pending jobs and merge them, ``in_turn`` or all at once."""
     claimed = durable.cut(jobs.claim_batch(state.jobs, n))
     running = state.jobs.join(claimed.select("job_id", F.lit("processing").alias("_now")), "job_id", "left").withColumn(
         "status", F.coalesce("_now", "status")
     )
-    return merge(claimed, replace(state, jobs=running.drop("_now")), models, run_ts, batch_id)
+    step = merge_in_turn if in_turn else merge
+    return step(claimed, replace(state, jobs=running.drop("_now")), models, run_ts, batch_id)

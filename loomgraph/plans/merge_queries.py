@@ -14,6 +14,13 @@ from loomgraph.sources.tables import Tables
 RUN = "2024-06-01"
 
 
+def _configs(queue: DataFrame) -> DataFrame:
+    return queue.select("kb_id").distinct().select(
+        "kb_id", F.lit("words").alias("interests"), F.lit(False).alias("discover_types"), to_type_defs(F.array(F.lit("Person"))).alias("entity_types"),
+        to_type_defs(F.array(F.lit("Near"))).alias("relationship_types"),
+    )
+
+
 def _state(t: Tables) -> knowledge.State:
     """Documents with even numbers were merged before; now all documents wait in the queue."""
     queue = t.jobs().select(
@@ -21,10 +28,7 @@ def _state(t: Tables) -> knowledge.State:
         F.lit(None).cast("string").alias("relevance_reason"), F.lit(None).cast("string").alias("error"), F.lit(2).alias("attempts"),
         F.timestamp_seconds("created_s").alias("created_at"), F.lit(None).cast("timestamp").alias("processed_at"),
     )
-    configs = queue.select("kb_id").distinct().select(
-        "kb_id", F.lit("words").alias("interests"), F.lit(False).alias("discover_types"), to_type_defs(F.array(F.lit("Person"))).alias("entity_types"),
-        to_type_defs(F.array(F.lit("Near"))).alias("relationship_types"),
-    )
+    configs = _configs(queue)
     words = t.text_mentions().where("doc_id % 2 = 0").select(F.concat(F.lit("kb"), F.col("doc_id") % 4).alias("kb_id"), F.lower("name").alias("n")).distinct()
     past = F.lit("2020-01-01").cast("timestamp")
     entities = words.select(
@@ -88,6 +92,26 @@ def merge_jobs(t: Tables) -> DataFrame:
     return _merged(t).state.jobs.select("job_id", "status", F.col("relevance_reason").alias("reason"))
 
 
+@query(
+    f"""WITH {_WORDS},
+told AS (SELECT doc_id, concat('kb', doc_id // 3) AS kb_id, lower(name) AS n FROM words WHERE relevant),
+first AS (SELECT kb_id, n, min(doc_id) AS doc_id FROM told GROUP BY 1, 2)
+SELECT t.kb_id, t.doc_id::VARCHAR AS job_id, count(DISTINCT f.n) AS entities_created, count(*) - count(DISTINCT f.n) AS entities_merged
+FROM told t LEFT JOIN first f ON f.kb_id = t.kb_id AND f.n = t.n AND f.doc_id = t.doc_id GROUP BY 1, 2"""
+)
+def merge_in_turn(t: Tables) -> DataFrame:
+    """What each job creates and merges where it sees the jobs before it; three documents a tenant, into an empty graph."""
+    state = _state(t)
+    tenant = F.concat(F.lit("kb"), F.floor(F.col("job_id").cast("bigint") / 3))
+    start = F.timestamp_seconds(F.col("job_id").cast("bigint"))
+    queue = state.jobs.withColumn("kb_id", tenant).withColumn("created_at", start)
+    configs = _configs(queue)
+    models = knowledge.Models(rules.relevant_by_length, rules.capitalised_words, rules.same_name)
+    state = knowledge.State(queue, configs, state.entities.limit(0), state.related, state.sources, state.mentions)
+    merged = knowledge.merge_in_turn(queue, state, models, F.lit(RUN).cast("timestamp"), "batch-1")
+    return merged.counts.select("kb_id", "job_id", "entities_created", "entities_merged")
+
+
 def _discovering(t: Tables) -> knowledge.Merged:
     """All documents into an empty graph, with types found on the way and articles written by rule."""
     state = _state(t)

@@ -1,12 +1,14 @@
 """A batch of jobs merged end to end, with scripted models."""
 
 import json
-from dataclasses import replace
+import re
+from dataclasses import fields, replace
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph import durable
 from loomgraph.operators.articles import fold_articles, latest_articles
 from loomgraph.plans import knowledge, rules
 from loomgraph.schemas import CONFIG, ENTITY, JOB, MENTION, RELATED, SOURCE
@@ -101,6 +103,48 @@ def test_types_identities_and_relationships(spark):
     assert after.mentions.count() == 3
 
 
+def shared_word():
+    """A mention is the candidate with a word in common, first by name, so entities change their names from job to job."""
+
+    def one(r):
+        chosen, place, own = {}, None, set()
+        for line in r["user"].split("\n"):
+            head, option = re.match(r"\[(\d+)\] (.*) \(", line), re.match(r"    - id=(.*?): (.*) — ", line)
+            if head:
+                place, own = int(head.group(1)), set(head.group(2).lower().split())
+            elif option and own & set(option.group(2).lower().split()):
+                chosen[place] = min(chosen.get(place, ("~", "")), (option.group(2), option.group(1)))
+        return json.dumps({"resolutions": [{"index": i, "id": c[1]} for i, c in chosen.items()]})
+
+    return lambda asked: [one(r) for r in asked]
+
+
+def test_jobs_of_a_batch_see_each_other(spark):
+    """Any size of batch gives what one job after the other gives: identities, latest names, counts and found types."""
+    names = [["Ada Byron", "Cam"], ["Byron King", "Eve"], ["Ada", "King Noel", "Cam"]]
+    kinds = ["Town", "Person", "Village"]
+    answers = {f"text{i}": extraction([(n, kinds[i] if n == "Cam" else "Person") for n in ns]) for i, ns in enumerate(names)}
+    rows = [job(i + 1, f"text{i}") for i in range(3)] + [job(1, "text2", kb="other", job_id="o")]
+
+    def after(n):
+        st = state(spark, *rows)
+        st = replace(st, configs=st.configs.unionByName(st.configs.withColumn("kb_id", F.lit("other"))))
+        counts = []
+        for turn in range(-(-len(rows) // n)):
+            merged = knowledge.drain(st, models(answers, resolution=shared_word), F.lit(NOW), f"b{turn}", n)
+            counts += [tuple(r) for r in merged.counts.collect()]
+            st = knowledge.State(*(durable.cut(getattr(merged.state, f.name)) for f in fields(knowledge.State)))
+        named = {r["id"]: (r["kb_id"], r["type"], r["name"], tuple(r["aliases"])) for r in st.entities.collect()}
+        links = sorted((named[r["entity_id"]], r["job_id"]) for r in st.mentions.collect())
+        types_ = sorted((r["kb_id"], [t["name"] for t in r["entity_types"]]) for r in st.configs.collect())
+        return links, sorted(named.values()), sorted(counts), types_
+
+    want = after(1)
+    assert after(4) == want
+    # Byron King is Ada Byron under her next name, and the third job's King Noel is the same again.
+    assert [n for kb, _, n, _ in want[1] if kb == "kb"] == ["Ada", "Eve", "King Noel", "Cam"]
+
+
 def test_failing_calls_cost_attempts_and_leave_no_trace(spark):
     answers = {"one": "not json", "two": extraction([("Ada", "Person")]), "three": TimeoutError("slow")}
     st = state(spark, job(1, "one"), job(2, "two"), job(3, "three", attempts=2))
