@@ -51,14 +51,11 @@ class Merged:
     new_types: dict[str, DataFrame]
 
 
-def _ask(requests: DataFrame, factory: Callable[[], Provider], models: Models) -> DataFrame:
-    """Answers, written out: each call is made once, whatever reads the result."""
-    return durable.cut(infer.infer(requests, JOB, factory, models.parallelism))
-
-
-def _read(answers: DataFrame, schema, valid) -> DataFrame:
+def _ask(requests: DataFrame, factory: Callable[[], Provider], models: Models, schema, valid) -> DataFrame:
+    """Answers, read and written out: each call is made once and each answer parsed once, whatever reads the result."""
+    answers = infer.infer(requests, JOB, factory, models.parallelism)
     value, wrong = infer.parsed(F.col("answer"), schema, valid)
-    return answers.select(*JOB, value.alias("v"), F.coalesce("error", wrong).alias("error"))
+    return durable.cut(answers.select(*JOB, value.alias("v"), F.coalesce("error", wrong).alias("error")))
 
 
 def _novel_type_answers(kind: str, mentions: DataFrame, example: Column, batch: DataFrame, types: DataFrame, models: Models):
@@ -68,8 +65,8 @@ def _novel_type_answers(kind: str, mentions: DataFrame, example: Column, batch:
     listed = candidates.join(vocabulary.type_examples(mentions, example), [*JOB, "type"], "left")
     column = f"{kind}_types"
     asked = batch.withColumn(column, vocabulary.active_types(F.col(column)))
-    answers = _ask(prompts.consolidation(kind, listed, asked, column), models.types, models)
-    good = _read(answers, TYPE_CONSOLIDATION, infer.valid_type_consolidation).where("error IS NULL")
+    requests = prompts.consolidation(kind, listed, asked, column)
+    good = _ask(requests, models.types, models, TYPE_CONSOLIDATION, infer.valid_type_consolidation).where("error IS NULL")
     echoes = good.select("job_id", F.posexplode("v.decisions").alias("answer_pos", "d")).select("job_id", "answer_pos", "d.*")
     return vocabulary.decisions(candidates, echoes)
 
@@ -96,14 +93,14 @@ def merge(batch: DataFrame, state: State, models: Models, run_ts: Column, batch_
     batch = durable.cut(jobs.job_metadata(vocabulary.with_config(batch, state.configs)))
     interests = F.col("interests")
     asked = batch.select(*JOB, *(c.alias(n) for n, c in prompts.relevance(interests, F.col("content")).items()))
-    verdicts = _read(_ask(asked, models.relevance, models), RELEVANCE, infer.valid_relevance)
+    verdicts = _ask(asked, models.relevance, models, RELEVANCE, infer.valid_relevance)
     relevant = batch.join(verdicts.where("v.relevant").select(*JOB), JOB, "left_semi")
 
     request = prompts.extraction(
         F.col("entity_types"), F.col("relationship_types"), F.col("content"), interests, F.col("discover_types")
     )
     asked = relevant.select(*JOB, *(c.alias(n) for n, c in request.items()))
-    extracted = _read(_ask(asked, models.extraction, models), EXTRACTION, infer.valid_extraction)
+    extracted = _ask(asked, models.extraction, models, EXTRACTION, infer.valid_extraction)
     found = extracted.select(*JOB, F.posexplode("v.entities").alias("pos", "e")).select(
         *JOB, "pos", "e.name", "e.type", "e.description", "e.aliases"
     )
@@ -112,7 +109,7 @@ def merge(batch: DataFrame, state: State, models: Models, run_ts: Column, batch_
 
     offered = resolution.mention_candidates(mentions, resolution.candidates(mentions, state.entities), state.entities)
     offered = durable.cut(offered)
-    chosen = _read(_ask(prompts.resolution(offered), models.resolution, models), RESOLUTIONS, infer.valid_resolutions)
+    chosen = _ask(prompts.resolution(offered), models.resolution, models, RESOLUTIONS, infer.valid_resolutions)
     # An empty answer means that all are new; anything unreadable fails the job.
     unread = chosen.where("error IS NOT NULL AND error <> 'empty response'")
     answers = chosen.select("job_id", F.posexplode("v.resolutions").alias("answer_pos", "r")).select(
