@@ -19,10 +19,6 @@ MAX_CLASS_DISTANCE = 0.3
 MAX_WORD_DISTANCE = 0.55
 MIN_CHARS = 200
 MIN_LETTER_WORDS = 100
-# Read by the SQL of ``loomgraph.llm.sql`` alone, which still compares rarer languages with all rows; here every
-# language has a reference, so the two agree where no language is below this share of the rows.
-LEAST_SHARE = 0.001
-
 # Frequent function words of four languages.
 COMMON = {
     "en": "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which",
@@ -109,11 +105,8 @@ def _entropy_term(p: Column, q: Column) -> Column:
 
 
 def references(counted: DataFrame) -> DataFrame:
-    """Per language, however rare, and for ``''`` over all rows: shares of the character classes (array) and of the
-    common words (map)."""
-    keyed = counted.where("lang is not null and lang <> ''").select(F.col("lang").alias("ref"), "classes", "counts", "n_letters").unionByName(
-        counted.select(F.lit("").alias("ref"), "classes", "counts", "n_letters")
-    )
+    """Per language, however rare: shares of the character classes (array) and of the common words (map)."""
+    keyed = counted.where("lang is not null and lang <> ''").select(F.col("lang").alias("ref"), "classes", "counts", "n_letters")
     sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))]
     totals = keyed.groupBy("ref").agg(F.sum("n_letters").alias("letters"), *sums)
     each = keyed.select("ref", F.inline("counts")).groupBy("ref", "w").agg(F.sum("n").alias("n"))
@@ -128,15 +121,12 @@ def references(counted: DataFrame) -> DataFrame:
 
 
 def distances(counted: DataFrame, refs: DataFrame) -> DataFrame:
-    """``counted`` with ``class_distance`` and ``word_distance`` to its language, or to all rows if that has no reference."""
+    """``counted`` with ``class_distance`` and ``word_distance`` to its language; without a reference of its own a row is at no distance."""
     # As many rows as there are languages: Spark broadcasts them if they are small, or else joins by key.
-    own = refs.where("ref <> ''")
-    rest = F.broadcast(refs.where("ref = ''").withColumnsRenamed({"ref": "all_ref", "class_shares": "all_classes", "word_shares": "all_words"}))
-    rows = counted.join(own, F.col("lang") == F.col("ref"), "left")
-    rows = rows.withColumn("fallback", F.when(F.col("ref").isNull(), F.lit(""))).join(rest, F.col("fallback") == F.col("all_ref"), "left")
+    rows = counted.join(refs, F.col("lang") == F.col("ref"), "left")
     known = F.col("ref").isNotNull()
-    rows = rows.withColumn("q_classes", F.when(known, F.col("class_shares")).otherwise(F.col("all_classes")))
-    rows = rows.withColumn("q_words", F.coalesce(F.when(known, F.col("word_shares")).otherwise(F.col("all_words")), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    rows = rows.withColumnRenamed("class_shares", "q_classes").withColumn("q_words", F.coalesce("word_shares", none))
     size = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     rows = rows.withColumn("size", size)
     zero = F.lit(0.0)
@@ -157,7 +147,7 @@ def distances(counted: DataFrame, refs: DataFrame) -> DataFrame:
     # Common words that the text lacks add half their share; all other words are one outcome.
     by_word = total(lambda x: _entropy_term(x["p"], x["q"])) + (q_common - F.col("q_seen")) / 2 + _entropy_term(1 - F.col("p_seen"), 1 - q_common)
     root = lambda x: F.sqrt(F.greatest(F.coalesce(x, zero), zero))
-    return seen.select(*counted.columns, root(by_class).alias("class_distance"), root(by_word).alias("word_distance"))
+    return seen.select(*counted.columns, *(F.when(known, root(x)).otherwise(zero).alias(n) for x, n in ((by_class, "class_distance"), (by_word, "word_distance"))))
 
 
 def judge(
@@ -172,7 +162,8 @@ def judge(
     ``base_failed``: fewer than 50 words, or over half of them in three-word runs found twice. Else a row is dropped if
     its characters are too far from its language's and it has ``min_chars``, or its common words are and it has
     ``min_letter_words`` words of letters. Null texts count as empty; rows of null or empty ``lang``, and of a language
-    none of whose rows passes the plain rules, are compared with all rows; repeated rows and null ids are rows like others; an empty table gives no rows; other columns are ignored."""
+    none of whose rows passes the plain rules, have nothing to be compared with: the plain rules alone decide. Repeated rows and null ids are rows like others; an empty table gives no rows; other
+    columns are ignored."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     counted = durable.cut(features(docs))
     rows = distances(counted, durable.cut(references(counted.where(~failed))))

@@ -142,24 +142,23 @@ WITH rows AS (
   SELECT * FROM counted WHERE NOT base_failed
 ), keyed AS (
   SELECT r, lang AS ref, n_letters, {", ".join(names)} FROM sound WHERE lang IS NOT NULL AND lang <> ''
-  UNION ALL SELECT r, '' AS ref, n_letters, {", ".join(names)} FROM sound
 ), totals AS (
-  SELECT ref, count(*) AS n_rows, sum(n_letters) AS letters, {sums} FROM keyed GROUP BY ref
+  SELECT ref, sum(n_letters) AS letters, {sums} FROM keyed GROUP BY ref
 ), refs AS (
-  SELECT ref, letters, {shares} FROM totals WHERE n_rows >= {D.LEAST_SHARE} * (SELECT n_rows FROM totals WHERE ref = '')
+  SELECT ref, letters, {shares} FROM totals
 ), ref_words AS (
   SELECT ref, w, sum(n) / any_value(letters) AS q FROM keyed JOIN common USING (r) JOIN (SELECT ref, letters FROM refs) USING (ref) GROUP BY ref, w
 ), ref_common AS (
   SELECT ref, sum(q) AS q_common FROM ref_words GROUP BY ref
 ), placed AS (
-  SELECT c.*, CASE WHEN c.lang IN (SELECT ref FROM refs WHERE ref <> '') THEN c.lang ELSE '' END AS ref FROM counted c
+  SELECT c.*, CASE WHEN c.lang IN (SELECT ref FROM refs) THEN c.lang END AS ref FROM counted c
 ), by_word AS (
   SELECT r, sum(p) AS p_seen, sum(q) AS q_seen, sum({_half("p", "q")}) AS seen
   FROM (SELECT r, n / n_letters AS p, coalesce(q, 0) AS q FROM placed JOIN common USING (r) LEFT JOIN ref_words USING (ref, w))
   GROUP BY r
 ), measured AS (
-  SELECT d.*, CASE WHEN {size} > 0 THEN {by_class} ELSE 0 END AS class_divergence,
-    CASE WHEN n_letters > 0 THEN coalesce(seen, 0) + (coalesce(q_common, 0) - coalesce(q_seen, 0)) / 2
+  SELECT d.*, CASE WHEN {size} > 0 AND ref IS NOT NULL THEN {by_class} ELSE 0 END AS class_divergence,
+    CASE WHEN n_letters > 0 AND ref IS NOT NULL THEN coalesce(seen, 0) + (coalesce(q_common, 0) - coalesce(q_seen, 0)) / 2
       + {_half("(1 - coalesce(p_seen, 0))", "(1 - coalesce(q_common, 0))")} ELSE 0 END AS word_divergence
   FROM placed d LEFT JOIN refs USING (ref) LEFT JOIN ref_common USING (ref) LEFT JOIN by_word USING (r)
 )

@@ -171,6 +171,23 @@ def test_divergence_rules(spark):
     assert div.judge(docs.limit(0)).count() == 0
 
 
+def test_rare_and_unnamed_languages_are_not_held_against_others(spark):
+    """Clean Cyrillic text among much Latin text stays, in a language under a thousandth of the rows and without one; by both engines."""
+    draw = random.Random(3)
+    latin = [(i, " ".join(draw.choice(["the", "of", "house", "river", "and", "green"]) + str(draw.randint(0, 99)) for _ in range(60)), "en") for i in range(2100)]
+    cyrillic = [" ".join(draw.choice(["река", "дом", "зелёный", "лес", "и", "поле"]) + draw.choice("абвгд") for _ in range(120)) for _ in range(4)]
+    rows = latin + [(9000 + i, t, lang) for i, (t, lang) in enumerate(zip(cyrillic, ["ru", "ru", None, ""], strict=True))] + [(9100, "# | " * 200, "xx")]
+    got = {r.doc_id: r for r in div.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[9000 + i].kept for i in range(4)) and not got[9100].kept
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows[-200:])
+    few = {r.doc_id: r.kept for r in div.judge(spark.createDataFrame(rows[-200:], "doc_id long, text string, lang string")).collect()}
+    cursor = con.execute(divergence_sql())
+    place = {d[0]: i for i, d in enumerate(cursor.description)}
+    assert {r[place["doc_id"]]: r[place["kept"]] for r in cursor.fetchall()} == few
+
+
 def test_distance_is_jensen_shannons(spark):
     p, q = np.array([0.5, 0.3, 0.2]), np.array([0.1, 0.2, 0.7])
     m = (p + q) / 2

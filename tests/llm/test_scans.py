@@ -1,8 +1,10 @@
 """Secrets, benchmark passages and licences."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import plain
 import pytest
@@ -180,3 +182,55 @@ def test_every_template_is_its_own_license(spark):
     rows = [(i, f"f{i}.txt", f"Some text.\n{t}\nMore.") for i, (_, t) in enumerate(licenses.TEMPLATES) if licenses.re.search(licenses.SPEAKS_OF_LICENSING, t)]
     got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert got == {i: licenses.TEMPLATES[i][0] for i, _, _ in rows}
+
+
+def _license(text, least=licenses.LEAST_COSINE):
+    """Best template of any stretch of words of any template's length, by the plain formula."""
+    vectors, idf, other = licenses._vectors()
+    best = (0.0, None)
+    own = licenses.words(text)
+    for t, (name, template) in enumerate(licenses.TEMPLATES):
+        n = len(licenses.words(template))
+        needed = licenses._telling(template)
+        for at in range(max(1, len(own) - n + 1)):
+            part = Counter(own[at : at + n])
+            marks = {w for w in part if w in licenses.FAMILY_WORDS and w not in licenses.words(template)}
+            if needed - set(part) or marks:
+                continue
+            w = {x: (1 + math.log(k)) * idf.get(x, other) for x, k in part.items()}
+            cosine = sum(v * vectors[t].get(x, 0) for x, v in w.items()) / math.sqrt(sum(v * v for v in w.values()))
+            best = max(best, (round(cosine, 6), name))
+    return best if best[0] >= least else (None, None)
+
+
+def _own(spark, texts):
+    files = spark.createDataFrame([(i, f"f{i}.txt", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    return {r.doc_id: (r.score, r.license) for r in licenses.scan(files).collect()}
+
+
+def test_notices_inside_long_lines(spark):
+    draw = random.Random(4)
+    prose = lambda n: " ".join(draw.choice("alpha beta gamma delta license of the work copyright free use".split()) for _ in range(n))
+    notices = [t for name, t in licenses.TEMPLATES]
+    texts = [f"{prose(draw.randint(30, 60))} {t} {prose(draw.randint(30, 60))}" for t in notices] + [prose(300)]
+    texts.append("x" * 25_000 + " " + next(t for n, t in licenses.TEMPLATES if n == "Apache-2.0" and len(t) > 300))
+    got = _own(spark, texts)
+    for i, text in enumerate(texts):
+        score, name = _license(text)
+        # The whole line is compared, too, but never beats the window that the notice fills.
+        assert got[i][1] == name and (score is None or abs(got[i][0] - score) < 1e-5), (i, got[i], score, name)
+    assert [got[i][1] for i in range(len(notices))] == [n for n, _ in licenses.TEMPLATES] and got[len(notices)] == (None, None)
+    assert got[len(notices) + 1] == (1.0, "Apache-2.0")
+
+
+def test_versions_and_families_have_to_agree(spark):
+    gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    texts = [gnu.format(2), gnu.format(3), gnu.format(1), gnu.format(3).replace("General", "Affero General"), "Licensed under CC BY-ND 4.0.", "Licensed under CC BY-SA 4.0."]
+    assert [_own(spark, texts)[i][1] for i in range(6)] == ["GPL-2.0", "GPL-3.0", None, "AGPL-3.0", None, "CC-BY-SA-4.0"]
+
+
+def test_repeated_rows_change_no_score(spark):
+    row = (1, "a/b.txt", "Licensed under the Apache License, Version 2.0, as far as we know.")
+    one, many = (spark.createDataFrame([row] * n, "doc_id long, path string, text string") for n in (1, 50))
+    (want,) = {tuple(r) for r in licenses.scan(one).collect()}
+    assert {tuple(r) for r in licenses.scan(many).collect()} == {want} and licenses.scan(many).count() == 50
