@@ -1,9 +1,10 @@
 """Upserts of the graph tables, as joins that yield the next snapshot.
 
-Parquet tables take no MERGE, so each operator returns the whole new state and the
-caller publishes it. Batches are reduced to one row per key and written down before they meet
+Parquet tables take no MERGE. Each ``*_changes`` gives the rows that a batch adds or replaces, each ``upsert_*`` the
+whole state after it. Batches are reduced to one row per key and written down before they meet
 the state: Spark then knows their size, and a small batch is broadcast instead of
-shuffling the state. Only the rows of touched keys take part in a full join."""
+shuffling the state. Only the rows of touched keys take part in a full join, and of a table stored
+in buckets of its keys only the touched buckets are read."""
 
 from __future__ import annotations
 
@@ -17,6 +18,9 @@ from loomgraph.functions.text import first_sentence, normalize_name
 ENTITY_COLUMNS = [
     "kb_id", "id", "type", "name", "name_normalized", "summary", "article", "aliases", "created_at", "updated_at"
 ]
+EDGE_KEY = ["kb_id", "source_id", "target_id", "type"]
+SOURCE_KEY = ["kb_id", "job_id"]
+MENTION_KEY = ["kb_id", "entity_id", "job_id"]
 
 
 def last_per_entity(batch: DataFrame) -> DataFrame:
@@ -31,10 +35,35 @@ def last_per_entity(batch: DataFrame) -> DataFrame:
     )
 
 
-def _split(state: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows of ``state`` whose keys ``new`` has, all others)."""
-    touched = new.select(*keys)
-    return state.join(touched, keys, "left_semi"), state.join(touched, keys, "left_anti")
+# The partition column of a stored table: the place of a row's key among the buckets, and how many there are.
+BUCKET = "_bucket"
+
+
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in keys)), F.lit(buckets)).cast("int").alias(BUCKET)
+
+
+def touched_buckets(new: DataFrame, keys: list[str], buckets: int) -> list[int]:
+    """The buckets that the keys of ``new`` fall in: as many numbers as there are buckets, at most."""
+    return sorted(r[0] for r in new.select(bucket_of(keys, buckets)).distinct().collect())
+
+
+def _near(state: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``state`` without the buckets that hold none of the keys of ``new``; all of a table that has no buckets."""
+    buckets = state.__dict__.get("_buckets")
+    if not buckets:
+        return state
+    return state.where(F.col(BUCKET).isin(touched_buckets(new, keys, buckets)))
+
+
+def _stored(state: DataFrame, new: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The columns of the rows of ``state`` whose keys ``new`` has."""
+    return _near(state, new, keys).select(*columns).join(new.select(*keys), keys, "left_semi")
+
+
+def replaced(state: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """``state`` with the rows of ``changes`` added, and those of the same keys taken out."""
+    return state.select(*changes.columns).join(changes.select(*keys), keys, "left_anti").select(*changes.columns).unionByName(changes)
 
 
 def _present(rows: DataFrame, entities: DataFrame, end: str) -> DataFrame:
@@ -44,9 +73,7 @@ def _present(rows: DataFrame, entities: DataFrame, end: str) -> DataFrame:
     return rows.join(known, ["kb_id", end], "left_semi")
 
 
-def upsert_entities(entities: DataFrame, batch: DataFrame, run_ts: Column) -> DataFrame:
-    """Entities after a batch: tenant, type and creation time are set once; name, summary, article
-    and aliases (overwritten, not united) follow the latest mention."""
+def _new_entities(batch: DataFrame) -> DataFrame:
     new = last_per_entity(batch).select(
         F.col("id"),
         F.struct(
@@ -59,8 +86,11 @@ def upsert_entities(entities: DataFrame, batch: DataFrame, run_ts: Column) -> Da
             F.transform(F.coalesce("aliases", F.array()), normalize_name).alias("aliases"),
         ).alias("new"),
     )
-    new = durable.cut(new)
-    touched, others = _split(entities.select(*ENTITY_COLUMNS), new, ["id"])
+    return durable.cut(new)
+
+
+def _entity_changes(entities: DataFrame, new: DataFrame, run_ts: Column) -> DataFrame:
+    touched = _stored(entities, new, ["id"], ENTITY_COLUMNS)
     joined = touched.withColumn("_stored", F.lit(True)).join(new, "id", "full_outer")
     is_new, changed = F.col("_stored").isNull(), F.col("new").isNotNull()
 
@@ -70,7 +100,7 @@ def upsert_entities(entities: DataFrame, batch: DataFrame, run_ts: Column) -> Da
     def always(name: str) -> Column:
         return F.when(changed, F.col(f"new.{name}")).otherwise(F.col(name)).alias(name)
 
-    upserted = joined.select(
+    return joined.select(
         once("kb_id"),
         "id",
         once("type"),
@@ -78,41 +108,62 @@ def upsert_entities(entities: DataFrame, batch: DataFrame, run_ts: Column) -> Da
         F.when(is_new, run_ts).otherwise(F.col("created_at")).alias("created_at"),
         F.when(changed, run_ts).otherwise(F.col("updated_at")).alias("updated_at"),
     )
-    return others.unionByName(upserted)
 
 
-def upsert_relationships(related: DataFrame, batch: DataFrame, entities: DataFrame, run_ts: Column) -> DataFrame:
-    """Edges after a batch (``kb_id, source_id, target_id, type, job_id, batch_pos``): one edge per
+def entity_changes(entities: DataFrame, batch: DataFrame, run_ts: Column) -> DataFrame:
+    """The entities that a batch adds or changes, as they are after it: tenant, type and creation time are set once;
+    name, summary, article and aliases (overwritten, not united) follow the latest mention."""
+    return _entity_changes(entities, _new_entities(batch), run_ts)
+
+
+def upsert_entities(entities: DataFrame, batch: DataFrame, run_ts: Column) -> DataFrame:
+    """Entities after a batch."""
+    new = _new_entities(batch)
+    others = entities.select(*ENTITY_COLUMNS).join(new.select("id"), "id", "left_anti")
+    return others.unionByName(_entity_changes(entities, new, run_ts))
+
+
+def relationship_changes(related: DataFrame, batch: DataFrame, entities: DataFrame, run_ts: Column) -> DataFrame:
+    """The edges that a batch adds (``kb_id, source_id, target_id, type, job_id, batch_pos``): one edge per
     (tenant, source, target, type), which keeps the first job naming it. Both ends must
     exist in the tenant."""
-    key = ["kb_id", "source_id", "target_id", "type"]
-    first = durable.cut(batch.groupBy(*key).agg(F.min_by("job_id", "batch_pos").alias("source_job_id")))
-    stored, _ = _split(related.select(*key), first, key)
+    first = durable.cut(batch.groupBy(*EDGE_KEY).agg(F.min_by("job_id", "batch_pos").alias("source_job_id")))
+    stored = _stored(related, first, EDGE_KEY, EDGE_KEY)
     for end in ("source_id", "target_id"):
         first = _present(first, entities, end)
-    fresh = first.join(stored, key, "left_anti").withColumn("created_at", run_ts)
-    return related.select(*key, "source_job_id", "created_at").unionByName(
-        fresh.select(*key, F.col("source_job_id"), "created_at")
-    )
+    fresh = first.join(stored, EDGE_KEY, "left_anti").withColumn("created_at", run_ts)
+    return fresh.select(*EDGE_KEY, "source_job_id", "created_at")
 
 
-def upsert_sources(sources: DataFrame, batch: DataFrame) -> DataFrame:
-    """Sources after a batch (``kb_id, job_id, batch_pos, label, published_at, ingested_at`` as text): label and
+def upsert_relationships(related: DataFrame, batch: DataFrame, entities: DataFrame, run_ts: Column) -> DataFrame:
+    """Edges after a batch."""
+    fresh = relationship_changes(related, batch, entities, run_ts)
+    return related.select(*fresh.columns).unionByName(fresh)
+
+
+def source_changes(batch: DataFrame) -> DataFrame:
+    """The sources a batch writes (``kb_id, job_id, batch_pos, label, published_at, ingested_at`` as text): label and
     dates are overwritten, an empty or unreadable date becomes null."""
     value = F.struct("label", parse_iso(F.col("published_at")).alias("published_at"), parse_iso(F.col("ingested_at")).alias("ingested_at"))
-    key = ["kb_id", "job_id"]
-    new = durable.cut(batch.groupBy(*key).agg(F.max_by(value, "batch_pos").alias("new")))
-    columns = [*key, "label", "published_at", "ingested_at"]
-    _, others = _split(sources.select(*columns), new, key)
-    return others.unionByName(new.select(*key, "new.label", "new.published_at", "new.ingested_at"))
+    new = durable.cut(batch.groupBy(*SOURCE_KEY).agg(F.max_by(value, "batch_pos").alias("new")))
+    return new.select(*SOURCE_KEY, "new.label", "new.published_at", "new.ingested_at")
+
+
+def upsert_sources(sources: DataFrame, batch: DataFrame) -> DataFrame:
+    """Sources after a batch."""
+    return replaced(sources, source_changes(batch), SOURCE_KEY)
+
+
+def mention_changes(mentions: DataFrame, batch: DataFrame, entities: DataFrame) -> DataFrame:
+    """The (entity, source) links that a batch adds; the entity must exist in the tenant."""
+    named = durable.cut(batch.select(*MENTION_KEY).distinct())
+    stored = _stored(mentions, named, MENTION_KEY, MENTION_KEY)
+    return _present(named, entities, "entity_id").join(stored, MENTION_KEY, "left_anti")
 
 
 def upsert_mentions(mentions: DataFrame, batch: DataFrame, entities: DataFrame) -> DataFrame:
-    """The set of (entity, source) links after a batch; the entity must exist in the tenant."""
-    key = ["kb_id", "entity_id", "job_id"]
-    named = durable.cut(batch.select(*key).distinct())
-    stored, _ = _split(mentions.select(*key), named, key)
-    return mentions.select(*key).unionByName(_present(named, entities, "entity_id").join(stored, key, "left_anti"))
+    """The set of (entity, source) links after a batch."""
+    return mentions.select(*MENTION_KEY).unionByName(mention_changes(mentions, batch, entities))
 
 
 def purge_tenants(table: DataFrame, tenants: DataFrame) -> DataFrame:

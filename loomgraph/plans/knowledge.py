@@ -41,16 +41,33 @@ class State:
     mentions: DataFrame
 
 
+# What makes a row of each table the same row.
+KEYS = {
+    "jobs": ["job_id"],
+    "configs": ["kb_id"],
+    "entities": ["id"],
+    "related": graph_write.EDGE_KEY,
+    "sources": graph_write.SOURCE_KEY,
+    "mentions": graph_write.MENTION_KEY,
+}
+
+
 @dataclass(frozen=True)
 class Merged:
-    """A batch's results: the next state, an outcome per job, counters, and new types per kind."""
+    """A batch's results: the rows it added or changed in each table (written down), the state with them, an outcome
+    per job, counters, and new types per kind."""
 
+    changes: State
     state: State
     outcomes: DataFrame
     counts: DataFrame
     new_types: dict[str, DataFrame]
 
 
+def _after(state: State, changes: State) -> State:
+    return State(**{t: graph_write.replaced(getattr(state, t), getattr(changes, t), key) for t, key in KEYS.items()})
+
+
 def _ask(requests: DataFrame, factory: Callable[[], Provider], models: Models, schema, valid) -> DataFrame:
     """Answers, read and written out: each call is made once and each answer parsed once, whatever reads the result."""
     answers = infer.infer(requests, JOB, factory, models.parallelism)
@@ -137,13 +154,14 @@ def merge(batch: DataFrame, state: State, models: Models, run_ts: Column, batch_
     else:
         articles = durable.cut(fold_articles(told, models.article, models.parallelism))
     written = identified.join(articles, ["kb_id", "entity_id"])
-    entities = durable.cut(graph_write.upsert_entities(state.entities, written, run_ts))
+    entities = durable.cut(graph_write.entity_changes(state.entities, written, run_ts))
+    there = state.entities.select("kb_id", "id").unionByName(entities.select("kb_id", "id"))
     provenance = identified.select(
         *JOB, "entity_id", "batch_pos", F.col("source_label").alias("label"),
         F.col("source_published_at").alias("published_at"), F.col("source_ingested_at").alias("ingested_at"),
     )
-    sources = graph_write.upsert_sources(state.sources, provenance)
-    links = graph_write.upsert_mentions(state.mentions, provenance, entities)
+    sources = graph_write.source_changes(provenance)
+    links = graph_write.mention_changes(state.mentions, provenance, there)
 
     relations = extracted.join(failed.select(*JOB), JOB, "left_anti").select(
         *JOB, F.posexplode("v.relationships").alias("pos", "r")
@@ -155,7 +173,7 @@ def merge(batch: DataFrame, state: State, models: Models, run_ts: Column, batch_
         .join(order.select(*JOB, "created_at"), JOB)
         .withColumn("batch_pos", F.struct("created_at", "job_id", "pos"))
     )
-    related = graph_write.upsert_relationships(state.related, ends, entities, run_ts)
+    related = graph_write.relationship_changes(state.related, ends, there, run_ts)
 
     attempts = ends.groupBy(*JOB).agg(F.count(F.lit(1)).alias("relationships_created"))
     counts = resolution.merge_counts(identified).join(attempts, JOB, "full_outer").na.fill(0)
@@ -170,18 +188,20 @@ def merge(batch: DataFrame, state: State, models: Models, run_ts: Column, batch_
         "entity_types": entity_types.join(failed.select(*JOB), JOB, "left_anti"),
         "relationship_types": relation_types.join(failed.select(*JOB), JOB, "left_anti"),
     }
-    configs = state.configs
+    minting = [rows.select("kb_id") for rows in minted.values()]
+    configs = state.configs.join(minting[0].unionByName(minting[1]), "kb_id", "left_semi")
     for column, rows in minted.items():
         configs = _with_new_types(configs, column, rows.join(order.select(*JOB, "created_at"), JOB))
-    after = State(
-        jobs=jobs.apply_outcomes(state.jobs, outcomes, run_ts),
-        configs=configs,
+    mine = state.jobs.join(batch.select("job_id"), "job_id", "left_semi")
+    changes = State(
+        jobs=durable.cut(jobs.apply_outcomes(mine, outcomes, run_ts)),
+        configs=durable.cut(configs),
         entities=entities,
-        related=related,
+        related=durable.cut(related),
         sources=sources,
-        mentions=links,
+        mentions=durable.cut(links),
     )
-    return Merged(after, outcomes, counts, minted)
+    return Merged(changes, _after(state, changes), outcomes, counts, minted)
 
 
 def _with_new_types(configs: DataFrame, column: str, minted: DataFrame) -> DataFrame:
@@ -210,26 +230,35 @@ def merge_in_turn(batch: DataFrame, state: State, models: Models, run_ts: Column
     """Merge a batch so that each job sees what the tenant's earlier jobs wrote: entities, their latest names, types, articles.
 
     Tenants share nothing, so turn ``k`` merges the ``k``-th job of every tenant together: there are as many turns as one
-    tenant has jobs in the batch, however many tenants there are. Each turn's tables are written down and those of the
-    turn before deleted."""
+    tenant has jobs in the batch, however many tenants there are. A turn writes down the rows changed so far, not the
+    state, and deletes those of the turn before."""
     place = F.row_number().over(Window.partitionBy("kb_id").orderBy("created_at", "job_id"))
     batch = durable.cut(batch.withColumn("_turn", place))
     turns = batch.agg(F.max("_turn")).first()[0] or 0
     if turns < 2:
         return merge(batch.drop("_turn"), state, models, run_ts, batch_id)
-    outcomes = counts = None
+    outcomes = counts = changes = None
     minted: dict[str, DataFrame] = {}
     for turn in range(1, turns + 1):
-        merged = merge(batch.where(F.col("_turn") == turn).drop("_turn"), state, models, run_ts, f"{batch_id}/{turn}")
-        before, state = state, State(*(durable.cut(getattr(merged.state, f.name)) for f in fields(State)))
+        now = _after(state, changes) if changes else state
+        merged = merge(batch.where(F.col("_turn") == turn).drop("_turn"), now, models, run_ts, f"{batch_id}/{turn}")
+        before = changes
+        changes = _gathered(before, merged.changes) if before else merged.changes
         parts = [durable.cut(x) for x in (merged.outcomes, merged.counts)]
         outcomes, counts = parts if outcomes is None else (x.unionByName(y) for x, y in zip((outcomes, counts), parts, strict=True))
         for kind, rows in merged.new_types.items():
             rows = durable.cut(rows)
             minted[kind] = minted[kind].unionByName(rows) if kind in minted else rows
-        for f in fields(State):
-            durable.drop(getattr(before, f.name))
-    return Merged(state, outcomes, counts, minted)
+        if before:
+            for f in fields(State):
+                durable.drop(getattr(before, f.name))
+    return Merged(changes, _after(state, changes), outcomes, counts, minted)
+
+
+def _gathered(before: State, changes: State) -> State:
+    """The rows changed up to a turn, one for each key."""
+    after = _after(before, changes)
+    return State(**{f.name: durable.cut(getattr(after, f.name)) for f in fields(State)})
 
 
 def drain(state: State, models: Models, run_ts: Column, batch_id: str, n: int = JOB_BATCH, in_turn: bool = True) -> Merged:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph import durable
 from loomgraph.operators.vocabulary import to_type_defs
 from loomgraph.plans import knowledge, rules
 from loomgraph.plans.registry import query
 from loomgraph.schemas import MENTION, RELATED, SOURCE
 from loomgraph.sources.tables import Tables
+from loomgraph.streaming import flows
+from loomgraph.streaming.store import TableStore
 
 RUN = "2024-06-01"
 
@@ -112,6 +115,30 @@ def merge_in_turn(t: Tables) -> DataFrame:
     return merged.counts.select("kb_id", "job_id", "entities_created", "entities_merged")
 
 
+@query(
+    f"""WITH {_WORDS}
+SELECT coalesce(s.kb_id, m.kb_id) AS kb_id, coalesce(s.n, m.n) AS name_normalized, CASE WHEN s.n IS NULL THEN 'new' ELSE 'stored' END AS origin,
+  CASE WHEN s.n IS NULL THEN concat(upper(m.n[1]), m.n[2:], '. A word.') ELSE 'old article' END AS article,
+  m.n IS NOT NULL AS renewed, coalesce(m.sources, 0)::BIGINT AS sources
+FROM stored s FULL JOIN mentioned m ON s.kb_id = m.kb_id AND s.n = m.n"""
+)
+def queue_drain(t: Tables) -> DataFrame:
+    """The queue as a stream, drained in one sweep into a graph stored in buckets: the graph that the batch merge yields."""
+    state = _state(t)
+    folder, place, check = (durable.fresh_folder(t.spark, kind) for kind in ("queue", "store", "checkpoint"))
+    store = TableStore(t.spark, place, buckets=8)
+    store.write({name: durable.cut(getattr(state, name)) for name in store.tables if name != "jobs"} | {"jobs": state.jobs.limit(0)})
+    queue = state.jobs.select("job_id", "kb_id", "content", "metadata", "created_at")
+    queue.write.parquet(folder)
+    models = knowledge.Models(rules.relevant_by_length, rules.capitalised_words, rules.same_name)
+    flows.drain_stream(t.spark.readStream.schema(queue.schema).parquet(folder), store, models, check).awaitTermination()
+    named = store.read("mentions").groupBy("kb_id", F.col("entity_id").alias("id")).agg(F.count(F.lit(1)).alias("sources"))
+    return store.read("entities").join(named, ["kb_id", "id"], "left").select(
+        "kb_id", "name_normalized", F.when(F.col("id").startswith("stored/"), "stored").otherwise("new").alias("origin"), "article",
+        (F.col("updated_at") > F.lit("2020-01-01").cast("timestamp")).alias("renewed"), F.coalesce("sources", F.lit(0)).alias("sources"),
+    )
+
+
 def _discovering(t: Tables) -> knowledge.Merged:
     """All documents into an empty graph, with types found on the way and articles written by rule."""
     state = _state(t)

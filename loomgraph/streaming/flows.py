@@ -20,6 +20,7 @@ from loomgraph.streaming.store import TableStore
 
 QUEUE_SCHEMA = "job_id string, kb_id string, content string, metadata string, created_at timestamp"
 ITEM_KEY = ["source_id", "dedup_key"]
+GRAPH = ("entities", "related", "sources", "mentions")
 
 
 def queue_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -40,27 +41,25 @@ def stream_id(batch: DataFrame) -> str:
 
 
 def drain_stream(
-    arrived: DataFrame, store: TableStore, models: knowledge.Models, checkpoint: str, interval: str | None = None
+    arrived: DataFrame, store: TableStore, models: knowledge.Models, checkpoint: str, interval: str | None = None, in_turn: bool = False
 ) -> StreamingQuery:
-    """Merge arriving jobs, and the ones that wait for another attempt, into the stored graph.
+    """Merge arriving jobs, and the ones that wait for another attempt, into the stored graph, all at once or ``in_turn``.
 
-    Each micro-batch writes the next version of all tables and then commits it; a repeated micro-batch of the same
-    stream finds itself committed and does nothing."""
+    Each micro-batch writes the buckets it touches as the next version and then commits it; a repeated micro-batch of
+    the same stream finds itself committed and does nothing."""
+    merge = knowledge.merge_in_turn if in_turn else knowledge.merge
 
     def step(batch: DataFrame, batch_id: int) -> None:
         stream = stream_id(batch)
         if store.holds(stream, batch_id):
             return
-        spark = batch.sparkSession
         run_ts = F.lit(datetime.now(UTC))
-        state = knowledge.State(**{name: store.read(spark, name) for name in store.tables})
-        known = state.jobs.select("job_id")
-        queue = state.jobs.unionByName(as_jobs(batch).join(known, "job_id", "left_anti").select(*state.jobs.columns))
-        waiting = queue.where("status = 'pending'")
-        merged = knowledge.merge(
-            waiting, knowledge.State(queue, *(getattr(state, n) for n in store.tables[1:])), models, run_ts, f"stream/{stream}/{batch_id}"
-        )
-        store.write({name: getattr(merged.state, name) for name in store.tables}, stream, batch_id)
+        stored = {name: store.read(name, buckets=name in GRAPH) for name in store.tables}
+        jobs = stored["jobs"]
+        fresh = as_jobs(batch).dropDuplicates(["job_id"]).join(jobs.select("job_id"), "job_id", "left_anti")
+        waiting = durable.cut(jobs.where("status = 'pending'").unionByName(fresh.select(*jobs.columns)))
+        merged = merge(waiting, knowledge.State(**stored | {"jobs": waiting}), models, run_ts, f"stream/{stream}/{batch_id}")
+        store.write({name: getattr(merged.changes, name) for name in store.tables}, stream, batch_id)
 
     writer = arrived.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()

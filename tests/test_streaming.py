@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.operators import graph_write
 from loomgraph.operators.jobs import replay_events
 from loomgraph.operators.vocabulary import to_type_defs
 from loomgraph.plans import knowledge, rules
@@ -23,7 +24,7 @@ def drop_job(folder, name, **job):
 
 
 def test_queue_is_drained_once_per_arrival(spark, tmp_path):
-    store = TableStore(spark, str(tmp_path / "store"))
+    store = TableStore(spark, str(tmp_path / "store"), buckets=4)
     config = spark.range(1).select(
         F.lit("kb").alias("kb_id"), F.lit("").alias("interests"), F.lit(False).alias("discover_types"),
         to_type_defs(F.array(F.lit("Person"))).alias("entity_types"), to_type_defs(F.array(F.lit("Near"))).alias("relationship_types"),
@@ -42,18 +43,54 @@ def test_queue_is_drained_once_per_arrival(spark, tmp_path):
     drop_job(queue, "b", job_id="2", kb_id="kb", content="Robert left Charles ok")
     run()
     run()
-    names = {r["name"]: r["id"] for r in store.read(spark, "entities").collect()}
+    names = {r["name"]: r["id"] for r in store.read("entities").collect()}
     assert set(names) == {"Alice", "Robert", "Charles"}
-    edges = {(r["source_id"], r["target_id"]) for r in store.read(spark, "related").collect()}
+    edges = {(r["source_id"], r["target_id"]) for r in store.read("related").collect()}
     assert edges == {(names["Alice"], names["Robert"]), (names["Robert"], names["Charles"])}
-    assert {r["status"] for r in store.read(spark, "jobs").collect()} == {"done"}
-    assert store.read(spark, "mentions").where(F.col("entity_id") == names["Robert"]).count() == 2
+    assert {r["status"] for r in store.read("jobs").collect()} == {"done"}
+    assert store.read("mentions").where(F.col("entity_id") == names["Robert"]).count() == 2
     # A lost checkpoint starts the stream anew: nothing stored is lost or doubled, and what arrives is merged.
     shutil.rmtree(check)
     drop_job(queue, "c", job_id="3", kb_id="kb", content="Charles meets Dorothy.")
     run()
-    assert {r["name"] for r in store.read(spark, "entities").collect()} == {"Alice", "Robert", "Charles", "Dorothy"}
-    assert sorted(r["job_id"] for r in store.read(spark, "jobs").collect()) == ["1", "2", "3"]
+    assert {r["name"] for r in store.read("entities").collect()} == {"Alice", "Robert", "Charles", "Dorothy"}
+    assert sorted(r["job_id"] for r in store.read("jobs").collect()) == ["1", "2", "3"]
+
+
+def written_at(store, table):
+    files = (store / table).glob("v=*/_bucket=*/*.parquet")
+    return {(int(f.parent.parent.name[2:]), int(f.parent.name.split("=")[1])) for f in files}
+
+
+def test_a_version_writes_the_touched_buckets_only(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"), buckets=16, keep=2, keys={"sources": ["kb_id", "job_id"], "jobs": ["job_id"]})
+    schema = "kb_id string, job_id string, label string"
+
+    def rows(*ids, label="x"):
+        return spark.createDataFrame([("kb", str(i), label) for i in ids], schema)
+
+    store.write({"sources": rows(*range(200)), "jobs": rows().select("job_id")}, "s", 0)
+    assert store.read("jobs").columns == ["job_id"] and store.read("jobs").isEmpty()
+    change = {"sources": rows(3, 5, 300, label="y"), "jobs": rows(1).select("job_id")}
+    touched = store.touched(change)
+    assert 1 <= len(touched["sources"]) <= 3 and len(touched["jobs"]) == 1
+    store.write(change, "s", 1)
+    assert {b for v, b in written_at(tmp_path / "store", "sources") if v == 1} == set(touched["sources"])
+    got = {r["job_id"]: r["label"] for r in store.read("sources").collect()}
+    assert len(got) == store.read("sources").count() == 201 and {k for k, v in got.items() if v == "y"} == {"3", "5", "300"}
+    assert store.holds("s", 1) and not store.holds("s", 2) and not store.holds("other", 0)
+    # What a batch touches is read from its buckets: the scan names them as a partition filter.
+    stored = store.read("sources", buckets=True)
+    near = graph_write._near(stored, change["sources"], ["kb_id", "job_id"])
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_bucket" in plan or "PartitionFilters: [_bucket" in plan
+    # Superseded buckets go once no kept version names them; an empty change writes none.
+    store.write({"sources": rows(3, label="z"), "jobs": rows().select("job_id")}, "s", 2)
+    store.write({"sources": rows(3, label="w"), "jobs": rows().select("job_id")}, "s", 3)
+    place = store.touched({"sources": rows(3)})["sources"][0]
+    assert {v for v, b in written_at(tmp_path / "store", "sources") if b == place} == {2, 3}
+    assert {r["label"] for r in store.read("sources").where("job_id = '3'").collect()} == {"w"}
+    assert store.version() == 3 and store.read("sources").count() == 201
 
 
 def test_items_are_inserted_once(spark, tmp_path):
