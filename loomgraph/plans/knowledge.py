@@ -89,15 +89,17 @@ def _novel_type_answers(kind: str, mentions: DataFrame, example: Column, batch:
 
 
 def _resolve_kind(kind: str, mentions: DataFrame, example: Column, batch: DataFrame, configs: DataFrame, models: Models):
-    """(mentions of accepted types, types minted by the batch)."""
+    """(mentions of accepted types, types minted by the batch).
+
+    Decisions and minted types, a few rows for each novel type of a job, are written down: many branches read them."""
     types = vocabulary.type_rows(configs, f"{kind}_types")
     if models.types is None:
         decided = mentions.sparkSession.createDataFrame(
             [], "job_id string, key string, decision string, canonical string, name string, description string"
         ).withColumn("job_id", F.col("job_id").cast(mentions.schema["job_id"].dataType))
     else:
-        decided = _novel_type_answers(kind, mentions, example, batch, types, models)
-    minted = vocabulary.minted_types(mentions, types, decided)
+        decided = durable.cut(_novel_type_answers(kind, mentions, example, batch, types, models))
+    minted = durable.cut(vocabulary.minted_types(mentions, types, decided))
     return vocabulary.resolve_types(mentions, types, decided, minted), minted
 
 
