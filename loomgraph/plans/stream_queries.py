@@ -13,6 +13,10 @@ from loomgraph.plans.registry import query
 from loomgraph.sources.files import stream_drop_directory
 from loomgraph.sources.tables import Tables
 from loomgraph.streaming import flows
+from loomgraph.streaming.item_states import item_status_stream
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+WEEK_SECONDS = 7 * 24 * 3600
 
 
 @query(
@@ -62,3 +66,46 @@ def drop_directory_stream(t: Tables) -> DataFrame:
     flows.sweep(files, keep, check).awaitTermination()
     found = t.spark.read.parquet(table)
     return found.agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("text")).alias("chars"), F.countDistinct("text").alias("texts"))
+
+
+@query(
+    """WITH told AS (
+  SELECT event_id, ts, event_type, concat(user_id, '/', strftime(date_trunc('week', ts), '%Y-%m-%d')) AS job_id,
+    CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'done' ELSE concat('seen by ', event_type) END AS status FROM events),
+jobs AS (
+  SELECT job_id, arg_min(status, ts) FILTER (event_type IN ('error', 'purchase')) AS ended,
+    arg_max(status, ts) FILTER (event_type IN ('view', 'click')) AS seen, max(ts) AS last FROM told GROUP BY 1)
+SELECT t.event_id::VARCHAR AS item_id, t.job_id, coalesce(ended, seen, 'pending') AS job_status, ended IS NOT NULL AS resolved,
+  ended IS NULL AND last + INTERVAL 7 DAY < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS gave_up
+FROM told t JOIN jobs USING (job_id) WHERE event_type = 'signup'"""
+)
+def item_statuses(t: Tables) -> DataFrame:
+    """Sign-ups as items whose job is a user's week, other events as reports on it: they come in two sweeps, and items wait in the
+    stream's state until an error or a purchase ends their job, or until a week has passed without a word."""
+    folder, table, check = (durable.fresh_folder(t.spark, kind) for kind in ("arrivals", "statuses", "checkpoint"))
+    week = F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd")
+    kind = F.col("event_type")
+    status = F.when(kind == "error", "failed").when(kind == "purchase", "done").otherwise(F.concat(F.lit("seen by "), kind))
+    told = t.raw("events").select(
+        F.when(kind == "signup", F.col("event_id")).cast("string").alias("item_id"), F.concat_ws("/", "user_id", week).alias("job_id"),
+        F.when(kind != "signup", status).alias("status"), F.col("ts").cast("timestamp").alias("ts"),
+    )
+    half = told.agg(F.timestamp_micros(((F.unix_micros(F.min("ts")) + F.unix_micros(F.max("ts"))) / 2).cast("long"))).first()[0]
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(key)
+    t.spark.conf.set(key, ROCKS)
+    try:
+        for arrived in (told.where(F.col("ts") <= F.lit(half)), told.where(F.col("ts") > F.lit(half))):
+            arrived.write.mode("append").parquet(folder)
+            stream = t.spark.readStream.schema(told.schema).parquet(folder)
+            statuses = item_status_stream(stream, stream, WEEK_SECONDS)
+            writer = statuses.writeStream.outputMode("update").option("checkpointLocation", check).foreachBatch(keep)
+            writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        t.spark.conf.set(key, before)
+    latest = F.max_by(F.struct("job_id", "job_status", "resolved", "gave_up"), "batch").alias("v")
+    return t.spark.read.parquet(table).groupBy("item_id").agg(latest).select("item_id", "v.*")

@@ -12,6 +12,7 @@ from loomgraph.plans import knowledge, rules
 from loomgraph.schemas import ENTITY, JOB, MENTION, RELATED, SOURCE
 from loomgraph.sources.files import stream_drop_directory
 from loomgraph.streaming import flows
+from loomgraph.streaming.item_states import item_status_stream, reported
 from loomgraph.streaming.job_states import EMPTY, absorb, job_state_stream, outcome
 from loomgraph.streaming.store import TableStore
 
@@ -200,3 +201,43 @@ def test_status_join_of_a_stream(spark, tmp_path, known):
     got = {}
     flows.sweep(out, lambda b, _: got.update({r["item_id"]: (r["job_status"], r["resolved"]) for r in b.collect()}), str(tmp_path / "c")).awaitTermination()
     assert got == {"i1": ("done", True) if known else ("pending", False), "i2": ("pending", False)}
+
+
+def test_the_first_end_of_a_job_holds():
+    assert reported(None, []) is None and reported("processing", []) == "processing"
+    assert reported(None, [(2, "processing"), (1, "pending")]) == "processing"
+    assert reported("processing", [(5, "processing"), (4, "failed"), (3, "done")]) == "done"
+    assert reported("skipped", [(9, "done")]) == "skipped"
+
+
+def test_items_wait_until_their_job_ends_or_time_is_up(spark, tmp_path):
+    """Three micro-batches: an item may come before or after the reports on its job."""
+    source, check = str(tmp_path / "in"), str(tmp_path / "check")
+    schema = "item_id string, job_id string, status string, ts timestamp"
+
+    def day(d, h=0):
+        return datetime(2024, 1, d, h)
+
+    batches = [
+        [("i1", "j1", None, day(1)), ("i2", "j2", None, day(1)), ("i3", "j3", None, day(1)), ("i0", None, None, day(1)), (None, "j1", "processing", day(1, 2)), (None, "j4", "done", day(1, 3)), (None, "j2", "", day(1, 4))],
+        [(None, "j1", "done", day(2)), (None, "j2", "processing", day(2)), ("i4", "j4", None, day(2)), ("i2", "j2", None, day(2)), ("i5", "j2", None, day(2, 1)), (None, None, "done", day(2))],
+        [(None, "j1", "failed", day(4)), (None, "j2", "skipped", day(4)), (None, "j9", "done", day(9))],
+    ]
+    told = []
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        for rows in batches:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+            seen = []
+            told.append(seen)
+            stream = spark.readStream.schema(schema).parquet(source)
+            out = item_status_stream(stream, stream, patience_seconds=5 * 86400)
+            q = out.writeStream.outputMode("update").option("checkpointLocation", check).foreachBatch(lambda b, _, seen=seen: seen.extend(map(tuple, b.collect())))
+            q.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    assert sorted(told[0]) == [("i1", "j1", "processing", False, False), ("i2", "j2", "pending", False, False), ("i3", "j3", "pending", False, False)]
+    assert sorted(told[1]) == [("i1", "j1", "done", True, False), ("i2", "j2", "processing", False, False), ("i4", "j4", "done", True, False), ("i5", "j2", "processing", False, False)]
+    # The job that ended stays as it ended; the one that nobody reported on is given up when the clock passes its time.
+    assert sorted(told[2]) == [("i2", "j2", "skipped", True, False), ("i3", "j3", "pending", False, True), ("i5", "j2", "skipped", True, False)]
