@@ -484,21 +484,24 @@ def covered_windows(t: Tables) -> DataFrame:
 
 @query(
     f"""{_WINDOW}, {_STORY_COLUMNS}
-SELECT 'issue' AS run, count(*) AS clusters, count(*) AS stories, 4 + (6 * count(*) + sum(size))::BIGINT AS lines, sum(size)::BIGINT AS told FROM sized WHERE kb_id = 'BUILDING'
-UNION ALL SELECT 'empty', 0, 0, 5, 0"""
+SELECT 'issue' AS run, t.kb_id, count(size) AS clusters, count(size) AS stories, (4 + CASE WHEN count(size) = 0 THEN 1 ELSE 6 * count(size) + sum(size) END)::BIGINT AS lines, coalesce(sum(size), 0)::BIGINT AS told
+FROM (SELECT DISTINCT c_mktsegment AS kb_id FROM customer) t LEFT JOIN sized s ON s.kb_id = t.kb_id GROUP BY 2
+UNION ALL SELECT DISTINCT 'empty', c_mktsegment, 0, 0, 5, 0 FROM customer"""
 )
 def newsroom_run(t: Tables) -> DataFrame:
-    """One tenant's issue since its watermark, and the next one, for which nothing has arrived."""
+    """Every tenant's issue since its watermark, and the next ones, for which nothing has arrived."""
     start = _window_start(t, 30)
     until = start + timedelta(days=30)
-    marks = t.spark.createDataFrame([(newsroom.WATERMARK, start)], "key string, ran_at timestamp_ntz").withColumn("ran_at", F.col("ran_at").cast("timestamp"))
+    tenants = t.raw("customer").select(F.col("c_mktsegment").alias("kb_id")).distinct()
+    marks = tenants.select("kb_id", F.lit(newsroom.WATERMARK).alias("key"), F.lit(start).cast("timestamp").alias("ran_at"))
     described = t.entities().withColumn("aliases", F.array().cast("array<string>"))
     rows = None
     for run, at in (("issue", until), ("empty", until + timedelta(days=2))):
-        draft = newsroom.draft_issue("BUILDING", t.story_sources(), t.mentions(), described, marks, at, rules.story_of_sources)
-        marks = news.advance_watermark(draft.watermarks, newsroom.WATERMARK, until + timedelta(days=1))
+        drafts = newsroom.draft_issues(tenants, t.story_sources(), t.mentions(), described, marks, at, rules.story_of_sources)
+        marks = drafts.watermarks.withColumn("ran_at", F.lit(until + timedelta(days=1)).cast("timestamp"))
         told = F.regexp_extract("line", "^([0-9]+) sources$", 1)
-        counted = draft.lines.agg(F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum(F.when(told != "", told.cast("bigint"))), F.lit(0)).alias("told"))
-        row = counted.select(F.lit(run).alias("run"), F.lit(draft.report["clusters"]).cast("bigint").alias("clusters"), F.lit(draft.report["stories"]).cast("bigint").alias("stories"), "lines", "told")
+        counted = drafts.lines.groupBy("issue_id").agg(F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum(F.when(told != "", told.cast("bigint"))), F.lit(0)).alias("told"))
+        named = drafts.issues.select("issue_id", "kb_id").join(counted, "issue_id")
+        row = drafts.reports.join(named, "kb_id").select(F.lit(run).alias("run"), "kb_id", "clusters", "stories", "lines", "told")
         rows = row if rows is None else rows.unionByName(row)
     return rows

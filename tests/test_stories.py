@@ -206,6 +206,31 @@ def test_empty_window_still_advances_and_default_is_a_day(spark):
     assert draft.watermarks.count() == 1
 
 
+def test_every_tenant_has_its_issue_since_its_own_watermark(spark, tmp_path):
+    """All tenants at once give what each gives alone; one whose stories all fail keeps its watermark."""
+    one, told, named = graph(spark)
+    tenants = ["kb", "two", "bad", "idle"]
+    split = F.explode(F.array(*map(F.lit, tenants[:3]))).alias("kb_id")
+    s, m, e = (df.select(split, *[c for c in df.columns if c != "kb_id"]) for df in (one, told, named))
+    e = e.withColumn("name", F.when(F.col("kb_id") == "bad", F.concat(F.lit("bad "), "name")).otherwise(F.col("name")))
+    since = {"kb": at(2), "two": at(1), "bad": at(1)}
+    before = spark.createDataFrame([(k, "draft_issue", v) for k, v in since.items()] + [("two", "poll", at(3))], "kb_id string, key string, ran_at timestamp")
+    now, model = datetime(2024, 1, 5), writer(lambda p: "bad" in p)
+    asked = spark.createDataFrame([(k,) for k in [*tenants, "two", None]], "kb_id string")
+    drafts = newsroom.draft_issues(asked, s, m, e, before, now, model, beat="For {{ issue.date }} from {{ issue.since }}")
+    reports = {r["kb_id"]: (r["clusters"], r["stories"], r["failed"], r["covers_since"]) for r in drafts.reports.collect()}
+    assert reports == {"kb": (2, 2, False, at(2)), "two": (3, 3, False, at(1)), "bad": (3, 0, True, at(1)), "idle": (0, 0, False, datetime(2024, 1, 4))}
+    bodies = {r["kb_id"]: r["body"] for r in newsroom.publish_all(drafts, str(tmp_path / "out")).collect()}
+    assert set(bodies) == {"kb", "two", "idle"}
+    for kb in ("kb", "two"):
+        alone = newsroom.draft_issue(kb, s, m, e, marks(spark, since[kb]), now, model)
+        assert pages_text.bodies(alone.lines, "issue_id").first()["body"] == bodies[kb]
+    written = "".join(p.read_text() for p in sorted((tmp_path / "out" / "slug=2024-01-05-0000-two").glob("part-*")))
+    assert written == bodies["two"]
+    after = {(r["kb_id"], r["key"]): r["ran_at"] for r in drafts.watermarks.collect()}
+    assert after == {("kb", "draft_issue"): now, ("two", "draft_issue"): now, ("idle", "draft_issue"): now, ("bad", "draft_issue"): at(1), ("two", "poll"): at(3)}
+
+
 def test_issue_reads(spark):
     rows = [(1, datetime(2024, 1, 1, 0, 0, 1), "# T\n\n## One  \n"), (2, datetime(2024, 1, 1, 0, 0, 9), "### deep"), (3, datetime(2024, 1, 2), None)]
     issues = spark.createDataFrame(rows, "issue_id int, generated_at timestamp, body string")
