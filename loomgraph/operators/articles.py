@@ -48,22 +48,31 @@ def fold_articles(mentions: DataFrame, factory: Callable[[], Provider], parallel
         provider = factory()
         state: dict[tuple, tuple[str, str]] = {}
         for batch in batches:
-            entity = pd.Series(list(zip(batch.kb_id, batch.entity_id, strict=True)), index=batch.index)
-            turn = entity.groupby(entity).cumcount()
-            for wave in range(int(turn.max()) + 1 if len(batch) else 0):
-                asked = batch[turn == wave]
-                before = [state.get(e, ("", row or ""))[1] for e, row in zip(entity[asked.index], asked.existing_article, strict=True)]
-                news = [d or "" for d in asked.description]
-                requests = []
-                for name, kind, old, new in zip(asked.name, asked.type, before, news, strict=True):
+            entity = list(zip(batch.kb_id, batch.entity_id, strict=True))
+            told = list(zip(batch.name, batch.type, batch.description, batch.existing_article, strict=True))
+            # Wave n holds the n-th mention of every entity in the batch; each row is looked at once.
+            waves: list[list[int]] = []
+            seen: dict[tuple, int] = {}
+            for i, key in enumerate(entity):
+                turn = seen.get(key, 0)
+                seen[key] = turn + 1
+                if turn == len(waves):
+                    waves.append([])
+                waves[turn].append(i)
+            for asked in waves:
+                before, news, requests = [], [], []
+                for i in asked:
+                    name, kind, new, stored = told[i]
+                    before.append(state.get(entity[i], ("", stored or ""))[1])
+                    news.append(new or "")
                     subject = f"Subject: {name} ({kind})"
-                    user = f"{subject}\n\nExisting article:\n{old}\n\nNew source:\n{new}"
+                    user = f"{subject}\n\nExisting article:\n{before[-1]}\n\nNew source:\n{news[-1]}"
                     requests.append({"system": f"{prompts.ARTICLE_RULE}\n{subject}", "user": user})
-                for key, answer, old, new in zip(entity[asked.index], provider(requests), before, news, strict=True):
-                    state[key] = _settle(answer, old, new)
-            if len(batch):
+                for i, answer, old, new in zip(asked, provider(requests), before, news, strict=True):
+                    state[entity[i]] = _settle(answer, old, new)
+            if entity:
                 # The last entity may go on in the next batch; the others are complete.
-                last = entity.iloc[-1]
+                last = entity[-1]
                 done = [(*e, *v) for e, v in state.items() if e != last]
                 state = {last: state[last]}
                 yield pd.DataFrame(done, columns=["kb_id", "entity_id", "summary", "article"])

@@ -144,9 +144,11 @@ def upsert_relationships(related: DataFrame, batch: DataFrame, entities: DataFra
 def source_changes(batch: DataFrame) -> DataFrame:
     """The sources a batch writes (``kb_id, job_id, batch_pos, label, published_at, ingested_at`` as text): label and
     dates are overwritten, an empty or unreadable date becomes null."""
-    value = F.struct("label", parse_iso(F.col("published_at")).alias("published_at"), parse_iso(F.col("ingested_at")).alias("ingested_at"))
-    new = durable.cut(batch.groupBy(*SOURCE_KEY).agg(F.max_by(value, "batch_pos").alias("new")))
-    return new.select(*SOURCE_KEY, "new.label", "new.published_at", "new.ingested_at")
+    value = F.struct("label", "published_at", "ingested_at")
+    last = batch.groupBy(*SOURCE_KEY).agg(F.max_by(value, "batch_pos").alias("new"))
+    # Dates are read once a source, not once for every row that names it.
+    dates = [parse_iso(F.col(f"new.{c}")).alias(c) for c in ("published_at", "ingested_at")]
+    return durable.cut(last.select(*SOURCE_KEY, "new.label", *dates))
 
 
 def upsert_sources(sources: DataFrame, batch: DataFrame) -> DataFrame:

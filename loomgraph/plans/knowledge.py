@@ -109,7 +109,9 @@ def merge(batch: DataFrame, state: State, models: Models, run_ts: Column, batch_
     The batch resolves against the graph as it stood before, and shares new identities; a
     job that fails at any step leaves no trace in the graph and is reported as an error. ``merge_in_turn``
     lets the jobs of a tenant see each other."""
-    batch = durable.cut(jobs.job_metadata(vocabulary.with_config(batch, state.configs)))
+    # Written down, so that Spark knows how small they are: jobs and mentions are not shuffled by their few tenants.
+    settings = durable.cut(state.configs.join(batch.select("kb_id").distinct(), "kb_id", "left_semi"))
+    batch = durable.cut(jobs.job_metadata(vocabulary.with_config(batch, settings)))
     interests = F.col("interests")
     asked = batch.select(*JOB, *(c.alias(n) for n, c in prompts.relevance(interests, F.col("content")).items()))
     verdicts = _ask(asked, models.relevance, models, RELEVANCE, infer.valid_relevance)
@@ -123,7 +125,7 @@ def merge(batch: DataFrame, state: State, models: Models, run_ts: Column, batch_
     found = extracted.select(*JOB, F.posexplode("v.entities").alias("pos", "e")).select(
         *JOB, "pos", "e.name", "e.type", "e.description", "e.aliases"
     )
-    mentions, entity_types = _resolve_kind("entity", found, F.col("name"), relevant, state.configs, models)
+    mentions, entity_types = _resolve_kind("entity", found, F.col("name"), relevant, settings, models)
     mentions = durable.cut(mentions)
 
     offered = resolution.mention_candidates(mentions, resolution.candidates(mentions, state.entities), state.entities)
@@ -169,7 +171,7 @@ def merge(batch: DataFrame, state: State, models: Models, run_ts: Column, batch_
         *JOB, F.posexplode("v.relationships").alias("pos", "r")
     ).select(*JOB, "pos", "r.source_name", "r.target_name", "r.type")
     example = F.concat_ws(" -> ", "source_name", "target_name")
-    typed, relation_types = _resolve_kind("relationship", relations, example, relevant, state.configs, models)
+    typed, relation_types = _resolve_kind("relationship", relations, example, relevant, settings, models)
     ends = durable.cut(
         resolution.relationship_endpoints(typed, resolution.name_ids(identified))
         .join(order.select(*JOB, "created_at"), JOB)
@@ -191,7 +193,7 @@ def merge(batch: DataFrame, state: State, models: Models, run_ts: Column, batch_
         "relationship_types": relation_types.join(failed.select(*JOB), JOB, "left_anti"),
     }
     minting = [rows.select("kb_id") for rows in minted.values()]
-    configs = state.configs.join(minting[0].unionByName(minting[1]), "kb_id", "left_semi")
+    configs = settings.join(minting[0].unionByName(minting[1]), "kb_id", "left_semi")
     for column, rows in minted.items():
         configs = _with_new_types(configs, column, rows.join(order.select(*JOB, "created_at"), JOB))
     mine = state.jobs.join(batch.select("job_id"), "job_id", "left_semi")

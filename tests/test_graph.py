@@ -187,3 +187,12 @@ def test_purge_and_backfill(spark, graph):
     rows = spark.createDataFrame([entity("a", "1", "n", summary="One. Two."), entity("a", "2", "n", article="x", summary="One. Two."), entity("a", "3", "n")], ENTITY)
     got = {r["id"]: (r["article"], r["summary"]) for r in graph_write.backfill_articles(rows).collect()}
     assert got == {"1": ("One. Two.", "One."), "2": ("x", "One. Two."), "3": (None, None)}
+
+
+def test_dates_of_a_source_are_read_once(spark, monkeypatch):
+    """Not for every row of the batch that names the source: the aggregate carries the texts."""
+    monkeypatch.setattr(graph_write.durable, "cut", lambda df: df)
+    batch = spark.createDataFrame([], "kb_id string, job_id string, batch_pos int, label string, published_at string, ingested_at string")
+    plan = graph_write.source_changes(batch)._jdf.queryExecution().analyzed().toString()
+    aggregate = next(line for line in plan.split("\n") if "Aggregate" in line)
+    assert "regexp" not in aggregate and "max_by" in aggregate
