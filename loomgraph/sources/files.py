@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+from urllib.parse import quote
+
+from pyarrow import fs
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.schemas import TEXT_SUFFIXES
@@ -35,6 +40,22 @@ def files_to_items(files: DataFrame) -> DataFrame:
     )
 
 
+def write_drop_directory(texts: DataFrame, path: str) -> None:
+    """Drop texts (``name, value``) as files ``name=<name>.txt`` of one directory; rows that share a name are lines of one file.
+
+    Tasks write their files in place, so a file costs one open and no rename, and a repeated task writes the same ones again."""
+
+    def drop(rows: Iterator[Row]) -> None:
+        system, folder = fs.FileSystem.from_uri(path)
+        system.create_dir(folder)
+        for name, lines in groupby(rows, lambda r: r["name"]):
+            with system.open_output_stream(f"{folder}/name={quote(name, safe='')}.txt") as out:
+                for line in lines:
+                    out.write(f"{line['value'] or ''}\n".encode())
+
+    texts.select("name", "value").repartition("name").sortWithinPartitions("name").foreachPartition(drop)
+
+
 def read_drop_directory(spark: SparkSession, path: str) -> DataFrame:
     """Items of one directory (not below it); a missing directory is empty."""
     try:

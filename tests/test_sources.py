@@ -138,3 +138,13 @@ def test_markdown_sink_and_snapshots(spark, tmp_path):
     assert text.startswith("# Issue — 2024-01-02\n") and [x for x in text.split("\n") if x.startswith("## ")] == [f"## H{k}" for k in range(n)]
     first, second = durable.publish(names, str(tmp_path / "t")), durable.publish(names, str(tmp_path / "t"))
     assert first != second and spark.read.parquet(second).count() == 2
+
+
+def test_written_drop_directory(spark, tmp_path):
+    """One flat directory with a file for each name, whatever the name; rows that share one are its lines."""
+    rows = [("a-1", "first"), ("a/b:2 ü", "two\nlines"), ("", "nameless"), ("_x", None), ("twice", "same"), ("twice", "same")]
+    folder = tmp_path / "drop"
+    files.write_drop_directory(spark.createDataFrame(rows, "name string, value string"), str(folder))
+    assert all(f.is_file() for f in folder.iterdir())
+    got = {r["title"]: r["text"] for r in files.read_drop_directory(spark, str(folder)).collect()}
+    assert sorted(got.values()) == ["\n", "first\n", "nameless\n", "same\nsame\n", "two\nlines\n"]
