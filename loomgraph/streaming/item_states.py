@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -33,52 +32,48 @@ class ItemStates(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._heard = handle.getValueState("heard", "status string, at_ms long")
+        self._heard = handle.getValueState("heard", "status string, at_ms long, timer_ms long")
         self._waiting = handle.getListState("waiting", "item_id string")
 
-    def _rows(self, job, items, status, gave_up=False) -> pd.DataFrame:
+    def _rows(self, job, items, status, gave_up=False) -> Iterator[Row]:
         ended = status in TERMINAL_JOB_STATUSES
-        return pd.DataFrame(
-            [(i, job, status or UNREPORTED, ended, gave_up) for i in items],
-            columns=["item_id", "job_id", "job_status", "resolved", "gave_up"],
-        )
-
-    def _timer(self, at_ms: int | None) -> None:
-        for old in list(self._handle.listTimers()):
-            self._handle.deleteTimer(old)
-        if at_ms is not None:
-            self._handle.registerTimer(at_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before, at_ms = self._heard.get() if self._heard.exists() else (None, 0)
+        for item in items:
+            yield Row(item_id=item, job_id=job, job_status=status or UNREPORTED, resolved=ended, gave_up=gave_up)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # Each call to the state is a message to the JVM: a job heard of for the first time has no items and no timer to ask for.
+        known = self._heard.get() if self._heard.exists() else None
+        before, at_ms, timer_ms = known or (None, 0, None)
         reports, arrived = [], {}
-        for batch in rows:
-            at_ms = max(at_ms, int(batch["at_ms"].max()))
-            for item, status, at in zip(batch["item_id"], batch["status"], batch["at_ms"], strict=True):
-                if item is not None:
-                    arrived[item] = None
-                elif status is not None:
-                    reports.append((int(at), status))
+        for row in rows:
+            at_ms = max(at_ms, row["at_ms"])
+            if row["item_id"] is not None:
+                arrived[row["item_id"]] = None
+            elif row["status"] is not None:
+                reports.append((row["at_ms"], row["status"]))
         status = reported(before, reports)
-        waiting = [r[0] for r in self._waiting.get()] if self._waiting.exists() else []
+        waiting = [r[0] for r in self._waiting.get()] if known and self._waiting.exists() else []
         fresh = [i for i in arrived if i not in waiting]
         told = (waiting + fresh) if status != before else list(arrived)
         if status in TERMINAL_JOB_STATUSES:
-            self._waiting.clear()
+            if waiting:
+                self._waiting.clear()
         elif fresh:
             self._waiting.appendList([(i,) for i in fresh])
-        self._heard.update((status, at_ms))
-        self._timer(max(at_ms + self._patience, timerValues.getCurrentWatermarkInMs() + 1))
-        if told:
-            yield self._rows(key[0], told, status)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = max(at_ms + self._patience, timerValues.getCurrentWatermarkInMs() + 1)
+        if due != timer_ms:
+            if timer_ms is not None:
+                self._handle.deleteTimer(timer_ms)
+            self._handle.registerTimer(due)
+        self._heard.update((status, at_ms, due))
+        yield from self._rows(key[0], told, status)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         status = self._heard.get()[0] if self._heard.exists() else None
         waiting = [r[0] for r in self._waiting.get()] if self._waiting.exists() else []
         self._heard.clear()
         self._waiting.clear()
-        if waiting:
-            yield self._rows(key[0], waiting, status, gave_up=True)
+        yield from self._rows(key[0], waiting, status, gave_up=True)
 
     def close(self) -> None:
         pass
@@ -99,6 +94,6 @@ def item_status_stream(items: DataFrame, reports: DataFrame, patience_seconds: i
     heard = reports.select(text["job_id"], none.alias("item_id"), or_else(F.col("status")).alias("status"), F.col("ts").cast("timestamp").alias("ts"))
     both = waiting.where("item_id IS NOT NULL").unionByName(heard.where("status IS NOT NULL"))
     timed = both.where("job_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", late).withColumn("at_ms", F.unix_millis("ts"))
-    return timed.groupBy("job_id").transformWithStateInPandas(
+    return timed.groupBy("job_id").transformWithState(
         statefulProcessor=ItemStates(patience_seconds * 1000), outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime"
     )

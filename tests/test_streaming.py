@@ -3,6 +3,7 @@ import shutil
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph_write
@@ -12,7 +13,7 @@ from loomgraph.plans import knowledge, rules
 from loomgraph.schemas import ENTITY, JOB, MENTION, RELATED, SOURCE
 from loomgraph.sources.files import stream_drop_directory
 from loomgraph.streaming import flows
-from loomgraph.streaming.item_states import item_status_stream, reported
+from loomgraph.streaming.item_states import ItemStates, item_status_stream, reported
 from loomgraph.streaming.job_states import EMPTY, absorb, job_state_stream, outcome
 from loomgraph.streaming.store import TableStore
 
@@ -241,3 +242,27 @@ def test_items_wait_until_their_job_ends_or_time_is_up(spark, tmp_path):
     assert sorted(told[1]) == [("i1", "j1", "done", True, False), ("i2", "j2", "processing", False, False), ("i4", "j4", "done", True, False), ("i5", "j2", "processing", False, False)]
     # The job that ended stays as it ended; the one that nobody reported on is given up when the clock passes its time.
     assert sorted(told[2]) == [("i2", "j2", "skipped", True, False), ("i3", "j3", "pending", False, True), ("i5", "j2", "skipped", True, False)]
+
+
+def test_a_new_job_asks_the_state_for_nothing_but_itself():
+    """Every call to the state is a message: a job heard of for the first time has no timers to list and no items to read."""
+    calls = []
+
+    class Stub:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, method):
+            def call(*args):
+                calls.append(f"{self.name}.{method}")
+                return Stub(args[0]) if method in ("getValueState", "getListState") else False if method == "exists" else 0
+
+            return call
+
+    states = ItemStates(1000)
+    states.init(Stub("handle"))
+    calls.clear()
+    rows = [Row(item_id="i", status=None, at_ms=5)]
+    told = list(states.handleInputRows(("j",), iter(rows), Stub("clock")))
+    assert [tuple(r) for r in told] == [("i", "j", "pending", False, False)]
+    assert calls == ["heard.exists", "waiting.appendList", "clock.getCurrentWatermarkInMs", "handle.registerTimer", "heard.update"]
