@@ -148,3 +148,29 @@ def test_written_drop_directory(spark, tmp_path):
     assert all(f.is_file() for f in folder.iterdir())
     got = {r["title"]: r["text"] for r in files.read_drop_directory(spark, str(folder)).collect()}
     assert sorted(got.values()) == ["\n", "first\n", "nameless\n", "same\nsame\n", "two\nlines\n"]
+
+
+def test_order_lines_are_joined_once_and_shuffles_follow_the_input(spark, tmp_path, monkeypatch):
+    from loomgraph.sources import tables
+
+    lines = [(1, 7, 3, 1, "R"), (1, 7, 4, 2, "N"), (2, 7, 3, 1, "N"), (3, 7, 3, 1, "N"), (3, 8, 3, 2, "N")]
+    made = {
+        "customer": ([(1, "A"), (2, None)], "c_custkey long, c_mktsegment string"),
+        "orders": ([(1, 1, "p"), (2, 1, "p"), (3, 2, "p")], "o_orderkey long, o_custkey long, o_orderpriority string"),
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string"),
+    }
+    for name, (rows, schema) in made.items():
+        df = spark.createDataFrame(rows, schema)
+        df = df.withColumn("o_orderdate", F.lit("2024-01-01").cast("timestamp")) if name == "orders" else df
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(tables, "PARTITION_BYTES", 100, raising=False)
+    t = tables.Tables(spark, str(tmp_path))
+    assert "Join" not in t._lines()._jdf.queryExecution().optimizedPlan().toString()
+    # A source without a tenant names one unknown entity, as before.
+    got = sorted(map(tuple, t.mentions().select("job_id", "entity_id").collect()))
+    assert got == [(1, "A/P/7"), (2, "A/P/7"), (3, None)]
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert int(spark.conf.get(key)) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(tables, "PARTITION_BYTES", 1 << 40, raising=False)
+    tables.Tables(spark, str(tmp_path))
+    assert spark.conf.get(key) == spark.conf.get("spark.sql.shuffle.partitions")
