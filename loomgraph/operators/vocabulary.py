@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph import durable
 from loomgraph.functions.text import sanitize, strip, type_key
 from loomgraph.schemas import TYPE_DEF
 
@@ -163,7 +164,7 @@ def resolve_types(mentions: DataFrame, types: DataFrame, decided: DataFrame, min
     Known types come first, banned types drop out, then the answer for the type decides. An
     answer naming a type that the same job mints holds only after the minting mention."""
     known = canon(types)
-    rows = mentions.withColumn("key", type_key(F.col("type")))
+    banned = banned_keys(types).withColumn("banned", F.lit(True))
     new = minted.select("kb_id", "job_id", "key", "mint_pos", F.col("name").alias("minted_name"))
     answer = decided.select(
         "job_id",
@@ -173,16 +174,38 @@ def resolve_types(mentions: DataFrame, types: DataFrame, decided: DataFrame, min
         .when(F.col("decision") == "new", type_key(F.col("name")))
         .alias("goal"),
     )
-    goal = ["kb_id", "job_id", "goal"]
-    joined = (
-        rows.join(known, ["kb_id", "key"], "left")
-        .join(banned_keys(types).withColumn("is_banned", F.lit(True)), ["kb_id", "key"], "left")
-        .join(new.withColumnRenamed("mint_pos", "own_pos").withColumnRenamed("minted_name", "own_name"), ["kb_id", "job_id", "key"], "left")
-        .join(answer, ["job_id", "key"], "left")
-        .join(known.select("kb_id", F.col("key").alias("goal"), F.col("canonical").alias("goal_name")), ["kb_id", "goal"], "left")
-        .join(banned_keys(types).select("kb_id", F.col("key").alias("goal"), F.lit(True).alias("goal_banned")), ["kb_id", "goal"], "left")
-        .join(new.withColumnRenamed("key", "goal").withColumnRenamed("mint_pos", "goal_pos").withColumnRenamed("minted_name", "goal_minted"), goal, "left")
+    # Everything but the place of a mention is the same for all mentions of a type in a job: it is looked up once for each,
+    # without their texts, and goals only where there is one. Mentions move once.
+    spelled = durable.cut(mentions.select("kb_id", "job_id", type_key(F.col("type")).alias("key")).distinct())
+    answered = spelled.join(answer, ["job_id", "key"])
+    aims = answered.where("goal IS NOT NULL").select("kb_id", "job_id", "goal").distinct()
+    aims = (
+        aims.join(known.select("kb_id", F.col("key").alias("goal"), F.col("canonical").alias("goal_name")), ["kb_id", "goal"], "left")
+        .join(banned.select("kb_id", F.col("key").alias("goal"), F.col("banned").alias("goal_banned")), ["kb_id", "goal"], "left")
+        .join(
+            new.select("kb_id", "job_id", F.col("key").alias("goal"), F.col("mint_pos").alias("goal_pos"), F.col("minted_name").alias("goal_minted")),
+            ["kb_id", "job_id", "goal"],
+            "left",
+        )
     )
+    answered = answered.join(aims, ["kb_id", "job_id", "goal"])
+    own = new.withColumnRenamed("mint_pos", "own_pos").withColumnRenamed("minted_name", "own_name")
+    # A type without an answer, or with one that has no goal, can still be known or minted.
+    facts = (
+        spelled.join(known, ["kb_id", "key"], "left")
+        .join(banned.withColumnRenamed("banned", "is_banned"), ["kb_id", "key"], "left")
+        .join(own, ["kb_id", "job_id", "key"], "left")
+        .join(answered, ["kb_id", "job_id", "key"], "left")
+        .where("canonical IS NOT NULL OR own_name IS NOT NULL OR (is_banned IS NULL AND goal IS NOT NULL)")
+        .withColumnsRenamed({"kb_id": "_kb_id", "job_id": "_job_id", "key": "_key"})
+    )
+    # Jobs without number are told apart by their types alone.
+    same = (
+        (F.col("kb_id") == F.col("_kb_id"))
+        & (type_key(F.col("type")) == F.col("_key"))
+        & F.col("job_id").eqNullSafe(F.col("_job_id"))
+    )
+    joined = mentions.join(facts, same)
     goal_known = F.coalesce("goal_name", F.when(F.col("goal_pos") < F.col("pos"), F.col("goal_minted")))
     by_answer = F.when(F.col("decision") == "existing", goal_known).when(
         (F.col("decision") == "new") & F.col("goal_banned").isNull(), F.coalesce("goal_name", "goal_minted")

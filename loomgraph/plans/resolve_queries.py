@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph import durable
 from loomgraph.functions.text import type_key
 from loomgraph.operators import graph_read, prompts, resolution, vocabulary
 from loomgraph.operators.search import search_newest
@@ -248,9 +249,9 @@ def _typed_mentions(t: Tables) -> DataFrame:
     ).where("type <> ''")
 
 
-def _word_types(t: Tables) -> DataFrame:
+def _word_types(t: Tables, mentions: DataFrame | None = None) -> DataFrame:
     """Vocabulary per tenant: first words of lines, by a rule on their letters; short words are banned."""
-    words = _typed_mentions(t).groupBy("kb_id", type_key(F.col("type")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    words = (mentions or _typed_mentions(t)).groupBy("kb_id", type_key(F.col("type")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
     known = (F.col("n") >= LEAST_SEEN) & (F.length(F.replace("key", F.lit("E"), F.lit(""))) % 3 != 1)
     return words.where(known).select(
         "kb_id", F.lit(0).alias("ord"), F.initcap("key").alias("name"), F.lit("").alias("description"), F.lit(False).alias("pinned"),
@@ -293,9 +294,12 @@ def type_examples(t: Tables) -> DataFrame:
 
 
 def _scripted(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    mentions, types = _typed_mentions(t), _word_types(t)
-    decided = _word_decisions(t, mentions, types)
-    return mentions, types, decided, vocabulary.minted_types(mentions, types, decided)
+    mentions = _typed_mentions(t)
+    # Written down without the texts: vocabulary, answers and minted types read it several times each.
+    seen = durable.cut(mentions.drop("name"))
+    types = _word_types(t, seen)
+    decided = _word_decisions(t, seen, types)
+    return mentions, types, decided, vocabulary.minted_types(seen, types, decided)
 
 
 # With four-letter goals a word of four letters mints itself, and a minted word is known from then on.

@@ -200,6 +200,24 @@ def test_type_resolution_follows_the_order_of_mentions(spark):
         assert added.get(j, []) == new, j
 
 
+def test_type_resolution_moves_texts_once(spark):
+    """Types are looked up without the texts of their mentions, and what has no goal does not meet in one task."""
+    m = spark.createDataFrame([("a", j, p, t, "text") for j in ("1", "2", None) for p, t in enumerate(["Ta", "Xy", "Tb", "New"])], "kb_id string, job_id string, pos int, type string, told string")
+    v = spark.createDataFrame([("a", i, n, "", False, b) for i, (n, b) in enumerate([("Ta", False), ("Tb", True)])], "kb_id string, ord int, name string, description string, pinned boolean, banned boolean").withColumn("key", type_key(F.col("name")))
+    d = spark.createDataFrame([("1", "XY", "existing", "ta", None, None), ("1", "NEW", "new", None, "Place", "d"), ("2", "NEW", "drop", None, None, None)], "job_id string, key string, decision string, canonical string, name string, description string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = vocabulary.resolve_types(m, v, d, vocabulary.minted_types(m, v, d))
+        plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        got = sorted((r["job_id"] or "", r["pos"], r["type"]) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [("", 0, "Ta"), ("1", 0, "Ta"), ("1", 1, "Ta"), ("1", 3, "Place"), ("2", 0, "Ta")]
+    moved = [part for part in plan.split("\n\n") if ") Exchange" in part.partition("\n")[0] and "told#" in part]
+    assert len(moved) == 1
+
+
 def test_echo_with_example_suffix(spark):
     c = spark.createDataFrame([("j", "Time Window"), ("j", "Time"), ("j", "Law")], "job_id string, type string")
     rows = [("j", 'Time Window (e.g. "x")', 0), ("j", "time", 1), ("j", "Lawsuit", 2), ("j", "Unknown", 3)]
