@@ -86,7 +86,7 @@ def _new_entities(batch: DataFrame) -> DataFrame:
             F.transform(F.coalesce("aliases", F.array()), normalize_name).alias("aliases"),
         ).alias("new"),
     )
-    return durable.cut(new)
+    return durable.packed(new)
 
 
 def _entity_changes(entities: DataFrame, new: DataFrame, run_ts: Column) -> DataFrame:
@@ -127,7 +127,7 @@ def relationship_changes(related: DataFrame, batch: DataFrame, entities: DataFra
     """The edges that a batch adds (``kb_id, source_id, target_id, type, job_id, batch_pos``): one edge per
     (tenant, source, target, type), which keeps the first job naming it. Both ends must
     exist in the tenant."""
-    first = durable.cut(batch.groupBy(*EDGE_KEY).agg(F.min_by("job_id", "batch_pos").alias("source_job_id")))
+    first = durable.packed(batch.groupBy(*EDGE_KEY).agg(F.min_by("job_id", "batch_pos").alias("source_job_id")))
     stored = _stored(related, first, EDGE_KEY, EDGE_KEY)
     for end in ("source_id", "target_id"):
         first = _present(first, entities, end)
@@ -158,7 +158,7 @@ def upsert_sources(sources: DataFrame, batch: DataFrame) -> DataFrame:
 
 def mention_changes(mentions: DataFrame, batch: DataFrame, entities: DataFrame) -> DataFrame:
     """The (entity, source) links that a batch adds; the entity must exist in the tenant."""
-    named = durable.cut(batch.select(*MENTION_KEY).distinct())
+    named = durable.packed(batch.select(*MENTION_KEY).distinct())
     stored = _stored(mentions, named, MENTION_KEY, MENTION_KEY)
     return _present(named, entities, "entity_id").join(stored, MENTION_KEY, "left_anti")
 

@@ -72,7 +72,7 @@ def _ask(requests: DataFrame, factory: Callable[[], Provider], models: Models, s
     """Answers, read and written out: each call is made once and each answer parsed once, whatever reads the result."""
     answers = infer.infer(requests, JOB, factory, models.parallelism)
     value, wrong = infer.parsed(F.col("answer"), schema, valid)
-    return durable.cut(answers.select(*JOB, value.alias("v"), F.coalesce("error", wrong).alias("error")))
+    return durable.packed(answers.select(*JOB, value.alias("v"), F.coalesce("error", wrong).alias("error")))
 
 
 def _novel_type_answers(kind: str, mentions: DataFrame, example: Column, batch: DataFrame, types: DataFrame, models: Models):
@@ -98,8 +98,8 @@ def _resolve_kind(kind: str, mentions: DataFrame, example: Column, batch: DataFr
             [], "job_id string, key string, decision string, canonical string, name string, description string"
         ).withColumn("job_id", F.col("job_id").cast(mentions.schema["job_id"].dataType))
     else:
-        decided = durable.cut(_novel_type_answers(kind, mentions, example, batch, types, models))
-    minted = durable.cut(vocabulary.minted_types(mentions, types, decided))
+        decided = durable.packed(_novel_type_answers(kind, mentions, example, batch, types, models))
+    minted = durable.packed(vocabulary.minted_types(mentions, types, decided))
     return vocabulary.resolve_types(mentions, types, decided, minted), minted
 
 
@@ -110,8 +110,8 @@ def merge(batch: DataFrame, state: State, models: Models, run_ts: Column, batch_
     job that fails at any step leaves no trace in the graph and is reported as an error. ``merge_in_turn``
     lets the jobs of a tenant see each other."""
     # Written down, so that Spark knows how small they are: jobs and mentions are not shuffled by their few tenants.
-    settings = durable.cut(state.configs.join(batch.select("kb_id").distinct(), "kb_id", "left_semi"))
-    batch = durable.cut(jobs.job_metadata(vocabulary.with_config(batch, settings)))
+    settings = durable.packed(state.configs.join(batch.select("kb_id").distinct(), "kb_id", "left_semi"))
+    batch = durable.packed(jobs.job_metadata(vocabulary.with_config(batch, settings)))
     interests = F.col("interests")
     asked = batch.select(*JOB, *(c.alias(n) for n, c in prompts.relevance(interests, F.col("content")).items()))
     verdicts = _ask(asked, models.relevance, models, RELEVANCE, infer.valid_relevance)
@@ -126,10 +126,10 @@ def merge(batch: DataFrame, state: State, models: Models, run_ts: Column, batch_
         *JOB, "pos", "e.name", "e.type", "e.description", "e.aliases"
     )
     mentions, entity_types = _resolve_kind("entity", found, F.col("name"), relevant, settings, models)
-    mentions = durable.cut(mentions)
+    mentions = durable.packed(mentions)
 
     offered = resolution.mention_candidates(mentions, resolution.candidates(mentions, state.entities), state.entities)
-    offered = durable.cut(offered)
+    offered = durable.packed(offered)
     chosen = _ask(prompts.resolution(offered), models.resolution, models, RESOLUTIONS, infer.valid_resolutions)
     # An empty answer means that all are new; anything unreadable fails the job.
     unread = chosen.where("error IS NOT NULL AND error <> 'empty response'")
@@ -142,12 +142,12 @@ def merge(batch: DataFrame, state: State, models: Models, run_ts: Column, batch_
         .unionByName(extracted.where("error IS NOT NULL").select(*JOB, "error"))
         .unionByName(unread.select(*JOB, "error"))
     )
-    failed = durable.cut(failed)
+    failed = durable.packed(failed)
     resolved = resolution.resolve(mentions, offered, answers).join(failed.select(*JOB), JOB, "left_anti")
+    # Joined first, so that a job's mentions already lie together when they get their identities.
     order = batch.select(*JOB, "created_at", "source_label", "source_published_at", "source_ingested_at")
-    identified = durable.cut(
-        resolution.batch_identity(resolved, batch_id)
-        .join(order, JOB)
+    identified = durable.packed(
+        resolution.batch_identity(resolved.join(order, JOB), batch_id)
         .withColumn("batch_pos", F.struct("created_at", "job_id", "pos"))
     )
 
@@ -156,9 +156,9 @@ def merge(batch: DataFrame, state: State, models: Models, run_ts: Column, batch_
     if models.article is None:
         articles = latest_articles(told)
     else:
-        articles = durable.cut(fold_articles(told, models.article, models.parallelism))
+        articles = durable.packed(fold_articles(told, models.article, models.parallelism))
     written = identified.join(articles, ["kb_id", "entity_id"])
-    entities = durable.cut(graph_write.entity_changes(state.entities, written, run_ts))
+    entities = durable.packed(graph_write.entity_changes(state.entities, written, run_ts))
     there = state.entities.select("kb_id", "id").unionByName(entities.select("kb_id", "id"))
     provenance = identified.select(
         *JOB, "entity_id", "batch_pos", F.col("source_label").alias("label"),
@@ -172,7 +172,7 @@ def merge(batch: DataFrame, state: State, models: Models, run_ts: Column, batch_
     ).select(*JOB, "pos", "r.source_name", "r.target_name", "r.type")
     example = F.concat_ws(" -> ", "source_name", "target_name")
     typed, relation_types = _resolve_kind("relationship", relations, example, relevant, settings, models)
-    ends = durable.cut(
+    ends = durable.packed(
         resolution.relationship_endpoints(typed, resolution.name_ids(identified))
         .join(order.select(*JOB, "created_at"), JOB)
         .withColumn("batch_pos", F.struct("created_at", "job_id", "pos"))
@@ -198,12 +198,12 @@ def merge(batch: DataFrame, state: State, models: Models, run_ts: Column, batch_
         configs = _with_new_types(configs, column, rows.join(order.select(*JOB, "created_at"), JOB))
     mine = state.jobs.join(batch.select("job_id"), "job_id", "left_semi")
     changes = State(
-        jobs=durable.cut(jobs.apply_outcomes(mine, outcomes, run_ts)),
-        configs=durable.cut(configs),
+        jobs=durable.packed(jobs.apply_outcomes(mine, outcomes, run_ts)),
+        configs=durable.packed(configs),
         entities=entities,
-        related=durable.cut(related),
+        related=durable.packed(related),
         sources=sources,
-        mentions=durable.cut(links),
+        mentions=durable.packed(links),
     )
     return Merged(changes, _after(state, changes), outcomes, counts, minted)
 
@@ -237,7 +237,7 @@ def merge_in_turn(batch: DataFrame, state: State, models: Models, run_ts: Column
     tenant has jobs in the batch, however many tenants there are. A turn writes down the rows changed so far, not the
     state, and deletes those of the turn before."""
     place = F.row_number().over(Window.partitionBy("kb_id").orderBy("created_at", "job_id"))
-    batch = durable.cut(batch.withColumn("_turn", place))
+    batch = durable.packed(batch.withColumn("_turn", place))
     turns = batch.agg(F.max("_turn")).first()[0] or 0
     if turns < 2:
         return merge(batch.drop("_turn"), state, models, run_ts, batch_id)
@@ -248,10 +248,10 @@ def merge_in_turn(batch: DataFrame, state: State, models: Models, run_ts: Column
         merged = merge(batch.where(F.col("_turn") == turn).drop("_turn"), now, models, run_ts, f"{batch_id}/{turn}")
         before = changes
         changes = _gathered(before, merged.changes) if before else merged.changes
-        parts = [durable.cut(x) for x in (merged.outcomes, merged.counts)]
+        parts = [durable.packed(x) for x in (merged.outcomes, merged.counts)]
         outcomes, counts = parts if outcomes is None else (x.unionByName(y) for x, y in zip((outcomes, counts), parts, strict=True))
         for kind, rows in merged.new_types.items():
-            rows = durable.cut(rows)
+            rows = durable.packed(rows)
             minted[kind] = minted[kind].unionByName(rows) if kind in minted else rows
         if before:
             for f in fields(State):
@@ -262,12 +262,12 @@ def merge_in_turn(batch: DataFrame, state: State, models: Models, run_ts: Column
 def _gathered(before: State, changes: State) -> State:
     """The rows changed up to a turn, one for each key."""
     after = _after(before, changes)
-    return State(**{f.name: durable.cut(getattr(after, f.name)) for f in fields(State)})
+    return State(**{f.name: durable.packed(getattr(after, f.name)) for f in fields(State)})
 
 
 def drain(state: State, models: Models, run_ts: Column, batch_id: str, n: int = JOB_BATCH, in_turn: bool = True) -> Merged:
     """One pass over the queue: claim the oldest pending jobs and merge them, ``in_turn`` or all at once."""
-    claimed = durable.cut(jobs.claim_batch(state.jobs, n))
+    claimed = durable.packed(jobs.claim_batch(state.jobs, n))
     running = state.jobs.join(claimed.select("job_id", F.lit("processing").alias("_now")), "job_id", "left").withColumn(
         "status", F.coalesce("_now", "status")
     )

@@ -196,3 +196,19 @@ def test_dates_of_a_source_are_read_once(spark, monkeypatch):
     plan = graph_write.source_changes(batch)._jdf.queryExecution().analyzed().toString()
     aggregate = next(line for line in plan.split("\n") if "Aggregate" in line)
     assert "regexp" not in aggregate and "max_by" in aggregate
+
+
+def test_batches_are_written_down_packed(spark):
+    """Hashed ids are most of what a merge writes: they are stored as zstd, which takes little more than half of their digits."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from loomgraph import durable
+
+    rows = spark.range(2000).select(F.lit("kb").alias("kb_id"), F.sha2(F.col("id").cast("string"), 256).alias("entity_id"))
+    place = durable.packed(rows)._stored_at.removeprefix("file:").removeprefix("//")
+    metas = [pq.ParquetFile(f).metadata for f in glob.glob(f"{place}/*.parquet")]
+    columns = [m.row_group(g).column(c) for m in metas for g in range(m.num_row_groups) for c in range(m.num_columns)]
+    assert columns and {c.compression for c in columns} == {"ZSTD"}
+    assert sum(c.total_compressed_size for c in columns if c.path_in_schema == "entity_id") < 0.7 * 64 * 2000
