@@ -5,12 +5,12 @@ is the place in the job's extraction, and every order below comes from it."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import normalize_name
 from loomgraph.operators.search import RARE_PROFILES, search
-from loomgraph.operators.skew import running_last, top_per_key
+from loomgraph.operators.skew import top_per_key
 from loomgraph.schemas import CANDIDATE_LIMIT
 
 NAME = ["kb_id", "type", "name"]
@@ -83,8 +83,10 @@ def batch_identity(mentions: DataFrame, batch: str | None = None) -> DataFrame:
     else one new id. With a ``batch`` name, the new id is the same in all jobs of the batch, so
     jobs that run side by side do not mint one entity each."""
     keys = ["kb_id", "type", "name_normalized"]
-    named = mentions.withColumn("name_normalized", normalize_name(F.col("name")))
-    known = running_last(named, [*keys, "job_id"], "pos", "existing_id", "known_id")
+    named = mentions.withColumn("name_normalized", normalize_name(F.col("name"))).dropna(subset=[*keys, "job_id", "pos"])
+    # A job's mentions come out of one answer, which bounds them: one pass over them where they lie.
+    earlier = Window.partitionBy(*keys, "job_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = named.withColumn("known_id", F.last("existing_id", ignorenulls=True).over(earlier))
     minted = new_entity_id(*(F.col(k) for k in keys), F.col("job_id") if batch is None else F.lit(batch))
     return known.withColumn("entity_id", F.coalesce("known_id", minted)).drop("known_id")
 

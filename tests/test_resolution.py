@@ -140,6 +140,18 @@ def test_jobs_of_any_size_mint_their_types_and_are_asked_about(spark, n):
     assert prompts.evidence_text(claims, evidence).first()["evidence_text"].count("\n\n") == n - 1
 
 
+def test_identities_are_given_in_one_pass(spark):
+    """Mentions move once, by their job at most; later ones take the latest id known, and rows without place drop out."""
+    rows = [("a", "j", 0, "T", "Ada", None), ("a", "j", 1, "T", "ada ", "1"), ("a", "j", 2, "T", "ADA", None), ("a", "k", 0, "T", "Ada", None), (None, "k", 1, "T", "Ada", "9"), ("a", "k", None, "T", "Ada", "9")]
+    m = spark.createDataFrame(rows, "kb_id string, job_id string, pos int, type string, name string, existing_id string")
+    found = resolution.batch_identity(m, "b")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1
+    got = {(r["job_id"], r["pos"]): r["entity_id"] for r in found.collect()}
+    assert set(got) == {("j", 0), ("j", 1), ("j", 2), ("k", 0)}
+    assert got["j", 1] == got["j", 2] == "1" and got["j", 0] == got["k", 0] != "1"
+
+
 def test_relationship_ends(spark):
     ids = spark.createDataFrame([("a", "j", "ada", "1"), ("a", "j", "engine", "2")], "kb_id string, job_id string, name_normalized string, entity_id string")
     rows = [("a", "j", 0, " ADA", "Engine", "t"), ("a", "j", 1, "Ada", "Nobody", "t"), ("a", "j", 2, "ada", "Ada", "t"), ("b", "j", 3, "Ada", "Engine", "t")]
