@@ -15,11 +15,21 @@ def source_links(mentions: DataFrame) -> DataFrame:
 
     An entity named by ``n`` sources gives ``n - 1`` edges, never ``n * n``; its minimum
     comes from a map-side aggregate, and AQE splits the partition of a hub when it is joined back."""
+    return _to_least(mentions).distinct()
+
+
+def nearest_links(mentions: DataFrame) -> DataFrame:
+    """Of ``source_links`` one for each source ``a``, that to its smallest ``b``: at most as many as there are sources, and
+    as each leads to a smaller one, a forest."""
+    return _to_least(mentions).groupBy("kb_id", "a").agg(F.min("b").alias("b"))
+
+
+def _to_least(mentions: DataFrame) -> DataFrame:
     keys = ["kb_id", "entity_id"]
     mentions = mentions.select(*keys, "job_id")
-    least = mentions.groupBy(*keys).agg(F.min("job_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    least = mentions.groupBy(*keys).agg(F.min("job_id").alias("b"), F.max("job_id").alias("most")).where("most > b").drop("most")
     linked = mentions.join(least, keys)
-    return linked.where("job_id > b").select("kb_id", F.col("job_id").alias("a"), "b").distinct()
+    return linked.where("job_id > b").select("kb_id", F.col("job_id").alias("a"), "b")
 
 
 def _distinct(edges: DataFrame, previous: DataFrame) -> tuple[DataFrame, dict[str, int]]:
@@ -30,17 +40,17 @@ def _distinct(edges: DataFrame, previous: DataFrame) -> tuple[DataFrame, dict[st
     return table.drop("moved"), counted
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, forest: bool = False) -> DataFrame:
     """``kb_id, job_id, cluster_id`` for every source that has a link; the cluster is
-    named by its smallest source.
+    named by its smallest source. ``forest`` says that no two links have the same ``a``.
 
     Alternates two star contractions (Kiveris et al., "Connected Components in
     MapReduce and Beyond", SoCC 2014): first every node hands its smallest parent to
     the nodes pointing at it, then every node points its other parents at the smallest
     one. The rows stay one per link, and the rounds grow with the logarithm of the
-    longest chain. Each half round is one written table."""
+    longest chain. Each half round is one written table. Once every node has one parent the
+    first half alone goes on: it doubles the steps to the root."""
     edges, counted = durable.cut_counted(links)
-    forest = False
     while counted["n"]:
         parent = edges.groupBy("kb_id", F.col("a").alias("b")).agg(F.min("b").alias("m"))
         lifted = edges.join(parent, ["kb_id", "b"], "left").select(
@@ -48,7 +58,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         )
         edges, counted = _distinct(lifted, edges)
         lifted_any = counted["moved"]
-        if forest and not lifted_any:
+        if forest:
+            if lifted_any:
+                continue
             break
         least = edges.groupBy("kb_id", "a").agg(F.min("b").alias("m"))
         pair = F.struct(F.col("a"), F.col("m").alias("b"), F.lit(False).alias("moved"))
@@ -66,12 +78,21 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 
 def assign_clusters(sources: DataFrame, mentions: DataFrame) -> DataFrame:
-    """``sources`` with ``cluster_id``; a source sharing no entity is its own cluster."""
-    inside = mentions.join(sources.select("kb_id", "job_id"), ["kb_id", "job_id"], "left_semi")
-    labels = connected_components(source_links(inside))
-    return sources.join(labels, ["kb_id", "job_id"], "left").withColumn(
-        "cluster_id", F.coalesce("cluster_id", "job_id")
-    )
+    """``sources`` with ``cluster_id``; a source sharing no entity is its own cluster.
+
+    The rounds run over one link of each source first. Entities are then named by the clusters found so far, and only
+    those still named by several give further links, between whole clusters."""
+    keys = ["kb_id", "job_id"]
+    inside = durable.cut(mentions.select("kb_id", "entity_id", "job_id").join(sources.select(*keys), keys, "left_semi"))
+    near = durable.cut(connected_components(nearest_links(inside), forest=True))
+    near = near.select(*keys, F.col("cluster_id").alias("_near"))
+    named = inside.join(near, keys, "left").select("kb_id", "entity_id", F.coalesce("_near", "job_id").alias("job_id"))
+    named = durable.cut(named.distinct())
+    durable.drop(inside)
+    far = connected_components(source_links(named)).select("kb_id", F.col("job_id").alias("_near"), F.col("cluster_id").alias("_far"))
+    durable.drop(named)
+    labelled = sources.join(near, keys, "left").withColumn("_near", F.coalesce("_near", "job_id"))
+    return labelled.join(far, ["kb_id", "_near"], "left").select(*sources.columns, F.coalesce("_far", "_near").alias("cluster_id"))
 
 
 def recency() -> F.Column:

@@ -237,3 +237,27 @@ def test_issue_reads(spark):
     listed = {r["issue_id"]: (r["slug"], r["headline"]) for r in pages_text.list_issues(issues).collect()}
     assert listed == {1: ("2024-01-01-0000", "One"), 2: ("2024-01-01-0000", "Untitled issue")}
     assert [r["issue_id"] for r in pages_text.issues_by_slug(issues).collect()] == [2]
+
+
+def test_rounds_run_over_one_link_of_each_source(spark, monkeypatch):
+    """The many links of sources that share many entities do not go through the rounds."""
+    rng = random.Random(5)
+    named = {f"{i:03d}": [f"e{rng.randrange(60)}" for _ in range(6)] for i in range(150)}
+    named |= {f"{i:03d}": [f"f{i // 2}", f"f{(i + 1) // 2}"] for i in range(400, 430)}
+    named |= {"900": ["p"], "901": ["p", "q"], "800": ["q"], "902": ["q", "r"], "700": ["r", "s"], "903": ["s"], "600": []}
+    s, m = frames(spark, named)
+    sizes, step = [], clustering.connected_components
+
+    def counting(links, *a, **b):
+        sizes.append(links.count())
+        return step(links, *a, **b)
+
+    monkeypatch.setattr(clustering, "connected_components", counting)
+    got = {r["job_id"]: r["cluster_id"] for r in clustering.assign_clusters(s, m).collect()}
+    least = {}
+    for j, es in sorted(named.items()):
+        for e in es:
+            least.setdefault(e, j)
+    found = union_find([(j, least[e]) for j, es in named.items() for e in es])
+    assert got == {j: found.get(j, j) for j in named}
+    assert sum(sizes) <= len(named) < clustering.source_links(m).count()
