@@ -159,7 +159,8 @@ def merge(batch: DataFrame, state: State, models: Models, run_ts: Column, batch_
         articles = durable.packed(fold_articles(told, models.article, models.parallelism))
     written = identified.join(articles, ["kb_id", "entity_id"])
     entities = durable.packed(graph_write.entity_changes(state.entities, written, run_ts))
-    there = state.entities.select("kb_id", "id").unionByName(entities.select("kb_id", "id"))
+    # Links and edges join entities of this batch, and of these the changes hold every row, stored before or not.
+    there = entities.select("kb_id", "id")
     provenance = identified.select(
         *JOB, "entity_id", "batch_pos", F.col("source_label").alias("label"),
         F.col("source_published_at").alias("published_at"), F.col("source_ingested_at").alias("ingested_at"),

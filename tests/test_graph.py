@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph import durable
 from loomgraph.operators import graph_read, graph_write
 
 ENTITY = "kb_id string, id string, type string, name string, name_normalized string, summary string, article string, aliases array<string>, created_at timestamp, updated_at timestamp"
@@ -212,3 +213,32 @@ def test_batches_are_written_down_packed(spark):
     columns = [m.row_group(g).column(c) for m in metas for g in range(m.num_row_groups) for c in range(m.num_columns)]
     assert columns and {c.compression for c in columns} == {"ZSTD"}
     assert sum(c.total_compressed_size for c in columns if c.path_in_schema == "entity_id") < 0.7 * 64 * 2000
+
+
+def test_edges_between_entities_in_several_tables(spark):
+    """Without broadcasts, entities and edges out of several tables meet in shuffles that are coalesced while the job runs."""
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "12"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        name = lambda n: F.concat(F.lit("e"), n)
+        first, changed, added = (durable.cut(spark.range(*x).select(F.lit("kb").alias("kb_id"), name(F.col("id")).alias("id"))) for x in ((0, 120), (100, 160), (160, 200)))
+        now = graph_write.replaced(first, changed, ["id"])
+        edges = spark.range(200).select(
+            F.lit("kb").alias("kb_id"), name(F.col("id")).alias("source_id"), name(F.col("id") + 1).alias("target_id"), F.lit("t").alias("type"),
+            F.col("id").cast("string").alias("job_id"), F.col("id").alias("batch_pos"),
+        )
+        edges, run = durable.cut(edges), F.lit("2020-01-01").cast("timestamp")
+        none = spark.createDataFrame([], RELATED)
+        stored = durable.cut(graph_write.relationship_changes(none, edges, now, run))
+        state = graph_write.replaced(durable.cut(stored.limit(0)), stored, graph_write.EDGE_KEY)
+        fresh = durable.cut(graph_write.relationship_changes(state, edges, now.unionByName(added), run))
+        assert stored.count() == 159
+        assert sorted(int(r.source_job_id) for r in fresh.collect()) == list(range(159, 199))
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
