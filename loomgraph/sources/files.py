@@ -67,6 +67,10 @@ def read_drop_directory(spark: SparkSession, path: str) -> DataFrame:
     return files_to_items(files)
 
 
-def stream_drop_directory(spark: SparkSession, path: str) -> DataFrame:
-    """The same items as files arrive."""
-    return files_to_items(spark.readStream.format("binaryFile").schema(_FILE).load(path))
+def stream_drop_directory(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """The same items as files arrive, in micro-batches of at most ``files_per_batch`` files, if given."""
+    reader = spark.readStream.format("binaryFile").schema(_FILE)
+    if files_per_batch:
+        # The directory is listed once; what a micro-batch leaves is kept for the next ones.
+        reader = reader.option("maxFilesPerTrigger", files_per_batch).option("maxCachedFiles", (1 << 31) - 1)
+    return files_to_items(reader.load(path))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from loomgraph.operators import graph_write
 from loomgraph.operators.jobs import replay_events
 from loomgraph.operators.vocabulary import to_type_defs
@@ -177,6 +178,32 @@ def test_drop_directory_stream(spark, tmp_path):
     assert run() == ["two.md"]
 
 
+def test_dropped_documents_are_listed_by_few_tasks_in_bounded_batches(spark, tmp_path, monkeypatch):
+    from loomgraph.plans import stream_queries
+    from loomgraph.sources.tables import Tables
+
+    rows = [(i, f"text {i % 90}\r\n", f"s{i % 3}") for i in range(150)] + [(None, None, "s"), (None, "nameless", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    sweep, started = flows.sweep, []
+
+    def observed(*args):
+        started.append(sweep(*args))
+        return started[-1]
+
+    monkeypatch.setattr(flows, "sweep", observed)
+    monkeypatch.setattr(stream_queries, "FILES_PER_BATCH", 100, raising=False)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    found = entry.queries()["drop_directory_stream"](spark, str(tmp_path)).first()
+    # Line ends count as one; a row without text is an empty line.
+    chars = sum(len(text.replace("\r\n", "\n")) + 1 if text else 1 for _, text, _ in rows)
+    assert (found.files, found.chars, found.texts) == (152, chars, 92)
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup(str(started[0].runId)) for s in tracker.getJobInfo(j).stageIds]
+    assert max(tracker.getStageInfo(s).numTasks for s in stages) <= 64
+    assert sorted(p["numInputRows"] for p in started[0].recentProgress if p["numInputRows"]) == [52, 100]
+
+
 def test_daily_windows_and_boundaries(spark, tmp_path):
     rows = [("kb", datetime(2024, 1, d, h)) for d, h in ((1, 1), (1, 23), (2, 5), (9, 0))]
     path = str(tmp_path / "s")
