@@ -35,6 +35,8 @@ LOW, HIGH = 30, 90
 # Rows of one block of candidates (fewer for small tables) and of one block of anchors.
 CANDIDATE_ROWS = 65_536
 ANCHOR_ROWS = 512
+# Every block of candidates gets a copy of all anchors: no more blocks than this before they are full.
+BLOCKS = 128
 _SLICE = 4096
 
 _BLOCK = "block long, ids binary, labels binary, x binary, keys binary, given binary, scores binary"
@@ -175,11 +177,13 @@ def _negatives(rows: Iterator[tuple], packing: Packing, k: int, low: int, high:
 
 
 def _met(candidates: DataFrame, anchors: DataFrame, cells: int) -> DataFrame:
-    """Every block of anchors beside every block of candidates; each cell holds about one block of candidates."""
+    """Every block of anchors beside every block of candidates; each cell holds about one block of candidates.
+
+    The anchors' copies, one for each cell, are dealt out by a shuffle: as one table they would go through the driver."""
     here = candidates.select("block", "ids", "labels", "x", F.pmod(F.xxhash64("block"), F.lit(cells)).alias("cell"))
     cell = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("cell")
     there = anchors.select(F.col("ids").alias("a_ids"), F.col("labels").alias("a_labels"), F.col("x").alias("a_x"), "keys", "given", "scores", cell)
-    return here.join(there, "cell").select("block", "ids", "labels", "x", "a_ids", "a_labels", "a_x", "keys", "given", "scores")
+    return here.hint("merge").join(there, "cell").select("block", "ids", "labels", "x", "a_ids", "a_labels", "a_x", "keys", "given", "scores")
 
 
 def relabelled(embeddings: DataFrame) -> DataFrame:
@@ -214,7 +218,7 @@ def mined(
         return embeddings.sparkSession.createDataFrame([], result)
     packing = Packing.of(size, bounds.low, bounds.high)
     tasks = int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = max(1, min(candidate_rows, max(1024, -(-n // (2 * tasks)))))
+    block = max(1, min(candidate_rows, max(1024, -(-n // min(2 * tasks, BLOCKS)))))
     candidates = durable.cut(blocks(rows, block))
     cells = -(-n // block)
 

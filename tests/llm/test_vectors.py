@@ -149,6 +149,15 @@ def test_negatives(spark, block, anchors):
     assert coded(found.distinct()) == sorted(negatives(rows), key=str) and found.count() > 100
 
 
+def test_copies_of_anchors_do_not_go_through_the_driver(spark):
+    """Blocks and anchors that look small enough to be broadcast meet in a shuffle: the anchors are copied for each cell."""
+    block = spark.createDataFrame([(7, b"", b"", b"", b"", None, None)], H._BLOCK)
+    met = H._met(block, block, 3)
+    assert met.count() == 1
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_negatives_of_nothing(spark):
     assert coded(H.mined(frame(spark, []))) == [] == coded(H.mined(frame(spark, [(100, None, 1), (7, [0.1] * 8, 2)])))
     # An anchor alone, and one whose positive has a negative score.
