@@ -61,9 +61,14 @@ def accepted(offered: DataFrame, answers: DataFrame) -> DataFrame:
     """``job_id, pos, existing_id``: the last answer naming one of the mention's own candidates.
 
     ``answers`` has ``job_id, index, id, answer_pos``; "NEW" and invented ids match nothing."""
-    given = answers.select("job_id", F.col("index").cast("int").alias("pos"), "id", "answer_pos")
-    valid = offered.select("job_id", F.col("pos").cast("int").alias("pos"), "id").join(given, ["job_id", "pos", "id"])
-    return valid.groupBy("job_id", "pos").agg(F.max_by("id", "answer_pos").alias("existing_id"))
+    # A mention's few candidates, and what one answer says of it, become one row each before they move, and move once.
+    mention = ["job_id", "pos"]
+    shown = offered.select("job_id", F.col("pos").cast("int").alias("pos"), "id").dropna()
+    given = answers.select("job_id", F.col("index").cast("int").alias("pos"), "answer_pos", "id").dropna()
+    shown = shown.groupBy(*mention).agg(F.collect_set("id").alias("shown"))
+    given = given.groupBy(*mention).agg(F.collect_set(F.struct("answer_pos", "id")).alias("given"))
+    last = F.array_max(F.filter("given", lambda a: F.array_contains("shown", a.id)))
+    return shown.join(given, mention).select(*mention, last.id.alias("existing_id")).where("existing_id IS NOT NULL")
 
 
 def resolve(mentions: DataFrame, offered: DataFrame, answers: DataFrame) -> DataFrame:

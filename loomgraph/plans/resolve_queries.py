@@ -32,10 +32,10 @@ def order_lines(t: Tables) -> DataFrame:
     return t._lines().withColumn("pos", F.row_number().over(place))
 
 
-def _order_mentions(t: Tables) -> DataFrame:
+def _order_mentions(t: Tables, lines: DataFrame | None = None) -> DataFrame:
     """Every order line mentions its part by name, or by its description in capitals."""
     parts = t.raw("part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
-    lines = order_lines(t).join(parts, "l_partkey")
+    lines = (order_lines(t) if lines is None else lines).join(parts, "l_partkey")
     name = F.when(F.col("l_returnflag") == "R", F.concat(F.upper("p_type"), F.lit(" "), "p_name")).otherwise(F.col("p_name"))
     return lines.select(
         "kb_id", F.col("o_orderkey").alias("job_id"), "pos", F.lit("Part").alias("type"), name.alias("name"),
@@ -127,9 +127,8 @@ def candidate_set(t: Tables) -> DataFrame:
     return found.select("kb_id", "type", "name", _big("rank"), "id")
 
 
-def _answers(t: Tables) -> DataFrame:
+def _answers(t: Tables, lines: DataFrame) -> DataFrame:
     """Answers per mention: NEW, then the mention's own part, then the next part (often no candidate)."""
-    lines = order_lines(t)
     own = t.part_id()
     following = F.concat("kb_id", F.lit("/P/"), F.col("l_partkey") + 1)
     given = F.array(F.lit("NEW"), own, following)
@@ -150,9 +149,11 @@ SELECT m.kb_id, m.job_id, m.pos, m.name, coalesce(existing_id, 'NEW') AS existin
 FROM order_mentions m LEFT JOIN valid v ON v.job_id = m.job_id AND v.pos = m.pos"""
 )
 def resolution_apply(t: Tables) -> DataFrame:
-    mentions, entities = _order_mentions(t), _named_entities(t)
+    # Written down: answers and mentions read the lines, and several branches the mentions.
+    lines = durable.packed(order_lines(t).select("kb_id", "o_orderkey", "l_partkey", "l_returnflag", "pos"))
+    mentions, entities = durable.packed(_order_mentions(t, lines)), _named_entities(t)
     offered = mentions.join(resolution.candidates(mentions, entities), resolution.NAME)
-    resolved = resolution.resolve(mentions, offered, _answers(t))
+    resolved = resolution.resolve(mentions, offered, _answers(t, lines))
     return resolved.select("kb_id", "job_id", "pos", "name", F.coalesce("existing_id", F.lit("NEW")).alias("existing_id"))
 
 

@@ -82,6 +82,23 @@ def test_only_offered_ids_are_accepted_and_the_last_answer_wins(spark):
     assert got == {0: "y", 1: None, 2: None, 3: None}
 
 
+def test_candidates_and_answers_move_once(spark):
+    """One row for each mention is shuffled on either side, and the join needs no further one; repeats and nulls count as before."""
+    offered = [("j", i % 3, f"e{i}") for i in range(9)] * 3 + [(None, 0, "e0"), ("j", None, "e0"), ("j", 0, None)]
+    given = [("j", i % 3, f"e{i}", i) for i in (8, 0, 4, 7, 3)] * 2 + [("j", 0, "e3", 1), (None, 0, "e0", 50), ("j", None, "e0", 50), ("j", 0, None, 50), ("j", 1, "e1", None)]
+    offered = spark.createDataFrame(offered, "job_id string, pos int, id string")
+    answers = spark.createDataFrame(given, "job_id string, index int, id string, answer_pos int")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        found = resolution.accepted(offered, answers)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        assert sorted(map(tuple, found.collect())) == [("j", 0, "e3"), ("j", 1, "e7"), ("j", 2, "e8")]
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_repeats_share_an_identity(spark):
     rows = [("a", "j", 0, "Atmos Embassy", "Org", None), ("a", "j", 1, "atmos  embassy", "Org", None), ("a", "j", 2, "Atmos embassy", "Product", None),
             ("a", "j", 3, "ATMOS embassy", "Org", "X"), ("a", "j", 4, "atmos embassy", "Org", None), ("a", "k", 0, "Atmos Embassy", "Org", None)]
