@@ -8,6 +8,7 @@ from math import floor, inf, isfinite, nan
 import numpy as np
 import pytest
 
+from loomgraph import durable
 from loomgraph.llm import hard_negatives as H
 from loomgraph.llm import vector_codes as V
 
@@ -151,7 +152,7 @@ def test_negatives(spark, block, anchors):
 
 def test_copies_of_anchors_do_not_go_through_the_driver(spark):
     """Blocks and anchors that look small enough to be broadcast meet in a shuffle: the anchors are copied for each cell."""
-    block = spark.createDataFrame([(7, b"", b"", b"", b"", None, None)], H._BLOCK)
+    block = durable.cut(spark.createDataFrame([(7, b"", b"", b"", b"", None, None)], H._BLOCK))
     met = H._met(block, block, 3)
     assert met.count() == 1
     plan = met._jdf.queryExecution().executedPlan().toString()
